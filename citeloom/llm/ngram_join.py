@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, shingle_sets, text_bytes, written
+from .common import batches, mix, shingle_sets, written
 from .components import components
 
 #: Sets in a tile at most, on average, and shingles; larger families are cut into cells.
@@ -256,19 +256,19 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
         texts.mapInArrow(_digests(size), "doc_id long, n_shingles long, one long, two long"), "digests"
     )
     filled = found.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    classes = written(filled.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("class_id")), "digest-classes")
     of_class = written(
         filled.join(classes, ["n_shingles", "one", "two"]).select("doc_id", "class_id", "n_shingles").distinct(), "classes"
     )
-    heads = of_class.where("doc_id = class_id").select("doc_id")
 
-    keys = texts.join(heads, "doc_id", "left_semi").mapInArrow(_keys(size, bands), "key long, doc long, other long")
+    keys = texts.where("doc_id is not null").mapInArrow(_keys(size, bands), "key long, doc long, other long")
     family_links = (
         keys.repartition(F.coalesce("key", F.xxhash64("doc", "other")))
         .sortWithinPartitions("key", "doc")
         .mapInArrow(_links_of_keys, "a long, b long")
     )
     families = components(family_links).withColumnRenamed("id", "doc_id")
+    # Copies are in their class's family; only the class's representative goes on.
     sized = families.join(of_class.where("doc_id = class_id").select("doc_id", "n_shingles"), "doc_id")
     step = -math.log(up / down)
     sized = written(sized.withColumn("band", F.floor(F.ln("n_shingles") / F.lit(step) + 1e-9).cast("int")), "families")
@@ -298,7 +298,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
           if(salts_above is null, array(), transform(sequence(0, salts_above - 1), s -> named_struct('tile', concat_ws(':', component_id, band, 'up', salt, s), 'side', 1))))"""
     )
     large = large.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.tile", "x.side")
-    rows = texts.join(small.unionByName(large), "doc_id").select("text", "doc_id", "tile", "side")
+    rows = texts.join(small.unionByName(large).hint("merge"), "doc_id").select("text", "doc_id", "tile", "side")
     links = (
         rows.mapInArrow(_sets(size), "doc_id long, tile string, side int, shingles binary")
         .repartition("tile")
