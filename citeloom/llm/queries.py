@@ -4,23 +4,143 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join, suffix_dedup
+from . import chat_format, decontaminate, language_id, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts, url_rules
 from .common import table
 
+#: Rules that the contract of op3 fixes, and the operator's own for hosts of junk.
+URL_RULES = [
+    url_rules.host_rule("block", "com/en/"),
+    url_rules.host_rule("allow", "example.com/en/7"),
+    url_rules.host_rule("allow", "net/de/"),
+    url_rules.host_rule("block", "example.net/de/8"),
+    url_rules.host_rule("block", "org/es/"),
+    url_rules.words_rule("block", "spam", ("spam", "farm")),
+    url_rules.words_rule("block", "pills", ("cheap", "pills")),
+]
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and what is left of every document."""
+    found = line_dedup.drop_recurring(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
+
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 3, (9, 10))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs.where(~language_id.held_out(F.col("doc_id")))))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items that they hold."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, whose texts are made of another template's control strings."""
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.read_back(chat_format.format_conversations(chat_format.turns_as_events(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_ngram_join": op2_ngram_join,
-    "op8_suffix_dedup": op8_suffix_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_ngram_join, op3_url_filter, op4_quality_rules, op5_language_id,
+        op6_decontaminate, op7_packing, op8_suffix_dedup, op9_token_counts, op10_chat_format,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+_BLANKS = r"[\x20\x09-\x0D]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"list_filter(regexp_split_to_array({{}}, '{_BLANKS}'), lambda w: w <> '')"
+_CONTROL = r"\\|</?s>|\[/?INST\]|<</?SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|startoftext\|>"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS gs FROM w),
+n AS (SELECT doc_id, len(gs) AS n FROM s),
+g AS (SELECT doc_id, unnest(gs) AS g FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS reached FROM n UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT id, min(reached) AS c FROM r GROUP BY id) m ON m.id = n.doc_id
+""",
+    "op3_url_filter": r"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+a AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT page_id, host, path, CASE
+      WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM a)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+      WHEN regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.') THEN 'block' ELSE 'allow' END AS verdict FROM r
+""",
+    "op4_quality_rules": f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws,
+      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS c FROM g),
+d AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM h, range(0, 5) t(k) WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+      len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(d.n, 0) AS n_repeat_words,
+      len(list_filter(ws, lambda x: NOT regexp_matches(x, '\\p{{L}}'))) AS no_letter, len(regexp_extract_all(text, '!')) AS bangs FROM w LEFT JOIN d USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+      n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT (base_failed OR 2 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
+      OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 2 * no_letter > n_words OR 2 * bangs > n_words) AS kept FROM b
+""",
+    "op6_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS.format("lower(coalesce(text, ''))")} AS ws FROM benchmark),
+i AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS g FROM b),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS g FROM d WHERE len(ws) >= 5),
+c AS (SELECT doc_id, item_id, count(*) AS c FROM s JOIN i USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, c AS n_shared, n AS n_item FROM c JOIN n USING (item_id) WHERE 5 * c >= 4 * n
+""",
+    "op10_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+      coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(24 + len(role) + len(text) + len(regexp_extract_all(text, '{_CONTROL}')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+""",
+}
