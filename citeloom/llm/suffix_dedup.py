@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, batches, mix, steps, text_bytes, written
 
 #: Bytes of an anchor's substring; a shard's runs, and its segments' bytes.
-GRAM = 16
+GRAM = 20
 SHARD_RUNS = 1_500_000
 SHARD_BYTES = 2_000_000
 #: A run's start and count in one number; longer runs are cut.
@@ -271,7 +271,8 @@ class Shard:
         size = np.diff(self.at) - 1
         order = suffix_array(symbols)
         lcp = common_prefixes(symbols, order, self.at, length)
-        which = np.searchsorted(self.at, order, "right") - 1
+        self.owner = np.repeat(np.arange(len(pieces)), size + 1)
+        which = self.owner[order]
         whole = order + length <= self.at[which] + size[which]
         # Suffixes too short for a string lie before longer ones that they begin, or between groups: they never split one.
         group = np.cumsum(lcp < length)[whole]
@@ -301,6 +302,14 @@ class Shard:
         self.low[hit] = low
         other.low[there] = low
 
+    def some_removed(self, docs: np.ndarray) -> np.ndarray:
+        """Which segments have a start whose string is in a document smaller than theirs."""
+        at = np.flatnonzero(self.group >= 0)
+        which = self.owner[at]
+        some = np.zeros(len(docs), bool)
+        some[which[self.low[self.group[at]] < docs[which]]] = True
+        return some
+
     def removed(self, k: int, doc: int, count: int) -> list[tuple[int, int]]:
         """Of segment k: where starts whose string is in a smaller document begin, and how many follow each other."""
         at = int(self.at[k])
@@ -312,26 +321,28 @@ class Shard:
 def _shards(length: int):
     """Rows with bytes sorted by key and segment to removed starts (doc, run, seg)."""
 
-    def settle(rows: list[tuple], shard: Shard, index: dict) -> list[tuple]:
+    def settle(rows: list[tuple], places: list[int], docs: list[int], shard: Shard) -> list[tuple]:
         out = []
-        for key, seg, doc, run, piece in rows:
-            for offset, count in shard.removed(index[key, seg], doc, run & (1 << COUNT_BITS) - 1):
+        some = shard.some_removed(np.array(docs, np.int64))
+        for r in np.flatnonzero(some[places]):
+            (_, _, doc, run, piece), k = rows[r], places[r]
+            for offset, count in shard.removed(k, doc, run & (1 << COUNT_BITS) - 1):
                 part = np.frombuffer(piece, np.uint8)[offset : offset + count + length - 1]
                 seen = Rolling(part)(np.zeros(1, np.int64), np.array([len(part)]))
                 out.append((doc, (run >> COUNT_BITS) + offset << COUNT_BITS | count, int(seen.view(np.int64)[0])))
         return out
 
-    def built(rows: list[tuple]) -> tuple[list[tuple], Shard, dict]:
-        index: dict[tuple[int, int], int] = {}
-        pieces, docs = [], []
-        for key, seg, doc, _, piece in rows:
-            if (key, seg) not in index:
-                index[key, seg] = len(pieces)
-                pieces.append(piece)
-                docs.append(doc)
-            else:
-                docs[index[key, seg]] = min(docs[index[key, seg]], doc)
-        return rows, Shard(pieces, docs, length), index
+    def built(rows: list[tuple]) -> tuple[list[tuple], list[int], list[int], Shard]:
+        """Rows come sorted by anchor and segment; all rows of a segment have its smallest document."""
+        pieces, docs, places = [], [], []
+        last = None
+        for row in rows:
+            if row[:2] != last:
+                last = row[:2]
+                pieces.append(row[4])
+                docs.append(row[2])
+            places.append(len(pieces) - 1)
+        return rows, places, docs, Shard(pieces, docs, length)
 
     def emit(shards: list[tuple]) -> Iterator[pa.RecordBatch]:
         for a in range(len(shards)):  # several only where one anchor fills more than a shard
