@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,17 +25,38 @@ from .common import batches, in_pieces, written
 
 #: White space that the tokenizer drops and that no token spans.
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-PLAIN = re.compile(r"[!-~]+")
-#: Pre-tokens of lower-cased printable ASCII and white space; other control characters are odd.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t\n\r\x0b\x0c]+")
-ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+#: Characters whose lower case and normal form are their own affair: up to Latin Extended-A, but for controls and U+0130.
+LATIN = [chr(c) for c in range(0x180) if c != 0x130 and (unicodedata.category(chr(c)) != "Cc" or chr(c) in " \t\n\r\x0b\x0c")]
+
+
+def _class(*kinds: str) -> str:
+    return "".join(re.escape(c) for c in LATIN if unicodedata.category(c)[0] in kinds and not c.isspace())
+
+
+ODD = re.compile(f"[^{''.join(map(re.escape, LATIN))}]")
+#: Pre-tokens of lower-cased text of such characters.
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[{_class('M', 'P', 'S', 'C')}]+")
+
+
+class Codes(dict):
+    """Numbers for pre-tokens and chunks, in the order in which they first come."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        code = self[key] = len(self)
+        self.new.append(key)
+        return code
 
 
 class ChunkIds:
-    """Ids of texts under a word-end BPE tokenizer; ids of chunks between white space are kept for a while.
+    """Ids of texts under a word-end BPE tokenizer; those of pre-tokens are kept for a while.
 
-    Chunks of printable ASCII without special strings are lower-cased and split
-    here, and only merged by the library; all others go through its whole course.
+    Texts of plain Latin characters without special strings are lower-cased and
+    split here, and only merged by the library; in others, each chunk between
+    white space goes through the library's whole course.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -43,7 +65,9 @@ class ChunkIds:
 
         self.whole = Tokenizer.from_file(path)
         self.merger = Tokenizer(self.whole.model)
-        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -53,57 +77,60 @@ class ChunkIds:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.first = np.zeros(0, self.kind), np.zeros(1, np.int64)
-
-    def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if PLAIN.fullmatch(c) and not any(s in c for s in self.special)]
-        seen = set(plain)
-        rest = [c for c in chunks if c not in seen]
-        pieces = [PIECE.findall(c.lower()) for c in plain]
-        ids, size = [], []
-        if plain:
-            got = np.array(self.merger.encode_batch_fast([" ".join(p for ps in pieces for p in ps)], add_special_tokens=False)[0].ids, np.int64)
+        self.codes = Codes()
+        self.ids = np.zeros(0, self.kind)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def plain(self, text: str) -> bool:
+        return not ODD.search(text) and not any(s in text for s in self.special)
+
+    def learn(self) -> None:
+        """Ids of the codes that are new."""
+        keys, self.codes.new = self.codes.new, []
+        if not keys:
+            return
+        plain = np.array([self.plain(k) for k in keys])
+        size = np.zeros(len(keys), np.int64)
+        ids: list[np.ndarray] = []
+        if plain.any():
+            pieces = [PIECE.findall(k.lower()) for k, p in zip(keys, plain, strict=True) if p]
+            got = np.array(self.merger.encode_batch_fast([" ".join([p for ps in pieces for p in ps])], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.ends[got]) + 1
             last = np.cumsum([len(ps) for ps in pieces])
-            size.append(np.diff(ends[last - 1], prepend=0))
+            size[plain] = np.diff(np.append(0, ends)[last], prepend=0)
             ids.append(got)
-        if rest:
-            got = [e.ids for e in self.whole.encode_batch_fast(rest, add_special_tokens=False)]
-            size.append(np.array([len(g) for g in got], np.int64))
+        if not plain.all():
+            got = [e.ids for e in self.whole.encode_batch_fast([k for k, p in zip(keys, plain, strict=True) if not p], add_special_tokens=False)]
+            size[~plain] = [len(g) for g in got]
             ids.append(np.array([k for g in got for k in g], np.int64))
-        for c in (*plain, *rest):
-            self.index[c] = len(self.index)
+        order = np.argsort(~plain, kind="stable")
+        first = np.zeros(len(keys), np.int64)
+        first[order] = len(self.ids) + np.cumsum(size[order]) - size[order]
         self.ids = np.concatenate([self.ids, *(x.astype(self.kind) for x in ids)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(size))])
+        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
 
-    def chunks(self, text: str) -> list[str]:
-        """Of plain ASCII texts the pre-tokens, else what is between white space."""
-        if text.isascii() and not ODD.search(text) and not any(s in text for s in self.special):
-            return PIECE.findall(text.lower())
-        return CHUNK.findall(text)
+    def coded(self, text: str) -> np.ndarray:
+        keys = PIECE.findall(text.lower()) if self.plain(text) else CHUNK.findall(text)
+        return np.fromiter(map(self.codes.__getitem__, keys), np.int64, len(keys))
 
-    def gather(self, chunks: list[str]) -> np.ndarray:
-        if not chunks:
+    def gathered(self, codes: np.ndarray) -> np.ndarray:
+        if not len(codes):
             return np.zeros(0, self.kind)
-        codes = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        first, size = self.first[codes], self.first[codes + 1] - self.first[codes]
+        first, size = self.first[codes], self.size[codes]
         ends = np.cumsum(size)
         return self.ids[np.repeat(first - ends + size, size) + np.arange(ends[-1])]
 
     def of_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the library is quicker on what many texts need at once."""
-        if len(self.index) > self.most:
+        if len(self.codes) > self.most:
             self.clear()
-        cut = [list(in_pieces(t, " ")) if len(t) > 4_000_000 else [t] for t in texts]
-        if any(len(c) > 1 for c in cut) and len(texts) > 1:  # a very long text goes alone
+        if len(texts) > 1 and max(map(len, texts)) > 4_000_000:  # a very long text goes alone
             return [ids for t in texts for ids in self.of_texts([t])]
-        if len(texts) == 1 and len(cut[0]) > 1:
-            return [np.concatenate([self.of_texts([p])[0] for p in cut[0]])]
-        found = [self.chunks(t) for t in texts]
-        if new := set().union(*found).difference(self.index):
-            self.learn(list(new))
-        return [self.gather(c) for c in found]
+        if len(texts) == 1 and len(cut := list(in_pieces(texts[0], " "))) > 1:
+            return [np.concatenate([self.of_texts([p])[0] for p in cut])]
+        found = [self.coded(t) for t in texts]
+        self.learn()
+        return [self.gathered(c) for c in found]
 
 
 _ids: dict[str, ChunkIds] = {}
