@@ -347,7 +347,7 @@ def _shards(length: int):
     def emit(shards: list[tuple]) -> Iterator[pa.RecordBatch]:
         for a in range(len(shards)):  # several only where one anchor fills more than a shard
             for b in range(a):
-                shards[a][1].merge(shards[b][1])
+                shards[a][-1].merge(shards[b][-1])
         for shard in shards:
             if found := settle(*shard):
                 doc, run, seg = zip(*found, strict=True)
