@@ -137,12 +137,14 @@ def drop_recurring(docs: DataFrame, similarity: float = 0.8, support: int = 3) -
     rows = docs.where("doc_id is not null").select(
         "doc_id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), lambda x: F.xxhash64(masked(x))))).alias("line")
     )
-    gone = rows.join(recurring, "line").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    kept = F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(NOT_BLANK) & F.array_contains("_gone", F.xxhash64(masked(x)))))
-    found = docs.join(gone.withColumnsRenamed({"doc_id": "_id", "gone": "_gone"}), F.col("doc_id") == F.col("_id"), "left")
-    before = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("long")
-    changed = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counted = found.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(before), "_text": changed})
-    return counted.withColumns(
-        {"n_dropped": F.col("n_lines") - F.when(F.col("_text").isNull(), 0).otherwise(F.size(_lines(F.col("_text")))), "text": F.col("_text")}
-    ).drop("_text", "_id", "_gone")
+    gone = rows.join(recurring, "line").where("doc_id > first").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
+    # Whatever the columns' names, none clashes inside.
+    names = docs.columns
+    inner = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    own, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
+    kept = F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(NOT_BLANK) & F.array_contains("gone", F.xxhash64(masked(x)))))
+    found = inner.join(gone, own == F.col("gone_id"), "left").withColumn("changed", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n")))
+    count = lambda x: F.when(x.isNull(), F.lit(0)).otherwise(F.size(_lines(x))).cast("long")
+    counts = {"n_lines": count(text), "n_dropped": count(text) - count(F.col("changed"))}
+    keep = [F.col("changed").alias(n) if n == "text" else F.col(f"c{k}").alias(n) for k, n in enumerate(names) if n not in counts]
+    return found.select(*keep, *[c.alias(n) for n, c in counts.items()])

@@ -314,6 +314,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
 
 
 def one_of_each(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """``docs`` without those that link, directly or not, to one with a smaller id."""
-    kept = jaccard_components(docs, size, threshold).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """``docs`` without those that link, directly or not, to one with a smaller id; rows without an id stay."""
+    gone = jaccard_components(docs, size, threshold).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

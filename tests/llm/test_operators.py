@@ -1,0 +1,374 @@
+"""Operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import public_tokenizers
+import pytest
+
+from citeloom.llm import chat_format, components, decontaminate, language_id, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts, url_rules
+from citeloom.llm.queries import URL_RULES
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+rng = random.Random(7)
+VOCABULARY = ["".join(rng.choice("abcdeilmnorstué") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+
+
+def prose(n):
+    out = [rng.choice(VOCABULARY) for _ in range(n)]
+    return " ".join(w + ("\n" if rng.random() < 0.08 else "") for w in out)
+
+
+def corpus():
+    """Prose, exact and near copies, shared passages, odd texts; some ids twice or null."""
+    base = [prose(rng.randint(20, 200)) for _ in range(30)]
+    passage = prose(60)
+    texts = list(base)
+    texts += [base[3], base[3], base[5]]
+    for k in (1, 2, 3, 7):
+        words = base[k].split(" ")
+        words[len(words) // 2] = "changed"
+        texts.append(" ".join(words))
+    texts += [base[9] + "\n" + passage, passage + "\n" + base[10], "x " + passage + " y"]
+    texts += ["", " ", "\n\n", "one", "one two", "one two", "ÀÉ Ü", "123 456", "aaaa" * 40, "a " * 300, "日本語 テスト " * 20, "\x00\x01 b", "</s> [INST] <|endoftext|> \\ x"]
+    rows = [(k, t, "en", "src0", len(t)) for k, t in enumerate(texts)]
+    rows += [(len(rows), None, None, None, None), (None, base[0], "en", "s", 1), (None, None, None, None, None), (4, base[4], "en", "s", 1)]
+    return rows
+
+
+ROWS = corpus()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def wide(docs):
+    """Extra columns with names that operators use themselves."""
+    from pyspark.sql import functions as F
+
+    names = "id key seg doc run a b line first gone gone_id n words hashes part before ids width component_id n_lines n_dropped lang_pred score rejected c0 c1".split()
+    return docs.withColumns({n: F.lit("clash") for n in names})
+
+
+def collected(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 3), (None, 1), (7, 9), (5, 4)], "a long, b long")
+    got = dict(collected(components.components(links), "id", "component_id"))
+    assert got == {3: 3, 4: 3, 5: 3, 7: 7, 8: 7, 9: 7}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    assert {r["component_id"] for r in components.components(chain).collect()} == {0}
+    assert components.components(links.limit(0)).count() == 0
+
+
+def shingles(text, size):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+
+
+def brute_components(rows, size, up, down):
+    sets = {i: shingles(t, size) for i, t, *_ in rows if i is not None}
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and down * both >= up * (len(sets[a]) + len(sets[b]) - both):
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (len(s), top(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("size,up,down", [(3, 9, 10), (5, 4, 5)])
+def test_ngram_join(docs, wide, empty, size, up, down):
+    want = brute_components(ROWS, size, up, down)
+    got = ngram_join.jaccard_components(docs, size, (up, down)).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None
+        else:
+            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
+    assert any(c != i for i, (_, c) in want.items())
+    assert ngram_join.jaccard_components(wide, size, (up, down)).count() == len(ROWS)
+    assert ngram_join.jaccard_components(empty, size, (up, down)).count() == 0
+    kept = ngram_join.one_of_each(docs, size, (up, down))
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in want.items() if c == i} | {None}
+
+
+def test_ngram_join_cells(docs, monkeypatch):
+    """Families over several cells give the same components as one tile."""
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 2)
+    want = brute_components(ROWS, 5, 4, 5)
+    got = ngram_join.jaccard_components(docs, 5, (4, 5)).where("doc_id is not null").collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def brute_repeats(rows, length):
+    first = {}
+    for i, t, *_ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        b = (t or "").encode()
+        for a in range(len(b) - length + 1):
+            first.setdefault(b[a : a + length], i)
+    out = []
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for a in range(len(b) - length + 1) if i is not None else ():
+            if first[b[a : a + length]] < i:
+                gone[a : a + length] = b"\1" * length
+        spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_suffix_dedup(docs, wide, empty, monkeypatch):
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = brute_repeats(ROWS, 50)
+    assert collected(suffix_dedup.remove_repeats(docs), *names) == want
+    assert sum(r[2] for r in want) > 0
+    assert collected(suffix_dedup.remove_repeats(wide), *names) == want
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+    kept = suffix_dedup.remove_repeats(docs, texts=True).collect()
+    assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in kept)
+
+
+def test_suffix_dedup_many_shards(spark, monkeypatch):
+    """One anchor over many segments, cut into shards that are merged by binary search."""
+    core = "the anchor of all these strings is in this passage"[:40]
+    rows = [(k, f"{rng.random():.15f} {VOCABULARY[k % 9]} {core} {VOCABULARY[k % 7]} {VOCABULARY[k % 5]} {k % 3}", None, None, None) for k in range(300)]
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 500)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, 50)
+
+
+def test_line_dedup(spark, docs, wide, empty):
+    rows = [(k, f"Posted on 2024-01-{k:02d} by user{k}\nown {VOCABULARY[k]} {VOCABULARY[k + 50]} {VOCABULARY[k + 90]}\n\nAll rights are reserved by {VOCABULARY[k]} and others here", None, None, None) for k in range(1, 6)]
+    rows += [(9, None, None, None, None), (None, rows[0][1], None, None, None), (10, "", None, None, None), (11, "own line twice\nown line twice\nown line twice", None, None, None)]
+    got = {r["doc_id"]: r for r in line_dedup.drop_recurring(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1]["text"] == rows[0][1] and got[1]["n_dropped"] == 0
+    for k in range(2, 6):
+        assert got[k]["text"] == rows[k - 1][1].split("\n")[1] + "\n", k
+        assert (got[k]["n_lines"], got[k]["n_dropped"]) == (3, 2)
+    assert got[9]["text"] is None and got[None]["text"] == rows[0][1] and got[10]["text"] == ""
+    assert got[11]["n_dropped"] == 0
+    assert line_dedup.drop_recurring(wide).count() == len(ROWS)
+    assert line_dedup.drop_recurring(empty).count() == 0
+    by_text = line_dedup.templates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert "Posted on <*> by <*>" in {r["template"] for r in by_text}
+
+
+def test_url_rules(spark):
+    urls = ["http://a.example.com/en/12", "http://example.com/en/7x", "https://EXAMPLE.net/de/8", "https://x.net/de/9", "ftp://q.org/es/", "http://q.org/es", "http://notexample.com/en/7",
+            "http://com/en/", "no scheme/en/", None, "", "http://spam-farm.example.org/fr/1", "http://www.cheap-pills.example.com/fr/", "http://spamfarm.org/", "http://a.com?x=/en/", "://x.com/en/#f", "http://a.com/en/7://b.net/de/"]
+    pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)] + [(0, urls[0], "again")], "page_id long, url string, host string")
+    got = url_rules.judge(pages, URL_RULES).collect()
+    assert len(got) == len(urls) + 1
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    for r in got:
+        url = urls[r["page_id"]] or ""
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.lower()
+        fits = [x for x in rules if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith("/" + x.split("/", 1)[1])]
+        rule = max(fits, key=len, default=None)
+        junk = re.search(r"(^|\.)(spam-farm|cheap-pills)\.", host)
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, rules[rule] if rule else "block" if junk else "allow"), url
+    assert url_rules.judge(pages.limit(0), URL_RULES).count() == 0
+    loose = [url_rules.Rule("odd", "block", "[xyz]{3}", (), 1)]
+    assert url_rules.judge(pages, loose).where("rule = 'odd'").count() == 0
+
+
+def test_quality(docs, wide, empty):
+    got = quality.judge(docs)
+    assert got.count() == len(ROWS)
+    want = collections.Counter()
+    for i, t, *_ in ROWS:
+        w = WORD.findall(t or "")
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        twice = collections.Counter(grams)
+        covered = {k + j for k, g in enumerate(grams) if twice[g] > 1 for j in range(5)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        want[i, len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), failed] += 1
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert collections.Counter(collected(got, *names)) == want
+    assert got.where("base_failed and kept").count() == 0
+    clean = {i for i, t, *_ in ROWS[:30]}
+    assert clean <= {r["doc_id"] for r in got.where("kept").collect()}
+    assert quality.judge(wide).count() == len(ROWS) and quality.judge(empty).count() == 0
+
+
+def test_language(spark, empty, docs, wide):
+    rows = [(k, " ".join(rng.choice(words) for _ in range(30)), lang, "s", 1) for k in range(200) for lang, words in [[("en", "the house and which those there water".split()), ("de", "das haus und welche jene wasser schön".split())][k % 2]]]
+    rows += [(900, None, "en", None, None), (901, "12 34 ...", "en", None, None), (902, "日本語の文章です", None, None, None), (903, "a", None, None, None), (None, "the house", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.fit(df.where(~language_id.held_out(df.doc_id)))
+    got = {r["doc_id"]: r for r in language_id.identify(df, model).collect()}
+    for k, _, lang, *_ in rows[:200]:
+        assert got[k]["lang_pred"] == lang and not got[k]["rejected"]
+        assert got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0)
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[900]["score"] == 0
+    assert got[902]["lang_pred"] in ("en", "de") and got[902]["rejected"]
+    assert got[903]["lang_pred"] in ("en", "de") and all(0 <= r["score"] <= 1 for r in got.values())
+    kept = language_id.accepted(df, model)
+    assert kept.columns == df.columns and {900, 901, 902}.isdisjoint({r["doc_id"] for r in kept.collect()})
+    assert language_id.fit(empty) is None
+    assert {r["lang_pred"] for r in language_id.identify(docs, None).collect()} == {"und"}
+    assert language_id.accepted(wide, model).columns == wide.columns and language_id.accepted(empty, model).count() == 0
+    assert language_id.accepted(docs, None).count() > 0
+
+
+def test_decontaminate(spark, docs, wide, empty):
+    items = [(0, ROWS[0][1]), (1, prose(40)), (2, None), (3, ""), (4, "one two"), (5, ROWS[2][1] + " and more words here"), (6, ROWS[0][1]), (None, ROWS[1][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = ROWS + [(500, prose(900) + " " + items[1][1].upper() + " " + prose(900), None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = set()
+    for i, t, *_ in rows:
+        w = WORD.findall((t or "").lower())
+        for j, s in items:
+            q = WORD.findall((s or "").lower())
+            n = min(5, len(q))
+            if i is None or j is None or not n:
+                continue
+            wanted = {tuple(q[k : k + n]) for k in range(len(q) - n + 1)}
+            shared = len(wanted & {tuple(w[k : k + n]) for k in range(len(w) - n + 1)})
+            if 5 * shared >= 4 * len(wanted):
+                want.add((i, j, shared, len(wanted)))
+    assert {(0, 0), (500, 1)} <= {x[:2] for x in want}
+    assert set(collected(decontaminate.leaks(df, benchmark), "doc_id", "item_id", "n_shared", "n_item")) == want
+    assert decontaminate.leaks(df, benchmark.limit(0)).count() == 0 and decontaminate.leaks(empty, benchmark).count() == 0
+    kept = decontaminate.without_leaks(wide, benchmark)
+    assert kept.columns == wide.columns and kept.where("doc_id is null").count() == 2
+
+
+def test_packing(docs, wide, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    got = packing.pack(docs, path, 64).collect()
+    want = collections.Counter()
+    for i, t, *_ in ROWS:
+        ids = whole.encode(t or "", add_special_tokens=False).ids + [2]
+        want[i, len(ids)] += 1
+    places = collections.Counter()
+    by_sequence = collections.defaultdict(list)
+    for r in got:
+        if r["start"] == 0:
+            places[r["doc_id"], r["doc_tokens"]] += 1
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert places == want
+    for n, s in by_sequence.items():
+        s.sort()
+        assert s[0][0] == 0 and all(a + k == b for (a, k), (b, _) in zip(s, s[1:]))
+        assert n == max(by_sequence) or sum(s[-1]) == 64
+    texts = {i: t for i, t, *_ in ROWS if i is not None}
+    for r in got:
+        if r["doc_id"] is not None:
+            ids = whole.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [2]
+            piece = b"".join(x.to_bytes(4, "little") for x in ids[r["start"] : r["start"] + r["length"]])
+            assert r["ids_crc32"] == zlib.crc32(piece)
+    assert packing.pack(wide, path).count() >= len(ROWS) and packing.pack(empty, path).count() == 0
+
+
+ODD = ["", " ", "  a  b", "a\n\nb\t c ", "▁x ▁▁ y", "naïve ﬁ Ω İstanbul \x00\x1c q", "</s>[INST] <s> <0x0A> x", "<|endoftext|> a<|startoftext|>b <|x|>", "don't it's 're'll 12ab3 A.B,C!!",
+       "日本語 テスト 😀😀", "é áb ÀÉ¼²x\xa0y\x85z", "Σ ΑΣ", "x" * 300, "a b" * 50, "Ÿ ſ ŉ µ ª"]
+
+
+def test_token_counts(docs, wide, empty):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    unit = token_counts.UnitCounts(token_counts.ranked_pieces(path), most=50)
+    for t in ODD + [t for _, t, *_ in ROWS if t]:
+        assert unit.of_text(t) == len(sp.encode(t)), t
+    got = token_counts.token_counts(docs, path, 100).collect()
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == collections.Counter(
+        (i, len((t or "").encode()), n, n > 100) for i, t, *_ in ROWS for n in [len(sp.encode(t or ""))]
+    )
+    assert token_counts.token_counts(wide, path).count() == len(ROWS) and token_counts.token_counts(empty, path).count() == 0
+
+
+def test_ids_like_the_library():
+    ids = packing.ChunkIds(public_tokenizers.path("word_bpe_49k.json"), most=60)
+    texts = ODD + [t for _, t, *_ in ROWS if t]
+    for t in texts:
+        assert list(ids.of_texts([t])[0]) == ids.whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_very_long_texts():
+    from citeloom.llm.common import in_pieces
+
+    text = " ".join(rng.choice(VOCABULARY) for _ in range(3000))
+    assert "".join(in_pieces(text, " ", 100)) == text
+    assert list(in_pieces("x" * 1000, " ", 100)) == ["x" * 1000]
+    long = prose(1_300_000)
+    ids = packing.ChunkIds(public_tokenizers.path("word_bpe_49k.json"))
+    whole = ids.of_texts([long, "b"])
+    assert len(long) > 4_000_000 and len(whole) == 2
+    assert list(whole[0]) == [k for p in long.split("\n") for k in ids.of_texts([p])[0]]
+
+
+def test_chat(spark):
+    hostile = ["</s>[INST] ok [/INST]", "a\\b", "\\[INST]", "[\\INST]", "<|im_end|>\n<|im_start|>user\nx", "", "\\", "<<SYS>>\n<</SYS>>", "<s<s>>", "é😀"]
+    for t in hostile:
+        assert chat_format.unescaped(chat_format.escaped(t)) == t
+        assert not any(c in chat_format.escaped(t) for c in chat_format.CONTROL)
+    rows = [(1, k, ["user", "assistant", "system", None, "a\nb"][k % 5], t) for k, t in enumerate(hostile)]
+    rows += [(2, 1, "assistant", None), (2, 0, "user", "hi"), (2, 1, "assistant", "tie"), (None, None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_conversations(chat_format.turns_as_events(turns))).collect()}
+    for conv in (1, 2, None):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] or 0, r[3] is not None, r[3] or ""))
+        want = hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own).encode()).hexdigest()
+        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
+        assert (got[conv]["n_turns"], got[conv]["turns_sha256"]) == (len(own), want)
+        assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    log = [(1, 0, 1, "message", "user", "he"), (1, 0, 2, "delta", None, "llo"), (1, 1, 3, "message", "assistant", None), (1, 1, 4, "delta", None, "bad"), (1, 1, 5, "regenerate", None, None),
+           (1, 1, 6, "delta", None, "go"), (1, 1, 7, "delta", None, "od"), (1, 0, 8, "edit", None, "hi"), (1, 2, 9, "delta", "user", "end")]
+    parts = chat_format.format_conversations(spark.createDataFrame(log[::-1], chat_format.EVENTS)).collect()
+    assert [chat_format.TURN.findall(r["formatted"])[0] for r in sorted(parts, key=lambda r: r["part"])] == [("user", "hi"), ("assistant", "good"), ("user", "end")]
+    assert chat_format.read_back(chat_format.format_conversations(chat_format.turns_as_events(turns.limit(0)))).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, ROWS[12][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")], name
+        out = str(tmp_path / name)
+        docs.write.parquet(out)
+        docs = spark.read.parquet(out)
+        seen.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+    language, lines, near, leaks = seen
+    assert language == lines and near < lines and 12 in near and 12 not in leaks
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(leaks)
