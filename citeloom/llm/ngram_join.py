@@ -12,7 +12,8 @@
 3. Tiles. A family of moderate size is one tile; of larger ones, each pair of
    salted cells in equal or neighbouring bands is one. Inside a tile sets are
    sorted by size; parity bitmaps of hashed shingles bound the overlap of a pair
-   from above, since differing bits need differing shingles; what remains is
+   from above, since differing bits need differing shingles. Tiles of bitmaps
+   first cut families into close ones, whose sets, again in tiles, are then
    intersected exactly. Sets already linked, directly or not, are not compared
    again, so a tile gives links fewer than its sets.
 4. Components of all links, with copies joined back to their class.
@@ -72,15 +73,32 @@ def set_digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(one.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(one)).view(np.int64))
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Parities of how many shingles hash to each bit; four bits a shingle, 16,384 at most."""
+    bits = 1 << min(14, max(6, int(4 * len(shingles) - 1).bit_length()))
+    odd = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap that the same shingles have with fewer bits."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def _digests(size: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             n = np.zeros(len(part), np.int64)
             one, two = n.copy(), n.copy()
+            maps: list[bytes | None] = [None] * len(part)
             for i, s in shingle_sets(part.column(1), size):
                 n[i] = len(s)
                 one[i], two[i] = set_digest(s)
-            yield from batches([(part.column(0), pa.array(n), pa.array(one), pa.array(two))], ["doc_id", "n_shingles", "one", "two"])
+                maps[i] = bitmap(s).tobytes()
+            columns = (part.column(0), pa.array(n), pa.array(one), pa.array(two), pa.array(maps, pa.binary()))
+            yield from batches([columns], ["doc_id", "n_shingles", "one", "two", "bits"])
 
     return run
 
@@ -168,77 +186,110 @@ def _sets(size: int):
             got = list(shingle_sets(part.column(0), size))
             rows = pa.array([i for i, _ in got], pa.int32())
             blob = pa.array([s.tobytes() for _, s in got], pa.binary())
+            n = pa.array([len(s) for _, s in got], pa.int64())
             keep = [part.column(k).take(rows) for k in range(1, part.num_columns)]
-            yield from batches([(*keep, blob)], [*part.schema.names[1:], "shingles"])
+            yield from batches([(*keep, n, blob)], [*part.schema.names[1:], "n_shingles", "data"])
 
     return run
 
 
-def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+def tile_links(ids: np.ndarray, n: np.ndarray, maps: list[np.ndarray], side: np.ndarray, threshold: tuple[int, int], sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links of one tile that join its sets into their components; of two cells, only pairs across them.
 
-    ``side``: the cell of each set, all equal if pairs inside count. ``threshold``: as a fraction.
+    ``n``: sizes; ``maps``: bitmaps, which bound each overlap from above; ``side``:
+    the cell of each set, all equal if pairs inside count. Without ``sets``, pairs
+    that the bound allows are links; with them, those whose exact overlap does.
+    ``threshold``: as a fraction. Sets already in one component aren't compared.
     """
     up, down = threshold
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, sets, side = ids[order], [sets[k] for k in order], side[order]
-    n = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(n, kind="stable")
+    ids, n, side = ids[order], n[order], side[order]
+    words = min(len(m) for m in maps)
+    bits = np.stack([folded(maps[k], words) for k in order])
     inside = (side == side[0]).all()
-    bits = 1 << max(6, int(4 * n.max() - 1).bit_length() if n.max() < 4096 else 14)
-    words = bits // 64
-    maps = np.zeros((len(sets), words), np.uint64)
-    for k, s in enumerate(sets):
-        odd = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        maps[k] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
-    root = np.arange(len(sets))
+    first = max(1, words // 8)  # an eighth of the bits rejects most pairs
+    root = np.arange(len(ids))
     links = []
     tops = np.searchsorted(n, n * down // up, "right")
-    for i in range(len(sets)):
+    for i in range(len(ids)):
         near = np.arange(i + 1, tops[i])
         near = near[root[near] != root[i]]
         if not inside:
             near = near[side[near] != side[i]]
-        for lo in range(0, len(near), 4096):
-            js = near[lo : lo + 4096]
-            differ = np.bitwise_count(maps[js] ^ maps[i]).sum(axis=1, dtype=np.int64)
-            total = n[js] + n[i]
-            most = (total - differ) // 2  # the overlap is at most this
-            js = js[down * most >= up * (total - most)]
-            for j in js:
-                if root[j] == root[i]:
+        if not len(near):
+            continue
+        total = n[near] + n[i]
+        # down * overlap >= up * (total - overlap) and overlap <= (total - differing) / 2
+        most = total - 2 * -(-(up * total) // (up + down))
+        for width in (first, words):
+            differ = np.bitwise_count(bits[near, :width] ^ bits[i, :width]).sum(axis=1, dtype=np.int64)
+            keep = differ <= most
+            near, most = near[keep], most[keep]
+        for j in near:
+            if root[j] == root[i]:
+                continue
+            if sets is not None:
+                both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
+                if down * both < up * (int(n[i] + n[j]) - both):
                     continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if down * both >= up * (int(n[i] + n[j]) - both):
-                    links.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
-                    root[root == root[j]] = root[i]
+            links.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
+            root[root == root[j]] = root[i]
     return links
 
 
-def _tiles(threshold: tuple[int, int]):
-    """Rows sorted by tile; one tile is held at a time."""
+def _tiles(threshold: tuple[int, int], exact: bool):
+    """Rows (tile, doc_id, side, n_shingles, data) sorted by tile; one tile is held at a time. ``data``: shingles if exact, else bitmaps."""
+
+    def links(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            ids, side, n = (np.array([h[k] for h in held], np.int64) for k in range(3))
+            data = [np.frombuffer(h[3], np.uint64) for h in held]
+            found = tile_links(ids, n, [bitmap(s) for s in data] if exact else data, side, threshold, data if exact else None)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield from batches([(pa.array(a, pa.int64()), pa.array(b, pa.int64()))], ["a", "b"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         name = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                links = tile_links(np.array([h[0] for h in held]), [np.frombuffer(h[2], np.uint64) for h in held], np.array([h[1] for h in held]), threshold)
-                if links:
-                    a, b = zip(*links, strict=True)
-                    yield from batches([(pa.array(a, pa.int64()), pa.array(b, pa.int64()))], ["a", "b"])
-
         for part in parts:
-            for tile, doc, side, blob in zip(*(part.column(c).to_pylist() for c in ("tile", "doc_id", "side", "shingles")), strict=True):
+            for tile, *row in zip(*(part.column(c).to_pylist() for c in ("tile", "doc_id", "side", "n_shingles", "data")), strict=True):
                 if tile != name:
-                    yield from close()
+                    yield from links(held)
                     held, name = [], tile
-                held.append((doc, side, blob))
-        yield from close()
+                held.append(tuple(row))
+        yield from links(held)
 
     return run
 
 
+def _tiled(families: DataFrame, most_sets: int, most_load: int) -> DataFrame:
+    """(doc_id, tile, side) of families (doc_id, component_id, n_shingles, band): a set goes to every tile where it must be compared."""
+    whole = families.groupBy("component_id").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("load")).where("sets > 1")
+    whole = whole.select("component_id", F.expr(f"sets <= {most_sets} and load <= {most_load}").alias("small"))
+    known = families.join(whole, "component_id")
+    small = known.where("small").select("doc_id", F.col("component_id").cast("string").alias("tile"), F.lit(0).alias("side"))
+    large = known.where("not small")
+    salts = F.ceil(F.greatest(F.lit(1), 2 * F.count("*") / most_sets, 2 * F.sum("n_shingles") / most_load)).cast("int")
+    cells = large.groupBy("component_id", "band").agg(salts.alias("salts"))
+    below = cells.select("component_id", (F.col("band") + 1).alias("band"), F.col("salts").alias("salts_below"))
+    above = cells.select("component_id", (F.col("band") - 1).alias("band"), F.col("salts").alias("salts_above"))
+    large = (
+        large.join(cells, ["component_id", "band"])
+        .join(below, ["component_id", "band"], "left")
+        .join(above, ["component_id", "band"], "left")
+        .withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id), salts) as int)"))
+    )
+    # A set goes to the tile of its cell with each other cell of its band, of the band below and of the band above.
+    pairs = F.expr(
+        """concat(
+          transform(sequence(0, salts - 1), s -> named_struct('tile', concat_ws(':', component_id, band, least(s, salt), greatest(s, salt)), 'side', salt)),
+          if(salts_below is null, array(), transform(sequence(0, salts_below - 1), s -> named_struct('tile', concat_ws(':', component_id, band - 1, 'up', s, salt), 'side', -1))),
+          if(salts_above is null, array(), transform(sequence(0, salts_above - 1), s -> named_struct('tile', concat_ws(':', component_id, band, 'up', salt, s), 'side', 1))))"""
+    )
+    return small.unionByName(large.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.tile", "x.side"))
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document.
 
@@ -253,57 +304,43 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     bands = Bands(up / down)
     texts = docs.select("doc_id", "text")
     found = written(
-        texts.mapInArrow(_digests(size), "doc_id long, n_shingles long, one long, two long"), "digests"
+        texts.mapInArrow(_digests(size), "doc_id long, n_shingles long, one long, two long, bits binary"), "digests"
     )
     filled = found.where("n_shingles > 0 and doc_id is not null")
     classes = written(filled.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("class_id")), "digest-classes")
     of_class = written(
-        filled.join(classes, ["n_shingles", "one", "two"]).select("doc_id", "class_id", "n_shingles").distinct(), "classes"
+        filled.drop("bits").join(classes, ["n_shingles", "one", "two"]).select("doc_id", "class_id", "n_shingles").distinct(), "classes"
     )
+    # Copies are in their class's family; only the class's representative goes on.
+    step = -math.log(up / down)
+    heads = of_class.where("doc_id = class_id").select("doc_id", "n_shingles", F.floor(F.ln("n_shingles") / F.lit(step) + 1e-9).cast("int").alias("band"))
 
     keys = texts.where("doc_id is not null").mapInArrow(_keys(size, bands), "key long, doc long, other long")
-    family_links = (
+    shared = written(
         keys.repartition(F.coalesce("key", F.xxhash64("doc", "other")))
         .sortWithinPartitions("key", "doc")
-        .mapInArrow(_links_of_keys, "a long, b long")
-    )
-    families = components(family_links).withColumnRenamed("id", "doc_id")
-    # Copies are in their class's family; only the class's representative goes on.
-    sized = families.join(of_class.where("doc_id = class_id").select("doc_id", "n_shingles"), "doc_id")
-    step = -math.log(up / down)
-    sized = written(sized.withColumn("band", F.floor(F.ln("n_shingles") / F.lit(step) + 1e-9).cast("int")), "families")
-
-    whole = sized.groupBy("component_id").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("load"))
-    whole = whole.where("sets > 1").withColumn("small", F.expr(f"sets <= {TILE_SETS} and load <= {TILE_SHINGLES}"))
-    small = sized.join(whole.where("small").select("component_id"), "component_id").select(
-        "doc_id", F.col("component_id").cast("string").alias("tile"), F.lit(0).alias("side")
+        .mapInArrow(_links_of_keys, "a long, b long"),
+        "family-links",
     )
-    large = sized.join(whole.where("not small").select("component_id"), "component_id")
-    cells = large.groupBy("component_id", "band").agg(
-        F.greatest(F.lit(1), F.ceil(F.greatest(2 * F.count("*") / TILE_SETS, 2 * F.sum("n_shingles") / TILE_SHINGLES))).cast("int").alias("salts")
-    )
-    below = cells.select("component_id", (F.col("band") + 1).alias("band"), F.col("salts").alias("salts_below"))
-    above = cells.select("component_id", (F.col("band") - 1).alias("band"), F.col("salts").alias("salts_above"))
-    large = (
-        large.join(cells, ["component_id", "band"])
-        .join(below, ["component_id", "band"], "left")
-        .join(above, ["component_id", "band"], "left")
-        .withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id), salts) as int)"))
-    )
-    # A set goes to the tile of its cell with each other cell of its band, of the band below and of the band above.
-    pairs = F.expr(
-        """concat(
-          transform(sequence(0, salts - 1), s -> named_struct('tile', concat_ws(':', component_id, band, least(s, salt), greatest(s, salt)), 'side', salt)),
-          if(salts_below is null, array(), transform(sequence(0, salts_below - 1), s -> named_struct('tile', concat_ws(':', component_id, band - 1, 'up', s, salt), 'side', -1))),
-          if(salts_above is null, array(), transform(sequence(0, salts_above - 1), s -> named_struct('tile', concat_ws(':', component_id, band, 'up', salt, s), 'side', 1))))"""
+    families = components(shared).withColumnRenamed("id", "doc_id").join(heads, "doc_id")
+    cells = _tiled(written(families, "families"), 2 * TILE_SETS, 4 * TILE_SHINGLES)
+    maps = filled.select("doc_id", "n_shingles", F.col("bits").alias("data")).join(heads, ["doc_id", "n_shingles"], "left_semi")
+    bounded = written(
+        maps.dropDuplicates(["doc_id"]).join(cells, "doc_id")
+        .select("tile", "doc_id", "side", "n_shingles", "data")
+        .repartition("tile")
+        .sortWithinPartitions("tile", "doc_id")
+        .mapInArrow(_tiles(threshold, False), "a long, b long"),
+        "bounded",
     )
-    large = large.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.tile", "x.side")
-    rows = texts.join(small.unionByName(large).hint("merge"), "doc_id").select("text", "doc_id", "tile", "side")
-    links = (
-        rows.mapInArrow(_sets(size), "doc_id long, tile string, side int, shingles binary")
+    close = written(components(bounded).withColumnRenamed("id", "doc_id").join(heads, "doc_id"), "close")
+    rows = texts.join(_tiled(close, TILE_SETS, TILE_SHINGLES).hint("merge"), "doc_id").select("text", "tile", "doc_id", "side")
+    links = written(
+        rows.mapInArrow(_sets(size), "tile string, doc_id long, side int, n_shingles long, data binary")
         .repartition("tile")
         .sortWithinPartitions("tile", "doc_id")
-        .mapInArrow(_tiles(threshold), "a long, b long")
+        .mapInArrow(_tiles(threshold, True), "a long, b long"),
+        "links",
     )
     joined = components(links.union(of_class.where("doc_id <> class_id").select("doc_id", "class_id")))
     return found.join(joined, found.doc_id == joined.id, "left").select(
