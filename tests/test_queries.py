@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from citeloom import plans
@@ -14,7 +15,7 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
 
     def plain(x):
-        if x is None or x != x:
+        if x is None or pd.isna(x):
             return None
         if hasattr(x, "isoformat"):
             return str(x)[:10]
