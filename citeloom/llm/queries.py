@@ -133,6 +133,19 @@ n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
 s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS g FROM d WHERE len(ws) >= 5),
 c AS (SELECT doc_id, item_id, count(*) AS c FROM s JOIN i USING (g) GROUP BY ALL)
 SELECT doc_id, item_id, c AS n_shared, n AS n_item FROM c JOIN n USING (item_id) WHERE 5 * c >= 4 * n
+""",
+    "op8_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, j, substr(h, 2 * j + 1, 298) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49, 100)) AS j FROM d)),
+w AS (SELECT doc_id, j + i AS i, hash(substr(x, 2 * i + 1, 100)) AS g FROM (SELECT doc_id, j, x, unnest(range(0, least(100, len(x) // 2 - 49))) AS i FROM c)),
+m AS (SELECT g, min(doc_id) AS f FROM w GROUP BY g),
+r AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM w JOIN m USING (g) WHERE m.f < w.doc_id),
+k AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, n),
+t AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS c FROM s),
+p AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS head, max(b) AS last FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN p USING (doc_id)
 """,
     "op10_chat_format": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

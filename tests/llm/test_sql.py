@@ -1,0 +1,39 @@
+"""Numbered queries at the smallest scale against their SQL; held-out accuracy of language ID."""
+
+import os
+
+import duckdb
+import pandas as pd
+import pytest
+
+from citeloom.llm import queries
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def rows(frame):
+    frame = frame[sorted(frame.columns)]
+    return sorted((tuple(None if pd.isna(x) else int(x) if hasattr(x, "dtype") or isinstance(x, int) else x for x in r) for r in frame.itertuples(index=False)), key=repr)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for f in os.listdir(FOLDER):
+        connection.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{FOLDER}/{f}'")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, duck, name):
+    got = queries.QUERIES[name](spark, FOLDER).toPandas()
+    want = duck.execute(queries.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+
+
+def test_language_held_out(spark):
+    got = queries.op5_language_id(spark, FOLDER).where("held_out").toPandas()
+    known = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang").toPandas()
+    both = got.merge(known, on="doc_id")
+    assert len(both) > 20 and (both.lang == both.lang_pred).mean() > 0.97
