@@ -147,10 +147,10 @@ def probe_fragment(quote: Column, target: int = 10) -> Column:
 
 
 def without_markup(text: Column) -> Column:
-    """Presentation marks removed: headings, bullets, bold, italics, code, extra blank lines."""
+    """Presentation marks removed: headings, bullets, numbering, bold, italics, code, extra blank lines."""
     steps = (
-        (r"(?m)^\s{0,3}#{1,6}\s+", ""),
-        (r"(?m)^\s*[-*+]\s+", ""),
+        (r"(?m)^(?:#{1,6}|[-*+]|\d+[.)])[ \t]+", ""),
+        (r"\*{3}([^*\n]+)\*{3}", "$1"),
         (r"\*\*([^*\n]+)\*\*", "$1"),
         (r"__([^_\n]+)__", "$1"),
         (r"(?<![\w*])\*(?!\s)([^*\n]+?)(?<!\s)\*(?![\w*])", "$1"),
@@ -160,14 +160,15 @@ def without_markup(text: Column) -> Column:
     )
     for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
-    return F.trim(text)
+    return text
 
 
 def content_tokens(text: Column) -> Column:
-    """Distinct lower-case words of more than three letters or digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: F.length(w) > 3))
+    """Lower-case runs of two or more letters or digits."""
+    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: F.length(w) >= 2)
 
 
 def overlap(tokens: Column, facts: Column) -> Column:
-    """Share of tokens that the facts have; null without tokens."""
-    return F.try_divide(F.size(F.array_intersect(tokens, facts)), F.size(tokens))
+    """Share of tokens, repeated ones counted each time, that the facts have; null without tokens."""
+    common = F.array_intersect(tokens, facts)
+    return F.try_divide(F.size(F.filter(tokens, lambda t: F.array_contains(common, t))), F.size(tokens))

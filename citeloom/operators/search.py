@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .phrases import PHRASES
+
 TERM = r"[\p{L}\p{N}]+"
 #: Words that queries drop (fixed values).
 STOPWORDS = frozenset("the a an of to in for on and or is was were be been by with at as that this".split())
@@ -110,7 +112,7 @@ class Options:
     seed_scan: int = 100
     prf: bool = False
     prf_slots: int = 2
-    phrases: frozenset[str] = field(default_factory=frozenset)
+    phrases: frozenset[str] = PHRASES
 
 
 def search(query: str, opinions: DataFrame, authority: DataFrame, parentheticals: DataFrame, cites: DataFrame | None = None, options: Options | None = None) -> DataFrame:

@@ -148,17 +148,20 @@ def x24_leaks(c: Corpus) -> DataFrame:
     )
 
 
+_CONTENT = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: len(w) >= 2)"
+
+
 @query(
-    """, t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: len(w) > 3)) AS ws FROM documents),
-    f AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: len(w) > 3)) AS fs, (conv_id * 7 + turn) % n AS doc_id FROM conversations, size)
-    SELECT f.conv_id, f.turn, len(fs) AS tokens, len(list_intersect(fs, ws)) AS shared, len(fs) < 3 OR len(list_intersect(fs, ws)) * 10 >= len(fs) * 4 AS kept FROM f JOIN t USING (doc_id)"""
+    f""", t AS (SELECT doc_id, {_CONTENT} AS ws FROM documents), f AS (SELECT conv_id, turn, {_CONTENT} AS fs, (conv_id * 7 + turn) % n AS doc_id FROM conversations, size),
+    o AS (SELECT conv_id, turn, len(fs) AS tokens, len(list_filter(fs, lambda w: list_contains(list_intersect(fs, ws), w))) AS shared FROM f JOIN t USING (doc_id))
+    SELECT conv_id, turn, tokens, round(shared / nullif(tokens, 0), 6) AS share, tokens < 3 OR shared * 10 >= tokens * 4 AS kept FROM o"""
 )
 def x27_record_overlap(c: Corpus) -> DataFrame:
-    """Whether statements share enough content words with their record."""
+    """Whether statements share enough words with their record."""
     record = c.table("documents").select("doc_id", scalars.content_tokens(F.col("text")).alias("ws"))
     said = c.table("conversations").select("conv_id", "turn", scalars.content_tokens(F.col("text")).alias("fs"), ((F.col("conv_id") * 7 + F.col("turn")) % c.size).alias("doc_id"))
-    n, k = F.size("fs"), F.size(F.array_intersect("fs", "ws"))
-    return said.join(record, "doc_id").select("conv_id", "turn", n.cast("long").alias("tokens"), k.cast("long").alias("shared"), ((n < 3) | (k * 10 >= n * 4)).alias("kept"))
+    rows = said.join(record, "doc_id").select("conv_id", "turn", F.size("fs").cast("long").alias("tokens"), scalars.overlap(F.col("fs"), F.col("ws")).alias("share"))
+    return rows.select("conv_id", "turn", "tokens", F.round("share", 6).alias("share"), ((F.col("tokens") < 3) | (F.col("share") >= 0.4)).alias("kept"))
 
 
 @query("SELECT event_id, sha256('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}') AS digest FROM events")
@@ -370,3 +373,67 @@ def v10_sentence_verdicts(c: Corpus) -> DataFrame:
     d = drafts(c)
     sentences = d.select("draft_id", F.lit(0).alias("n"), "text")
     return verify.sentence_verdicts(sentences, verify.citation_checks(d, c.citation_strings, c.opinions))
+
+
+# ------------------------------------------------------------ batches of queries
+
+
+@query(
+    f""", q AS (SELECT item_id, unnest(list_distinct((regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))[1:2])) AS term FROM benchmark), n AS (SELECT item_id, count(*) AS k FROM q GROUP BY 1),
+    p AS (SELECT DISTINCT id, term FROM (SELECT id, unnest({_TERMS}) AS term FROM opinions)), m AS (SELECT item_id, id FROM q JOIN p USING (term) JOIN n USING (item_id) GROUP BY item_id, id, k HAVING count(*) = k)
+    SELECT n.item_id, count(m.id) AS hits FROM n LEFT JOIN m USING (item_id) GROUP BY 1"""
+)
+def f18_strict_hits(c: Corpus) -> DataFrame:
+    """How many texts hold all terms of each of many queries (the first two words of each benchmark item); zero hits show.
+
+    Terms are distinct per text before the join on the term, and texts are counted
+    per query and text after it: relational division without a list of postings.
+    """
+    first = F.array_distinct(F.slice(search.terms(F.col("text")), 1, 2))
+    wanted = c.table("benchmark").select("item_id", F.explode(first).alias("term"))
+    n = wanted.groupBy("item_id").agg(F.count("*").alias("k"))
+    held = c.opinions.select("id", F.explode(F.array_distinct(search.terms(F.col("text")))).alias("term"))
+    matched = held.join(wanted, "term").groupBy("item_id", "id").agg(F.count("*").alias("m")).join(n, "item_id").where("m = k")
+    hits = matched.groupBy("item_id").agg(F.count("*").alias("hits"))
+    return n.join(hits, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+@query(
+    """, od AS (SELECT dst AS id, count(*) AS recent FROM edges GROUP BY 1)
+    SELECT o.id, round(1 + 0.3 * ln(1 + coalesce(recent, 0)) + CASE WHEN court_id = 'n0' THEN 1 ELSE 0 END, 6) AS multiplier FROM opinions o LEFT JOIN od USING (id)"""
+)
+def f7_multipliers(c: Corpus) -> DataFrame:
+    """The authority multiplier of every opinion without a rank."""
+    n = graph.edges(graph.cites(c.citation_map, c.anchors), c.opinions).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("recent"))
+    rows = c.opinions.select("id", "court_id").join(n, "id", "left")
+    return rows.select("id", F.round(search.multiplier(F.lit(0.0), F.col("recent"), F.col("court_id") == "n0"), 6).alias("multiplier"))
+
+
+@query(
+    f""", t AS (SELECT described_id, {_TERMS} AS ws FROM parentheticals)
+    SELECT described_id AS id, count(*) AS described, round(1 + 0.25 * ln(1 + count(*)), 6) AS boost FROM t WHERE list_contains(ws, 'the') GROUP BY 1"""
+)
+def f8_parenthetical_boosts(c: Corpus) -> DataFrame:
+    """How often matching parentheticals describe each opinion, and the boost that gives."""
+    told = c.parentheticals.where(F.array_contains(search.terms(F.col("text")), "the"))
+    n = told.groupBy(F.col("described_id").alias("id")).agg(F.count("*").alias("described"))
+    return n.withColumn("boost", F.round(1 + 0.25 * F.log1p("described"), 6))
+
+
+@query(
+    f""", p AS (SELECT id, unnest({_TERMS}) AS term FROM opinions), i AS (SELECT id, count(*) AS n FROM p GROUP BY 1), s AS (SELECT id, len({_TERMS}) AS n FROM opinions)
+    SELECT count(*) AS texts, count_if(coalesce(i.n, 0) <> s.n) AS corrupt, sum(s.n)::BIGINT AS terms FROM s LEFT JOIN i USING (id)"""
+)
+def f17_index_integrity(c: Corpus) -> DataFrame:
+    """Whether the postings of each text add up to its terms."""
+    listed = search.postings(c.opinions).groupBy("id").agg(F.sum("tf").alias("listed"))
+    held = c.opinions.select("id", F.size(search.terms(F.col("text"))).alias("n")).join(listed, "id", "left")
+    return held.agg(F.count("*").alias("texts"), F.count_if(F.coalesce("listed", F.lit(0)) != F.col("n")).alias("corrupt"), F.sum("n").alias("terms"))
+
+
+@query()
+def x14_canonical_texts(c: Corpus) -> DataFrame:
+    """X13 to X16 on own text: the middle of every text is found in it, by the rung that applies."""
+    quote = F.regexp_replace(F.upper(F.substring("text", 21, 60)), " ", "  ")
+    rows = c.opinions.where("length(text) >= 80").select("id", functions.find_quote_of(F.col("text"), quote).alias("x"))
+    return rows.select("id", "x.how", "x.start", "x.end")
