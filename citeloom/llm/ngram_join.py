@@ -4,11 +4,10 @@
    with equal arrays form one class, represented by its smallest id.
 2. Candidate families. Sizes fall into bands of ratio ``threshold``, so linked
    sets lie in one band or in neighbours. Per band the hash range is cut into
-   more segments than two linked sets can differ in, so at least one segment
-   that is not empty is equal in both; the hash of a segment's content is a key,
-   and each set gives keys for its own band and the one below. Sets that share
-   keys, directly or through others, are a family. A frequent shingle alone
-   never makes a family, unlike with prefix filters.
+   segments, so many that of two linked sets at least one large segment is equal;
+   the hash of a segment's content is a key, and each set gives keys for its own
+   band and the one below. Sets that share keys, directly or through others, are a
+   family. A frequent shingle alone makes no family, unlike with prefix filters.
 3. Tiles. A family of moderate size is one tile; of larger ones, each pair of
    salted cells in equal or neighbouring bands is one. Inside a tile sets are
    sorted by size; parity bitmaps of hashed shingles bound the overlap of a pair
@@ -18,9 +17,8 @@
    again, so a tile gives links fewer than its sets.
 4. Components of all links, with copies joined back to their class.
 
-Results are exact but for two chances below 1e-12 a document: equal 64-bit
-hashes of different shingles, and a document whose shingles' hashes cluster so
-much that too few segments have any.
+Results are exact but for two chances, below 1e-9 for a pair at the threshold: equal 64-bit hashes of
+different shingles, and differences that by their hashes touch every large segment.
 """
 
 from __future__ import annotations
@@ -39,33 +37,47 @@ from .components import components
 #: Sets in a tile at most, on average, and shingles; larger families are cut into cells.
 TILE_SETS = 2048
 TILE_SHINGLES = 4_000_000
+#: The chance, at most, that linked sets share no key.
+MISS = 1e-9
 
 
 class Bands:
-    """Size bands, and how many segments each needs."""
+    """Size bands, and into how many segments each cuts the hash range."""
 
     def __init__(self, threshold: float):
         if not 0.5 <= threshold < 1:
             raise ValueError("the threshold must be at least 0.5 and below 1")
-        self.threshold, self._segments = threshold, {}
+        self.threshold, self._plans = threshold, {}
 
     def of(self, n: int) -> int:
         return int(math.log(n) / -math.log(self.threshold) + 1e-9)
 
-    def segments(self, band: int) -> int:
-        """Enough that, of the segments that any set of the band fills, more remain than may differ (by eight deviations)."""
-        if band not in self._segments:
-            low = max(1, math.ceil(self.threshold ** -band - 1e-6))
-            high = self.threshold ** -(band + 1) + 1
-            differ = math.floor((1 - self.threshold) / self.threshold * high + 1e-6)
-            m = differ + 1
-            while m < 4 * low * low:
-                empty = math.exp(-low / m)
-                if m * (1 - empty) - 8 * math.sqrt(m * empty) >= differ + 1:
+    def plan(self, band: int) -> tuple[int, int]:
+        """Segments of a band, and the fewest shingles of one that gives a key.
+
+        Two linked sets differ in ``differ`` shingles at most, dealt to segments by
+        hash. The fewest segments are taken with which the chance that no segment
+        is equal in both and large enough is below MISS, for the largest such
+        size; large segments are what unrelated texts don't share. Small sets get
+        more segments than shingles that may differ (by eight deviations), or as
+        many as part all shingles.
+        """
+        if band not in self._plans:
+            low = max(1, math.ceil(self.threshold**-band - 1e-6))
+            differ = math.floor((1 - self.threshold) / self.threshold * (self.threshold ** -(band + 1) + 1) + 1e-6)
+            n = 1
+            while n < 4 * low * low and n * (1 - math.exp(-low / n)) - 8 * math.sqrt(n * math.exp(-low / n)) < differ + 1:
+                n += max(1, n // 50)
+            self._plans[band] = (n, 1)
+            for least in (4, 3, 2, 1):
+                m = np.arange(8, max(9, low))
+                mean = self.threshold * low / m
+                small = sum(np.exp(-mean) * mean**k / math.factorial(k) for k in range(least))
+                missed = m * np.log1p(-np.exp(-differ / m) * (1 - small))
+                if (missed < math.log(MISS)).any():
+                    self._plans[band] = (int(m[np.argmax(missed < math.log(MISS))]), least)
                     break
-                m += max(1, m // 50)
-            self._segments[band] = max(m, 1)
-        return self._segments[band]
+        return self._plans[band]
 
 
 def set_digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -109,10 +121,12 @@ def segment_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     up = mix(s)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(up, dtype=np.uint64)])
     for band in {own, max(0, own - 1)}:
-        m = bands.segments(band)
+        m, least = bands.plan(band)
         which = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         cut = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
         ends = np.append(cut[1:], len(s))
+        large = ends - cut >= least
+        cut, ends = cut[large], ends[large]
         out.append(mix(mix(sums[ends] - sums[cut]) + which[cut] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)))
     return np.concatenate(out)
 
