@@ -172,3 +172,20 @@ def overlap(tokens: Column, facts: Column) -> Column:
     """Share of tokens, repeated ones counted each time, that the facts have; null without tokens."""
     common = F.array_intersect(tokens, facts)
     return F.try_divide(F.size(F.filter(tokens, lambda t: F.array_contains(common, t))), F.size(tokens))
+
+
+def sentences(text: Column) -> Column:
+    """Sentences: cuts after a full stop, question or exclamation mark before a capital, quote or bracket."""
+    return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+(?=[A-Z\"“(])"), lambda s: s != "")
+
+
+def known_tag(tag: Column) -> Column:
+    """RECORD, LAW or INFERRED as it stands; null for any other tag, whose sentences are rejects."""
+    return F.when(tag.isin("RECORD", "LAW", "INFERRED"), tag)
+
+
+def cleaned_query(text: Column) -> Column:
+    """A query without a leading gerund, inline citations and Id."""
+    bare = F.regexp_replace(F.trim(text), r"(?i)^[a-z]+ing\s+(?:that\s+)?", "")
+    bare = F.regexp_replace(bare, r"\b\d{1,4}\s+[A-Z][A-Za-z.']*\.[A-Za-z0-9.' ]*?\s*\d{1,6}\b|\bId\.", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))

@@ -153,3 +153,25 @@ def search(query: str, opinions: DataFrame, authority: DataFrame, parentheticals
             prf = one.select("x.id", "cluster_id", F.col("x.n").cast("double").alias("final"), F.lit("prf").alias("kind")).orderBy(F.desc("final"), "id").limit(free)
             merged = merged.unionByName(prf.withColumn("place", 2 * o.limit + F.row_number().over(Window.orderBy(F.desc("final"), "id"))))
     return merged.select("place", *names)
+
+
+def relaxed(tokens: list[str], n: int = 3) -> list[str]:
+    """The ``n`` longest tokens of more than three characters, for a query that found nothing."""
+    return sorted((t for t in tokens if len(t) > 3), key=lambda t: (-len(t), t))[:n]
+
+
+def probes(quote: str) -> list[list[str]]:
+    """Tokens of three searches for a quote's source: its six longest words, its middle, and the middle's five longest words."""
+    words = [w for w in re.findall(r"[a-z0-9']+", quote.lower()) if w not in STOPWORDS]
+    middle = words[max(0, len(words) // 2 - 5) : len(words) // 2 + 5]
+    longest = lambda ws, n: sorted(dict.fromkeys(ws), key=lambda w: (-len(w), w))[:n]
+    return [p for p in (longest(words, 6), middle, longest(middle, 5)) if p]
+
+
+def by_density(rows: DataFrame, texts: DataFrame, tokens: list[str], top: int = 50, weight: float = 0.5) -> DataFrame:
+    """The best ``top`` of ``rows`` (id, final) with ``final`` raised by the hits of their densest passage; only they read their text."""
+    from ..functions.text import passage_of
+
+    best = rows.orderBy(F.desc("final"), "id").limit(top)
+    dense = best.join(texts.select("id", "text"), "id").withColumn("hits", passage_of(F.col("text"), F.array(*map(F.lit, tokens)))["hits"])
+    return dense.drop("text").withColumn("final", F.col("final") * (1 + weight * F.log1p("hits")))

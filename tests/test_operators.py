@@ -226,3 +226,15 @@ def test_streaming(spark, tmp_path):
     got = spark.read.schema("hour timestamp, event_type string, n long, total double").parquet(str(tmp_path / "hours"))
     assert got.count() > 10 and {r["n"] for r in got.collect()} == {3}
     assert audit.runs(log).isStreaming
+
+
+def test_small_text_helpers(spark):
+    rows = spark.createDataFrame([('He came. "She" left! Was it so? yes it was.', "LAW", "Holding that 410 U.S. 113 the duty exists Id.")], "t string, tag string, q string")
+    got = rows.select(scalars.sentences(F.col("t")), scalars.known_tag(F.col("tag")), scalars.known_tag(F.col("q")), scalars.cleaned_query(F.col("q"))).first()
+    assert got[0] == ["He came.", '"She" left!', "Was it so? yes it was."] and got[1] == "LAW" and got[2] is None and got[3] == "the duty exists"
+    assert search.relaxed(["commerce clause", "tax", "duty", "liability", "negligence"]) == ["commerce clause", "negligence", "liability"]
+    assert search.probes("No person shall be deprived of life, liberty, or property without due process of law")[0][0] == "deprived"
+    texts = spark.createDataFrame([(1, "duty duty duty"), (2, "duty " + "x" * 900 + " duty")], "id long, text string")
+    dense = search.by_density(texts.select("id", F.lit(1.0).alias("final")), texts, ["duty"])
+    best = {r["id"]: r["hits"] for r in dense.collect()}
+    assert best == {1: 3, 2: 1}
