@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm import decontaminate, language_id, line_dedup, ngram_join, packing
 from citeloom.llm.common import table, written
+from citeloom.llm.native_text import NOT_BLANK
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,15 +20,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first; every document stays, with its new length."""
+    """Lines of recurring templates go from all documents but the first; every document stays, with its new length.
+
+    Copies of a document are left without words here; stage near_duplicates drops them.
+    """
     found = line_dedup.drop_recurring(docs)
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", length).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links at a Jaccard similarity of 0.8 over five-word shingles stays: the smallest id."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group that links at a Jaccard similarity of 0.8 over five-word shingles stays: the smallest id.
+
+    Documents without words go first. Stage language leaves only texts with letters,
+    so these had words, and stage lines found all of them in earlier documents. A near
+    copy keeps its own lines, as those are nowhere else.
+    """
+    return ngram_join.one_of_each(docs.where(F.col("text").rlike(NOT_BLANK)))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
