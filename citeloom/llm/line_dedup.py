@@ -4,7 +4,7 @@ A line's tokens with a digit are variable fields. The tree's levels are the
 token count and the leading tokens; a leaf holds the masked lines under one path.
 Within a leaf, lines that agree in enough tokens become one template, and tokens
 where they differ become variable fields too. A template recurs when its masked
-lines have enough documents in sum and more than one. Its lines are dropped from
+lines come from two different documents or more. Its lines are dropped from
 all documents but the first, the one with the smallest id.
 """
 
@@ -109,7 +109,7 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_BLANK))
 
 
-def templates(docs: DataFrame, similarity: float = 0.8, support: int = 3) -> DataFrame:
+def templates(docs: DataFrame, similarity: float = 0.8, support: int = 2) -> DataFrame:
     """``(line, first, template)``: hashes of the masked lines of recurring templates, with the template's first document."""
     rows = docs.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), masked))).alias("masked"))
     known = rows.groupBy("masked").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
@@ -123,10 +123,11 @@ def templates(docs: DataFrame, similarity: float = 0.8, support: int = 3) -> Dat
     )
 
 
-def drop_recurring(docs: DataFrame, similarity: float = 0.8, support: int = 3) -> DataFrame:
+def drop_recurring(docs: DataFrame, similarity: float = 0.8, support: int = 2) -> DataFrame:
     """``docs`` with ``n_lines`` and ``n_dropped``, ``text`` without lines of recurring templates, in the order of the input's columns.
 
-    ``support``: documents of a template at least, summed over its masked lines;
+    ``support``: documents of a template at least, summed over its masked lines
+    and two different ones in any case;
     ``similarity``: share of tokens in which lines of one template agree. Blank
     lines stay and have no template. A null text stays null, with no lines; rows
     with a null doc_id neither count nor change. Rows that repeat a doc_id count

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from citeloom.llm import line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(11)
@@ -23,3 +24,14 @@ def test_pipeline_copies(spark, tmp_path):
     spark.createDataFrame([(0, line(30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert got == set(range(40))
+
+
+def test_line_of_two_documents(spark):
+    """A long line that exactly two documents share goes from the second, as do variants of one template."""
+    shared, variant = line(60), line(10)
+    rows = [(1, f"{line(20)}\n{shared}"), (2, f"{shared}\n{line(20)}"), (3, f"at 10:01 {variant}\n{line(20)}"), (4, f"{line(20)}\nat 11:59 {variant} "), (5, line(20))]
+    rows += [(6, f"{line(9)} {k}") for k in range(2)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA)
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_recurring(docs).collect())
+    want = [(k, t.split("\n")[{2: 1, 4: 0}[k]] if k in (2, 4) else t) for k, t in rows]
+    assert got == sorted(want)
