@@ -3,7 +3,8 @@
 Vectors count hashed byte trigrams of the lower-cased letters of whole texts,
 damped, weighted by inverse document frequency and normalised. Each language has
 several centroids, clustered by cosine. A text takes the language of the centroid
-with the highest cosine; one that is too far from it is marked as rejected.
+with the highest cosine; one that is too far from it is marked as rejected. How
+far is too far depends on its length, since cosines grow with it.
 The model is fitted on a bounded sample of labelled rows (``per_language``).
 """
 
@@ -50,15 +51,48 @@ def counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Classes of length: powers of two of different trigrams, so that one word many times is short.
+LENGTHS = SIZE.bit_length()
+#: Texts that a median, or a language's own bound, needs.
+ENOUGH = 20
+
+
+def length_class(tf: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum((tf > 0).sum(axis=1), 1)).astype(np.int64)
+
+
+def usual_cosines(length: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """The median cosine of each class of length.
+
+    Classes with few texts count with the longer ones. Below the shortest, cosines
+    shrink with the root of the length; above the longest they stay.
+    """
+    at, median, begin = [], [], 0
+    kinds = np.unique(length)
+    for j, k in enumerate(kinds):
+        own = (length >= kinds[begin]) & (length <= k)
+        if own.sum() >= ENOUGH or (j == len(kinds) - 1 and not at):
+            at.append(float(length[own].mean()))
+            median.append(float(np.median(cosine[own])))
+            begin = j + 1
+    every = np.arange(LENGTHS)
+    out = np.interp(every, at, np.maximum.accumulate(median))
+    return out * np.minimum(1, 2.0 ** ((every - at[0]) / 2))
+
+
 @dataclass
 class Model:
-    """``weights``: inverse document frequencies; a row of ``centroids`` for each entry of ``language``, with the least cosine it accepts."""
+    """``weights``: inverse document frequencies; a row of ``centroids`` for each entry of ``language``.
+
+    ``least``: the share of the usual cosine of a text's length that a centroid accepts at least.
+    """
 
     languages: list[str]
     weights: np.ndarray
     centroids: np.ndarray
     language: np.ndarray
     least: np.ndarray
+    usual: np.ndarray
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
         v = np.log1p(tf) * self.weights
@@ -71,6 +105,10 @@ class Model:
         best = cosine.argmax(axis=1)
         return best, cosine[np.arange(len(best)), best]
 
+    def far(self, tf: np.ndarray, best: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Whether a text is too far from its nearest centroid to be of its language."""
+        return cosine < self.least[best] * self.usual[length_class(tf)]
+
 
 def clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Up to ``k`` unit centroids of unit vectors, from the most central one and then the farthest ones."""
@@ -86,10 +124,13 @@ def clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, tolerance: float = 0.25) -> Model | None:
+def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, tolerance: float = 0.4) -> Model | None:
     """Fit on about ``per_language`` rows of each language, chosen by a hash of doc_id; None without labelled rows.
 
-    A centroid accepts cosines down to ``tolerance`` times the lowest hundredth of its sample's.
+    Cosines of held-out texts, each half of the sample against centroids of the other,
+    are divided by the usual ones of their length. Such shares are accepted down to
+    ``tolerance`` times the lowest hundredth of all, and languages with few rows down to
+    ``tolerance`` times their own least one.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     known = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
@@ -114,20 +155,33 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, toleran
         return None
     tf = np.stack([np.frombuffer(r["tf"], np.float32) for r in got])
     lang = np.array([r["lang"] for r in got])
-    model = Model(sorted({r["lang"] for r in got}, key=lambda x: (-known[x], x)), np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1, *[np.zeros(0)] * 3)
+    model = Model(sorted({r["lang"] for r in got}, key=lambda x: (-known[x], x)), np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1, *[np.zeros(0)] * 4)
     v = model.vectors(tf)
-    centroids, language, least = [], [], []
+    centroids, language, held = [], [], []
+    length = length_class(tf)
     for k, name in enumerate(model.languages):
-        own = v[lang == name]
-        own = own[np.linalg.norm(own, axis=1) > 0]
+        place = np.flatnonzero((lang == name) & (np.linalg.norm(v, axis=1) > 0))
+        own = v[place]
+        halves = [own[::2], own[1::2]]
+        if len(own) > 1:
+            for h in (0, 1):
+                held.append((k, length[place[h::2]], (halves[h] @ clustered(halves[1 - h], clusters).T).max(axis=1)))
         if not len(own):
             own = np.zeros((1, SIZE), np.float32)
         c = clustered(own, clusters)
-        near = (own @ c.T).max(axis=1)
         centroids.append(c)
         language += [k] * len(c)
-        least += [tolerance * float(np.quantile(near, 0.01))] * len(c)
-    model.centroids, model.language, model.least = np.concatenate(centroids), np.array(language), np.array(least)
+    model.centroids, model.language = np.concatenate(centroids), np.array(language)
+    least, model.usual = np.zeros(len(model.languages)), np.ones(LENGTHS)
+    if held:
+        of, length, cosine = np.concatenate([np.full(len(x), k) for k, x, _ in held]), *(np.concatenate([h[i] for h in held]) for i in (1, 2))
+        model.usual = usual_cosines(length, cosine)
+        share = cosine / np.maximum(model.usual[length], 1e-9)
+        least[:] = tolerance * float(np.quantile(share, 0.01))
+        for k in np.unique(of):
+            if (of == k).sum() < ENOUGH:
+                least[k] = min(least[k], tolerance * float(share[of == k].min()))
+    model.least = least[model.language]
     return model
 
 
@@ -148,9 +202,10 @@ def _predict(model: Model | None):
                         letters[:] = False
                         lang, score, far = [UNKNOWN] * (b - a), np.zeros(b - a), ~letters
                     else:
-                        best, cosine = model.nearest(counts(data, near))
+                        tf = counts(data, near)
+                        best, cosine = model.nearest(tf)
                         score = np.where(letters, cosine, 0).astype(float)
-                        far = ~letters | (cosine < model.least[best])
+                        far = ~letters | model.far(tf, best, cosine)
                         lang = [model.languages[model.language[c]] if ok else UNKNOWN for c, ok in zip(best, letters, strict=True)]
                     keep = [part.column(c).slice(a, b - a) for c in range(1, part.num_columns)]
                     yield from batches([(*keep, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_()))], [*part.schema.names[1:], "lang_pred", "score", "rejected"])

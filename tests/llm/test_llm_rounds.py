@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from citeloom.llm import line_dedup
+from citeloom.llm import language_id, line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(11)
@@ -35,3 +35,19 @@ def test_line_of_two_documents(spark):
     got = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_recurring(docs).collect())
     want = [(k, t.split("\n")[{2: 1, 4: 0}[k]] if k in (2, 4) else t) for k, t in rows]
     assert got == sorted(want)
+
+
+def test_language_long_foreign(spark):
+    """Texts of no learned language are rejected however long they are, and clean documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    model = language_id.fit(docs.where(~language_id.held_out(docs.doc_id)))
+    polish = "się nie jest który przez wszystko człowiek źródło często jeszcze dzień książka współpraca także można szczęście".split()
+    letters = lambda low, high: "".join(chr(rng.randint(low, high)) for _ in range(rng.randint(2, 9)))
+    foreign = [w for n in (20, 200, 2000, 20000) for w in (
+        " ".join(letters(97, 122) for _ in range(n)), " ".join(letters(0x4E00, 0x9FA5) for _ in range(n)), " ".join(rng.choice(polish) for _ in range(n)))]
+    rows = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(foreign)], SCHEMA)
+    got = {r["doc_id"]: r for r in language_id.identify(rows, model).collect()}
+    assert [k for k in got if not got[k]["rejected"]] == []
+    words = docs.where("text rlike '[A-Za-z]{2}'")
+    judged = language_id.identify(words, model).where("rejected").select("doc_id").collect()
+    assert [r["doc_id"] for r in judged] == []
