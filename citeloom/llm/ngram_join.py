@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import batches, mix, shingle_sets, written
 from .components import components
 
-#: Sets in a tile at most, on average, and shingles; larger families are cut into cells.
-TILE_SETS = 2048
+#: Sets in a tile of sets or of bitmaps at most, on average, and shingles; larger families are cut into cells.
+TILE_SETS = 1024
+MAP_SETS = 1024
 TILE_SHINGLES = 4_000_000
 #: The chance, at most, that linked sets share no key.
 MISS = 1e-9
@@ -195,14 +196,16 @@ def _links_of_keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(size: int):
+    """Rows (text, tile, doc_id, side, one, two) to the sorted sets of those texts that have these digests."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            got = list(shingle_sets(part.column(0), size))
+            one, two = (part.column(c).to_numpy() for c in ("one", "two"))
+            got = [(i, s) for i, s in shingle_sets(part.column(0), size) if set_digest(s) == (one[i], two[i])]
             rows = pa.array([i for i, _ in got], pa.int32())
             blob = pa.array([s.tobytes() for _, s in got], pa.binary())
             n = pa.array([len(s) for _, s in got], pa.int64())
-            keep = [part.column(k).take(rows) for k in range(1, part.num_columns)]
-            yield from batches([(*keep, n, blob)], [*part.schema.names[1:], "n_shingles", "data"])
+            yield from batches([(*(part.column(c).take(rows) for c in ("tile", "doc_id", "side")), n, blob)], ["tile", "doc_id", "side", "n_shingles", "data"])
 
     return run
 
@@ -271,18 +274,20 @@ def _tiles(threshold: tuple[int, int], exact: bool):
                 if tile != name:
                     yield from links(held)
                     held, name = [], tile
-                held.append(tuple(row))
+                if not held or held[-1] != tuple(row):  # repeated rows count once
+                    held.append(tuple(row))
         yield from links(held)
 
     return run
 
 
 def _tiled(families: DataFrame, most_sets: int, most_load: int) -> DataFrame:
-    """(doc_id, tile, side) of families (doc_id, component_id, n_shingles, band): a set goes to every tile where it must be compared."""
+    """(doc_id, one, two, tile, side) of families (doc_id, component_id, n_shingles, one, two, band): a set goes to every tile where it must be compared."""
+    key = ("doc_id", "one", "two")
     whole = families.groupBy("component_id").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("load")).where("sets > 1")
     whole = whole.select("component_id", F.expr(f"sets <= {most_sets} and load <= {most_load}").alias("small"))
     known = families.join(whole, "component_id")
-    small = known.where("small").select("doc_id", F.col("component_id").cast("string").alias("tile"), F.lit(0).alias("side"))
+    small = known.where("small").select(*key, F.col("component_id").cast("string").alias("tile"), F.lit(0).alias("side"))
     large = known.where("not small")
     salts = F.ceil(F.greatest(F.lit(1), 2 * F.count("*") / most_sets, 2 * F.sum("n_shingles") / most_load)).cast("int")
     cells = large.groupBy("component_id", "band").agg(salts.alias("salts"))
@@ -292,7 +297,7 @@ def _tiled(families: DataFrame, most_sets: int, most_load: int) -> DataFrame:
         large.join(cells, ["component_id", "band"])
         .join(below, ["component_id", "band"], "left")
         .join(above, ["component_id", "band"], "left")
-        .withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id), salts) as int)"))
+        .withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id, one), salts) as int)"))
     )
     # A set goes to the tile of its cell with each other cell of its band, of the band below and of the band above.
     pairs = F.expr(
@@ -301,7 +306,7 @@ def _tiled(families: DataFrame, most_sets: int, most_load: int) -> DataFrame:
           if(salts_below is null, array(), transform(sequence(0, salts_below - 1), s -> named_struct('tile', concat_ws(':', component_id, band - 1, 'up', s, salt), 'side', -1))),
           if(salts_above is null, array(), transform(sequence(0, salts_above - 1), s -> named_struct('tile', concat_ws(':', component_id, band, 'up', salt, s), 'side', 1))))"""
     )
-    return small.unionByName(large.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.tile", "x.side"))
+    return small.unionByName(large.select(*key, F.explode(pairs).alias("x")).select(*key, "x.tile", "x.side"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -310,9 +315,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     Documents link when ``down * overlap >= up * union`` for ``threshold = (up, down)``,
     over the sets of distinct ``size``-word shingles; A-Z count as a-z, words are
     separated by ASCII white space. Null and empty texts have no shingles and are
-    linked with nothing; rows that repeat a doc_id count as one document if their
-    texts are equal, else each text links on its own under that id. Null ids keep
-    a row each with a null component. Other columns are ignored.
+    linked with nothing. Rows that repeat a doc_id are one document of several
+    texts: each row has its own ``n_shingles``, each text its links, and all of them
+    one component. Null ids keep a row each with a null component. Other columns
+    are ignored.
     """
     up, down = threshold
     bands = Bands(up / down)
@@ -321,13 +327,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
         texts.mapInArrow(_digests(size), "doc_id long, n_shingles long, one long, two long, bits binary"), "digests"
     )
     filled = found.where("n_shingles > 0 and doc_id is not null")
-    classes = written(filled.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("class_id")), "digest-classes")
-    of_class = written(
-        filled.drop("bits").join(classes, ["n_shingles", "one", "two"]).select("doc_id", "class_id", "n_shingles").distinct(), "classes"
-    )
-    # Copies are in their class's family; only the class's representative goes on.
+    # One row stands for all with an equal set: its class, under the smallest doc_id. Ids that repeat with other texts have several.
     step = -math.log(up / down)
-    heads = of_class.where("doc_id = class_id").select("doc_id", "n_shingles", F.floor(F.ln("n_shingles") / F.lit(step) + 1e-9).cast("int").alias("band"))
+    heads = written(
+        filled.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("doc_id"))
+        .withColumn("band", F.floor(F.ln("n_shingles") / F.lit(step) + 1e-9).cast("int")),
+        "classes",
+    )
+    copies = filled.join(heads.withColumnRenamed("doc_id", "class_id"), ["n_shingles", "one", "two"]).where("doc_id <> class_id")
 
     keys = texts.where("doc_id is not null").mapInArrow(_keys(size, bands), "key long, doc long, other long")
     shared = written(
@@ -336,27 +343,27 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
         .mapInArrow(_links_of_keys, "a long, b long"),
         "family-links",
     )
-    families = components(shared).withColumnRenamed("id", "doc_id").join(heads, "doc_id")
-    cells = _tiled(written(families, "families"), 2 * TILE_SETS, 4 * TILE_SHINGLES)
-    maps = filled.select("doc_id", "n_shingles", F.col("bits").alias("data")).join(heads, ["doc_id", "n_shingles"], "left_semi")
+    families = written(components(shared).withColumnRenamed("id", "doc_id").join(heads, "doc_id"), "families")
+    cells = _tiled(families, MAP_SETS, 4 * TILE_SHINGLES)
     bounded = written(
-        maps.dropDuplicates(["doc_id"]).join(cells, "doc_id")
+        filled.select("doc_id", "n_shingles", "one", "two", F.col("bits").alias("data"))
+        .join(cells, ["doc_id", "one", "two"])
         .select("tile", "doc_id", "side", "n_shingles", "data")
         .repartition("tile")
-        .sortWithinPartitions("tile", "doc_id")
+        .sortWithinPartitions("tile", "doc_id", "data")
         .mapInArrow(_tiles(threshold, False), "a long, b long"),
         "bounded",
     )
     close = written(components(bounded).withColumnRenamed("id", "doc_id").join(heads, "doc_id"), "close")
-    rows = texts.join(_tiled(close, TILE_SETS, TILE_SHINGLES).hint("merge"), "doc_id").select("text", "tile", "doc_id", "side")
+    rows = texts.join(_tiled(close, TILE_SETS, TILE_SHINGLES).hint("merge"), "doc_id").select("text", "tile", "doc_id", "side", "one", "two")
     links = written(
         rows.mapInArrow(_sets(size), "tile string, doc_id long, side int, n_shingles long, data binary")
         .repartition("tile")
-        .sortWithinPartitions("tile", "doc_id")
+        .sortWithinPartitions("tile", "doc_id", "data")
         .mapInArrow(_tiles(threshold, True), "a long, b long"),
         "links",
     )
-    joined = components(links.union(of_class.where("doc_id <> class_id").select("doc_id", "class_id")))
+    joined = components(links.union(copies.select("doc_id", "class_id")))
     return found.join(joined, found.doc_id == joined.id, "left").select(
         found.doc_id,
         "n_shingles",

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -74,6 +75,9 @@ def test_components(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
     assert {r["component_id"] for r in components.components(chain).collect()} == {0}
     assert components.components(links.limit(0)).count() == 0
+    hubs = [(0, k) for k in range(1, 700)] + [(k, 5000) for k in range(2000, 2600)] + [(5000, 10), (6000, 6001)]
+    got = dict(collected(components.components(spark.createDataFrame(hubs, "a long, b long")), "id", "component_id"))
+    assert got.pop(6000) == got.pop(6001) == 6000 and set(got.values()) == {0} and len(got) == 1301
 
 
 def shingles(text, size):
@@ -82,46 +86,93 @@ def shingles(text, size):
 
 
 def brute_components(rows, size, up, down):
-    sets = {i: shingles(t, size) for i, t, *_ in rows if i is not None}
-    root = {i: i for i in sets}
+    """(doc_id, n_shingles, component_id) of every row; all texts of an id are one document."""
+    sets = [(i, shingles(t, size)) for i, t, *_ in rows]
+    root = {i: i for i, _ in sets if i is not None}
 
     def top(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(sorted(sets), 2):
-        both = len(sets[a] & sets[b])
-        if both and down * both >= up * (len(sets[a]) + len(sets[b]) - both):
+    for (a, s), (b, t) in itertools.combinations([x for x in sets if x[0] is not None], 2):
+        both = len(s & t)
+        if both and down * both >= up * (len(s) + len(t) - both):
             x, y = top(a), top(b)
             root[max(x, y)] = min(x, y)
-    return {i: (len(s), top(i)) for i, s in sets.items()}
+    return collections.Counter((i, len(s), None if i is None else top(i)) for i, s in sets)
+
+
+def components_of(df, size, up, down):
+    return collections.Counter(tuple(r) for r in ngram_join.jaccard_components(df, size, (up, down)).collect())
 
 
 @pytest.mark.parametrize("size,up,down", [(3, 9, 10), (5, 4, 5)])
 def test_ngram_join(docs, wide, empty, size, up, down):
     want = brute_components(ROWS, size, up, down)
-    got = ngram_join.jaccard_components(docs, size, (up, down)).collect()
-    assert len(got) == len(ROWS)
-    for r in got:
-        if r["doc_id"] is None:
-            assert r["component_id"] is None
-        else:
-            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
-    assert any(c != i for i, (_, c) in want.items())
+    assert components_of(docs, size, up, down) == want
+    assert any(c != i for i, _, c in want)
     assert ngram_join.jaccard_components(wide, size, (up, down)).count() == len(ROWS)
     assert ngram_join.jaccard_components(empty, size, (up, down)).count() == 0
     kept = ngram_join.one_of_each(docs, size, (up, down))
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in want.items() if c == i} | {None}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _, c in want if c == i} | {None}
+
+
+def near(text, every):
+    words = text.split(" ")
+    words[len(words) // every] = "changed"
+    return " ".join(words)
+
+
+def test_ngram_join_repeated_ids(spark):
+    """Ids with two different texts each: near copies of either link."""
+    rows = []
+    for k in range(25):
+        one, two = prose(80 + 3 * k), prose(90 + 2 * k)
+        rows += [(k, one, None, None, None), (k, two, None, None, None), (k, one, None, None, None)]
+        rows += [(100 + k, near(one, 2), None, None, None), (200 + k, near(two, 3), None, None, None)]
+    want = brute_components(rows, 3, 9, 10)
+    assert {c for i, _, c in want} == set(range(25))
+    assert components_of(spark.createDataFrame(rows, SCHEMA).repartition(4), 3, 9, 10) == want
+
+
+@pytest.mark.parametrize("up,down", [(9, 10), (4, 5)])
+def test_linked_sets_share_a_segment(up, down):
+    """Pairs at the threshold, of all sizes: none misses every common key."""
+    bands = ngram_join.Bands(up / down)
+    draw = np.random.default_rng(3)
+    for n in [*range(1, 40), *range(40, 400, 9), *range(400, 1500, 60)]:
+        for _ in range(12):
+            # overlap / union >= up / down, with sizes as different as that allows or alike
+            extra = int(n * (down - up) / up)
+            left = int(draw.integers(0, extra + 1))
+            pool = np.unique(draw.integers(0, 2**64, n + extra + 8, dtype=np.uint64))
+            both = draw.permutation(pool)[: n + extra]
+            a, b = np.sort(both[: n + left]), np.sort(np.concatenate([both[:n], both[n + left :]]))
+            assert np.isin(ngram_join.segment_keys(a, bands), ngram_join.segment_keys(b, bands)).any(), n
+
+
+def test_near_duplicates_find_all_near_copies(spark):
+    """Five words, 0.8: all pairs above the threshold, by brute force, are in one component."""
+    rows = []
+    for k in range(250):
+        words = prose(rng.randint(15, 120)).split(" ")
+        for copy in range(3):
+            changed = list(words)
+            for _ in range(copy * max(1, len(words) // 120)):
+                changed[rng.randrange(len(changed))] = rng.choice(VOCABULARY)
+            rows.append((3 * k + copy, " ".join(changed), None, None, None))
+    want = brute_components(rows, 5, 4, 5)
+    assert sum(i != c for i, _, c in want) > 250
+    assert components_of(spark.createDataFrame(rows, SCHEMA).repartition(4), 5, 4, 5) == want
 
 
 def test_ngram_join_cells(docs, monkeypatch):
     """Families over several cells give the same components as one tile."""
     monkeypatch.setattr(ngram_join, "TILE_SETS", 2)
-    want = brute_components(ROWS, 5, 4, 5)
-    got = ngram_join.jaccard_components(docs, 5, (4, 5)).where("doc_id is not null").collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    monkeypatch.setattr(ngram_join, "MAP_SETS", 2)
+    assert components_of(docs, 5, 4, 5) == brute_components(ROWS, 5, 4, 5)
 
 
 def brute_repeats(rows, length):
