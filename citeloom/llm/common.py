@@ -107,8 +107,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of bytes that are not ASCII white space) and, for each value, where its words start among them."""
+def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all values: runs of bytes that are not ASCII white space."""
     space = SPACE[data]
     first = ~space
     inside = np.empty(len(data), bool)
@@ -122,7 +122,12 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last[:-1] &= space[1:]
     ends_of = at[1:][at[1:] > 0] - 1
     last[ends_of] = ~space[ends_of]
-    end = np.flatnonzero(last) + 1
+    return start, np.flatnonzero(last) + 1
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and, for each value, where its words start among them."""
+    start, end = word_bounds(data, at)
     return Rolling(data)(start, end), np.searchsorted(start, at)
 
 

@@ -86,6 +86,19 @@ _WORDS = f"list_filter(regexp_split_to_array({{}}, '{_BLANKS}'), lambda w: w <>
 _CONTROL = r"\\|</?s>|\[/?INST\]|<</?SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<\|startoftext\|>"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+t AS (SELECT doc_id, i, line, list_transform({_WORDS.format("line")}, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS ws FROM l),
+n AS (SELECT doc_id, i, ws, len(ws) AS n, len(ws) // 5 AS k FROM t WHERE len(ws) > 0),
+s AS (SELECT doc_id, i, unnest(CASE WHEN k = 0 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(0, (n - 4 + k) // k), lambda j:
+      array_to_string(ws[:3 + j * k] || list_transform(range(0, least(k, n - 3 - j * k)), lambda x: '<*>') || ws[4 + (j + 1) * k:], ' ')) END) AS g FROM n),
+f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g),
+x AS (SELECT DISTINCT doc_id, i FROM s JOIN f USING (g) WHERE first < doc_id),
+k AS (SELECT t.doc_id, count(*) FILTER (len(ws) > 0) AS n_lines, count(x.i) AS n_dropped, string_agg(line, chr(10) ORDER BY t.i) FILTER (x.i IS NULL) AS kept
+      FROM t LEFT JOIN x ON x.doc_id = t.doc_id AND x.i = t.i GROUP BY t.doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(coalesce(kept, ''))::BIGINT AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)
+""",
     "op2_ngram_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))

@@ -225,8 +225,54 @@ def test_line_dedup(spark, docs, wide, empty):
     assert got[11]["n_dropped"] == 0
     assert line_dedup.drop_recurring(wide).count() == len(ROWS)
     assert line_dedup.drop_recurring(empty).count() == 0
-    by_text = line_dedup.templates(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert "Posted on <*> by <*>" in {r["template"] for r in by_text}
+
+
+def brute_lines(rows):
+    """(doc_id, text, n_lines, n_dropped) of every row, by templates as text."""
+
+    def templates(line):
+        w = ["<*>" if re.search("[0-9]", x) else x for x in WORD.findall(line)]
+        k = len(w) // 5
+        return {tuple(w[:a] + ["<*>"] * len(w[a : a + k]) + w[a + k :]) for a in range(3, len(w), k)} if k else {tuple(w)} if w else set()
+
+    first = {}
+    for i, text, *_ in rows:
+        for line in (text or "").split("\n") if i is not None else ():
+            for t in templates(line):
+                first[t] = min(i, first.get(t, i))
+    out = []
+    for i, text, *_ in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if i is None or not any(first[t] < i for t in templates(x))]
+        full = sum(bool(WORD.search(x)) for x in lines)
+        out.append((i, None if text is None else "\n".join(kept), full, len(lines) - len(kept)))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup_brute_force(spark, docs, wide, monkeypatch):
+    names = ("doc_id", "text", "n_lines", "n_dropped")
+    want = brute_lines(ROWS)
+    assert sum(r[3] for r in want) > 20
+    assert collected(line_dedup.drop_recurring(docs), *names) == want
+    assert [r[:3] for r in collected(line_dedup.drop_recurring(wide), *names)] == [r[:3] for r in want]
+    # One hot template with a name in it, lines of all lengths, odd blanks, repeated ids; tasks that hold little, long texts in pieces.
+    rows = [(k % 170, f"User {VOCABULARY[k]} did open the red door\n\tx  {prose(k % 40)}\r\n \nJob {k} done", None, None, None) for k in range(200)]
+    rows += [(500, "\n".join(r[1] for r in rows), None, None, None), (501, "a b c d e", None, None, None), (502, "a b c d <*>", None, None, None), (503, "a b c <*> e", None, None, None)]
+    monkeypatch.setattr(line_dedup, "HELD", 50)
+    monkeypatch.setattr(line_dedup, "LONG", 300)
+    assert collected(line_dedup.drop_recurring(spark.createDataFrame(rows, SCHEMA).repartition(6)), *names) == brute_lines(rows)
+
+
+def test_lines_in_pieces(monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG", 300)
+    texts = [r[1] for r in ROWS if r[1]] + ["", "\n" * 900, "x" * 900, "a b\n" * 300, "\n" + "y" * 700 + "\nz z\n"]
+    data = [t.encode() for t in texts]
+    raw, at = np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    pieces, owner, before = line_dedup.cut_lines(raw, at)
+    whole, cut = line_dedup.signatures(raw, at), line_dedup.signatures(raw, pieces)
+    assert len(pieces) > len(at)
+    assert list(zip(whole[0], whole[1], whole[2])) == list(zip(owner[cut[0]], before[cut[0]] + cut[1], cut[2]))
+    assert list(whole[4]) == list(cut[4])
 
 
 def test_url_rules(spark):
