@@ -39,6 +39,9 @@ from .common import Rolling, batches, mix, steps, text_bytes, written
 GRAM = 20
 SHARD_RUNS = 1_500_000
 SHARD_BYTES = 2_000_000
+#: Segments, and their bytes, beyond which an anchor's strings meet one by one.
+HOT_RUNS = 1_000
+HOT_BYTES = 4_000_000
 #: A run's start and count in one number; longer runs are cut.
 COUNT_BITS = 20
 
@@ -166,25 +169,86 @@ def _meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from batches([(pa.array(key, mask=open_ == 0), pa.array(seg), pa.array(doc), pa.array(run))], ["key", "seg", "doc", "run"])
 
 
+def _meet_weighed(length: int, most_runs: int, most_bytes: int):
+    """``_meet`` with a column ``hot``: whether the row's anchor has more open segments, or bytes of them, than these."""
+
+    def batch(rows: np.ndarray, hot: np.ndarray, valid: bool = True) -> Iterator[pa.RecordBatch]:
+        if rows.shape[1]:
+            key = pa.array(rows[0], mask=np.full(rows.shape[1], not valid))
+            yield from batches([(key, *(pa.array(x) for x in rows[1:]), pa.array(hot))], ["key", "seg", "doc", "run", "hot"])
+
+    def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of the last anchor, held until it is over or hot; how many there were, and their bytes.
+        held, runs_, load = np.zeros((4, 0), np.int64), 0, 0
+        last = None
+        for part in _meet(parts):
+            open_ = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+            rows = np.stack([part.column(0).fill_null(0).to_numpy(zero_copy_only=False), *(part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3))])
+            yield from batch(rows[:, ~open_], np.zeros(int((~open_).sum()), bool), False)
+            rows = rows[:, open_]
+            if not rows.shape[1]:
+                continue
+            head = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+            size = np.diff(np.append(head, rows.shape[1]))
+            n, bytes_ = size.copy(), np.add.reduceat((rows[3] & (1 << COUNT_BITS) - 1) + length - 1, head)
+            if rows[0, 0] == last:
+                n[0] += runs_
+                bytes_[0] += load
+            else:
+                yield from batch(held, np.zeros(held.shape[1], bool))
+                held = held[:, :0]
+            hot = (n > most_runs) | (bytes_ > most_bytes)
+            if len(head) > 1 or hot[0]:
+                yield from batch(held, np.full(held.shape[1], hot[0]))
+                held = held[:, :0]
+            end = rows.shape[1] if hot[-1] else head[-1]
+            yield from batch(rows[:, :end], np.repeat(hot, size)[:end])
+            held = np.concatenate([held, rows[:, end:]], axis=1)
+            last, runs_, load = rows[0, -1], n[-1], bytes_[-1]
+        yield from batch(held, np.zeros(held.shape[1], bool))
+
+    return go
+
+
 def _bytes_of(length: int):
-    """Of documents with their open runs: each run's bytes, where they have the segment's hash."""
+    """Of documents with their open runs: each run's bytes, where they have the segment's hash.
+
+    Of hot anchors' runs: a row without bytes for each string, with its hash as key
+    and segment; no key if a smaller document of the batch has the string.
+    """
+    names = ["key", "seg", "doc", "run", "bytes"]
+
+    def strings(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((doc, key))
+        key, doc, run = key[order], doc[order], start[order] << COUNT_BITS | 1
+        head = np.append(True, key[1:] != key[:-1])
+        later = doc != doc[head][np.cumsum(head) - 1]
+        yield from batches([(pa.array(key, mask=later), pa.array(key), pa.array(doc), pa.array(run), pa.nulls(len(key), pa.binary()))], names)
 
     def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows: list[tuple] = []
+            apart: list[tuple[np.ndarray, ...]] = []
             for doc, text, wanted in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "open")), strict=True):
                 data = np.frombuffer((text or "").encode(), np.uint8)
-                got = np.array([(x["key"], x["seg"], x["run"]) for x in wanted], np.int64)
+                got = np.array([(x["key"], x["seg"], x["run"], x["hot"]) for x in wanted], np.int64)
                 start, end = got[:, 2] >> COUNT_BITS, (got[:, 2] >> COUNT_BITS) + (got[:, 2] & (1 << COUNT_BITS) - 1) + length - 1
                 fits = end <= len(data)
-                fits[fits] = Rolling(data)(start[fits], end[fits]).view(np.int64) == got[fits, 1]
-                rows += [(int(k), int(s), doc, int(r), data[a:b].tobytes()) for (k, s, r), a, b in zip(got[fits], start[fits], end[fits], strict=True)]
+                hashed = Rolling(data)
+                fits[fits] = hashed(start[fits], end[fits]).view(np.int64) == got[fits, 1]
+                hot = fits & (got[:, 3] == 1)
+                if hot.any():
+                    n = end[hot] - start[hot] - length + 1
+                    at = np.repeat(start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    apart.append((hashed(at, at + length).view(np.int64), np.full(len(at), doc), at))
+                fits &= ~hot
+                rows += [(int(k), int(s), doc, int(r), data[a:b].tobytes()) for (k, s, r, _), a, b in zip(got[fits], start[fits], end[fits], strict=True)]
+            if apart:
+                yield from strings(apart)
             if rows:
                 columns = zip(*rows, strict=True)
-                yield from batches(
-                    [tuple(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))],
-                    ["key", "seg", "doc", "run", "bytes"],
-                )
+                yield from batches([tuple(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names)
 
     return go
 
@@ -345,7 +409,7 @@ def _shards(length: int):
         return rows, places, docs, Shard(pieces, docs, length)
 
     def emit(shards: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for a in range(len(shards)):  # several only where one anchor fills more than a shard
+        for a in range(len(shards)):  # several only where one anchor runs over the end of a shard
             for b in range(a):
                 shards[a][-1].merge(shards[b][-1])
         for shard in shards:
@@ -357,12 +421,28 @@ def _shards(length: int):
         rows: list[tuple] = []
         shards: list[tuple] = []
         n, last = 0, None
+        string, low = None, 0  # the last string of a hot anchor, and its first document
         for part in parts:
+            alone = part.column("bytes").is_null().to_numpy(zero_copy_only=False)
+            if alone.any():
+                key = part.column("key").fill_null(0).to_numpy(zero_copy_only=False)[alone]
+                later = part.column("key").is_null().to_numpy(zero_copy_only=False)[alone]
+                doc, run, seg = (part.column(c).to_numpy(zero_copy_only=False)[alone] for c in ("doc", "run", "seg"))
+                given = np.flatnonzero(~later)
+                if len(given):
+                    k, d = key[given], doc[given]
+                    head = np.append(k[0] != string, k[1:] != k[:-1])
+                    lows = np.concatenate([[low], d[head]])[np.cumsum(head)]
+                    later[given] = d != lows
+                    string, low = k[-1], lows[-1]
+                if later.any():
+                    yield from batches([tuple(pa.array(x[later]) for x in (doc, run, seg))], ["doc", "run", "seg"])
+                part = part.filter(pa.array(~alone))
             for row in zip(*(part.column(c).to_pylist() for c in ("key", "seg", "doc", "run", "bytes")), strict=True):
-                if n > SHARD_BYTES and row[0] != last:
+                if rows and row[0] != last and (shards or n > SHARD_BYTES):
                     yield from emit([*shards, built(rows)])
                     rows, shards, n = [], [], 0
-                elif n > 4 * SHARD_BYTES:
+                elif n > SHARD_BYTES:  # the anchor goes on in the next shard
                     shards.append(built(rows))
                     rows, n = [], 0
                 rows.append(row)
@@ -424,17 +504,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = False) -> Da
     met = written(
         found.repartition(F.coalesce("key", F.xxhash64("doc", "run")))
         .sortWithinPartitions("key", "seg", "doc")
-        .mapInArrow(_meet, "key long, seg long, doc long, run long"),
+        .mapInArrow(_meet_weighed(length, HOT_RUNS, HOT_BYTES), "key long, seg long, doc long, run long, hot boolean"),
         "met",
     )
     wanted = (
-        met.where("key is not null").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "seg", "run")).alias("open"))
+        met.where("key is not null").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "seg", "run", "hot")).alias("open"))
     )
     settled = written(
         keyed.join(wanted, "doc_id")
         .mapInArrow(_bytes_of(length), "key long, seg long, doc long, run long, bytes binary")
-        .repartition("key")
-        .sortWithinPartitions("key", "seg")
+        .repartition(F.coalesce("key", F.xxhash64("doc", "run")))
+        .sortWithinPartitions("key", "seg", "doc")
         .mapInArrow(_shards(length), "doc long, run long, seg long"),
         "settled",
     )

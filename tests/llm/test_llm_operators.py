@@ -211,6 +211,10 @@ def test_suffix_dedup_many_shards(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 500)
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5))
     assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, 50)
+    # The same with an anchor that is too large: its strings meet one by one.
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 5)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, 50)
 
 
 def test_line_dedup(spark, docs, wide, empty):
