@@ -2,19 +2,24 @@
 
 Every rule is a regular expression over host and path with the literal tokens
 that any match holds whole. Token frequencies over all URLs choose the rarest
-one as the rule's index key. A URL's tokens fetch candidate rules by an equality
-join, and only these run their expression; rules without a literal token are
-candidates of every URL. Of the rules that match, the longest wins.
+one as the rule's index key. A URL's tokens fetch candidate rules from the index,
+and only these run their expression; rules without a literal token are candidates
+of every URL. Of the rules that match, the longest wins. Rules are a parameter, so
+the index goes to every task and no URL is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import batches
+
 #: What a token is, in rules and URLs alike.
 TOKEN = r"[^./\-_?&=#:+~,;!@%]+"
 
@@ -37,14 +42,14 @@ def host_rule(verdict: str, rule: str) -> Rule:
     tokens = re.findall(TOKEN, host)
     # The last token of the path may be a part of the URL's, unless a separator ends it.
     tokens += re.findall(TOKEN, path)[: None if re.search(f"^$|(?!{TOKEN}).$", path) else -1]
-    pattern = rf"^(?:[^/]*\.)?{re.escape(host)}" + (re.escape(slash + path) if slash else r"(?:/|$)")
+    pattern = rf"^(?:[^/]*\.)?{re.escape(host)}" + (re.escape(slash + path) if slash else r"(?:/|\Z)")
     return Rule(rule, verdict, pattern, tuple(t.lower() for t in tokens), len(rule))
 
 
 def words_rule(verdict: str, name: str, words: tuple[str, ...]) -> Rule:
     """A host label made of ``words`` with hyphens; its name isn't returned as a listed rule."""
     label = "-".join(map(re.escape, words))
-    return Rule(name, verdict, rf"^(?:[^/]*\.)?{label}\.[^/]*(?:/|$)", words, 0, False)
+    return Rule(name, verdict, rf"^(?:[^/]*\.)?{label}\.[^/]*(?:/|\Z)", words, 0, False)
 
 
 def address(url: Column) -> tuple[Column, Column]:
@@ -56,9 +61,42 @@ def address(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    rows = [(k, r.rule, r.verdict, r.pattern, list(r.tokens), r.weight, r.listed) for k, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "id int, rule string, verdict string, pattern string, tokens array<string>, weight int, listed boolean")
+def rarest_tokens(addresses: DataFrame, rules: list[Rule]) -> list[str | None]:
+    """For each rule its literal token that the fewest ``at`` of ``addresses`` have; None without a token."""
+    literal = sorted({t for r in rules for t in r.tokens})
+    if not literal:
+        return [None] * len(rules)
+    found = addresses.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("at"), F.lit(f"({TOKEN})"), F.lit(1)))).alias("token"))
+    known = addresses.sparkSession.createDataFrame([(t,) for t in literal], "token string")
+    counts = found.join(F.broadcast(known), "token", "left_semi").groupBy("token").count().collect()  # the rules' tokens at most
+    n = {r["token"]: r["count"] for r in counts}
+    return [min(r.tokens, key=lambda t: (n.get(t, 0), t), default=None) for r in rules]
+
+
+def _judge(rules: list[Rule], keys: list[str | None], default: str):
+    """Rows (id, host, path) with rule and verdict."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The longest rule first, of equals the earlier one: the first that fits wins.
+        order = sorted(range(len(rules)), key=lambda k: (-rules[k].weight, k))
+        compiled = [re.compile(rules[k].pattern) for k in order]
+        index: dict[str | None, list[int]] = {}
+        for place, k in enumerate(order):
+            index.setdefault(keys[k], []).append(place)
+        always = index.get(None, [])
+        split = re.compile(TOKEN).findall
+        for part in parts:
+            found, verdicts = [], []
+            for host, path in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                at = host + path
+                fetched = {p for token in {*split(at.lower())} for p in index.get(token, ())}
+                best = next((p for p in sorted(fetched.union(always)) if compiled[p].search(at)), None)
+                rule = None if best is None else rules[order[best]]
+                found.append(rule.rule if rule and rule.listed else None)
+                verdicts.append(rule.verdict if rule else default)
+            yield from batches([(*part.columns, pa.array(found, pa.string()), pa.array(verdicts, pa.string()))], [*part.schema.names, "rule", "verdict"])
+
+    return run
 
 
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
@@ -70,27 +108,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFr
     first rule. Other columns are ignored.
     """
     host, path = address(F.col("url"))
-    urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path")).withColumn("at", F.concat("host", "path"))
-    table = rule_table(pages.sparkSession, rules)
-    # Distinct addresses are judged once; a page finds its own by the address.
-    addresses = urls.select("at").distinct()
-    tokens = addresses.select("at", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("at"), F.lit(f"({TOKEN})"), F.lit(1)))).alias("token"))
-    literal = table.select("id", F.explode("tokens").alias("token"))
-    wanted = tokens.join(literal.select("token").distinct(), "token", "left_semi")
-    seen = wanted.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = literal.join(seen, "token", "left").groupBy("id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    index = table.join(rarest, "id", "left")
-    fetched = wanted.join(index.where("token is not null"), "token").drop("token")
-    always = index.where("token is null").drop("token")
-    if any(not r.tokens for r in rules):
-        every = addresses.withColumn("one", F.lit(1)).join(always.withColumn("one", F.lit(1)), "one").drop("one")
-        fetched = fetched.unionByName(every)
-    fits = fetched.where(F.expr("regexp_like(at, pattern)"))
-    best = fits.groupBy("at").agg(F.max_by(F.struct("rule", "verdict", "listed"), F.struct("weight", -F.col("id"))).alias("best"))
-    return urls.join(best, "at", "left").select(
-        "page_id",
-        "host",
-        "path",
-        F.when(F.col("best.listed"), F.col("best.rule")).alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-    )
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    keys = rarest_tokens(urls.select(F.concat("host", "path").alias("at")), rules)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return urls.mapInArrow(_judge(rules, keys, default), f"page_id {kind}, host string, path string, rule string, verdict string")
