@@ -10,13 +10,12 @@ The model is fitted on a bounded sample of labelled rows (``per_language``).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, steps, text_bytes
@@ -25,7 +24,6 @@ UNKNOWN = "und"
 SIZE = 4096
 #: Texts in a vectorised step at most.
 STEP_TEXTS = 1024
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters in lower case, other ASCII as blanks, further bytes as they are.
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256)], np.uint8)
 
@@ -125,20 +123,27 @@ def clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, tolerance: float = 0.4) -> Model | None:
-    """Fit on about ``per_language`` rows of each language, chosen by a hash of doc_id; None without labelled rows.
+    """Fit on up to ``per_language`` rows of each language, those with the smallest hashes of id and text; None without labelled rows.
 
+    That bounds the sample, which comes to the driver, by the number of languages;
+    every distinct label counts as one, so labels must be a vocabulary of fixed size.
     Cosines of held-out texts, each half of the sample against centroids of the other,
     are divided by the usual ones of their length. Such shares are accepted down to
     ``tolerance`` times the lowest hundredth of all, and languages with few rows down to
     ``tolerance`` times their own least one.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    known = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    rows = rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 32))
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).collect()
+    known = {r["lang"]: r["n"] for r in seen}
     if not known:
         return None
-    million = 1_000_000
-    share = F.create_map(*[F.lit(x) for lang, n in known.items() for x in (lang, min(million, per_language * million // n + 1))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share[F.col("lang")])
+    # Of 2^32 hashes as many as leave some more rows than wanted, one at least; then the smallest ones.
+    share = {r["lang"]: max(r["least"], int((per_language + 8 * per_language**0.5) / r["n"] * (1 << 32))) for r in seen}
+    drawn = rows.where(F.col("hash") <= F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")])
+    drawn = drawn.withColumn("hash", F.xxhash64("hash", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    chosen = drawn.withColumn("place", place).where(F.col("place") <= per_language)
 
     def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -150,7 +155,7 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, toleran
                     tf = counts(raw[at[a] : at[b]], at[a : b + 1] - at[a])
                     yield from batches([(lang.slice(a, b - a), pa.array([x.tobytes() for x in tf], pa.binary()))], ["lang", "tf"])
 
-    got = chosen.select("text", "lang").mapInArrow(features, "lang string, tf binary").collect()  # bounded: 16 KB a row of the sample
+    got = chosen.select("text", "lang").mapInArrow(features, "lang string, tf binary").collect()  # 16 KB a row of the sample
     if not got:
         return None
     tf = np.stack([np.frombuffer(r["tf"], np.float32) for r in got])
@@ -197,7 +202,7 @@ def _predict(model: Model | None):
                     plain = np.concatenate([[0], np.cumsum((FOLD[data] > 96) & (data < 128))])
                     letters = plain[near[1:]] > plain[near[:-1]]
                     for k in np.flatnonzero(~letters):
-                        letters[k] = bool(LETTER.search(texts[a + int(k)].as_py() or ""))
+                        letters[k] = any(map(str.isalpha, texts[a + int(k)].as_py() or ""))  # category L
                     if model is None:
                         letters[:] = False
                         lang, score, far = [UNKNOWN] * (b - a), np.zeros(b - a), ~letters
