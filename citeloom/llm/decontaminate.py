@@ -3,9 +3,11 @@
 A document that holds ``share`` of an item's shingles holds at least one of any
 ``n - ceil(share * n) + 1`` of them. So the smallest hashes of each item, as many
 as its size band needs, are a sketch that no such document misses, however long
-it is. Documents are searched for sketches by a bitmap of fixed size; those with
-a hit keep all shingles that a second bitmap lets pass, and these are matched with
-the items' shingles and counted. Bitmaps only spare work: they never lose a hit.
+it is. Each band of item sizes has a bitmap of its sketches, and a document is
+searched for those of the bands whose items it is large enough to hold. Documents
+with a hit keep all shingles that a bitmap of all items lets pass, and these are
+matched with the items' shingles and counted. Bitmaps only spare work: they never
+lose a hit.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .native_text import window_hashes, words
 
-#: 64-bit words of each bitmap, whatever the benchmark's size: half a megabyte.
-BITMAP = 1 << 16
+#: Bits of a bitmap for each hash, of which it sets two; and its 64-bit words at most: eight megabytes.
+BITS = 256
+WORDS = 1 << 20
 
 
 def _shingles(text: Column, sizes: list[int]) -> Column:
@@ -32,20 +35,27 @@ def _shingles(text: Column, sizes: list[int]) -> Column:
     return F.get(F.transform(F.array(hashes), windows), F.lit(0))
 
 
-def _bitmap(hashes: DataFrame) -> Column:
-    """Bits of column ``h``, as a constant; at most BITMAP rows come to the driver."""
-    slots = hashes.groupBy(F.expr(f"cast(shiftrightunsigned(h, 6) & {BITMAP - 1} as int)").alias("slot")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")
-    )
-    bits = [0] * BITMAP
-    for row in slots.collect():
-        bits[row["slot"]] = row["bits"]
-    return F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+def _places(h: Column, words: int) -> list[tuple[Column, Column]]:
+    """Word and bit of the two bits of a hash, in its lower and its upper half."""
+    halves = (h, F.shiftrightunsigned(h, 32))
+    return [(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(words - 1)).cast("int"), x.bitwiseAND(F.lit(63)).cast("int")) for x in halves]
+
+
+def _bitmaps(hashes: DataFrame, most: int) -> tuple[dict[int, Column], int]:
+    """For each ``band`` a bitmap of its hashes ``h``, as a constant, sized for ``most`` of them, and its words; WORDS rows a band come to the driver at most."""
+    words = 1 << max(8, min(WORDS.bit_length() - 1, (most * BITS // 64).bit_length()))
+    places = F.array(*[F.struct(w.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), b).alias("bit")) for w, b in _places(F.col("h"), words)])
+    set_ = hashes.select("band", F.explode(places).alias("x")).groupBy("band", "x.word").agg(F.bit_or("x.bit").alias("bits"))
+    maps: dict[int, list[int]] = {}
+    for row in set_.collect():
+        maps.setdefault(row["band"], [0] * words)[row["word"]] = row["bits"]
+    return {band: F.from_json(F.lit(json.dumps(bits)), "array<bigint>") for band, bits in sorted(maps.items())}, words
 
 
-def _in(bitmap: Column, h: Column) -> Column:
-    word = F.get(bitmap, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITMAP - 1)).cast("int"))
-    return F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+def _in(bitmap: Column, words: int, h: Column) -> Column:
+    (w, b), (v, c) = _places(h, words)
+    one = lambda word, bit: F.call_function("shiftright", F.get(bitmap, word), bit).bitwiseAND(F.lit(1)) == 1
+    return one(w, b) & one(v, c)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -69,15 +79,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: tuple[int
     rows = items.select("item_id", F.explode(pick).alias("h")).distinct()
     counted = rows.join(rows.groupBy("item_id").agg(F.count("*").alias("n_item")), "item_id")
     # All items of a band (sizes from one power of two to the next) have sketches that its largest would need.
-    band_top = F.pow(F.lit(2), F.floor(F.log2("n_item") + 1e-9) + 1) - 1
-    need = F.floor(band_top * (down - up) / down + 1e-9) + 1
+    counted = counted.withColumn("band", F.floor(F.log2("n_item") + 1e-9).cast("int"))
+    need = F.floor((F.pow(F.lit(2), F.col("band") + 1) - 1) * (down - up) / down + 1e-9) + 1
     ranked = counted.withColumn("rank", F.expr("row_number() over (partition by item_id order by xxhash64(h), h)"))
-    known = written(ranked.select("item_id", "h", "n_item", (F.col("rank") <= need).alias("sketch")), "items")
+    known = written(ranked.select("item_id", "h", "n_item", "band", (F.col("rank") <= need).alias("sketch")), "items")
+    bands = known.groupBy("band").agg(F.count_if("sketch").alias("n"), F.count("*").alias("every")).collect()  # some dozen at most
 
-    sketch, full = _bitmap(known.where("sketch")), _bitmap(known)
+    sketches, words_ = _bitmaps(known.where("sketch"), max(r["n"] for r in bands))
+    full, wide = _bitmaps(known.withColumn("band", F.lit(0)), sum(r["every"] for r in bands))
     found = docs.where("doc_id is not null").select("doc_id", _shingles(F.col("text"), sizes).alias("hs"))
-    found = found.where(F.exists("hs", lambda h: _in(sketch, h)))
-    found = found.select("doc_id", F.explode(F.filter("hs", lambda h: _in(full, h))).alias("h"))
+
+    def held(band: int, bits: Column) -> Column:
+        return (F.size("hs") * down >= (1 << band) * up) & F.exists("hs", lambda h: _in(bits, words_, h))
+
+    hit = F.lit(False)
+    for band, bits in sketches.items():
+        hit = hit | held(band, bits)
+    found = found.where(hit).select("doc_id", F.explode(F.filter("hs", lambda h: _in(full[0], wide, h))).alias("h"))
     pairs = found.join(known, "h").groupBy("doc_id", "item_id").agg(
         F.count_distinct("h").alias("n_shared"), F.max("n_item").alias("n_item"), F.bool_or("sketch").alias("candidate")
     )
