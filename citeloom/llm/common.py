@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import written  # noqa: F401  operators take it from here
 
@@ -18,6 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def join_by_key(rows: DataFrame, known: DataFrame, on: list[str], most: int) -> DataFrame:
+    """``rows`` with the columns that ``known`` has for their key; its ``n`` says how many rows each key has.
+
+    Keys with more than ``most`` rows come by broadcast: with a thousandth of all
+    rows or more as ``most`` there are few of them. All others come by a join in
+    which no key has more, so that no key becomes one group in one task.
+    """
+    hot = F.broadcast(known.where(F.col("n") > most).drop("n").withColumn("hot", F.lit(True)))
+    tagged = rows.join(hot, on, "left")
+    rest = tagged.where("hot is null").select(rows.columns).join(known.where(F.col("n") <= most).drop("n"), on)
+    return tagged.where("hot").drop("hot").unionByName(rest)
+
+
 # ---------------------------------------------------------------- text buffers
 
 

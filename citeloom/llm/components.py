@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import batches, written
+from .common import batches, join_by_key, written
 
 #: A node with more neighbours than this, and than a thousandth of all links, is a hub: there are 2,000 at most.
 HUB = 100
@@ -53,18 +53,6 @@ def _contracted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from stars(held)
 
 
-def _lowest(rows: DataFrame, low: DataFrame, most: int) -> DataFrame:
-    """``rows`` (a, b) with the ``low`` of their ``a``, from ``low`` (a, low, n).
-
-    Hubs (more than ``most`` rows) come by broadcast, all others by a shuffle whose
-    keys have ``most`` rows at most, so that no hub becomes one group in one task.
-    """
-    hubs = F.broadcast(low.where(F.col("n") > most).select("a", F.col("low").alias("of_hub")))
-    tagged = rows.join(hubs, "a", "left")
-    rest = tagged.where("of_hub is null").select("a", "b").join(low.where(F.col("n") <= most).select("a", "low").hint("merge"), "a")
-    return tagged.where("of_hub is not null").select("a", "b", F.col("of_hub").alias("low")).union(rest.select("a", "b", "low"))
-
-
 def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """``edges`` as a table of distinct links, with their number and checksum, taken while it is written."""
     seen = Observation()
@@ -90,10 +78,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         before, most = now, max(HUB, now[0] // 1000)
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-        large = _lowest(both.where("b > a"), low, most).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+        large = join_by_key(both.where("b > a"), low, ["a"], most).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
         small = (
-            _lowest(large, low, most)
+            join_by_key(large, low, ["a"], most)
             .select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("x"))
             .select(F.col("x.b").alias("a"), F.col("x.low").alias("b"))
             .where("a <> b")

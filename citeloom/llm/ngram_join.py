@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, mix, shingle_sets, written
-from .components import components
+from .common import batches, join_by_key, mix, shingle_sets, written
+from .components import HUB, components
 
 #: Sets in a tile of sets or of bitmaps at most, on average, and shingles; larger families are cut into cells.
 TILE_SETS = 1024
@@ -284,21 +284,22 @@ def _tiles(threshold: tuple[int, int], exact: bool):
 def _tiled(families: DataFrame, most_sets: int, most_load: int) -> DataFrame:
     """(doc_id, one, two, tile, side) of families (doc_id, component_id, n_shingles, one, two, band): a set goes to every tile where it must be compared."""
     key = ("doc_id", "one", "two")
-    whole = families.groupBy("component_id").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("load")).where("sets > 1")
-    whole = whole.select("component_id", F.expr(f"sets <= {most_sets} and load <= {most_load}").alias("small"))
-    known = families.join(whole, "component_id")
-    small = known.where("small").select(*key, F.col("component_id").cast("string").alias("tile"), F.lit(0).alias("side"))
-    large = known.where("not small")
-    salts = F.ceil(F.greatest(F.lit(1), 2 * F.count("*") / most_sets, 2 * F.sum("n_shingles") / most_load)).cast("int")
-    cells = large.groupBy("component_id", "band").agg(salts.alias("salts"))
-    below = cells.select("component_id", (F.col("band") + 1).alias("band"), F.col("salts").alias("salts_below"))
-    above = cells.select("component_id", (F.col("band") - 1).alias("band"), F.col("salts").alias("salts_above"))
-    large = (
-        large.join(cells, ["component_id", "band"])
-        .join(below, ["component_id", "band"], "left")
-        .join(above, ["component_id", "band"], "left")
-        .withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id, one), salts) as int)"))
+    bands = families.groupBy("component_id", "band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load"))
+    salts = F.ceil(F.greatest(F.lit(1), 2 * F.col("n") / most_sets, 2 * F.col("load") / most_load)).cast("int")
+    by_band = Window.partitionBy("component_id").orderBy("band")  # some dozen bands a family
+    near = lambda column, step: F.when(column(F.col("band")).over(by_band) == F.col("band") + step, column(F.col("salts")).over(by_band))
+    family = Window.partitionBy("component_id")
+    cells = (
+        bands.withColumn("salts", salts)
+        .withColumns({"salts_below": near(F.lag, -1), "salts_above": near(F.lead, 1)})
+        .withColumns({"sets": F.sum("n").over(family), "all": F.sum("load").over(family)})
+        .where("sets > 1")
+        .withColumn("small", F.expr(f"sets <= {most_sets} and all <= {most_load}"))
+        .drop("load", "sets", "all")
     )
+    known = join_by_key(families, cells, ["component_id", "band"], max(HUB, families.count() // 1000))
+    small = known.where("small").select(*key, F.col("component_id").cast("string").alias("tile"), F.lit(0).alias("side"))
+    large = known.where("not small").withColumn("salt", F.expr("cast(pmod(xxhash64(doc_id, one), salts) as int)"))
     # A set goes to the tile of its cell with each other cell of its band, of the band below and of the band above.
     pairs = F.expr(
         """concat(

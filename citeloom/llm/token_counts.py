@@ -3,12 +3,15 @@
 No identifiers are made: the count is the number of initial symbols less the
 number of merges. Pieces never hold a word-start mark after another character,
 nor a line feed, so texts fall into units before those that cannot merge with
-each other; counts of units are kept for a while in each Python worker.
+each other; counts of short units are kept for a while in each Python worker. A long
+unit is cut where no piece has its two characters side by side, since nothing merges
+there either, and counted in arrays of some 60 bytes a character.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -19,6 +22,8 @@ from .common import batches, in_pieces
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+#: Characters of units that are kept, and of those that aren't cut.
+SHORT = 64
 
 
 def ranked_pieces(model: str) -> dict[str, int]:
@@ -41,37 +46,49 @@ class UnitCounts(dict):
         if next(inner, None) is not None:
             raise ValueError("this vocabulary has pieces over the ends of units")
 
+        self.beside = {a + b for p in pieces for a, b in zip(p, p[1:])}
+
     def __missing__(self, unit: str) -> int:
+        if len(unit) > SHORT:
+            return sum(map(self.count, self.parts(unit)))
         if len(self) >= self.most:
             self.clear()
         n = self[unit] = self.count(unit)
         return n
 
+    def parts(self, unit: str) -> Iterator[str]:
+        """A unit cut between characters that are side by side in no piece."""
+        start, beside = 0, self.beside
+        for k in range(1, len(unit)):
+            if unit[k - 1 : k + 1] not in beside:
+                yield unit[start:k]
+                start = k
+        yield unit[start:]
+
     def count(self, unit: str) -> int:
         """Repeatedly merge the adjacent pair of the lowest rank, the leftmost of equals."""
         get = self.pieces.get
         n = len(unit)
-        symbol = list(unit)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
+        # A symbol runs from its place to its stop, where the next one is; 0 once it has merged into one before it.
+        stop = array("i", range(1, n + 1))
+        before = array("i", range(-1, n - 1))
         # Characters outside the vocabulary are as many symbols as bytes.
-        count = n + sum(len(c.encode()) - 1 for c in symbol if c not in self.pieces)
+        count = n + sum(len(c.encode()) - 1 for c in unit if c not in self.pieces)
         heap = [r << 32 | i for i in range(n - 1) if (r := get(unit[i : i + 2])) is not None]
         heapify(heap)
         while heap:
             top = heappop(heap)
             i = top & 0xFFFFFFFF
-            if symbol[i] is None or (j := after[i]) >= n or get(both := symbol[i] + symbol[j]) != top >> 32:
+            if not (j := stop[i]) or j >= n or get(unit[i : (k := stop[j])]) != top >> 32:
                 continue  # one of the two has merged since
             count -= 1
-            symbol[i], symbol[j] = both, None
-            k = after[i] = after[j]
+            stop[i], stop[j] = k, 0
             if k < n:
                 before[k] = i
-                if (r := get(both + symbol[k])) is not None:
+                if (r := get(unit[i : stop[k]])) is not None:
                     heappush(heap, r << 32 | i)
             h = before[i]
-            if h >= 0 and (r := get(symbol[h] + both)) is not None:
+            if h >= 0 and (r := get(unit[h:k])) is not None:
                 heappush(heap, r << 32 | h)
         return count
 

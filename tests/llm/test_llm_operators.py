@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -321,6 +322,24 @@ def test_quality(docs, wide, empty):
     assert quality.judge(wide).count() == len(ROWS) and quality.judge(empty).count() == 0
 
 
+def test_quality_order(spark):
+    """Rules run by rejections per cost on what earlier rules leave."""
+    patterns = [((True, True, False), 60), ((False, True, False), 10), ((False, False, True), 20), ((False, False, False), 10)]
+    assert quality.by_gain(patterns, [1.0, 1.0, 1.0]) == [1, 2, 0]
+    assert quality.by_gain(patterns, [1.0, 10.0, 1.0]) == [0, 2, 1]
+    assert quality.by_gain(patterns, [50.0, 50.0, 1.0]) == [2, 1, 0]
+    assert quality.by_gain([], [3.0, 1.0, 2.0]) == [1, 2, 0]
+    # A costly rule and a cheap one that reject alike, and a cheap one that rejects little.
+    docs = spark.createDataFrame([(k, prose(200) + ("!" if k % 2 else "") + ("#" if k % 20 == 1 else "")) for k in range(60)], "doc_id long, text string").repartition(3)
+    sample = quality.written(quality.measured(docs), "sample")
+    costly = quality.Rule("costly", r"length(regexp_replace(repeat(text, 100), '[aeiou]+', 'x')) > 0 and text like '%!%'")
+    rules = (costly, quality.Rule("rare", "n_symbols > 0"), quality.Rule("cheap", "text like '%!%'"))
+    dear, *cheap = quality.costs(sample, rules)
+    assert dear > 3 * max(cheap)
+    assert [r.name for r in quality.ordered(sample, rules)].index("cheap") == 0
+    assert quality.ordered(sample.limit(0), rules)
+
+
 def test_language(spark, empty, docs, wide):
     rows = [(k, " ".join(rng.choice(words) for _ in range(30)), lang, "s", 1) for k in range(200) for lang, words in [[("en", "the house and which those there water".split()), ("de", "das haus und welche jene wasser schön".split())][k % 2]]]
     rows += [(900, None, "en", None, None), (901, "12 34 ...", "en", None, None), (902, "日本語の文章です", None, None, None), (903, "a", None, None, None), (None, "the house", None, None, None)]
@@ -341,6 +360,79 @@ def test_language(spark, empty, docs, wide):
     assert language_id.accepted(docs, None).count() > 0
 
 
+def language_reference(rows, per=4, rounds=12):
+    """(lang_pred, score) of every row from a model of labelled rows that aren't held out, in plain Python and numpy."""
+
+    def vector(text):
+        tf = np.zeros(language_id.SIZE)
+        b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in (text or "").encode()]
+        for x, y, z in zip(b, b[1:], b[2:]):
+            if (x, y) != (32, 32):
+                tf[((x << 16 | y << 8 | z) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        return tf
+
+    def unit(v):
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    labelled = [(vector(t), lang) for i, t, lang, *_ in rows if t is not None and lang is not None and (i is None or zlib.crc32(str(i).encode()) % 5)]
+    present = sum(tf > 0 for tf, _ in labelled)
+    idf = np.log((1 + len(labelled)) / (1 + present)) + 1
+    size = collections.Counter(lang for _, lang in labelled)
+    centroids = []
+    for lang in sorted(size, key=lambda x: (-size[x], x)):
+        own = [unit(np.log1p(tf) * idf) for tf, x in labelled if x == lang and tf.any()]
+        mean = sum(own) / len(own)
+        chosen = [max(own, key=lambda v: v @ mean)]
+        while len(chosen) < min(per, len(own)):
+            chosen.append(min(own, key=lambda v: max(v @ c for c in chosen)))
+        for _ in range(rounds):
+            groups = collections.defaultdict(list)
+            for v in own:
+                groups[int(np.argmax([v @ c for c in chosen]))].append(v)
+            chosen = [unit(sum(groups[k]) / len(groups[k])) for k in sorted(groups)]
+        centroids += [(lang, c) for c in chosen]
+    out = []
+    for _, t, *_ in rows:
+        if not any(unicodedata.category(c)[0] == "L" for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        v = unit(np.log1p(vector(t)) * idf)
+        out.append(max(((lang, float(v @ c)) for lang, c in centroids), key=lambda x: x[1]))
+    return out
+
+
+def test_language_brute_force(spark):
+    """Refitted and predicted by plain code: the same languages and scores; letters are those of category L."""
+    rows = []
+    for k in range(160):
+        lang = k % 4
+        rows.append((k, " ".join(rng.choice(VOCABULARY[90 * lang : 90 * lang + 110]) for _ in range(rng.randint(1, 60))), f"l{lang}" if k % 9 else None, "s", 1))
+    odd = [None, "", "² ½ Ⅷ 12", "½", "漢", "_", "Ω", "x", "ab", "\u0301", "ªº", "A" * 40000, rows[3][1] * 3]
+    rows += [(1000 + k, t, "l1" if k % 2 else None, None, None) for k, t in enumerate(odd)] + [(7, rows[9][1], "l1", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = language_id.identify(df, language_id.fit(df.where(~language_id.held_out(df.doc_id)))).collect()
+    want = [(i, lang, round(score, 3)) for (i, *_), (lang, score) in zip(rows, language_reference(rows))]
+    near = collections.defaultdict(list)
+    for r in got:
+        near[r["doc_id"]].append((r["lang_pred"], r["score"]))
+    assert len(got) == len(rows)
+    for i, lang, score in want:
+        assert any(a == lang and abs(b - score) < 2e-3 for a, b in near[i]), (i, lang, score, near[i])
+
+
+def test_language_sample_is_bounded(spark):
+    """However many rows a language has, and though one text repeats: so many at most, all languages kept."""
+    rows = [(k, VOCABULARY[k % 300] + " " + VOCABULARY[k % 7], f"l{k % 1100}", None, None) for k in range(2200)] + [(5, "hot text", "hot", None, None)] * 900
+    seen = []
+    whole = language_id.Model.vectors
+    try:
+        language_id.Model.vectors = lambda self, tf: seen.append(len(tf)) or whole(self, tf)
+        model = language_id.fit(spark.createDataFrame(rows, SCHEMA), clusters=1, per_language=3)
+    finally:
+        language_id.Model.vectors = whole
+    assert len(model.languages) == 1101 and seen[0] <= 3 * 1101
+
+
 def test_decontaminate(spark, docs, wide, empty):
     items = [(0, ROWS[0][1]), (1, prose(40)), (2, None), (3, ""), (4, "one two"), (5, ROWS[2][1] + " and more words here"), (6, ROWS[0][1]), (None, ROWS[1][1])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -414,6 +506,19 @@ def test_token_counts(docs, wide, empty):
     assert token_counts.token_counts(wide, path).count() == len(ROWS) and token_counts.token_counts(empty, path).count() == 0
 
 
+def test_long_units_are_counted():
+    """Long texts without blanks, whatever they are made of."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    unit = token_counts.UnitCounts(token_counts.ranked_pieces(path))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/="
+    for t in ("".join(rng.choice(letters) for _ in range(200_000)), "ab" * 60_000, "a" * 100_000, "é日x" * 20_000, "".join(rng.choice(VOCABULARY) for _ in range(30_000))):
+        assert unit.of_text(t) == len(sp.encode(t))
+    assert not unit  # long units are not kept
+
+
 def test_ids_like_the_library():
     ids = packing.ChunkIds(public_tokenizers.path("word_bpe_49k.json"), most=60)
     texts = ODD + [t for _, t, *_ in ROWS if t]
