@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -125,117 +126,102 @@ def citations(text: str | None) -> list[dict]:
 
 # ---------------------------------------------------------------------- quotes
 
-_DOUBLE = re.compile(r'["“]([^"“”]{8,2000}?)["”]')
-_SINGLE = "'‘’"
-_BEFORE_OPENER = set(" \t\n\r([{'\"“‘—–-")
-_AFTER_CLOSER = set(" \t\n\r.,;:!?)]}\"”’—–-")
+#: What stands before an opening and after a closing single quote, besides the ends of a text.
+_OPENS_AFTER = " \t\n\r([{'\"‘“—–-"
+_CLOSES_BEFORE = " \t\n\r.,;:!?)]}\"’”—–-"
+_MARKS = re.compile("[\"“”'‘’]")
 
 
 def quoted_spans(text: str | None) -> list[dict]:
-    """Quoted spans by start: double quotes of 8 to 2000 characters, and guarded single quotes of 12 to 2000 with a blank."""
+    """Quoted spans by start: double quotes of 8 to 2000 characters, and guarded single quotes of 12 to 2000 with a blank.
+
+    A double quote ends at the next double mark. A single one ends at the next mark
+    that may close, and doesn't count inside a double one.
+    """
     text = text or ""
-    spans = [(m.start(1), m.end(1)) for m in _DOUBLE.finditer(text)]
-    double = [(a - 1, b) for a, b in spans]
-    marks = [i for i, c in enumerate(text) if c in _SINGLE]
-    for n, i in enumerate(marks):
-        if i and text[i - 1] not in _BEFORE_OPENER:
+    doubles: list[tuple[int, int]] = []
+    openers, closers = [], []
+    opened = -1
+    for m in _MARKS.finditer(text):
+        at, mark = m.start(), m[0]
+        if mark in "'‘’":
+            if at == 0 or text[at - 1] in _OPENS_AFTER:
+                openers.append(at)
+            if at + 1 == len(text) or text[at + 1] in _CLOSES_BEFORE:
+                closers.append(at)
+        elif opened >= 0 and mark != "“" and 8 <= at - opened - 1 <= 2000:
+            doubles.append((opened, at))
+            opened = -1
+        else:
+            opened = -1 if mark == "”" else at
+    starts = [a for a, _ in doubles]
+    spans = list(doubles)
+    for a in openers:
+        k = bisect_right(closers, a)
+        if k == len(closers) or not 12 < closers[k] - a <= 2001 or not _BLANK.search(text, a + 1, closers[k]):
             continue
-        for j in marks[n + 1 :]:
-            if j - i > 2100:
-                break
-            if j + 1 < len(text) and text[j + 1] not in _AFTER_CLOSER:
-                continue
-            inner = text[i + 1 : j]
-            if 12 <= len(inner) <= 2000 and _BLANK.search(inner) and not any(a <= i and j <= b for a, b in double):
-                spans.append((i + 1, j))
-            break
-    return [{"quote": text[a:b], "start": a, "end": b} for a, b in sorted(spans)]
-
-
-#: Characters that quotes may differ in (fixed values).
-ALIKE = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "−": "-", " ": " "}
-_ALIKE = str.maketrans(ALIKE)
-_NEGATORS = "no|not|never|none|neither|nor|cannot"
-_OPENS = re.compile(rf"(?:{_NEGATORS})\s", re.I)
-_SHED = re.compile(rf"(?:^| |['\"(\[])(?:{_NEGATORS})[.,;:]?$", re.I)
-_BRACKETS = re.compile(r"\[([a-z][a-z']*)\]")
+        outer = bisect_right(starts, a) - 1
+        if outer < 0 or doubles[outer][1] < closers[k]:
+            spans.append((a, closers[k]))
+    return [{"quote": text[a + 1 : b], "start": a + 1, "end": b} for a, b in sorted(spans)]
+
+
+#: Characters that stand for each other, and that don't count, in quotes (fixed values).
+ALIKE = ("'‘’‚‛", '"“”„', "-–—−")
+SOFT = "\u00ad"
+NEGATORS = ("no", "not", "never", "none", "neither", "nor", "cannot")
+_CLASS = {c: f"[{group}]" if group[0] != "-" else f"[{group[1:]}-]" for group in ALIKE for c in group}
+_LEFT_OUT = re.compile(rf"(?:^|[\s'\"(\[‘’“”])(?:{'|'.join(NEGATORS)})[.,;:]?\s*$", re.I)
+_OWN = re.compile(rf"\s*(?:{'|'.join(NEGATORS)})\s", re.I)
 _ELISION = re.compile(r"\[…\]|\(…\)|\[\.\.\.\]|\(\.\.\.\)|…|\.\.\.")
+_ALTERED = re.compile(r"\[([A-Za-z][A-Za-z']*)\]")
 
 
-def canonical(text: str) -> str:
-    """Lower case, straight quotes and dashes, no soft hyphens, single blanks, none at the ends."""
-    return _BLANK.sub(" ", text.replace("­", "").translate(_ALIKE)).strip().lower()
+def _loose(quote: str) -> str:
+    """A pattern of a quote's words: any white space between them, alike characters, soft hyphens anywhere."""
+    words = quote.replace(SOFT, "").split()
+    return rf"(?:\s|{SOFT})+".join(f"{SOFT}*".join(_CLASS.get(c) or re.escape(c) for c in w) for w in words)
 
 
-class Canonical:
-    """Canonical text with the place in the source of each of its characters, made when first asked for."""
+def _elided(quote: str) -> str | None:
+    """A pattern of a quote's pieces of four characters or more, in order, with gaps in proportion to what follows; None under two pieces."""
+    pieces = [p for p in (" ".join(x.split()) for x in _ELISION.split(quote)) if len(p) >= 4]
+    if len(pieces) < 2:
+        return None
+    return _loose(pieces[0]) + "".join(rf"(?:\s+|\S){{0,{400 + 5 * len(p)}}}?{_loose(p)}" for p in pieces[1:])
 
-    def __init__(self, text: str):
-        out: list[str] = []
-        self.place: list[int] = []
-        gap = False
-        for i, c in enumerate(text):
-            if c == "­":
-                continue
-            c = ALIKE.get(c, c)
-            if c.isspace():
-                gap = bool(out)
-                continue
-            if gap:
-                out.append(" ")
-                self.place.append(i)
-                gap = False
-            low = c.lower()
-            out.append(low)
-            self.place += [i] * len(low)
-        self.text = "".join(out)
 
-    def span(self, at: int, size: int) -> tuple[int, int]:
-        return self.place[at], self.place[at + size - 1] + 1
+def _rare(quote: str) -> str:
+    """The longest run of plain letters in a quote, in lower case: a text without it has no need of patterns."""
+    return max(re.findall(r"[a-z]+", _ALTERED.sub(" ", _ELISION.sub(" ", quote)).lower()), key=len, default="")
 
 
-def _sheds_negator(text: str, start: int, quote: str) -> bool:
-    """Whether the source has a negator right before a match that the quote leaves out."""
-    return not _OPENS.match(quote.lstrip()) and bool(_SHED.search(canonical(text[max(0, start - 48) : start])))
+@lru_cache(maxsize=512)
+def _rungs(quote: str) -> tuple[str, tuple[tuple[str, re.Pattern], ...]]:
+    bare = _ALTERED.sub(r"\1", quote)
+    forms = {"exact": re.escape(quote), "canonical": _loose(quote), "brackets": _loose(bare) if bare != quote else None, "elision": _elided(bare)}
+    return _rare(quote), tuple((how, re.compile(p, 0 if how == "exact" else re.I)) for how, p in forms.items() if p)
 
 
 def find_quote(text: str | None, quote: str | None) -> tuple[str, int, int] | None:
     """How (exact, canonical, brackets, elision) and where ``text`` has ``quote``; words are never changed.
 
-    Exact occurrences are tried one after another until none sheds a negator; of
-    each other kind only the first one.
+    Each form of the quote is one pattern over the text itself. Its first occurrence
+    counts that doesn't leave out a negator of the text right before it.
     """
     if not text or not quote or not quote.strip():
         return None
-    at = text.find(quote)
-    while at >= 0:
-        if not _sheds_negator(text, at, quote):
-            return "exact", at, at + len(quote)
-        at = text.find(quote, at + 1)
-    wanted = canonical(quote)
-    bare = _BRACKETS.sub(r"\1", wanted)
-    pieces = [p for p in (x.strip() for x in _ELISION.split(bare)) if len(p) >= 4]
-    flat = canonical(text)
-    if not (wanted in flat or bare in flat or (len(pieces) > 1 and all(p in flat for p in pieces))):
-        return None  # before the costly map of places
-    source = Canonical(text)
-    for how, form in (("canonical", wanted), ("brackets", bare if bare != wanted else "")):
-        at = source.text.find(form) if form else -1
-        if at >= 0:
-            start, end = source.span(at, len(form))
-            if not _sheds_negator(text, start, quote):
-                return how, start, end
-    if len(pieces) < 2:
+    rare, rungs = _rungs(quote)
+    if rare and SOFT not in text and rare not in text.lower():
         return None
-    first, cursor = None, 0
-    for p in pieces:
-        at = source.text.find(p, cursor)
-        if at < 0 or (first is not None and at - cursor > 400 + 5 * len(p)):
-            return None
-        first = at if first is None else first
-        cursor = at + len(p)
-    start, end = source.place[first], source.place[cursor - 1] + 1
-    return None if _sheds_negator(text, start, quote) else ("elision", start, end)
+    own = _OWN.match(quote)
+    for how, pattern in rungs:
+        m = pattern.search(text)
+        while m:
+            if own or not _LEFT_OUT.search(text[max(0, m.start() - 48) : m.start()].replace(SOFT, "")):
+                return how, m.start(), m.end()
+            m = pattern.search(text, m.start() + 1)
+    return None
 
 
 # -------------------------------------------------------------------- passages
@@ -286,9 +272,9 @@ def _cvc(w: str) -> bool:
 
 
 #: Suffixes of steps 2, 3 and 4 of Porter's 1980 paper (fixed values).
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
+STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
 
 def stem(word: str) -> str:
@@ -315,14 +301,14 @@ def stem(word: str) -> str:
                 break
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for rules in (_STEP2, _STEP3):
+    for rules in (STEP2, STEP3):
         for pair in sorted(rules.split(), key=lambda p: -len(p.split(":")[0])):
             old, new = pair.split(":")
             if w.endswith(old):
                 if _measure(w[: -len(old)]) > 0:
                     w = w[: -len(old)] + new
                 break
-    for old in sorted(_STEP4.split(), key=len, reverse=True):
+    for old in sorted(STEP4.split(), key=len, reverse=True):
         if w.endswith(old):
             rest = w[: -len(old)]
             if _measure(rest) > 1 and (old != "ion" or rest.endswith(("s", "t"))):
@@ -337,26 +323,43 @@ def stem(word: str) -> str:
     return w
 
 
+stem_once = lru_cache(maxsize=1 << 20)(stem)
+
+
+def term_places(words: list[str] | None) -> list[dict]:
+    """Stems of a text's words with their places."""
+    places: dict[str, list[int]] = {}
+    for k, w in enumerate(words if words is not None else ()):
+        places.setdefault(stem_once(w), []).append(k)
+    return [{"term": t, "positions": p} for t, p in places.items()]
+
+
 # ------------------------------------------------------------- column functions
 
 
 def _rows(result: str, names: list[str], f: Callable[..., tuple], *columns: Column) -> Column:
-    """A struct for each row from a function of its values."""
+    """A struct for each row from a function of one value or two."""
+
+    def frame(values: Iterable[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([f(*(None if isinstance(x, float) else x for x in v)) for v in values], columns=names, dtype=object)
+
+    def one(a: pd.Series) -> pd.DataFrame:
+        return frame(zip(a))
 
-    def run(*series: pd.Series) -> pd.DataFrame:
-        values = ([None if isinstance(v, float) else v for v in s] for s in series)
-        return pd.DataFrame([f(*v) for v in zip(*values, strict=True)], columns=names, dtype=object)
+    def two(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return frame(zip(a, b, strict=True))
 
-    run.__annotations__ = {}
-    return F.pandas_udf(run, result, F.PandasUDFType.SCALAR)(*columns)
+    run = one if len(columns) == 1 else two
+    run.__annotations__ = {k: pd.DataFrame if k == "return" else pd.Series for k in run.__annotations__}
+    return F.pandas_udf(run, result)(*columns)
 
 
 def _values(result: str, f: Callable, column: Column) -> Column:
     def run(series: pd.Series) -> pd.Series:
         return pd.Series([f(None if isinstance(v, float) else v) for v in series], dtype=object)
 
-    run.__annotations__ = {}
-    return F.pandas_udf(run, result, F.PandasUDFType.SCALAR)(column)
+    run.__annotations__ = {"series": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, result)(column)
 
 
 def statute_citations_of(text: Column) -> Column:
@@ -371,8 +374,8 @@ def quoted_spans_of(text: Column) -> Column:
     return _values("array<struct<quote: string, start: int, end: int>>", quoted_spans, text)
 
 
-def stem_of(word: Column) -> Column:
-    return _values("string", lambda w: None if w is None else stem(w), word)
+def term_places_of(words: Column) -> Column:
+    return _values("array<struct<term: string, positions: array<int>>>", term_places, words)
 
 
 def clean_markup_of(markup: Column, link: str = OPINION_LINK) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,6 +101,19 @@ def treatment_labels(bits: Column) -> Column:
     return F.array_compact(F.array(*[F.when(bits.bitwiseAND(F.lit(b)) != 0, name) for b, name in TREATMENT_LABELS.items()]))
 
 
+def statute_label(source: Column, title: Column, section: Column) -> Column:
+    """A statute's key as it is cited: ``42 U.S.C. § 1983`` or ``12 C.F.R. § 1026.36``."""
+    return F.concat(title, F.when(source == "usc", " U.S.C. § ").when(source == "ecfr", " C.F.R. § ").otherwise(F.concat(F.lit(" "), source, F.lit(" § "))), section)
+
+
+#: Language by which a citer turns against what it cites (fixed values).
+NEGATIVE = ("overrul", "abrogat", "but see", "declined to follow", "no longer")
+
+
+def negative(context: Column) -> Column:
+    return reduce(or_, (F.lower(context).contains(t) for t in NEGATIVE))
+
+
 def collapsed(text: Column) -> Column:
     """White space, Unicode's too, as single blanks; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -137,13 +153,23 @@ def context_window(text: Column, start: Column, end: Column, pad: int = 150, mos
     return F.substring(F.concat(before, F.lit(" … "), after), 1, most)
 
 
-def probe_fragment(quote: Column, target: int = 10) -> Column:
-    """The middle whole words of a quote, without its first and last word where it has more than four."""
-    low = F.translate(F.lower(quote), "‘’“”", "''\"\"")
-    words = F.filter(F.split(F.trim(F.regexp_replace(low, r"\s+", " ")), " "), lambda w: w.rlike("[a-z0-9]"))
-    n = F.least(F.lit(target), F.size(words) - 2)
-    start = F.greatest(F.lit(1), F.floor((F.size(words) - n) / 2).cast("int"))
-    return F.when(F.size(words) <= 4, F.array_join(words, " ")).otherwise(F.array_join(F.slice(words, start + 1, F.greatest(n, F.lit(0))), " "))
+def probe_words(quote: Column) -> Column:
+    """Words of a quote that hold a letter or digit, in lower case with straight quotes."""
+    plain = F.translate(F.lower(quote), "‘’“”", "''\"\"")
+    return F.regexp_extract_all(plain, F.lit(r"(\S*[a-z0-9]\S*)"), F.lit(1))
+
+
+def middle(words: Column, most: int = 10) -> Column:
+    """Up to ``most`` words around the middle of an array, without its first and last one; all of four words or fewer."""
+    n = F.size(words)
+    taken = F.least(F.lit(most), n - 2)
+    return F.when(n <= 4, words).otherwise(F.slice(words, F.greatest(F.lit(2), F.floor((n - taken) / 2).cast("int") + 1), F.greatest(taken, F.lit(0))))
+
+
+def longest(words: Column, most: int) -> Column:
+    """The ``most`` longest distinct words, equal lengths in the order of the alphabet."""
+    keyed = F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.transform(F.slice(keyed, 1, most), lambda x: x["w"])
 
 
 def without_markup(text: Column) -> Column:

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import passage_of, stem_once, term_places_of
+from ..tables import written
+from . import scalars
+from .graph import cocitations
 from .phrases import PHRASES
 
 TERM = r"[\p{L}\p{N}]+"
+#: Folders that an index has.
+BUCKETS = 64
 #: Words that queries drop (fixed values).
 STOPWORDS = frozenset("the a an of to in for on and or is was were be been by with at as that this".split())
 
@@ -35,44 +44,77 @@ def terms(text: Column) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf, positions) of ``docs`` (id, text)."""
-    placed = docs.select("id", F.posexplode(terms(F.col("text"))).alias("position", "term"))
-    return placed.groupBy("term", "id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    """(term, id, tf, positions, size) of ``docs`` (id, text): terms are stems, ``size`` is the text's number of words."""
+    words = docs.select("id", terms(F.col("text")).alias("words"))
+    listed = words.select("id", F.size("words").alias("size"), F.explode(term_places_of(F.col("words"))).alias("x"))
+    return listed.select("x.term", "id", F.size("x.positions").alias("tf"), "x.positions", "size")
 
 
-def phrase_count(words: Column, phrase: str) -> Column:
-    """Occurrences of a phrase among an array of words."""
-    parts = re.findall(r"[^\W_]+", phrase.lower())
-    if len(parts) == 1:
-        return F.size(F.filter(words, lambda w: w == parts[0]))
-    at = F.transform(F.array(words), lambda ws: F.size(F.filter(F.sequence(F.lit(0), F.size(ws) - len(parts)), lambda i: F.slice(ws, i + 1, len(parts)) == F.array(*map(F.lit, parts)))))
-    return F.when(F.size(words) >= len(parts), F.get(at, F.lit(0))).otherwise(0)
+@dataclass(frozen=True)
+class Index:
+    """Postings in folders by ``bucket`` of their term, with the number of texts and their mean size."""
 
+    postings: DataFrame
+    n: int
+    mean: float
 
-def ranked(docs: DataFrame, tokens: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, bm25) of ``docs`` (id, text) that hold all tokens; higher is better. Statistics are the whole collection's.
 
-    One scan counts every token of a document in place, so only matches leave it.
-    """
-    counted = docs.select("id", terms(F.col("text")).alias("words"))
-    counted = counted.select("id", F.size("words").alias("size"), *[phrase_count(F.col("words"), t).alias(f"tf{k}") for k, t in enumerate(tokens)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(tokens))]).first()
-    score = F.lit(0.0)
-    for k in range(len(tokens)):
-        idf = F.greatest(F.ln((F.lit(stats["n"] - stats[f"df{k}"]) + 0.5) / (F.lit(stats[f"df{k}"]) + 0.5)), F.lit(1e-6))
-        tf = F.col(f"tf{k}")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / F.lit(stats["mean"] or 1.0)))
-    hit = F.lit(True)
-    for k in range(len(tokens)):
-        hit = hit & (F.col(f"tf{k}") > 0)
-    return counted.where(hit if tokens else F.lit(False)).select("id", score.alias("bm25"))
-
-
-def near(docs: DataFrame, words: list[str], distance: int) -> DataFrame:
-    """Ids of ``docs`` where all words occur within ``distance`` words of each other."""
-    placed = docs.select("id", F.posexplode(terms(F.col("text"))).alias("p", "term")).where(F.col("term").isin(words))
+def build_index(docs: DataFrame) -> Index:
+    """The index of ``docs`` (id, text). One scan and one shuffle; a bucket with a frequent term is several files."""
+    bucket = (F.crc32("term") % BUCKETS).cast("int")
+    dealt = postings(docs).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
+    table = written(dealt.sortWithinPartitions("bucket", "term", "id"), "postings", by="bucket")
+    n, words = docs.select("id").count(), table.agg(F.sum("tf")).first()[0] or 0
+    return Index(table, n, words / max(n, 1) or 1.0)
+
+
+def stems(token: str) -> tuple[str, ...]:
+    """What the words of a query's token are in the index: several for a phrase."""
+    return tuple(stem_once(w) for w in re.findall(r"[^\W_]+", token.lower()))
+
+
+def _fetched(index: Index, parts: list[str]) -> DataFrame:
+    """Postings of some stems: only their buckets' files are read."""
+    buckets = sorted({zlib.crc32(p.encode()) % BUCKETS for p in parts})
+    return index.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(parts))
+
+
+def _shifted(places: Column, k: int) -> Column:
+    return F.transform(places, lambda x: x - k)
+
+
+def ranked(index: Index, tokens: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, bm25) of texts that hold all tokens; higher is better. A phrase's words stand side by side; statistics are the whole index's."""
+    wanted = [stems(t) for t in tokens]
+    parts = sorted({p for w in wanted for p in w})
+    if not wanted or not all(wanted):
+        return index.postings.limit(0).select("id", F.lit(0.0).alias("bm25"))
+    at = {p: F.col(f"p{k}") for k, p in enumerate(parts)}
+    of = _fetched(index, parts).groupBy("id").agg(
+        F.max("size").alias("size"), *[F.max(F.when(F.col("term") == p, F.col("positions"))).alias(f"p{k}") for k, p in enumerate(parts)]
+    )
+
+    def count(words: tuple[str, ...]) -> Column:
+        found = reduce(F.array_intersect, (_shifted(at[w], k) for k, w in enumerate(words)))
+        return F.greatest(F.coalesce(F.size(found), F.lit(0)), F.lit(0))
+
+    counted = of.select("id", "size", *[count(w).alias(f"tf{k}") for k, w in enumerate(wanted)])
+    found = counted.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]).first()
+    score, hit = F.lit(0.0), F.lit(True)
+    for k in range(len(wanted)):
+        df, tf = found[f"df{k}"], F.col(f"tf{k}")
+        idf = max(math.log((index.n - df + 0.5) / (df + 0.5)), 1e-6)
+        score = score + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / F.lit(index.mean)))
+        hit = hit & (tf > 0)
+    return counted.where(hit).select("id", score.alias("bm25"))
+
+
+def near(index: Index, words: list[str], distance: int) -> DataFrame:
+    """Ids of texts where all words occur within ``distance`` words of each other."""
+    parts = sorted({p for w in words for p in stems(w)})
+    placed = _fetched(index, parts).select("id", "term", F.explode("positions").alias("p"))
     window = Window.partitionBy("id").orderBy("p").rangeBetween(0, distance)
-    return placed.withColumn("seen", F.size(F.collect_set("term").over(window))).where(F.col("seen") == len(set(words))).select("id").distinct()
+    return placed.withColumn("seen", F.size(F.collect_set("term").over(window))).where(F.col("seen") == len(parts)).select("id").distinct()
 
 
 def multiplier(pagerank: Column, recent: Column, highest: Column) -> Column:
@@ -112,47 +154,108 @@ class Options:
     seed_scan: int = 100
     prf: bool = False
     prf_slots: int = 2
+    density: bool = False
+    highest: str = "scotus"
     phrases: frozenset[str] = PHRASES
 
 
-def search(query: str, opinions: DataFrame, authority: DataFrame, parentheticals: DataFrame, cites: DataFrame | None = None, options: Options | None = None) -> DataFrame:
-    """Ranked hits (place, id, cluster_id, final, kind) of a query.
+def clamped(limit: int, most: int = 100) -> int:
+    return max(1, min(most, limit))
+
+
+@dataclass(frozen=True)
+class Collection:
+    """What searches read: ``meta`` of searchable opinions, their texts, ``authority``, ``told`` (id, described_id), ``cites``, and both indexes."""
 
-    Filters come before ranking. ``kind``: organic, seed (much described by
-    matching parentheticals, when the query has a phrase or nothing was found) or
-    prf (citers of several top hits, with ``options.prf``). Seeds take the last
-    places of the organic hits; prf only places that are left.
+    meta: DataFrame
+    texts: DataFrame
+    authority: DataFrame
+    told: DataFrame
+    cites: DataFrame | None
+    index: Index
+    told_index: Index
+
+
+def collection(opinions: DataFrame, authority: DataFrame, parentheticals: DataFrame, cites: DataFrame | None = None) -> Collection:
+    """Tables and indexes of a corpus, written once. Filters come before indexing, so that blocked opinions are in no index."""
+    found = opinions.where(scalars.searchable())
+    names = ["id", "cluster_id", "court_id", "status", "ocr", *[n for n in ("date_filed",) if n in opinions.columns]]
+    told = written(parentheticals.select(F.monotonically_increasing_id().alias("id"), "text", "described_id"), "parentheticals")
+    ranks = authority if "flags" in authority.columns else authority.withColumn("flags", F.lit(0))
+    return Collection(
+        written(found.select(*names), "meta"), found.select("id", "text"), written(ranks.select("id", "pagerank", "recent", "flags"), "authority"),
+        told, None if cites is None else written(cites, "cites"), build_index(found.select("id", "text")), build_index(told.select("id", "text")),
+    )
+
+
+def described(c: Collection, tokens: list[str], most: int = 500) -> DataFrame:
+    """(id, described): of the best ``most`` parentheticals for a query, how many describe each opinion."""
+    best = ranked(c.told_index, tokens).orderBy(F.desc("bm25"), "id").limit(most)
+    return c.told.select("id", "described_id").join(best, "id").groupBy(F.col("described_id").alias("id")).agg(F.count("*").alias("described"))
+
+
+def search(query: str, c: Collection, options: Options | None = None) -> DataFrame:
+    """Ranked hits of a query: place, id, cluster_id, final, kind, and the opinion's court, status, ocr, recent, described and treatment.
+
+    ``kind``: organic, seed (much described by matching parentheticals, when the
+    query has a phrase or nothing was found) or prf (citers of several top hits,
+    with ``options.prf``). Seeds take the last places of the organic hits; prf only
+    places that are left. With ``options.density`` the best hits are raised by their
+    densest passage. At most ``limit`` rows, clamped to 100, come to the driver.
     """
     o = options or Options()
+    limit, spark = clamped(o.limit), c.meta.sparkSession
+    tokens = query_tokens(query, o.phrases)
+    boosts = described(c, tokens)
+    rows = scored(ranked(c.index, tokens), c.meta, c.authority, boosts, o.highest)
+    if o.density:
+        rows = by_density(best_of_clusters(rows.select("id", "cluster_id", "final"), 50), c.texts, tokens)
+    found = [(r["id"], r["cluster_id"], r["final"], "organic") for r in best_of_clusters(rows.select("id", "cluster_id", "final"), limit).collect()]
+
+    def more(fresh: DataFrame, taken: list[tuple], n: int, name: str) -> list[tuple]:
+        """The best ``n`` clusters of (id, n) that aren't taken."""
+        known = spark.createDataFrame([(r[1],) for r in taken], "cluster_id long")
+        fresh = fresh.join(c.meta.select("id", "cluster_id"), "id").join(F.broadcast(known), "cluster_id", "left_anti")
+        one = fresh.groupBy("cluster_id").agg(F.max_by(F.struct("id", "n"), F.struct("n", -F.col("id"))).alias("x"))
+        best = one.select("x.id", "cluster_id", F.col("x.n").cast("double").alias("final")).orderBy(F.desc("final"), "id").limit(n)
+        return [(*r, name) for r in best.collect()]
+
+    seeds = []
+    if tokens and o.seed_slots and (any(" " in t for t in tokens) or not found):
+        seeds = more(boosts.orderBy(F.desc("described"), "id").limit(o.seed_scan).select("id", F.col("described").alias("n")), found, o.seed_slots, "seed")
+    top = found[:5]
+    found = found[: limit - len(seeds)]
+    free = min(o.prf_slots, limit - len(found) - len(seeds))
+    prf = []
+    if o.prf and c.cites is not None and top and free > 0:
+        pivots = spark.createDataFrame([(r[0],) for r in top], "id long")
+        prf = more(cocitations(c.cites, pivots).select(F.col("citing_id").alias("id"), "n"), found + seeds, free, "prf")
+    hits = spark.createDataFrame([(k, *r) for k, r in enumerate(found + seeds + prf, 1)], "place int, id long, cluster_id long, final double, kind string")
+    whole = F.broadcast(hits).join(c.meta.drop("cluster_id"), "id").join(c.authority, "id", "left").join(boosts, "id", "left")
+    return whole.select(
+        "place", "id", "cluster_id", "final", "kind", *[n for n in c.meta.columns if n not in ("id", "cluster_id")], F.coalesce("recent", F.lit(0)).alias("recent"),
+        F.coalesce("described", F.lit(0)).alias("described"), scalars.treatment_labels(F.coalesce("flags", F.lit(0))).alias("treatment"),
+    )
+
+
+def graph_fallback(cluster_id: int, opinions: DataFrame, cites: DataFrame, tokens: list[str], most: int = 40) -> DataFrame:
+    """(id, cluster_id, passage) of up to ``most`` unblocked citers that speak against a cluster."""
+    members = opinions.where(F.col("cluster_id") == cluster_id).select(F.col("id").alias("cited_id"))
+    told = cites.where(scalars.negative(F.col("context"))).join(members, "cited_id", "left_semi").select(F.col("citing_id").alias("id")).distinct()
+    rows = opinions.where("not blocked").join(told, "id", "left_semi").select("id", "cluster_id", "text").orderBy("id").limit(most)
+    return rows.select("id", "cluster_id", passage_of(F.col("text"), F.array(*map(F.lit, tokens)).cast("array<string>"))["passage"].alias("passage"))
+
+
+def search_relaxed(query: str, c: Collection, opinions: DataFrame, cluster_id: int, options: Options | None = None) -> DataFrame:
+    """(id, cluster_id, way) of a query's hits; if there are none, of its three longest tokens'; if none, citers that speak against ``cluster_id``."""
+    o = options or Options()
     tokens = query_tokens(query, o.phrases)
-    meta = opinions.where(F.col("status").isin("Published", "Unknown") & ~F.col("blocked"))
-    narrow = meta.select("id", "cluster_id", "court_id", "ocr")
-    told = parentheticals.select(F.monotonically_increasing_id().alias("id"), "text", "described_id")
-    matching = ranked(told.select("id", "text"), tokens).orderBy(F.desc("bm25"), "id").limit(500)
-    boosts = told.select("id", "described_id").join(matching, "id").groupBy(F.col("described_id").alias("id")).agg(F.count("*").alias("described"))
-    hits = ranked(meta.select("id", "text"), tokens)
-    organic = best_of_clusters(scored(hits, narrow, authority, boosts), o.limit).withColumn("kind", F.lit("organic"))
-    names = ["id", "cluster_id", "final", "kind"]
-    organic = organic.select(*names).withColumn("place", F.row_number().over(Window.orderBy(F.desc("final"), "id")))  # ``limit`` rows
-    seeds = organic.limit(0)
-    if any(" " in t for t in tokens) or organic.isEmpty():
-        scan = boosts.orderBy(F.desc("described"), "id").limit(o.seed_scan).join(narrow, "id").join(organic.select("cluster_id"), "cluster_id", "left_anti")
-        top = scan.groupBy("cluster_id").agg(F.max_by(F.struct("id", "described"), F.struct("described", -F.col("id"))).alias("x"))
-        seeds = top.select("x.id", "cluster_id", F.col("x.described").cast("double").alias("final"), F.lit("seed").alias("kind")).orderBy(F.desc("final"), "id").limit(o.seed_slots)
-        seeds = seeds.withColumn("place", o.limit + F.row_number().over(Window.orderBy(F.desc("final"), "id")))
-    n_seeds = seeds.count()
-    merged = organic.where(F.col("place") <= o.limit - n_seeds).unionByName(seeds)
-    if o.prf and cites is not None:
-        from .graph import cocitations
-
-        free = min(o.prf_slots, o.limit - merged.count())
-        if free > 0:
-            found = cocitations(cites, organic.where("place <= 5").select("id")).withColumnRenamed("citing_id", "id")
-            fresh = found.join(narrow, "id").join(merged.select("cluster_id"), "cluster_id", "left_anti")
-            one = fresh.groupBy("cluster_id").agg(F.max_by(F.struct("id", "n"), F.struct("n", -F.col("id"))).alias("x"))
-            prf = one.select("x.id", "cluster_id", F.col("x.n").cast("double").alias("final"), F.lit("prf").alias("kind")).orderBy(F.desc("final"), "id").limit(free)
-            merged = merged.unionByName(prf.withColumn("place", 2 * o.limit + F.row_number().over(Window.orderBy(F.desc("final"), "id"))))
-    return merged.select("place", *names)
+    for way, asked in (("query", query), ("relaxed", " ".join(relaxed(tokens)))):
+        hits = search(asked, c, o).select("id", "cluster_id").collect() if asked else []  # ``limit`` at most
+        if hits:
+            return c.meta.sparkSession.createDataFrame([(*h, way) for h in hits], "id long, cluster_id long, way string")
+    found = graph_fallback(cluster_id, opinions, c.cites, tokens).limit(clamped(o.limit))
+    return found.select("id", "cluster_id", F.lit("graph").alias("way"))
 
 
 def relaxed(tokens: list[str], n: int = 3) -> list[str]:
@@ -160,18 +263,8 @@ def relaxed(tokens: list[str], n: int = 3) -> list[str]:
     return sorted((t for t in tokens if len(t) > 3), key=lambda t: (-len(t), t))[:n]
 
 
-def probes(quote: str) -> list[list[str]]:
-    """Tokens of three searches for a quote's source: its six longest words, its middle, and the middle's five longest words."""
-    words = [w for w in re.findall(r"[a-z0-9']+", quote.lower()) if w not in STOPWORDS]
-    middle = words[max(0, len(words) // 2 - 5) : len(words) // 2 + 5]
-    longest = lambda ws, n: sorted(dict.fromkeys(ws), key=lambda w: (-len(w), w))[:n]
-    return [p for p in (longest(words, 6), middle, longest(middle, 5)) if p]
-
-
 def by_density(rows: DataFrame, texts: DataFrame, tokens: list[str], top: int = 50, weight: float = 0.5) -> DataFrame:
     """The best ``top`` of ``rows`` (id, final) with ``final`` raised by the hits of their densest passage; only they read their text."""
-    from ..functions.text import passage_of
-
     best = rows.orderBy(F.desc("final"), "id").limit(top)
     dense = best.join(texts.select("id", "text"), "id").withColumn("hits", passage_of(F.col("text"), F.array(*map(F.lit, tokens)))["hits"])
     return dense.drop("text").withColumn("final", F.col("final") * (1 + weight * F.log1p("hits")))

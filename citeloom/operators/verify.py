@@ -6,11 +6,13 @@ places; every step joins on the draft and keeps what is unresolved for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as functions
+from ..tables import written
 from . import scalars
+from .search import Index, terms
 
 
 def resolve(keys: DataFrame, citation_strings: DataFrame, opinions: DataFrame) -> DataFrame:
@@ -50,32 +52,102 @@ def citation_checks(drafts: DataFrame, citation_strings: DataFrame, opinions: Da
     return checked.withColumn("status", status)
 
 
-def attributed(quotes: DataFrame, checks: DataFrame, ahead: int = 300) -> DataFrame:
-    """Each quote (draft_id, start) with the verified citation it belongs to: the last one that ends before it, else the next within ``ahead``."""
-    cites = checks.where("status = 'verified'").select("draft_id", F.col("start").alias("c0"), F.col("end").alias("c1"), "idx", "cluster_id", "id")
-    pairs = quotes.select("draft_id", "start", "end").join(cites, "draft_id")
-    before = F.max_by(F.struct("idx", "cluster_id", "id"), F.when(F.col("c1") <= F.col("start"), F.struct("c1", "idx")))
-    after = F.min_by(F.struct("idx", "cluster_id", "id"), F.when((F.col("c0") >= F.col("end")) & (F.col("c0") - F.col("end") <= ahead), F.struct("c0", "idx")))
-    owner = pairs.groupBy("draft_id", "start").agg(F.coalesce(before, after).alias("owner"))
-    return quotes.join(owner, ["draft_id", "start"], "left").select(*[quotes[c] for c in quotes.columns], "owner.idx", "owner.cluster_id", "owner.id")
+def resolve_statutes(keys: DataFrame, statutes: DataFrame) -> DataFrame:
+    """``keys`` (source, title, section, ...) with the ``heading`` of the statute of that very key, or null."""
+    known = statutes.groupBy("source", "title", "section").agg(F.min("heading").alias("heading"))
+    return keys.join(known, ["source", "title", "section"], "left")
+
+
+def statute_checks(drafts: DataFrame, statutes: DataFrame) -> DataFrame:
+    """A row for each statutory citation of each draft: (draft_id, start, end, citation, status, heading)."""
+    found = drafts.select("draft_id", F.explode(functions.statute_citations_of(F.col("text"))).alias("s")).select("draft_id", "s.*")
+    label = scalars.statute_label(F.col("source"), F.col("title"), F.col("section"))
+    status = F.when(F.col("heading").isNotNull(), "verified").otherwise("unresolved_citation")
+    return resolve_statutes(found, statutes).select("draft_id", "start", "end", label.alias("citation"), status.alias("status"), "heading")
 
 
-def quote_checks(drafts: DataFrame, checks: DataFrame, opinions: DataFrame) -> DataFrame:
-    """Each quote of each draft with its verdict: verified, within_cluster, not_found or unattributed.
+def lookup(asked: DataFrame, citation_strings: DataFrame, opinions: DataFrame, statutes: DataFrame) -> DataFrame:
+    """``asked`` (asked) with what each string names: a case (kind, id) first, else a statute (kind, heading), else nulls."""
+    cases = asked.distinct().withColumn("c", scalars.parsed_citation(F.col("asked"))).select("asked", "c.*")
+    found = resolve(cases.where("volume is not null"), citation_strings, opinions).where("id is not null").select("asked", "id")
+    codes = asked.distinct().select("asked", F.get(functions.statute_citations_of(F.col("asked")), F.lit(0)).alias("s")).where("s is not null").select("asked", "s.*")
+    named = resolve_statutes(codes, statutes).where("heading is not null").select("asked", "heading")
+    kind = F.when(F.col("id").isNotNull(), "case").when(F.col("heading").isNotNull(), "statute")
+    return asked.join(found, "asked", "left").join(named, "asked", "left").select(
+        *asked.columns, kind.alias("kind"), "id", F.when(F.col("id").isNull(), F.col("heading")).alias("heading")
+    )
+
 
-    Texts join only for the quotes that the stage before left open.
+def attributed(quotes: DataFrame, checks: DataFrame, ahead: int = 300) -> DataFrame:
+    """Each quote (draft_id, start) with the verified citation it belongs to: the last one that ends before it, else the next within ``ahead``.
+
+    Quotes and citations of a draft pass once in the order of their places.
+    """
+    owner = F.struct("idx", "cluster_id", "id")
+    names = ["draft_id", "at", "end", "quote", "owner"]
+    none = F.lit(None)
+    cites = checks.where("status = 'verified'")
+    ends = cites.select("draft_id", F.col("end").alias("at"), none.cast("int").alias("end"), none.cast("string").alias("quote"), owner.alias("owner"))
+    begins = cites.select("draft_id", F.col("start").alias("at"), none.cast("int").alias("end"), none.cast("string").alias("quote"), owner.alias("owner"))
+    asked = quotes.select("draft_id", F.col("start").alias("at"), "end", "quote", none.cast(ends.schema["owner"].dataType).alias("owner"))
+    # Before: citations that end by the quote's start. After: citations that start from its end on.
+    before = Window.partitionBy("draft_id").orderBy("at", F.col("quote").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = ends.unionByName(asked).select(*names).withColumn("before", F.last("owner", True).over(before)).where("quote is not null")
+    turned = left.select("draft_id", F.col("end").alias("at"), F.col("at").alias("start"), "quote", "before", none.cast(ends.schema["owner"].dataType).alias("owner"), F.lit(True).alias("own"))
+    ahead_of = begins.select("draft_id", "at", none.cast("int").alias("start"), none.cast("string").alias("quote"), none.cast(ends.schema["owner"].dataType).alias("before"), "owner", F.lit(False).alias("own"))
+    after = Window.partitionBy("draft_id").orderBy(F.desc("at"), "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = turned.unionByName(ahead_of).withColumn("next", F.last(F.when(~F.col("own"), F.struct("at", "owner")), True).over(after)).where("own")
+    chosen = F.coalesce("before", F.when(F.col("next.at") - F.col("at") <= ahead, F.col("next.owner")))
+    return rows.select("draft_id", "quote", "start", F.col("at").alias("end"), chosen.alias("owner")).select("draft_id", "quote", "start", "end", "owner.idx", "owner.cluster_id", "owner.id")
+
+
+def true_sources(quotes: DataFrame, index: Index, texts: DataFrame, ranks: DataFrame, most: int = 60, checked: int = 90) -> DataFrame:
+    """(quote_id, source_id): for quotes (quote_id, quote) an opinion whose text has them, the best by ``ranks`` (id, highest, pagerank).
+
+    Three searches a quote: its six longest words, the words around its middle, and
+    the five longest of these. All words of a search must be in a text; the best
+    ``most`` texts of each, ``checked`` in sum, are read for the quote itself.
+    """
+    words = scalars.probe_words(F.col("quote"))
+    inner = scalars.middle(words)
+    asked = quotes.select("quote_id", "quote", F.posexplode(F.array(scalars.longest(words, 6), inner, scalars.longest(inner, 5))).alias("probe", "words"))
+    plain = F.filter(terms(F.array_join("words", " ")), lambda w: F.length(w) > 1)
+    wanted = asked.select("quote_id", "probe", F.explode(functions.term_places_of(plain)).alias("x")).select("quote_id", "probe", "x.term")
+    wanted = wanted.join(wanted.groupBy("quote_id", "probe").agg(F.count("*").alias("n")), ["quote_id", "probe"])
+    held = wanted.join(index.postings.select("term", "id", "tf", "size"), "term").groupBy("quote_id", "probe", "n", "id").agg(F.count("*").alias("m"), F.sum(F.col("tf") / F.col("size")).alias("weight"))
+    best = held.where("m = n").withColumn("place", F.row_number().over(Window.partitionBy("quote_id", "probe").orderBy(F.desc("weight"), "id"))).where(F.col("place") <= most)
+    some = best.groupBy("quote_id", "id").agg(F.min("place").alias("place"))
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("quote_id").orderBy("place", "id"))).where(F.col("nth") <= checked)
+    read = some.join(quotes, "quote_id").join(texts.select("id", "text"), "id").withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote")))
+    found = read.where("hit.how is not null").select("quote_id", "id").join(ranks, "id", "left")
+    order = F.struct(F.coalesce("highest", F.lit(False)), F.coalesce("pagerank", F.lit(0.0)), -F.col("id"))
+    return found.groupBy("quote_id").agg(F.max_by("id", order).alias("source_id"))
+
+
+def quote_checks(drafts: DataFrame, checks: DataFrame, opinions: DataFrame, index: Index | None = None, ranks: DataFrame | None = None) -> DataFrame:
+    """Each quote of each draft with its verdict: verified, within_cluster, wrong_case (with its ``source_id``), not_found or unattributed.
+
+    Texts join only for the quotes that the stage before left open. The search for
+    the true source needs an ``index`` of searchable texts, and ``ranks``.
     """
     quotes = drafts.select("draft_id", F.explode(functions.quoted_spans_of(F.col("text"))).alias("q")).select("draft_id", "q.*")
     owned = attributed(quotes, checks)
     texts = opinions.where("not blocked").select(F.col("id").alias("own"), F.col("cluster_id").alias("of"), "text")
     tried = owned.join(texts.select(F.col("own").alias("id"), "text"), "id", "left").withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote"))).drop("text")
-    first = tried.withColumn("status", F.when(F.col("id").isNull(), "unattributed").when(F.col("hit.how").isNotNull(), "verified"))
+    first = written(tried.withColumn("status", F.when(F.col("id").isNull(), "unattributed").when(F.col("hit.how").isNotNull(), "verified")), "quotes")
     rest = first.where("status is null").select("draft_id", "start", "quote", "cluster_id", "id")
     siblings = rest.join(texts, rest.cluster_id == texts.of).where("own <> id")
-    found = siblings.withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote"))).where("hit.how is not null").select("draft_id", "start").distinct()
-    return first.join(found.withColumn("sibling", F.lit(True)), ["draft_id", "start"], "left").select(
-        "draft_id", "quote", "start", "end", "idx", "id", F.coalesce("status", F.when(F.col("sibling"), "within_cluster").otherwise("not_found")).alias("status"), F.col("hit.how").alias("how")
-    )
+    found = siblings.withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote"))).where("hit.how is not null").select("draft_id", "start", F.lit(True).alias("sibling")).distinct()
+    known = first.join(found, ["draft_id", "start"], "left").withColumn("status", F.coalesce("status", F.when(F.col("sibling"), "within_cluster")))
+    if index is None:
+        known = known.withColumn("source_id", F.lit(None).cast("long"))
+    else:
+        known = written(known, "quotes")
+        open_ = known.where("status is null").select(F.struct("draft_id", "start").alias("quote_id"), "quote")
+        sources = true_sources(open_, index, opinions.where(scalars.searchable()), ranks).select("quote_id.*", "source_id")
+        known = known.join(sources, ["draft_id", "start"], "left")
+    status = F.coalesce("status", F.when(F.col("source_id").isNotNull(), "wrong_case").otherwise("not_found"))
+    return known.select("draft_id", "quote", "start", "end", "idx", "id", status.alias("status"), F.col("hit.how").alias("how"), "source_id")
 
 
 def report(drafts: DataFrame, checks: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -101,8 +173,6 @@ def export_gate(drafts: DataFrame, citation_strings: DataFrame, opinions: DataFr
 
 def sentence_verdicts(sentences: DataFrame, checks: DataFrame) -> DataFrame:
     """Sentences (draft_id, n, text) with their range in the joined draft and the worst status of checks inside it."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("draft_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     ranged = sentences.withColumn("s0", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))).withColumn("s1", F.col("s0") + F.length("text"))
     inside = ranged.join(checks.select("draft_id", "start", "end", "status"), "draft_id").where("start >= s0 and end <= s1")

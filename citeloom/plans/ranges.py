@@ -164,13 +164,6 @@ def a25_run_metrics(c: Corpus) -> DataFrame:
     return c.table("events").groupBy("user_id").agg(F.count("*").alias("n"), good.alias("verified"), F.round(good / F.count("*"), 6).alias("rate"))
 
 
-@query(", top AS (SELECT described_id, text, describing_id FROM parentheticals ORDER BY len(text) DESC, described_id, describing_id, text LIMIT 500) SELECT described_id, count(*) AS n FROM top GROUP BY 1")
-def a13_top_described(c: Corpus) -> DataFrame:
-    """How many of the 500 longest parentheticals describe each opinion."""
-    top = c.parentheticals.orderBy(F.desc(F.length("text")), "described_id", "describing_id", "text").limit(500)
-    return top.groupBy("described_id").agg(F.count("*").alias("n"))
-
-
 # ----------------------------------------------------------------------- audits
 
 
@@ -246,10 +239,3 @@ def p9_name_matches(c: Corpus) -> DataFrame:
     """Names that hold a fragment or equal another, whatever their case."""
     low = F.lower("name")
     return c.courts.where(low.contains("nation_1") | (low == "europe")).select("id", "name")
-
-
-@query("SELECT count(*) AS blocked_hits FROM opinions WHERE blocked AND NOT blocked")
-def q4_blocked_never_surface(c: Corpus) -> DataFrame:
-    """Blocked opinions among searchable ones: none."""
-    hits = c.opinions.where(scalars.searchable()).select("id")
-    return hits.join(c.opinions.where("blocked").select("id"), "id", "left_semi").agg(F.count("*").alias("blocked_hits"))

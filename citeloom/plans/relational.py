@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, scalars
+from ..sources.xml_sections import upsert
 from .registry import query
 from .views import Corpus
 
@@ -320,10 +321,13 @@ def j19_latest_run(c: Corpus) -> DataFrame:
     return c.table("events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("x")).select("user_id", "x.*")
 
 
-@query("SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
+@query("SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 2 DESC, event_id DESC) = 1")
 def s18_upsert(c: Corpus) -> DataFrame:
-    """Last write wins on the key."""
-    return c.table("events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"))
+    """Last write wins on the key: the later half of the events on the first writes of the earlier half."""
+    events = c.table("events").select("user_id", "event_type", "value", "event_id")
+    early = events.where("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.max_by(F.struct("value", "event_id"), "event_id").alias("x")).select("user_id", "event_type", "x.*")
+    late = events.where("event_id % 2 = 1")
+    return upsert(early, late, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "value")
 
 
 @query("SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")

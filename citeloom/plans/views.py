@@ -111,6 +111,14 @@ class Corpus:
             (F.col("conv_id") * 7 % n).alias("described_id"), ((F.col("conv_id") * 11 + F.col("turn")) % n).alias("describing_id"), "text"
         )
 
+    @property
+    def statutes(self) -> DataFrame:
+        k = F.col("p_partkey")
+        return self.table("part").select(
+            k.alias("id"), F.when(k % 2 == 0, "usc").otherwise("ecfr").alias("source"), (k % 50 + 1).cast("string").alias("title"), k.cast("string").alias("section"),
+            F.col("p_name").alias("heading"), F.concat_ws(" ", "p_type", "p_brand").alias("text"),
+        )
+
 
 _CASES = " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(CONTEXTS))
 _REPORTERS = ", ".join(f"'{r}'" for r in REPORTERS)
@@ -129,6 +137,8 @@ anchors AS (SELECT DISTINCT l_orderkey % n AS citing_id, (l_partkey * 7 + l_supp
   CASE l_suppkey % 8 {_CASES} END AS context FROM lineitem, size WHERE l_orderkey % 2 = 0),
 citation_strings AS (SELECT o_orderkey % (n // 3) AS cluster_id, (o_custkey % 200)::VARCHAR AS volume,
   [{_REPORTERS}][substr(o_orderpriority, 1, 1)::INT] AS reporter, (o_orderkey % 500)::VARCHAR AS page FROM orders, size),
+statutes AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'usc' ELSE 'ecfr' END AS source, (p_partkey % 50 + 1)::VARCHAR AS title, p_partkey::VARCHAR AS section,
+  p_name AS heading, p_type || ' ' || p_brand AS text FROM part),
 parentheticals AS (SELECT conv_id * 7 % n AS described_id, (conv_id * 11 + turn) % n AS describing_id, text FROM conversations, size),
 cites AS (SELECT m.citing_id, m.cited_id, m.depth, a.char_pos, a.context FROM citation_map m LEFT JOIN anchors a USING (citing_id, cited_id)
   UNION ALL SELECT a.citing_id, a.cited_id, NULL, a.char_pos, a.context FROM anchors a ANTI JOIN citation_map m USING (citing_id, cited_id)),

@@ -88,9 +88,10 @@ def sections(spark: SparkSession, path: str, feed: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, f"path string, {SECTION_SCHEMA}")
 
 
-def upsert(known: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
-    """``known`` with the rows of ``fresh``, whose last write wins on the key."""
-    return known.join(fresh.select(*key).distinct(), key, "left_anti").unionByName(fresh.dropDuplicates(key))
+def upsert(known: DataFrame, fresh: DataFrame, key: list[str], order: str) -> DataFrame:
+    """``known`` with the rows of ``fresh``, of which the one with the largest ``order`` wins on the key."""
+    last = fresh.groupBy(*key).agg(F.max_by(F.struct(*fresh.columns), order).alias("row")).select("row.*")
+    return known.join(last.select(*key), key, "left_anti").unionByName(last)
 
 
 def copy_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

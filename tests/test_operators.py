@@ -145,13 +145,21 @@ def test_search(spark):
     parens = spark.createDataFrame([(3, 9, "held that the commerce clause has substantial effects")], "described_id long, describing_id long, text string")
     o = search.Options(limit=3, phrases=frozenset({"commerce clause", "substantial effects"}))
     query = "commerce clause substantial effects"
-    got = {r["id"]: r["kind"] for r in search.search(query, opinions, authority, parens, cites, o).collect()}
+    c = search.collection(opinions, authority, parens, cites)
+    got = {r["id"]: r["kind"] for r in search.search(query, c, o).collect()}
     assert got == {1: "organic", 2: "organic", 3: "seed"}
     o.prf, o.seed_slots = True, 0
-    rows = search.search(query, opinions, authority, parens.limit(0), cites, o).orderBy("place").collect()
+    c = search.collection(opinions, authority, parens.limit(0), cites)
+    rows = search.search(query, c, o).orderBy("place").collect()
     assert [(r["id"], r["kind"]) for r in rows] == [(1, "organic"), (2, "organic"), (4, "prf")]
-    assert search.search("the of", opinions, authority, parens.limit(0)).count() == 0
-    assert {r["id"] for r in search.near(opinions, ["commerce", "effects"], 4).collect()} == {1, 2}
+    assert search.search("the of", c).count() == 0 and search.search("\"; DROP -- * AND ' OR", c).count() == 0
+    assert {r["id"] for r in search.near(c.index, ["commerce", "effects"], 4).collect()} == {1, 2}
+    # Stems: other forms of a word are found; a phrase needs its order.
+    assert {r["id"] for r in search.search("citation effected unrelatedly", c).collect()} == set()
+    assert {r["id"] for r in search.ranked(c.index, ["citings", "papers"]).collect()} == {4}
+    assert {r["id"] for r in search.ranked(c.index, ["clauses commerce"]).collect()} == set() and {r["id"] for r in search.ranked(c.index, ["commerce clauses"]).collect()} == {1, 2}
+    assert search.clamped(0) == 1 and search.clamped(1000) == 100
+    assert [tuple(r) for r in search.search_relaxed("commerce zzz effects clause", c, opinions, 1).select("way").distinct().collect()] == [("relaxed",)]
 
 
 def test_verification(spark):
@@ -167,6 +175,19 @@ def test_verification(spark):
     assert {r["draft_id"]: r["status"] for r in quotes.collect()} == {1: "verified", 2: "within_cluster", 3: "not_found", 4: "unattributed"}
     assert {r["draft_id"]: r["overall"] for r in verify.report(drafts, checks, quotes).collect()} == {1: "verified", 2: "verified", 3: "failed", 4: "failed", 5: "failed", 6: "empty"}
     assert {(r["draft_id"], r["citation"]) for r in verify.export_gate(drafts, strings, opinions).collect()} == {(5, "999 U.S. 1")}
+    ranks = opinions.select("id", F.lit(False).alias("highest"), F.lit(0.0).alias("pagerank"))
+    more = spark.createDataFrame([(9, 5, "020lead", False, "elsewhere it stands that words never said by anyone are rare", "Published")], "id long, cluster_id long, type string, blocked boolean, text string, status string")
+    wide = opinions.withColumn("status", F.lit("Published")).unionByName(more)
+    from citeloom.operators.search import build_index
+
+    wrong = verify.quote_checks(drafts, checks, wide, build_index(wide.where("not blocked")), ranks)
+    assert {r["draft_id"]: (r["status"], r["source_id"]) for r in wrong.collect()} == {1: ("verified", None), 2: ("within_cluster", None), 3: ("wrong_case", 9), 4: ("unattributed", None)}
+    statutes = spark.createDataFrame([("usc", "42", "1983", "Civil action")], "source string, title string, section string, heading string")
+    codes = spark.createDataFrame([(1, "Under 42 U.S.C. § 1983 and 42 U.S.C. § 1984."), (2, "12 C.F.R. § 1026.36")], "draft_id long, text string")
+    found = verify.statute_checks(codes, statutes).collect()
+    assert {(r["draft_id"], r["citation"], r["status"]) for r in found} == {(1, "42 U.S.C. § 1983", "verified"), (1, "42 U.S.C. § 1984", "unresolved_citation"), (2, "12 C.F.R. § 1026.36", "unresolved_citation")}
+    asked = spark.createDataFrame([("410 U.S. 113",), ("42 U.S.C. § 1983",), ("nothing",)], "asked string")
+    assert {tuple(r) for r in verify.lookup(asked, strings, opinions, statutes).collect()} == {("410 U.S. 113", "case", 1, None), ("42 U.S.C. § 1983", "statute", None, "Civil action"), ("nothing", None, None, None)}
     keys = spark.createDataFrame([("410", "us", "113-114"), ("410", "U.S.", "113")], "volume string, reporter string, page string")
     assert {r["id"] for r in verify.resolve(keys, strings, opinions).collect()} == {1}
 
@@ -208,7 +229,10 @@ def test_xml_sections(spark, tmp_path):
     assert [(r["section"], r["heading"], r["text"]) for r in got] == [("1026.36", "Rule.", "(a) Def. rest noted once")]
     rows = xml_sections.sections(spark, str(tmp_path / "code"), "code").drop("path")
     assert {(r["section"], r["text"], r["effective_date"]) for r in rows.collect()} == {("1983", "Body Pub. L. 107", None), ("1985a", "", "Jan. 6, 1997")}
-    assert xml_sections.upsert(rows, rows, ["source", "section"]).count() == 2
+    fresh = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate([("1983", "old"), ("1983", "new"), ("9", "x")])], "section string, text string, n int")
+    known = fresh.where("n = 0").withColumn("text", F.lit("before")).union(spark.createDataFrame([("7", "stays", 0)], fresh.schema))
+    merged = xml_sections.upsert(known, fresh, ["section"], "n")
+    assert {(r["section"], r["text"]) for r in merged.collect()} == {("1983", "new"), ("9", "x"), ("7", "stays")}
     with pytest.raises(ValueError):
         xml_sections.document(b"<!DOCTYPE x><a/>")
     empty = io.BytesIO()
@@ -233,7 +257,9 @@ def test_small_text_helpers(spark):
     got = rows.select(scalars.sentences(F.col("t")), scalars.known_tag(F.col("tag")), scalars.known_tag(F.col("q")), scalars.cleaned_query(F.col("q"))).first()
     assert got[0] == ["He came.", '"She" left!', "Was it so? yes it was."] and got[1] == "LAW" and got[2] is None and got[3] == "the duty exists"
     assert search.relaxed(["commerce clause", "tax", "duty", "liability", "negligence"]) == ["commerce clause", "negligence", "liability"]
-    assert search.probes("No person shall be deprived of life, liberty, or property without due process of law")[0][0] == "deprived"
+    words = spark.createDataFrame([("No person shall be deprived of life, liberty, or property without due process of law",)], "q string").select(scalars.probe_words(F.col("q")).alias("w"))
+    assert words.select(scalars.longest(F.col("w"), 2)).first()[0] == ["deprived", "liberty,"]
+    assert words.select(F.size(scalars.middle(F.col("w")))).first()[0] == 10
     texts = spark.createDataFrame([(1, "duty duty duty"), (2, "duty " + "x" * 900 + " duty")], "id long, text string")
     dense = search.by_density(texts.select("id", F.lit(1.0).alias("final")), texts, ["duty"])
     best = {r["id"]: r["hits"] for r in dense.collect()}
