@@ -153,27 +153,18 @@ def a21_treatment_recall(c: Corpus) -> DataFrame:
     return s.agg(F.count("*").alias("n"), rate(F.col("truth")).alias("recall"), rate(~F.col("truth")).alias("false_positives"))
 
 
-@query("SELECT reporter, count(*) AS n, count(DISTINCT volume) AS volumes FROM citation_strings GROUP BY 1")
-def a24_distinct_volumes(c: Corpus) -> DataFrame:
-    return c.citation_strings.groupBy("reporter").agg(F.count("*").alias("n"), F.count_distinct("volume").alias("volumes"))
-
-
-@query("SELECT user_id, count(*) AS n, count_if(event_type = 'purchase') AS verified, round(count_if(event_type = 'purchase') / count(*), 6) AS rate FROM events GROUP BY 1")
-def a25_run_metrics(c: Corpus) -> DataFrame:
-    good = F.count_if(F.col("event_type") == "purchase")
-    return c.table("events").groupBy("user_id").agg(F.count("*").alias("n"), good.alias("verified"), F.round(good / F.count("*"), 6).alias("rate"))
-
-
 # ----------------------------------------------------------------------- audits
 
 
-@query("SELECT id, substr(text, 11, 20) = substr(substr(text, 1, 40), 11, 20) AS exact, instr(text, substr(text, 11, 20)) BETWEEN 8 AND 14 AS near FROM opinions WHERE len(text) > 40")
+@query(
+    """, f AS (SELECT id, text, substr(text, 41, 20) AS part, 40 + id % 6 AS pos FROM opinions WHERE len(text) > 80)
+    SELECT id, substr(text, pos + 1, 20) = part AS exact, len(list_filter(range(-3, 4), lambda k: substr(text, pos + 1 + k, 20) = part)) > 0 AS near FROM f"""
+)
 def x25_offsets(c: Corpus) -> DataFrame:
-    """Whether fragments stand where their offsets say, exactly or within three characters."""
-    part = F.substring("text", 11, 20)
-    return c.opinions.where("length(text) > 40").select(
-        "id", (part == F.substring(F.substring("text", 1, 40), 11, 20)).alias("exact"), F.expr("instr(text, substring(text, 11, 20)) between 8 and 14").alias("near")
-    )
+    """Whether fragments stand where their offsets say, exactly or within three characters; some offsets are off."""
+    part, at = F.substring("text", 41, 20), F.col("id") % 6 + 40
+    rows = c.opinions.where("length(text) > 80").select("id", "text", part.alias("part"), at.cast("int").alias("at"))
+    return rows.select("id", F.expr("substring(text, at + 1, 20) = part").alias("exact"), F.expr("instr(substring(text, at - 2, 26), part) > 0").alias("near"))
 
 
 @query("SELECT citing_id, cited_id, char_pos, regexp_matches(context, '[a-z]{3,} [a-z]{2,} [a-z]{2,}') AS prose, regexp_matches(context, '\\d+ [A-Z][a-z.]+ \\d+') AS cite FROM anchors")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as functions
 from ..operators import calendar, graph, scalars, search, verify
-from ..tables import kept
+from ..tables import kept, written
 from .registry import query
 from .stems import STEMS
 from .views import Corpus
@@ -80,13 +80,14 @@ def x4_context_window(c: Corpus) -> DataFrame:
 
 
 @query(
-    """SELECT citing_id, cited_id, char_pos, array_to_string(list_filter([CASE WHEN char_pos & 1 <> 0 THEN 'overruled' END, CASE WHEN char_pos & 2 <> 0 THEN 'abrogated' END,
-    CASE WHEN char_pos & 4 <> 0 THEN 'distinguished' END, CASE WHEN char_pos & 8 <> 0 THEN 'but_see' END, CASE WHEN char_pos & 16 <> 0 THEN 'declined_to_follow' END], lambda x: x IS NOT NULL), ',') AS labels
-    FROM (SELECT DISTINCT citing_id, cited_id, char_pos FROM anchors)"""
+    """, la AS (SELECT cited_id AS id, concat_ws(',', max(CASE WHEN regexp_matches(lower(context), 'overrul|no longer good law') THEN 'overruled' END), max(CASE WHEN contains(lower(context), 'abrogat') THEN 'abrogated' END),
+  max(CASE WHEN contains(lower(context), 'distinguish') THEN 'distinguished' END), max(CASE WHEN contains(lower(context), 'but see') THEN 'but_see' END),
+  max(CASE WHEN contains(lower(context), 'declined to follow') THEN 'declined_to_follow' END)) AS labels FROM cites GROUP BY 1) SELECT * FROM la WHERE labels <> ''"""
 )
 def x6_flag_labels(c: Corpus) -> DataFrame:
-    rows = c.anchors.select("citing_id", "cited_id", "char_pos").distinct()
-    return rows.withColumn("labels", F.array_join(scalars.treatment_labels(F.col("char_pos").cast("int")), ","))
+    """Labels of each cited opinion's treatment flags."""
+    flags = graph.flags(graph.cites(c.citation_map, c.anchors))
+    return flags.select("id", F.array_join(scalars.treatment_labels(F.col("flags")), ",").alias("labels"))
 
 
 @query("SELECT cluster_id, volume || ' ' || reporter || ' ' || page AS citation, volume AS v, reporter AS r, page AS p FROM citation_strings")
@@ -228,14 +229,19 @@ def d7_anniversaries(c: Corpus) -> DataFrame:
     return c.opinions.select("id", due.alias("due"), (due < F.lit("2020-01-01").cast("date")).alias("expired"))
 
 
-@query(
-    """, b AS (SELECT id, date_filed AS s, (date_filed + INTERVAL 2 YEAR)::DATE AS d, date_filed + (id % 900)::INT AS w0, date_filed + (id % 900 + id % 80)::INT AS w1 FROM opinions)
-    SELECT id, CASE WHEN w0 < d THEN d + (w1 - w0 + 1)::INT ELSE d END AS due FROM b"""
-)
+_TOLLED = """, b AS (SELECT id, date_filed AS s, (date_filed + INTERVAL 2 YEAR)::DATE AS d0, date_filed + (id % 900)::INT AS a0, date_filed + (id % 900 + id % 80)::INT AS a1,
+  date_filed + (id % 900 + id % 40)::INT AS b0, date_filed + (id % 900 + id % 110)::INT AS b1, (date_filed + INTERVAL 2 YEAR)::DATE + (id % 60 - 10)::INT AS c0, (date_filed + INTERVAL 2 YEAR)::DATE + (id % 60 + 15)::INT AS c1 FROM opinions),
+w AS (SELECT id, s, d0, unnest([a0, b0, c0]) AS x, unnest([a1, b1, c1]) AS y FROM b), y AS (SELECT DISTINCT id, d0, unnest(range(0, (y - x) + 1)) + (x - s) AS k, s FROM w WHERE y >= x), z AS (SELECT id, s, d0 - s AS n0, list(k) AS ks FROM y WHERE k >= 0 GROUP BY ALL)"""
+_TOLLED += "".join(f", z{k} AS (SELECT id, s, n0, ks, n0 + len(list_filter(ks, lambda k: k < n)) AS n FROM {'z' + str(k - 1) if k > 1 else '(SELECT *, n0 AS n FROM z)'})" for k in range(1, 8))
+
+
+@query(_TOLLED + " SELECT b.id, coalesce(z7.s + z7.n::INT, b.d0) AS due FROM b LEFT JOIN z7 ON z7.id = b.id")
 def d8_tolled_deadlines(c: Corpus) -> DataFrame:
-    """Two years after each date, with one tolling window and a second inside the first."""
-    w0, w1 = F.date_add("date_filed", (F.col("id") % 900).cast("int")), F.date_add("date_filed", (F.col("id") % 900 + F.col("id") % 80).cast("int"))
-    windows = F.array(F.struct(w0.alias("start"), w1.alias("end")), F.struct(w0.alias("start"), w0.alias("end")))
+    """Two years after each date, with windows that overlap and one that only an extended period reaches."""
+    day = lambda n: F.date_add("date_filed", n.cast("int"))
+    i, end = F.col("id"), calendar.anniversary(F.col("date_filed"), F.lit(2))
+    pairs = ((day(i % 900), day(i % 900 + i % 80)), (day(i % 900 + i % 40), day(i % 900 + i % 110)), (F.date_add(end, (i % 60 - 10).cast("int")), F.date_add(end, (i % 60 + 15).cast("int"))))
+    windows = F.array(*[F.struct(a.alias("start"), b.alias("end")) for a, b in pairs])
     return c.opinions.select("id", calendar.deadline(F.col("date_filed"), F.lit(2), windows).alias("due"))
 
 
@@ -300,12 +306,12 @@ def f5_bm25(c: Corpus) -> DataFrame:
 
 @query(
     _words()
-    + """, x AS (SELECT id, i FROM sp WHERE stem = 'est'), y AS (SELECT id, i - 1 AS i FROM sp WHERE stem = 'tion')
+    + """, x AS (SELECT id, i FROM sp WHERE stem = 'of'), y AS (SELECT id, i - 1 AS i FROM sp WHERE stem = 'the')
     SELECT DISTINCT id, true AS hit FROM x JOIN y USING (id, i)"""
 )
 def f3_phrase(c: Corpus) -> DataFrame:
     """Texts with a phrase: its words side by side, as stems."""
-    return search.ranked(_index(c), ["est tion"]).select("id", F.lit(True).alias("hit"))
+    return search.ranked(_index(c), ["of the"]).select("id", F.lit(True).alias("hit"))
 
 
 _SCORED = (
@@ -424,12 +430,47 @@ def q4_blocked_never_surface(c: Corpus) -> DataFrame:
 
 
 def drafts(c: Corpus) -> DataFrame:
-    """A draft for each unblocked lead opinion: a quote of its own text (every fourth changed by a word) and its cluster's citation."""
+    """A draft for each unblocked lead opinion: a quote of a text and its cluster's citation.
+
+    Every fourth quote is changed by a word, every sixth is of another opinion. Some
+    drafts cite a case that doesn't exist, some a statute, of which some don't.
+    """
     best = c.citation_strings.groupBy("cluster_id").agg(F.min(F.struct("reporter", "volume", "page")).alias("b"))
-    lead = c.opinions.where("type = '020lead' and not blocked").select("id", "cluster_id", F.translate(F.substring("text", 1, 90), '"“”\n', "").alias("own"))
+    texts = c.opinions.select(F.col("id").alias("of"), F.translate(F.substring("text", 1, 90), '"“”\n', "").alias("own"))
+    lead = c.opinions.where("type = '020lead' and not blocked").select("id", "cluster_id", F.when(F.col("id") % 6 == 3, (F.col("id") + 31) % c.size).otherwise(F.col("id")).alias("of"))
     quote = F.when(F.col("id") % 4 == 0, F.concat(F.substring("own", 1, 30), F.lit(" wholly "), F.substring("own", 31, 60))).otherwise(F.col("own"))
-    text = F.concat(F.lit('The court held "'), quote, F.lit('" in '), F.concat_ws(" ", "b.volume", "b.reporter", "b.page"), F.lit("."))
-    return lead.join(best, "cluster_id").select(F.col("id").alias("draft_id"), text.alias("text"))
+    k = F.col("id") % 60 * 2 + 2
+    code = F.concat(F.lit(" See "), F.when(F.col("id") % 2 == 0, k % 50 + 1).otherwise(77).cast("string"), F.lit(" U.S.C. § "), k.cast("string"), F.lit("."))
+    text = F.concat(
+        F.lit('The court held "'), quote, F.lit('" in '), F.concat_ws(" ", "b.volume", "b.reporter", "b.page"), F.lit("."),
+        F.when(F.col("id") % 5 == 0, code).otherwise(""), F.when(F.col("id") % 7 == 0, " Then 9999 U.S. 12.").otherwise(""),
+    )
+    return lead.join(texts, "of").join(best, "cluster_id").select(F.col("id").alias("draft_id"), text.alias("text"))
+
+
+#: ``dr`` (draft_id, cluster_id, own quote, key), ``rk`` (key, id, cluster_id): what each key resolves to.
+_DRAFTS = """, be AS (SELECT cluster_id, min(struct_pack(r := reporter, v := volume, p := page)) AS b FROM citation_strings GROUP BY 1),
+dr AS (SELECT o.id AS draft_id, b.v AS volume, b.r AS reporter, b.p AS page, translate(substr(t.text, 1, 90), '"“”' || chr(10), '') AS own FROM opinions o JOIN be USING (cluster_id)
+  JOIN opinions t ON t.id = CASE WHEN o.id % 6 = 3 THEN (o.id + 31) % (SELECT n FROM size) ELSE o.id END WHERE o.type = '020lead' AND NOT o.blocked),
+dq AS (SELECT *, CASE WHEN draft_id % 4 = 0 THEN substr(own, 1, 30) || ' wholly ' || substr(own, 31, 60) ELSE own END AS quote FROM dr),
+rk AS (SELECT s.volume, s.reporter, s.page, o.cluster_id, o.id FROM (SELECT DISTINCT * FROM citation_strings) s JOIN opinions o USING (cluster_id) WHERE NOT o.blocked
+  QUALIFY row_number() OVER (PARTITION BY s.volume, s.reporter, s.page ORDER BY CASE WHEN contains(o.type, 'lead') THEN 0 WHEN contains(o.type, 'combined') THEN 1 ELSE 2 END, o.id) = 1),
+ck AS (SELECT draft_id, 'full' AS kind, volume, reporter, page, 'verified' AS status, rk.id FROM dq JOIN rk USING (volume, reporter, page)
+  UNION ALL SELECT draft_id, 'full', '9999', 'U.S.', '12', 'unresolved_citation', NULL FROM dq WHERE draft_id % 7 = 0),
+te AS (SELECT id, cluster_id, blocked, status IN ('Published', 'Unknown') AND NOT blocked AS open, trim(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS x FROM opinions),
+qc AS (SELECT draft_id, quote, trim(lower(regexp_replace(quote, '\\s+', ' ', 'g'))) AS q, rk.id, rk.cluster_id FROM dq JOIN rk USING (volume, reporter, page) WHERE len(quote) >= 8 AND trim(quote) <> ''),
+qv AS (SELECT draft_id, CASE WHEN contains((SELECT x FROM te WHERE te.id = qc.id), q) THEN 'verified' WHEN EXISTS (SELECT 1 FROM te WHERE te.cluster_id = qc.cluster_id AND NOT te.blocked AND contains(x, q)) THEN 'within_cluster'
+  WHEN EXISTS (SELECT 1 FROM te WHERE te.open AND contains(x, q)) THEN 'wrong_case' ELSE 'not_found' END AS status FROM qc)"""
+
+
+def _checks(c: Corpus) -> DataFrame:
+    return kept(c.spark, ("checks", c.sf_dir), lambda: written(verify.citation_checks(drafts(c), c.citation_strings, c.opinions), "checks"))
+
+
+def _quotes(c: Corpus) -> DataFrame:
+    ranks = c.opinions.select("id", (F.col("court_id") == "n0").alias("highest"), F.lit(0.0).alias("pagerank"))
+    make = lambda: written(verify.quote_checks(drafts(c), _checks(c), c.opinions, _collection(c).index, ranks), "quote-checks")
+    return kept(c.spark, ("quotes", c.sf_dir), make)
 
 
 @query(
@@ -446,34 +487,86 @@ def v1_resolve(c: Corpus) -> DataFrame:
     return verify.resolve(keys, c.citation_strings, c.opinions).select("volume", "reporter", "page", "cluster_id", "id", "n_clusters")
 
 
-@query()
+@query(_DRAFTS + " SELECT * FROM ck")
 def v4_citation_checks(c: Corpus) -> DataFrame:
-    return verify.citation_checks(drafts(c), c.citation_strings, c.opinions).select("draft_id", "kind", "volume", "reporter", "page", "status", "id")
+    return _checks(c).select("draft_id", "kind", "volume", "reporter", "page", "status", "id")
 
 
-@query()
+@query(_DRAFTS + " SELECT draft_id, status FROM qv")
 def v7_quote_checks(c: Corpus) -> DataFrame:
-    d = drafts(c)
-    return verify.quote_checks(d, verify.citation_checks(d, c.citation_strings, c.opinions), c.opinions).select("draft_id", "start", "end", "status", "how")
+    """V7, V8: every quote's verdict; quotes of other opinions are found at their true source."""
+    return _quotes(c).select("draft_id", "status")
 
 
-@query()
+@query(
+    _DRAFTS
+    + """, cc AS (SELECT draft_id, count(*) AS n, count_if(status <> 'verified') AS bad FROM ck GROUP BY 1), qq AS (SELECT draft_id, count(*) AS n, count_if(status NOT IN ('verified', 'within_cluster')) AS bad FROM qv GROUP BY 1),
+    r AS (SELECT d.draft_id, coalesce(cc.n, 0) AS n_citations, coalesce(qq.n, 0) AS n_quotes, coalesce(cc.bad, 0) + coalesce(qq.bad, 0) AS n_bad FROM dq d LEFT JOIN cc USING (draft_id) LEFT JOIN qq USING (draft_id))
+    SELECT *, CASE WHEN n_citations + n_quotes = 0 THEN 'empty' WHEN n_bad = 0 THEN 'verified' ELSE 'failed' END AS overall FROM r"""
+)
 def v9_reports(c: Corpus) -> DataFrame:
-    d = drafts(c)
-    checks = verify.citation_checks(d, c.citation_strings, c.opinions)
-    return verify.report(d, checks, verify.quote_checks(d, checks, c.opinions))
+    return verify.report(drafts(c), _checks(c), _quotes(c))
 
 
-@query()
+@query(_DRAFTS + " SELECT count(*) AS quotes, count_if(status = 'verified') AS verified, round(count_if(status = 'verified') / count(*), 6) AS rate FROM qv")
+def a25_quote_metrics(c: Corpus) -> DataFrame:
+    """How many quotes of the drafts are verified."""
+    good = F.count_if(F.col("status") == "verified")
+    return _quotes(c).agg(F.count("*").alias("quotes"), good.alias("verified"), F.round(good / F.count("*"), 6).alias("rate"))
+
+
+@query(_DRAFTS + " SELECT draft_id, '9999 U.S. 12' AS citation FROM dq WHERE draft_id % 7 = 0")
 def v12_export_gate(c: Corpus) -> DataFrame:
+    """Citations that keep drafts from being exported."""
     return verify.export_gate(drafts(c), c.citation_strings, c.opinions)
 
 
-@query()
+@query(
+    _DRAFTS
+    + """, n AS (SELECT draft_id, count(*) AS n_checks, bool_and(status = 'verified') AS ok FROM ck GROUP BY 1)
+    SELECT draft_id, 0 AS n, n_checks, CASE WHEN ok THEN 'verified' ELSE 'unverified' END AS verdict FROM n"""
+)
 def v10_sentence_verdicts(c: Corpus) -> DataFrame:
-    d = drafts(c)
-    sentences = d.select("draft_id", F.lit(0).alias("n"), "text")
-    return verify.sentence_verdicts(sentences, verify.citation_checks(d, c.citation_strings, c.opinions))
+    sentences = drafts(c).select("draft_id", F.lit(0).alias("n"), "text")
+    return verify.sentence_verdicts(sentences, _checks(c)).select("draft_id", "n", "n_checks", "verdict")
+
+
+_CODES = _DRAFTS + """, sc AS (SELECT draft_id, CASE WHEN draft_id % 2 = 0 THEN (draft_id % 60 * 2 + 2) % 50 + 1 ELSE 77 END AS title, draft_id % 60 * 2 + 2 AS section FROM dq WHERE draft_id % 5 = 0)"""
+
+
+@query(_CODES + " SELECT draft_id, sc.title || ' U.S.C. § ' || sc.section AS citation, CASE WHEN s.id IS NULL THEN 'unresolved_citation' ELSE 'verified' END AS status, heading FROM sc LEFT JOIN statutes s ON s.source = 'usc' AND s.title = sc.title::VARCHAR AND s.section = sc.section::VARCHAR")
+def v5_statute_checks(c: Corpus) -> DataFrame:
+    """Statutory citations of the drafts."""
+    return verify.statute_checks(drafts(c), c.statutes).select("draft_id", "citation", "status", "heading")
+
+
+@query(
+    """, a AS (SELECT DISTINCT volume, reporter, page FROM citation_strings), rk AS (SELECT s.volume, s.reporter, s.page, min(CASE WHEN NOT o.blocked THEN o.id END) AS one FROM a s JOIN citation_strings c USING (volume, reporter, page) JOIN opinions o USING (cluster_id) GROUP BY ALL)
+    SELECT volume || ' ' || reporter || ' ' || page AS asked, CASE WHEN one IS NOT NULL THEN 'case' END AS kind, NULL AS heading FROM rk
+    UNION ALL SELECT title || CASE source WHEN 'usc' THEN ' U.S.C. § ' ELSE ' C.F.R. § ' END || section, 'statute', heading FROM statutes UNION ALL SELECT 'no such thing', NULL, NULL"""
+)
+def v3_lookup(c: Corpus) -> DataFrame:
+    """Strings that name a case, a statute or nothing."""
+    cases = c.citation_strings.select(F.concat_ws(" ", "volume", "reporter", "page").alias("asked")).distinct()
+    codes = c.statutes.select(scalars.statute_label(F.col("source"), F.col("title"), F.col("section")).alias("asked"))
+    asked = cases.union(codes).union(c.spark.createDataFrame([("no such thing",)], "asked string"))
+    return verify.lookup(asked, c.citation_strings, c.opinions, c.statutes).select("asked", "kind", "heading")
+
+
+@query("SELECT source, count(*) AS sections, count(DISTINCT title) AS titles FROM statutes GROUP BY 1")
+def a24_statute_titles(c: Corpus) -> DataFrame:
+    return c.statutes.groupBy("source").agg(F.count("*").alias("sections"), F.count_distinct("title").alias("titles"))
+
+
+@query(
+    ", sx AS (SELECT id, concat_ws(' ', heading, text) AS text FROM statutes)" + _words("sx") + """, fs AS (SELECT sx.id, count(sp.i) AS size, count_if(stem = 'promo') AS t0 FROM sx LEFT JOIN sp ON sp.id = sx.id GROUP BY sx.id),
+    s AS (SELECT count(*) AS k, avg(size) AS mean, count_if(t0 > 0) AS d0 FROM fs) SELECT id, round(""" + _IDF.format(d="d0", t="t0") + ", 6) AS bm25 FROM fs, s WHERE t0 > 0"
+)
+def f19_statute_search(c: Corpus) -> DataFrame:
+    """a search over headings and texts of statutes."""
+    docs = c.statutes.select("id", F.concat_ws(" ", "heading", "text").alias("text"))
+    index = kept(c.spark, ("statutes", c.sf_dir), lambda: search.build_index(docs))
+    return search.ranked(index, ["promo"]).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 # ------------------------------------------------------------ batches of queries
