@@ -32,20 +32,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links at a Jaccard similarity of 0.8 over five-word shingles stays: the smallest id.
 
-    Documents without words go first. Stage language leaves only texts with letters,
-    so these had words, and stage lines found all of them in earlier documents. A near
-    copy keeps its own lines, as those are nowhere else.
+    Documents without words (null and empty texts too) go first. Stage language
+    leaves only texts with letters, so these had words, and stage lines found all of
+    them in earlier documents. A near copy keeps its own lines, as those are nowhere
+    else. Rows that repeat a doc_id stay or go together; rows without an id stay. An
+    empty table stays one, and all columns stay as they are.
     """
     return ngram_join.one_of_each(docs.where(F.col("text").rlike(NOT_BLANK)))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold four fifths or more of a benchmark item's shingles go."""
+    """Documents that hold four fifths or more of a benchmark item's shingles go.
+
+    Null and empty texts, and rows without an id, stay; rows that repeat a doc_id go
+    together. An empty benchmark, or one without words, keeps all documents.
+    """
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens. A null text is empty and has its end token; every row is a document of its own."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
