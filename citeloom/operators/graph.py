@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..tables import written
@@ -61,19 +61,21 @@ def pagerank(
     links = written(edges.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("weight")), "links")
     base = written(nodes.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling")), "nodes")
     ranks = base.withColumn("rank", F.lit(1.0 / n))
+    lost = ranks.where("dangling").count() / n
     done = 0
     while done < (exact or most):
-        previous = ranks
         into = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src")
         into = into.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("weight")).alias("got"))
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         rank = (1 - alpha) / n + alpha * lost / n + alpha * F.coalesce("got", F.lit(0.0))
-        ranks = written(base.join(into, "id", "left").select("id", "dangling", rank.alias("rank")), "ranks")
+        # The change and the dangling mass are summed while the round is written.
+        seen = Observation()
+        fresh = ranks.join(into, "id", "left").select("id", "dangling", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change"))
+        fresh = fresh.observe(seen, F.sum("change").alias("change"), F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost"))
+        ranks = written(fresh.select("id", "dangling", "rank"), "ranks")
+        lost = seen.get["lost"] or 0.0
         done += 1
-        if exact is None:
-            old = previous.select("id", F.col("rank").alias("old"))
-            if ranks.join(old, "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
-                break
+        if exact is None and seen.get["change"] < tolerance:
+            break
     return ranks.select("id", "rank"), done
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ranges, relational, texts  # noqa: F401  modules register their queries
+from . import ranges, relational, sourcing, texts  # noqa: F401  modules register their queries
 from .registry import QUERIES, SQL
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, scalars, verify
 from .registry import query
+from .relational import RANKS
 from .views import Corpus
 
 #: Ranges by rule: five sentences of 90 characters, four checks and three quotes for each opinion.
@@ -92,14 +93,13 @@ def j20_hand_check(c: Corpus) -> DataFrame:
     return rows.select("cluster_id", "volume", "reporter", "page", "id", "court")
 
 
-_IN = ", od AS (SELECT dst AS id, count(*) AS n FROM edges GROUP BY 1)"
-
-
-@query(_IN + " SELECT id, cluster_id, n FROM od JOIN opinions USING (id) ORDER BY n DESC, id LIMIT 5")
+@query(RANKS + " SELECT id, cluster_id, round(rank * 1000, 6) AS rank_permille FROM r3 JOIN opinions USING (id) ORDER BY rank DESC, id LIMIT 5")
 def j21_top_authorities(c: Corpus) -> DataFrame:
-    """The five opinions most cited."""
-    n = graph.edges(graph.cites(c.citation_map, c.anchors), c.opinions).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-    return n.orderBy(F.desc("n"), "id").limit(5).join(c.opinions.select("id", "cluster_id"), "id").select("id", "cluster_id", "n")
+    """The five opinions of the highest rank after three rounds."""
+    edges = graph.edges(graph.cites(c.citation_map, c.anchors), c.opinions)
+    ranks, _ = graph.pagerank(c.opinions.select("id"), edges, exact=3)
+    top = ranks.orderBy(F.desc("rank"), "id").limit(5).join(c.opinions.select("id", "cluster_id"), "id")
+    return top.select("id", "cluster_id", F.round(F.col("rank") * 1000, 6).alias("rank_permille"))
 
 
 @query(

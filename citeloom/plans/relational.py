@@ -126,16 +126,16 @@ def a8_treatment_flags(c: Corpus) -> DataFrame:
     return graph.flags(_cites(c))
 
 
-_RANKS = ", nn AS (SELECT count(*)::DOUBLE AS k FROM opinions), od AS (SELECT src, count(*)::DOUBLE AS outs FROM edges GROUP BY 1), r0 AS (SELECT id, 1 / k AS rank FROM opinions, nn)"
+RANKS = ", nn AS (SELECT count(*)::DOUBLE AS k FROM opinions), od AS (SELECT src, count(*)::DOUBLE AS outs FROM edges GROUP BY 1), r0 AS (SELECT id, 1 / k AS rank FROM opinions, nn)"
 for _k in range(3):
-    _RANKS += (
+    RANKS += (
         f", l{_k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{_k} WHERE id NOT IN (SELECT src FROM od)),"
         f" i{_k} AS (SELECT dst AS id, sum(r.rank / od.outs) AS got FROM edges JOIN r{_k} r ON r.id = src JOIN od USING (src) GROUP BY 1),"
         f" r{_k + 1} AS (SELECT o.id, 0.15 / k + 0.85 * lost / k + 0.85 * coalesce(got, 0) AS rank FROM opinions o LEFT JOIN i{_k} USING (id), nn, l{_k})"
     )
 
 
-@query(_RANKS + " SELECT id, round(rank * 1000, 6) AS rank_permille FROM r3")
+@query(RANKS + " SELECT id, round(rank * 1000, 6) AS rank_permille FROM r3")
 def g2_pagerank_rounds(c: Corpus) -> DataFrame:
     """Three rounds of PageRank from even ranks, in thousandths."""
     ranks, _ = graph.pagerank(c.opinions.select("id"), graph.edges(_cites(c), c.opinions), exact=3)
@@ -150,7 +150,7 @@ def g2_pagerank(c: Corpus) -> DataFrame:
 
 
 @query(
-    _RANKS + _RECENT + _FLAGS + """ SELECT o.id, round(r3.rank * 1000, 6) AS rank_permille, coalesce(recent, 0) AS recent, coalesce(flags, 0) AS flags
+    RANKS + _RECENT + _FLAGS + """ SELECT o.id, round(r3.rank * 1000, 6) AS rank_permille, coalesce(recent, 0) AS recent, coalesce(flags, 0) AS flags
     FROM opinions o LEFT JOIN r3 USING (id) LEFT JOIN rc USING (id) LEFT JOIN fl USING (id)"""
 )
 def g5_authority(c: Corpus) -> DataFrame:
