@@ -4,7 +4,8 @@ A document that holds ``share`` of an item's shingles holds at least one of any
 ``n - ceil(share * n) + 1`` of them. So the smallest hashes of each item, as many
 as its size band needs, are a sketch that no such document misses, however long
 it is. Each band of item sizes has a bitmap of its sketches, and a document is
-searched for those of the bands whose items it is large enough to hold. Documents
+searched for those of the bands whose items it is large enough to hold, if any sketch
+at all has a hash in common with it. Documents
 with a hit keep all shingles that a bitmap of all items lets pass, and these are
 matched with the items' shingles and counted. Bitmaps only spare work: they never
 lose a hit.
@@ -13,6 +14,8 @@ lose a hit.
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,15 +44,16 @@ def _places(h: Column, words: int) -> list[tuple[Column, Column]]:
     return [(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(words - 1)).cast("int"), x.bitwiseAND(F.lit(63)).cast("int")) for x in halves]
 
 
-def _bitmaps(hashes: DataFrame, most: int) -> tuple[dict[int, Column], int]:
-    """For each ``band`` a bitmap of its hashes ``h``, as a constant, sized for ``most`` of them, and its words; WORDS rows a band come to the driver at most."""
+def _bitmaps(hashes: DataFrame, most: int) -> tuple[dict[int | None, Column], int]:
+    """For each ``band``, and for all as None, a bitmap of the hashes ``h``, as a constant, sized for ``most`` of them, and its words; WORDS rows a band come to the driver at most."""
     words = 1 << max(8, min(WORDS.bit_length() - 1, (most * BITS // 64).bit_length()))
     places = F.array(*[F.struct(w.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), b).alias("bit")) for w, b in _places(F.col("h"), words)])
     set_ = hashes.select("band", F.explode(places).alias("x")).groupBy("band", "x.word").agg(F.bit_or("x.bit").alias("bits"))
-    maps: dict[int, list[int]] = {}
+    maps: dict[int | None, list[int]] = {}
     for row in set_.collect():
-        maps.setdefault(row["band"], [0] * words)[row["word"]] = row["bits"]
-    return {band: F.from_json(F.lit(json.dumps(bits)), "array<bigint>") for band, bits in sorted(maps.items())}, words
+        for band in {row["band"], None}:
+            maps.setdefault(band, [0] * words)[row["word"]] |= row["bits"]
+    return {band: F.from_json(F.lit(json.dumps(bits)), "array<bigint>") for band, bits in maps.items()}, words
 
 
 def _in(bitmap: Column, words: int, h: Column) -> Column:
@@ -87,15 +91,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: tuple[int
 
     sketches, words_ = _bitmaps(known.where("sketch"), max(r["n"] for r in bands))
     full, wide = _bitmaps(known.withColumn("band", F.lit(0)), sum(r["every"] for r in bands))
-    found = docs.where("doc_id is not null").select("doc_id", _shingles(F.col("text"), sizes).alias("hs"))
+    banded = [(band, bits) for band, bits in sketches.items() if band is not None]
 
-    def held(band: int, bits: Column) -> Column:
-        return (F.size("hs") * down >= (1 << band) * up) & F.exists("hs", lambda h: _in(bits, words_, h))
+    def hit(hs: Column) -> Column:
+        """Whether a document's shingles hit a sketch; one pass over all bands' sketches spares most of them the search by band."""
+        by_band = [(F.size(hs) * down >= (1 << band) * up) & F.exists(hs, lambda h: _in(bits, words_, h)) for band, bits in banded]
+        return F.exists(hs, lambda h: _in(sketches[None], words_, h)) & reduce(or_, by_band)
 
-    hit = F.lit(False)
-    for band, bits in sketches.items():
-        hit = hit | held(band, bits)
-    found = found.where(hit).select("doc_id", F.explode(F.filter("hs", lambda h: _in(full[0], wide, h))).alias("h"))
+    # Bound by a lambda, the shingles are made once; an outer explode keeps the optimizer from asking for them again.
+    known_ones = F.transform(F.array(_shingles(F.col("text"), sizes)), lambda hs: F.when(hit(hs), F.filter(hs, lambda h: _in(full[None], wide, h))))
+    found = docs.where("doc_id is not null").select("doc_id", F.explode_outer(F.get(known_ones, F.lit(0))).alias("h")).where("h is not null")
     pairs = found.join(known, "h").groupBy("doc_id", "item_id").agg(
         F.count_distinct("h").alias("n_shared"), F.max("n_item").alias("n_item"), F.bool_or("sketch").alias("candidate")
     )
