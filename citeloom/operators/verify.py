@@ -83,22 +83,22 @@ def attributed(quotes: DataFrame, checks: DataFrame, ahead: int = 300) -> DataFr
 
     Quotes and citations of a draft pass once in the order of their places.
     """
-    owner = F.struct("idx", "cluster_id", "id")
-    names = ["draft_id", "at", "end", "quote", "owner"]
-    none = F.lit(None)
+    owner = F.struct("idx", "cluster_id", "id").alias("owner")
+    asked = quotes.select("draft_id", "start", "end", F.struct(*quotes.columns).alias("quote"))
+    no_quote = F.lit(None).cast(asked.schema["quote"].dataType).alias("quote")
     cites = checks.where("status = 'verified'")
-    ends = cites.select("draft_id", F.col("end").alias("at"), none.cast("int").alias("end"), none.cast("string").alias("quote"), owner.alias("owner"))
-    begins = cites.select("draft_id", F.col("start").alias("at"), none.cast("int").alias("end"), none.cast("string").alias("quote"), owner.alias("owner"))
-    asked = quotes.select("draft_id", F.col("start").alias("at"), "end", "quote", none.cast(ends.schema["owner"].dataType).alias("owner"))
-    # Before: citations that end by the quote's start. After: citations that start from its end on.
-    before = Window.partitionBy("draft_id").orderBy("at", F.col("quote").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    left = ends.unionByName(asked).select(*names).withColumn("before", F.last("owner", True).over(before)).where("quote is not null")
-    turned = left.select("draft_id", F.col("end").alias("at"), F.col("at").alias("start"), "quote", "before", none.cast(ends.schema["owner"].dataType).alias("owner"), F.lit(True).alias("own"))
-    ahead_of = begins.select("draft_id", "at", none.cast("int").alias("start"), none.cast("string").alias("quote"), none.cast(ends.schema["owner"].dataType).alias("before"), "owner", F.lit(False).alias("own"))
-    after = Window.partitionBy("draft_id").orderBy(F.desc("at"), "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = turned.unionByName(ahead_of).withColumn("next", F.last(F.when(~F.col("own"), F.struct("at", "owner")), True).over(after)).where("own")
+    no_owner = F.lit(None).cast(cites.select(owner).schema["owner"].dataType).alias("owner")
+    mine, first = F.col("quote").isNotNull(), Window.partitionBy("draft_id")
+    # Citations by their ends, before quotes by their starts; then by their starts, after quotes by their ends.
+    ends = cites.select("draft_id", F.col("end").alias("at"), no_quote, owner).unionByName(asked.select("draft_id", F.col("start").alias("at"), "quote", no_owner))
+    so_far = first.orderBy("at", mine, "owner.idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = ends.withColumn("before", F.last("owner", True).over(so_far)).where(mine)
+    begins = cites.select("draft_id", F.col("start").alias("at"), no_quote, owner).withColumn("before", no_owner)
+    rows = begins.unionByName(left.select("draft_id", F.col("quote.end").alias("at"), "quote", no_owner, "before"))
+    to_come = first.orderBy(F.desc("at"), mine, F.desc("owner.idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("next", F.last(F.when(F.col("quote").isNull(), F.struct("at", "owner")), True).over(to_come)).where(mine)
     chosen = F.coalesce("before", F.when(F.col("next.at") - F.col("at") <= ahead, F.col("next.owner")))
-    return rows.select("draft_id", "quote", "start", F.col("at").alias("end"), chosen.alias("owner")).select("draft_id", "quote", "start", "end", "owner.idx", "owner.cluster_id", "owner.id")
+    return rows.select("quote.*", chosen.alias("owner")).select(*quotes.columns, "owner.idx", "owner.cluster_id", "owner.id")
 
 
 def true_sources(quotes: DataFrame, index: Index, texts: DataFrame, ranks: DataFrame, most: int = 60, checked: int = 90) -> DataFrame:
