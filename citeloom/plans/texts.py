@@ -232,10 +232,11 @@ def d7_anniversaries(c: Corpus) -> DataFrame:
 _TOLLED = """, b AS (SELECT id, date_filed AS s, (date_filed + INTERVAL 2 YEAR)::DATE AS d0, date_filed + (id % 900)::INT AS a0, date_filed + (id % 900 + id % 80)::INT AS a1,
   date_filed + (id % 900 + id % 40)::INT AS b0, date_filed + (id % 900 + id % 110)::INT AS b1, (date_filed + INTERVAL 2 YEAR)::DATE + (id % 60 - 10)::INT AS c0, (date_filed + INTERVAL 2 YEAR)::DATE + (id % 60 + 15)::INT AS c1 FROM opinions),
 w AS (SELECT id, s, d0, unnest([a0, b0, c0]) AS x, unnest([a1, b1, c1]) AS y FROM b), y AS (SELECT DISTINCT id, d0, unnest(range(0, (y - x) + 1)) + (x - s) AS k, s FROM w WHERE y >= x), z AS (SELECT id, s, d0 - s AS n0, list(k) AS ks FROM y WHERE k >= 0 GROUP BY ALL)"""
-_TOLLED += "".join(f", z{k} AS (SELECT id, s, n0, ks, n0 + len(list_filter(ks, lambda k: k < n)) AS n FROM {'z' + str(k - 1) if k > 1 else '(SELECT *, n0 AS n FROM z)'})" for k in range(1, 8))
+#: A round counts the days before the deadline so far; 300 rounds are more than the windows have days.
+_TOLLED += ", f AS (SELECT id, s, list_reduce(range(0, 300), lambda n, i: n0 + len(list_filter(ks, lambda k: k < n)), n0) AS n FROM z)"
 
 
-@query(_TOLLED + " SELECT b.id, coalesce(z7.s + z7.n::INT, b.d0) AS due FROM b LEFT JOIN z7 ON z7.id = b.id")
+@query(_TOLLED + " SELECT b.id, coalesce(f.s + f.n::INT, b.d0) AS due FROM b LEFT JOIN f ON f.id = b.id")
 def d8_tolled_deadlines(c: Corpus) -> DataFrame:
     """Two years after each date, with windows that overlap and one that only an extended period reaches."""
     day = lambda n: F.date_add("date_filed", n.cast("int"))
