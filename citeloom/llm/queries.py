@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts, url_rules
+from . import align, best_fit, chat_format, decontaminate, language_id, line_dedup, ngram_join, packing, quality, resample, suffix_dedup, token_counts, url_rules
 from .common import table
 
 #: Rules that the contract of op3 fixes, and the operator's own for hosts of junk.
@@ -72,11 +72,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(chat_format.turns_as_events(turns)))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.alignment_counts(table(spark, sf_dir, "documents"), *tokenizers)
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_ngram_join, op3_url_filter, op4_quality_rules, op5_language_id,
-        op6_decontaminate, op7_packing, op8_suffix_dedup, op9_token_counts, op10_chat_format,
+        op6_decontaminate, op7_packing, op8_suffix_dedup, op9_token_counts, op10_chat_format, op11_align, op12_resample, op13_best_fit,
     )
 }
 
@@ -168,5 +181,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
       sum(24 + len(role) + len(text) + len(regexp_extract_all(text, '{_CONTROL}')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
+""",
+    "op12_resample": f"""
+WITH RECURSIVE c AS (SELECT i AS k, i AS v, 0 AS j FROM range(256) t(i) UNION ALL
+     SELECT k, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, j + 1 FROM c WHERE j < 8),
+z AS (SELECT list(v ORDER BY k) AS crc FROM c WHERE j = 8),
+w AS (SELECT 0 AS side, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+      UNION ALL SELECT 1, NULL, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT side, doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+      list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS f FROM w),
+g AS (SELECT side, doc_id, f, count(*) AS n FROM f GROUP BY ALL),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM g)),
+b AS (SELECT f, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+      lambda r, x: xor(r >> 8, crc[xor(r & 255, x) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS b FROM u, z),
+n AS (SELECT i AS b, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM range(10000) r(i) LEFT JOIN b ON b.b = i LEFT JOIN g USING (f) GROUP BY i),
+k AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * ((sum(s) OVER ()) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((sum(t) OVER ()) + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+m AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM g JOIN b USING (f) JOIN k USING (b) WHERE side = 0 GROUP BY doc_id),
+d AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) +
+      floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.doc_id), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN m USING (doc_id) WHERE side = 0),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM d WHERE n_words >= 20)
+SELECT d.doc_id, d.n_features, d.weight, d.score, CASE WHEN r.r <= 5 * r.n // 100 THEN r.r END AS rank FROM d LEFT JOIN r USING (doc_id)
 """,
 }
