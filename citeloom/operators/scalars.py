@@ -124,25 +124,52 @@ def searchable(status: str = "status", blocked: str = "blocked") -> Column:
     return F.col(status).isin("Published", "Unknown") & ~F.col(blocked)
 
 
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def _only(x: Column, characters: str) -> Column:
+    return F.translate(x, characters, "") == ""
+
+
+def _number(x: Column, most: int) -> Column:
+    return _only(x, _DIGITS) & F.length(x).between(1, most)
+
+
 def parsed_citation(x: Column) -> Column:
-    """Struct (volume, reporter, page) of ``volume reporter page``, else null."""
-    pattern = r"^(\d{1,4})\s+([A-Za-z][A-Za-z0-9 .']*?\.?)\s+(\d{1,6})$"
-    t = F.trim(x)
-    return F.when(
-        t.rlike(pattern),
-        F.struct(
-            F.regexp_extract(t, pattern, 1).try_cast("int").cast("string").alias("volume"),
-            F.trim(F.regexp_extract(t, pattern, 2)).alias("reporter"),
-            F.regexp_extract(t, pattern, 3).try_cast("int").cast("string").alias("page"),
-        ),
-    )
+    """Struct (volume, reporter, page) of a text whose first word is a volume and whose last is a page, with a reporter's words between; else null."""
+    plain = lambda number: number.try_cast("int").cast("string")
+
+    def read(words: Column) -> Column:
+        n = F.size(words)
+        volume, page = F.get(words, F.lit(0)), F.get(words, n - 1)
+        name = F.array_join(F.slice(words, 2, F.greatest(n - 2, F.lit(0))), " ")
+        named = _only(F.lower(name), _LETTERS + _DIGITS + " .'") & _only(F.lower(F.substring(name, 1, 1)), _LETTERS)
+        whole = (n >= 3) & _number(volume, 4) & _number(page, 6) & named
+        return F.when(whole, F.struct(plain(volume).alias("volume"), name.alias("reporter"), plain(page).alias("page")))
+
+    return F.get(F.transform(F.array(F.split(F.trim(x), r"\s+")), read), F.lit(0))
 
 
 def inline_citations(text: Column) -> Column:
-    """Distinct case citations in a text whose reporter has a period."""
-    found = F.regexp_extract_all(text, F.lit(r"\b(\d{1,4}\s+[A-Z][A-Za-z.']*(?:\s+[A-Za-z.']+){0,4}?\s+\d{1,6})\b"), F.lit(1))
-    tidy = F.transform(found, lambda c: F.regexp_replace(c, r"\s+", " "))
-    return F.array_distinct(F.filter(tidy, lambda c: c.contains(".")))
+    """Distinct case citations in a text: a volume, one to five words of a reporter, of which the first is a capital and one has a period, and a page.
+
+    Words are those between blanks, without punctuation around them. The nearest page ends a citation.
+    """
+    bare = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[,;:!?)\]\"'”’]+$", "")
+    words = F.transform(F.split(F.trim(text), r"\s+"), bare)
+
+    def at(ws: Column, i: Column) -> Column:
+        page = lambda k: F.rtrim(F.get(ws, i + k + 1), F.lit("."))
+        names = lambda k: F.slice(ws, i + 2, k)
+        named = lambda k: F.forall(names(k), lambda w: _only(F.lower(w), _LETTERS + ".'") & (w != ""))
+        capital = _only(F.substring(F.get(ws, i + 1), 1, 1), _LETTERS.upper())
+        sizes = F.filter(F.array(*map(F.lit, range(1, 6))), lambda k: _number(page(k), 6) & named(k))
+        cite = F.transform(F.slice(sizes, 1, 1), lambda k: F.concat_ws(" ", F.get(ws, i), F.array_join(names(k), " "), page(k)))
+        return F.when(_number(F.get(ws, i), 4) & capital, F.get(cite, F.lit(0)))
+
+    # Bound by a lambda, the words are made once.
+    found = F.get(F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: at(ws, i))), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda c: c.contains(".")))
 
 
 def context_window(text: Column, start: Column, end: Column, pad: int = 150, most: int = 600) -> Column:
@@ -172,21 +199,29 @@ def longest(words: Column, most: int) -> Column:
     return F.transform(F.slice(keyed, 1, most), lambda x: x["w"])
 
 
+#: Marks that go in pairs wherever they stand, longest first.
+_PAIRED = ("***", "**", "__", "`")
+
+
 def without_markup(text: Column) -> Column:
-    """Presentation marks removed: headings, bullets, numbering, bold, italics, code, extra blank lines."""
-    steps = (
-        (r"(?m)^(?:#{1,6}|[-*+]|\d+[.)])[ \t]+", ""),
-        (r"\*{3}([^*\n]+)\*{3}", "$1"),
-        (r"\*\*([^*\n]+)\*\*", "$1"),
-        (r"__([^_\n]+)__", "$1"),
-        (r"(?<![\w*])\*(?!\s)([^*\n]+?)(?<!\s)\*(?![\w*])", "$1"),
-        (r"(?<!\w)_(?!\s)([^_\n]+?)(?<!\s)_(?!\w)", "$1"),
-        (r"`([^`\n]+)`", "$1"),
-        (r"\n{3,}", "\n\n"),
-    )
-    for pattern, to in steps:
-        text = F.regexp_replace(text, pattern, to)
-    return text
+    """Presentation marks removed line by line: headings, bullets, numbering, bold, italics, code; extra blank lines.
+
+    A paired mark goes from a line if it opens and closes there as often. Single asterisks and
+    underlines go around a word or phrase, not between numbers or inside a word.
+    """
+
+    def unpaired(line: Column, mark: str) -> Column:
+        parts = F.split(line, "\\Q" + mark + "\\E")
+        return F.when(F.size(parts) % 2 == 1, F.array_join(parts, "")).otherwise(line)
+
+    def plain(line: Column) -> Column:
+        line = F.regexp_replace(line, r"^(#+|[*+-]|\d+[).])\h+", "")
+        for mark in _PAIRED:
+            line = unpaired(line, mark)
+        return F.regexp_replace(line, r"(?<!\w)([*_])(\S|\S[^*_]*\S)\1(?!\w)", "$2")
+
+    lines = F.transform(F.split(text, "\n"), plain)
+    return F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n")
 
 
 def content_tokens(text: Column) -> Column:

@@ -9,13 +9,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import passage_of, stem_once, term_places_of
+from ..functions.text import passage_of, stem_of, stem_once
 from ..tables import written
-from . import scalars
-from .graph import cocitations
+from . import graph, scalars
 from .phrases import PHRASES
 
 TERM = r"[\p{L}\p{N}]+"
@@ -43,29 +42,72 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TERM})"), F.lit(1))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf, positions, size) of ``docs`` (id, text): terms are stems, ``size`` is the text's number of words."""
-    words = docs.select("id", terms(F.col("text")).alias("words"))
-    listed = words.select("id", F.size("words").alias("size"), F.explode(term_places_of(F.col("words"))).alias("x"))
-    return listed.select("x.term", "id", F.size("x.positions").alias("tf"), "x.positions", "size")
+#: Ids that a block of postings spans, and BM25's constants, by which blocks know their highest contribution.
+WIDTH, K1, B = 128, 1.2, 0.75
+#: Rows of a dictionary that are broadcast at most, and blocks that a search names one by one at most.
+DICTIONARY_ROWS, BLOCKS_NAMED = 500_000, 10_000
+
+
+def impact(tf: Column, size: Column, mean: float) -> Column:
+    """A term's part of BM25 in a text without its rarity: grows with ``tf``, falls with ``size``."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(mean)))
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings in folders by ``bucket`` of their term, with the number of texts and their mean size."""
+    """Postings of stems in blocks, in folders by ``bucket`` of their term.
+
+    ``blocks``: (bucket, term, block, n, cf, top, hits): a block has the texts of a range
+    of WIDTH ids, the same for all terms; ``top`` is the highest contribution in it and
+    ``hits`` are (id, tf, size, positions). ``stats``: (term, df, cf). ``dictionary``: (word, term).
+    ``n`` texts have ``mean`` words.
+    """
 
-    postings: DataFrame
+    blocks: DataFrame
+    stats: DataFrame
+    dictionary: DataFrame
     n: int
     mean: float
 
+    @property
+    def postings(self) -> DataFrame:
+        """(bucket, term, id, tf, positions, size)."""
+        return _listed(self.blocks.select("bucket", "term", F.explode("hits").alias("x")))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.select("bucket", "term", "x.id", "x.tf", "x.positions", "x.size")
+
 
 def build_index(docs: DataFrame) -> Index:
-    """The index of ``docs`` (id, text). One scan and one shuffle; a bucket with a frequent term is several files."""
-    bucket = (F.crc32("term") % BUCKETS).cast("int")
-    dealt = postings(docs).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
-    table = written(dealt.sortWithinPartitions("bucket", "term", "id"), "postings", by="bucket")
-    n, words = docs.select("id").count(), table.agg(F.sum("tf")).first()[0] or 0
-    return Index(table, n, words / max(n, 1) or 1.0)
+    """The index of ``docs`` (id, text), in expressions: only a distinct word's stem is Python.
+
+    The first pass over the texts gives the dictionary and their number and sizes. The
+    second joins words with their stems, gathers the places of each term and text (combined
+    before they move), and then the texts of each block. A folder with a frequent term is
+    several files.
+    """
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    docs = docs.select("id", "text")
+    words = (docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs).select("id", terms(F.col("text")).alias("words"))
+    seen = Observation()
+    counted = words.observe(seen, F.count("*").alias("n"), F.sum(F.size("words")).alias("words"))
+    dictionary = written(counted.select(F.explode("words").alias("word")).distinct().withColumn("term", stem_of(F.col("word"))), "dictionary")
+    n, mean = seen.get["n"], (seen.get["words"] or 0) / max(seen.get["n"], 1) or 1.0
+    known = F.broadcast(dictionary) if dictionary.count() <= DICTIONARY_ROWS else dictionary
+    placed = words.select("id", F.size("words").alias("size"), F.posexplode("words").alias("position", "word")).join(known, "word")
+    one = placed.groupBy("term", "id").agg(F.max("size").alias("size"), F.sort_array(F.collect_list("position")).alias("positions"))
+    lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    block = F.floor(F.col("id") / WIDTH)
+    dealt = one.withColumns({"tf": F.size("positions"), "block": block, "bucket": (F.crc32("term") % BUCKETS).cast("int"), "lane": F.pmod(block, F.lit(lanes))}).repartition("bucket", "lane")
+    rows = dealt.groupBy("bucket", "lane", "term", "block").agg(
+        F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max(impact(F.col("tf"), F.col("size"), mean)).alias("top"),
+        F.sort_array(F.collect_list(F.struct("id", "tf", "size", "positions"))).alias("hits"),
+    )
+    blocks = written(rows.drop("lane").sortWithinPartitions("bucket", "term", "block"), "postings", by="bucket")
+    stats = written(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")), "terms")
+    return Index(blocks, stats, dictionary, n, mean)
 
 
 def stems(token: str) -> tuple[str, ...]:
@@ -74,45 +116,151 @@ def stems(token: str) -> tuple[str, ...]:
 
 
 def _fetched(index: Index, parts: list[str]) -> DataFrame:
-    """Postings of some stems: only their buckets' files are read."""
+    """Blocks of some stems: only their buckets' files are read."""
     buckets = sorted({zlib.crc32(p.encode()) % BUCKETS for p in parts})
-    return index.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(parts))
+    return index.blocks.where(F.col("bucket").isin(buckets) & F.col("term").isin(parts))
 
 
 def _shifted(places: Column, k: int) -> Column:
     return F.transform(places, lambda x: x - k)
 
 
-def ranked(index: Index, tokens: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, bm25) of texts that hold all tokens; higher is better. A phrase's words stand side by side; statistics are the whole index's."""
-    wanted = [stems(t) for t in tokens]
-    parts = sorted({p for w in wanted for p in w})
-    if not wanted or not all(wanted):
-        return index.postings.limit(0).select("id", F.lit(0.0).alias("bm25"))
-    at = {p: F.col(f"p{k}") for k, p in enumerate(parts)}
-    of = _fetched(index, parts).groupBy("id").agg(
-        F.max("size").alias("size"), *[F.max(F.when(F.col("term") == p, F.col("positions"))).alias(f"p{k}") for k, p in enumerate(parts)]
-    )
-
-    def count(words: tuple[str, ...]) -> Column:
-        found = reduce(F.array_intersect, (_shifted(at[w], k) for k, w in enumerate(words)))
-        return F.greatest(F.coalesce(F.size(found), F.lit(0)), F.lit(0))
-
-    counted = of.select("id", "size", *[count(w).alias(f"tf{k}") for k, w in enumerate(wanted)])
-    found = counted.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]).first()
-    score, hit = F.lit(0.0), F.lit(True)
-    for k in range(len(wanted)):
-        df, tf = found[f"df{k}"], F.col(f"tf{k}")
-        idf = max(math.log((index.n - df + 0.5) / (df + 0.5)), 1e-6)
-        score = score + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / F.lit(index.mean)))
-        hit = hit & (tf > 0)
-    return counted.where(hit).select("id", score.alias("bm25"))
+class Scorer:
+    """BM25 of a query's tokens over an index; its statistics are the whole index's."""
+
+    def __init__(self, index: Index, tokens: list[str]):
+        self.index, self.wanted = index, [stems(t) for t in tokens]
+        self.parts = sorted({p for w in self.wanted for p in w})
+        self.empty = not self.wanted or not all(self.wanted)
+        if not self.empty:
+            self.df = self._frequencies()
+            self.idf = [max(math.log((index.n - d + 0.5) / (d + 0.5)), 1e-6) for d in self.df]
+
+    def _counted(self, blocks: DataFrame | None = None) -> DataFrame:
+        """(id, size, tf0, tf1, ...) of texts with any part; a phrase's words stand side by side. ``blocks``: (block) of those to read, or all."""
+        fetched = _fetched(self.index, self.parts)
+        if blocks is not None:
+            fetched = fetched.join(blocks, "block", "left_semi")
+        listed = _listed(fetched.select("bucket", "term", F.explode("hits").alias("x")))
+        at = {p: F.col(f"p{k}") for k, p in enumerate(self.parts)}
+        of = listed.groupBy("id").agg(
+            F.max("size").alias("size"), *[F.max(F.when(F.col("term") == p, F.col("positions"))).alias(f"p{k}") for k, p in enumerate(self.parts)]
+        )
+
+        def count(words: tuple[str, ...]) -> Column:
+            found = reduce(F.array_intersect, (_shifted(at[w], k) for k, w in enumerate(words)))
+            return F.greatest(F.coalesce(F.size(found), F.lit(0)), F.lit(0))
+
+        return of.select("id", "size", *[count(w).alias(f"tf{k}") for k, w in enumerate(self.wanted)])
+
+    def _frequencies(self) -> list[int]:
+        """Texts with each token: words' stand in the index, phrases must be counted."""
+        known = {r["term"]: r["df"] for r in self.index.stats.where(F.col("term").isin(self.parts)).collect()}
+        if any(len(w) > 1 for w in self.wanted) and all(p in known for p in self.parts):
+            found = self._counted().agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(self.wanted))]).first()
+            return [found[f"df{k}"] for k in range(len(self.wanted))]
+        return [min(known.get(p, 0) for p in w) for w in self.wanted]
+
+    def scored(self, blocks: DataFrame | None = None) -> DataFrame:
+        """(id, bm25) of texts that hold all tokens; higher is better."""
+        if self.empty or not all(self.df):
+            return self.index.blocks.limit(0).select(F.col("block").alias("id"), F.lit(0.0).alias("bm25"))
+        score, hit = F.lit(0.0), F.lit(True)
+        for k, idf in enumerate(self.idf):
+            tf = F.col(f"tf{k}")
+            score = score + F.lit(idf) * impact(tf, F.col("size"), self.index.mean)
+            hit = hit & (tf > 0)
+        return self._counted(blocks).where(hit).select("id", score.alias("bm25"))
+
+    def bounds(self) -> DataFrame:
+        """(block, bound) of blocks that hold all parts: no text of a block scores higher; no hit is read."""
+        top = _fetched(self.index, self.parts).groupBy("block").agg(*[F.max(F.when(F.col("term") == p, F.col("top"))).alias(f"t{k}") for k, p in enumerate(self.parts)])
+        of = {p: F.col(f"t{k}") for k, p in enumerate(self.parts)}
+        parts = [F.lit(idf) * (F.least(*[of[w] for w in words]) if len(set(words)) > 1 else of[words[0]]) for idf, words in zip(self.idf, self.wanted, strict=True)]
+        bound = reduce(lambda a, b: a + b, parts) * (1 + 1e-9)  # sums in another order differ in the last digits
+        return top.dropna().select("block", bound.alias("bound"))
+
+    def needed(self, k: int, allowed: DataFrame | None = None) -> DataFrame | None:
+        """(block) of those that may hold one of the ``k`` best allowed texts; None: all. The best by their bounds are scored first, and what can't reach their k-th score is skipped."""
+        if self.empty or not all(self.df) or min(self.df) <= 4 * k:
+            return None
+        bounds = self.bounds()
+        spark = bounds.sparkSession
+        first = [(r["block"],) for r in bounds.orderBy(F.desc("bound"), "block").limit(8 + 4 * k // WIDTH).collect()]
+        hits = self.scored(F.broadcast(spark.createDataFrame(first, "block long")))
+        hits = hits if allowed is None else hits.join(allowed, "id", "left_semi")
+        worst = hits.orderBy(F.desc("bm25")).limit(k).agg(F.count("*").alias("n"), F.min("bm25").alias("least")).first()
+        if worst["n"] < k:
+            return None
+        some = bounds.where(F.col("bound") >= worst["least"]).select("block")
+        named = some.limit(BLOCKS_NAMED + 1).collect()
+        return F.broadcast(spark.createDataFrame([(r["block"],) for r in named], "block long")) if len(named) <= BLOCKS_NAMED else some
+
+
+def ranked(index: Index, tokens: list[str]) -> DataFrame:
+    """(id, bm25) of all texts that hold all tokens."""
+    return Scorer(index, tokens).scored()
+
+
+def top_ranked(index: Index, tokens: list[str], k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """(id, bm25) of the ``k`` best of the ``allowed`` (id) texts, ties by id: the same as of all that are ranked, with blocks skipped."""
+    scorer = Scorer(index, tokens)
+    hits = scorer.scored(scorer.needed(k, allowed))
+    return (hits if allowed is None else hits.join(allowed.select("id"), "id", "left_semi")).orderBy(F.desc("bm25"), "id").limit(k)
+
+
+def ranked_batch(wanted: DataFrame, index: Index, share: bool = False) -> DataFrame:
+    """(query_id, id, bm25, or with ``share`` the terms' share of the text's words) of texts that hold all terms of a query, for many queries ``wanted`` (query_id, term) in a few jobs.
+
+    Texts come from a query's rarest term, whose postings alone are read whole. Of the
+    other terms only those blocks are joined in which there is such a text, so that
+    frequent terms don't meet queries. A query with a null term, a word that no text
+    has, finds nothing.
+    """
+    known = wanted.distinct().join(index.stats.select("term", "df"), "term", "left")
+    idf = F.greatest(F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    term = F.struct("df", "term", idf.alias("idf"))
+    of = known.groupBy("query_id").agg(F.sort_array(F.collect_list(term)).alias("terms"), F.bool_and(F.col("df").isNotNull()).alias("whole"))
+    asked = of.where("whole").select("query_id", F.element_at("terms", 1).alias("rare"), F.expr("slice(terms, 2, size(terms))").alias("others"))
+    hits = index.blocks.select("term", "block", "hits")
+    tf, size = F.col("x.tf"), F.col("x.size")
+    part = tf / size if share else F.col("idf") * impact(tf, size, index.mean)
+    name = "share" if share else "bm25"
+    first = asked.join(hits, F.col("rare.term") == F.col("term")).select("query_id", "others", "rare.idf", "block", F.explode("hits").alias("x"))
+    first = written(first.select("query_id", "others", "block", "x.id", part.alias("part")), "candidates")
+    alone = first.where(F.size("others") == 0).select("query_id", "id", F.col("part").alias(name))
+    held = first.select("query_id", "block", "id", "part", F.size("others").alias("n"), F.explode("others").alias("o")).select("*", "o.term", "o.idf").join(hits, ["term", "block"])
+    held = held.withColumn("x", F.get(F.filter("hits", lambda h: h["id"] == F.col("id")), F.lit(0))).where("x is not null")
+    both = held.groupBy("query_id", "id", "n", "part").agg(F.count("*").alias("m"), F.sum(part).alias("more"))
+    return alone.unionByName(both.where("m = n").select("query_id", "id", (F.col("part") + F.col("more")).alias(name)))
+
+
+def batch_terms(queries: DataFrame, index: Index, most: int = 24) -> DataFrame:
+    """(query_id, term) of queries (query_id, text): stems of their first ``most`` words but stop words and single characters; null for a word that no text has."""
+    words = F.slice(F.filter(terms(F.col("text")), lambda w: (F.length(w) > 1) & ~w.isin(sorted(STOPWORDS))), 1, most)
+    return queries.select("query_id", F.explode(F.array_distinct(words)).alias("word")).join(index.dictionary, "word", "left").select("query_id", "term")
+
+
+def search_batch(queries: DataFrame, c: Collection, options: Options | None = None, signals: bool = True) -> DataFrame:
+    """(query_id, place, id, cluster_id, final): the best clusters of each of many queries (query_id, text), ``limit`` a query.
+
+    As ``search`` ranks organic hits, of the first pool and without phrases and boosts; with ``signals`` off by BM25 alone.
+    """
+    o = options or Options()
+    found = ranked_batch(batch_terms(queries, c.index), c.index).join(allowed(c, o), "id")
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id")
+    pool = found.withColumn("nth", F.row_number().over(best_first)).where(F.col("nth") <= POOLS[0]).drop("nth")
+    rows = scored(pool, c.authority, c.authority.select("id", F.lit(0).alias("described")), o.highest) if signals else pool.withColumn("final", F.col("bm25"))
+    one = rows.groupBy("query_id", F.coalesce("cluster_id", "id").alias("_key")).agg(F.max_by(F.struct("id", "cluster_id", "final"), F.struct("final", -F.col("id"))).alias("x")).select("query_id", "x.*")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "id"))
+    return one.withColumn("place", place).where(F.col("place") <= clamped(o.limit)).select("query_id", "place", "id", "cluster_id", "final")
 
 
 def near(index: Index, words: list[str], distance: int) -> DataFrame:
     """Ids of texts where all words occur within ``distance`` words of each other."""
     parts = sorted({p for w in words for p in stems(w)})
-    placed = _fetched(index, parts).select("id", "term", F.explode("positions").alias("p"))
+    listed = _listed(_fetched(index, parts).select("bucket", "term", F.explode("hits").alias("x")))
+    placed = listed.select("id", "term", F.explode("positions").alias("p"))
     window = Window.partitionBy("id").orderBy("p").rangeBetween(0, distance)
     return placed.withColumn("seen", F.size(F.collect_set("term").over(window))).where(F.col("seen") == len(parts)).select("id").distinct()
 
@@ -127,9 +275,9 @@ def multiplier(pagerank: Column, recent: Column, highest: Column) -> Column:
     )
 
 
-def scored(hits: DataFrame, meta: DataFrame, authority: DataFrame, boosts: DataFrame, highest: str = "scotus") -> DataFrame:
-    """Hits with ``final``: BM25 times OCR weight, authority and parenthetical boost. ``boosts``: (id, described)."""
-    rows = hits.join(meta, "id").join(authority, "id", "left").join(boosts, "id", "left")
+def scored(hits: DataFrame, authority: DataFrame, boosts: DataFrame, highest: str = "scotus") -> DataFrame:
+    """Hits (id, bm25, ocr, court_id, ...) with ``final``: BM25 times OCR weight, authority and parenthetical boost. ``boosts``: (id, described)."""
+    rows = hits.join(authority, "id", "left").join(boosts, "id", "left")
     described = F.coalesce("described", F.lit(0))
     final = (
         F.col("bm25")
@@ -147,16 +295,26 @@ def best_of_clusters(rows: DataFrame, limit: int) -> DataFrame:
     return best.orderBy(F.desc("final"), "id").limit(limit)
 
 
+#: Texts that are re-ranked: the best by BM25; the second number only where the first hold too few clusters (fixed values).
+POOLS = (1000, 20_000)
+
+
 @dataclass
 class Options:
+    """``courts``: ids; ``jurisdiction``: a court's id or part of a name, with all courts below; ``filed``: first and last date, either may be None."""
+
     limit: int = 10
     seed_slots: int = 2
     seed_scan: int = 100
     prf: bool = False
     prf_slots: int = 2
     density: bool = False
+    passages: bool = False
     highest: str = "scotus"
     phrases: frozenset[str] = PHRASES
+    courts: frozenset[str] | None = None
+    jurisdiction: str | None = None
+    filed: tuple[str | None, str | None] = (None, None)
 
 
 def clamped(limit: int, most: int = 100) -> int:
@@ -165,33 +323,66 @@ def clamped(limit: int, most: int = 100) -> int:
 
 @dataclass(frozen=True)
 class Collection:
-    """What searches read: ``meta`` of searchable opinions, their texts, ``authority``, ``told`` (id, described_id), ``cites``, and both indexes."""
+    """What searches read: ``meta`` of searchable opinions, their texts, ``authority``, ``told`` (id, described_id), ``cites``, ``courts``, and both indexes.
+
+    ``index`` has all opinions, so that its statistics are those of the corpus; what isn't
+    in ``meta`` is no hit.
+    """
 
     meta: DataFrame
     texts: DataFrame
     authority: DataFrame
     told: DataFrame
     cites: DataFrame | None
+    courts: DataFrame | None
     index: Index
     told_index: Index
 
 
-def collection(opinions: DataFrame, authority: DataFrame, parentheticals: DataFrame, cites: DataFrame | None = None) -> Collection:
-    """Tables and indexes of a corpus, written once. Filters come before indexing, so that blocked opinions are in no index."""
+def collection(
+    opinions: DataFrame, authority: DataFrame, parentheticals: DataFrame, cites: DataFrame | None = None, courts: DataFrame | None = None, index: Index | None = None
+) -> Collection:
+    """Tables and indexes of a corpus, written once; ``index`` is that of all opinions if there is one already."""
     found = opinions.where(scalars.searchable())
     names = ["id", "cluster_id", "court_id", "status", "ocr", *[n for n in ("date_filed",) if n in opinions.columns]]
-    told = written(parentheticals.select(F.monotonically_increasing_id().alias("id"), "text", "described_id"), "parentheticals")
+    key = F.col("id") if "id" in parentheticals.columns else F.monotonically_increasing_id()
+    told = written(parentheticals.select(key.alias("id"), "text", "described_id"), "parentheticals")
     ranks = authority if "flags" in authority.columns else authority.withColumn("flags", F.lit(0))
     return Collection(
         written(found.select(*names), "meta"), found.select("id", "text"), written(ranks.select("id", "pagerank", "recent", "flags"), "authority"),
-        told, None if cites is None else written(cites, "cites"), build_index(found.select("id", "text")), build_index(told.select("id", "text")),
+        told, None if cites is None else written(cites, "cites"), courts, index or build_index(opinions.select("id", "text")), build_index(told.select("id", "text")),
     )
 
 
+def jurisdiction(courts: DataFrame, name: str, most: int = 25) -> DataFrame | None:
+    """(id) of the court of that id, or of up to ``most`` courts with that part in their name, and of all below; None where there is none."""
+    low = F.lit(name.lower())
+    for same in (F.lower("id") == low, F.contains(F.lower("name"), low)):
+        seeds = [(r["id"],) for r in courts.where(same).select("id").orderBy("id").limit(most).collect()]
+        if seeds:
+            return graph.subtree(courts, courts.sparkSession.createDataFrame(seeds, "id string"))
+    return None
+
+
+def allowed(c: Collection, o: Options) -> DataFrame:
+    """``meta`` of the opinions that a search's filters leave; a jurisdiction that no court has filters nothing."""
+    rows = c.meta
+    if o.courts is not None:
+        rows = rows.where(F.col("court_id").isin(sorted(o.courts)))
+    if o.jurisdiction and c.courts is not None and (below := jurisdiction(c.courts, o.jurisdiction)) is not None:
+        rows = rows.join(F.broadcast(below.select(F.col("id").alias("court_id"))), "court_id", "left_semi")  # no more than there are courts
+    low, high = o.filed
+    if low:
+        rows = rows.where(F.col("date_filed") >= F.lit(low).cast("date"))
+    if high:
+        rows = rows.where(F.col("date_filed") <= F.lit(high).cast("date"))
+    return rows
+
+
 def described(c: Collection, tokens: list[str], most: int = 500) -> DataFrame:
     """(id, described): of the best ``most`` parentheticals for a query, how many describe each opinion."""
-    best = ranked(c.told_index, tokens).orderBy(F.desc("bm25"), "id").limit(most)
-    return c.told.select("id", "described_id").join(best, "id").groupBy(F.col("described_id").alias("id")).agg(F.count("*").alias("described"))
+    best = top_ranked(c.told_index, tokens, most)
+    return c.told.select("id", "described_id").join(F.broadcast(best), "id").groupBy(F.col("described_id").alias("id")).agg(F.count("*").alias("described"))
 
 
 def search(query: str, c: Collection, options: Options | None = None) -> DataFrame:
@@ -200,22 +391,32 @@ def search(query: str, c: Collection, options: Options | None = None) -> DataFra
     ``kind``: organic, seed (much described by matching parentheticals, when the
     query has a phrase or nothing was found) or prf (citers of several top hits,
     with ``options.prf``). Seeds take the last places of the organic hits; prf only
-    places that are left. With ``options.density`` the best hits are raised by their
-    densest passage. At most ``limit`` rows, clamped to 100, come to the driver.
+    places that are left. Filters hold for all three. With ``options.density`` the best
+    hits are raised by their densest passage; with ``options.passages`` hits come with
+    theirs. At most ``limit`` rows, clamped to 100, come to the driver.
     """
     o = options or Options()
     limit, spark = clamped(o.limit), c.meta.sparkSession
     tokens = query_tokens(query, o.phrases)
+    free_ones = allowed(c, o)
     boosts = described(c, tokens)
-    rows = scored(ranked(c.index, tokens), c.meta, c.authority, boosts, o.highest)
-    if o.density:
-        rows = by_density(best_of_clusters(rows.select("id", "cluster_id", "final"), 50), c.texts, tokens)
-    found = [(r["id"], r["cluster_id"], r["final"], "organic") for r in best_of_clusters(rows.select("id", "cluster_id", "final"), limit).collect()]
+    scorer = Scorer(c.index, tokens)
+    found: list[tuple] = []
+    for k, pool in enumerate(POOLS):
+        if k and (scorer.empty or min(scorer.df) <= POOLS[k - 1]):
+            break  # the pool before held all hits
+        best = scorer.scored(scorer.needed(pool, free_ones)).join(free_ones, "id").orderBy(F.desc("bm25"), "id").limit(pool)
+        rows = scored(best, c.authority, boosts, o.highest).select("id", "cluster_id", "final")
+        if o.density:
+            rows = by_density(best_of_clusters(rows, 50), c.texts, tokens)
+        found = [(r["id"], r["cluster_id"], r["final"], "organic") for r in best_of_clusters(rows.select("id", "cluster_id", "final"), limit).collect()]
+        if len(found) >= limit or not found:
+            break
 
     def more(fresh: DataFrame, taken: list[tuple], n: int, name: str) -> list[tuple]:
         """The best ``n`` clusters of (id, n) that aren't taken."""
         known = spark.createDataFrame([(r[1],) for r in taken], "cluster_id long")
-        fresh = fresh.join(c.meta.select("id", "cluster_id"), "id").join(F.broadcast(known), "cluster_id", "left_anti")
+        fresh = fresh.join(free_ones.select("id", "cluster_id"), "id").join(F.broadcast(known), "cluster_id", "left_anti")
         one = fresh.groupBy("cluster_id").agg(F.max_by(F.struct("id", "n"), F.struct("n", -F.col("id"))).alias("x"))
         best = one.select("x.id", "cluster_id", F.col("x.n").cast("double").alias("final")).orderBy(F.desc("final"), "id").limit(n)
         return [(*r, name) for r in best.collect()]
@@ -229,12 +430,16 @@ def search(query: str, c: Collection, options: Options | None = None) -> DataFra
     prf = []
     if o.prf and c.cites is not None and top and free > 0:
         pivots = spark.createDataFrame([(r[0],) for r in top], "id long")
-        prf = more(cocitations(c.cites, pivots).select(F.col("citing_id").alias("id"), "n"), found + seeds, free, "prf")
+        prf = more(graph.cocitations(c.cites, pivots).select(F.col("citing_id").alias("id"), "n"), found + seeds, free, "prf")
     hits = spark.createDataFrame([(k, *r) for k, r in enumerate(found + seeds + prf, 1)], "place int, id long, cluster_id long, final double, kind string")
     whole = F.broadcast(hits).join(c.meta.drop("cluster_id"), "id").join(c.authority, "id", "left").join(boosts, "id", "left")
+    more_columns = []
+    if o.passages:
+        whole = whole.join(c.texts, "id").withColumn("best", passage_of(F.col("text"), F.array(*map(F.lit, tokens)).cast("array<string>")))
+        more_columns = ["best.passage", F.col("best.start").alias("passage_start")]
     return whole.select(
         "place", "id", "cluster_id", "final", "kind", *[n for n in c.meta.columns if n not in ("id", "cluster_id")], F.coalesce("recent", F.lit(0)).alias("recent"),
-        F.coalesce("described", F.lit(0)).alias("described"), scalars.treatment_labels(F.coalesce("flags", F.lit(0))).alias("treatment"),
+        F.coalesce("described", F.lit(0)).alias("described"), scalars.treatment_labels(F.coalesce("flags", F.lit(0))).alias("treatment"), *more_columns,
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as functions
 from ..tables import written
 from . import scalars
-from .search import Index, terms
+from .search import Index, ranked_batch, terms
 
 
 def resolve(keys: DataFrame, citation_strings: DataFrame, opinions: DataFrame) -> DataFrame:
@@ -101,27 +101,38 @@ def attributed(quotes: DataFrame, checks: DataFrame, ahead: int = 300) -> DataFr
     return rows.select("quote.*", chosen.alias("owner")).select(*quotes.columns, "owner.idx", "owner.cluster_id", "owner.id")
 
 
-def true_sources(quotes: DataFrame, index: Index, texts: DataFrame, ranks: DataFrame, most: int = 60, checked: int = 90) -> DataFrame:
-    """(quote_id, source_id): for quotes (quote_id, quote) an opinion whose text has them, the best by ``ranks`` (id, highest, pagerank).
+def probes(quotes: DataFrame, index: Index) -> DataFrame:
+    """(query_id, term): three probes of each quote (quote_id, quote) as queries by ``query_id`` (quote_id, probe).
 
-    Three searches a quote: its six longest words, the words around its middle, and
-    the five longest of these. All words of a search must be in a text; the best
-    ``most`` texts of each, ``checked`` in sum, are read for the quote itself.
+    Its six longest words, the words around its middle, and the five longest of these;
+    null for a word that no text has.
     """
     words = scalars.probe_words(F.col("quote"))
     inner = scalars.middle(words)
-    asked = quotes.select("quote_id", "quote", F.posexplode(F.array(scalars.longest(words, 6), inner, scalars.longest(inner, 5))).alias("probe", "words"))
+    asked = quotes.select("quote_id", F.posexplode(F.array(scalars.longest(words, 6), inner, scalars.longest(inner, 5))).alias("probe", "words"))
     plain = F.filter(terms(F.array_join("words", " ")), lambda w: F.length(w) > 1)
-    wanted = asked.select("quote_id", "probe", F.explode(functions.term_places_of(plain)).alias("x")).select("quote_id", "probe", "x.term")
-    wanted = wanted.join(wanted.groupBy("quote_id", "probe").agg(F.count("*").alias("n")), ["quote_id", "probe"])
-    held = wanted.join(index.postings.select("term", "id", "tf", "size"), "term").groupBy("quote_id", "probe", "n", "id").agg(F.count("*").alias("m"), F.sum(F.col("tf") / F.col("size")).alias("weight"))
-    best = held.where("m = n").withColumn("place", F.row_number().over(Window.partitionBy("quote_id", "probe").orderBy(F.desc("weight"), "id"))).where(F.col("place") <= most)
-    some = best.groupBy("quote_id", "id").agg(F.min("place").alias("place"))
+    wanted = asked.select(F.struct("quote_id", "probe").alias("query_id"), F.explode(F.array_distinct(plain)).alias("word"))
+    return wanted.join(index.dictionary, "word", "left").select("query_id", "term")
+
+
+def true_sources(quotes: DataFrame, index: Index, texts: DataFrame, ranks: DataFrame, most: int = 60, checked: int = 90) -> DataFrame:
+    """(quote_id, source_id): for quotes (quote_id, quote) one of ``texts`` that has them, the best by ``ranks`` (id, highest, pagerank).
+
+    Three searches a quote (see ``probes``). The ``most`` texts of which each takes the largest share,
+    ``checked`` in sum, are read for the quote itself, so that a quote of common words only may
+    miss its source in long texts. Equal quotes are searched once.
+    """
+    known = written(quotes.select("quote").distinct().select(F.monotonically_increasing_id().alias("quote_id"), "quote"), "distinct-quotes")
+    open_ = texts.select("id", "text")
+    held = ranked_batch(probes(known, index), index, share=True).join(open_.select("id"), "id", "left_semi").select("query_id.*", "id", F.round("share", 9).alias("share"))
+    place = F.row_number().over(Window.partitionBy("quote_id", "probe").orderBy(F.desc("share"), "id"))
+    some = held.withColumn("place", place).where(F.col("place") <= most).groupBy("quote_id", "id").agg(F.min("place").alias("place"))
     some = some.withColumn("nth", F.row_number().over(Window.partitionBy("quote_id").orderBy("place", "id"))).where(F.col("nth") <= checked)
-    read = some.join(quotes, "quote_id").join(texts.select("id", "text"), "id").withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote")))
+    read = written(some.select("quote_id", "id"), "read").join(known, "quote_id").join(open_, "id").withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote")))
     found = read.where("hit.how is not null").select("quote_id", "id").join(ranks, "id", "left")
     order = F.struct(F.coalesce("highest", F.lit(False)), F.coalesce("pagerank", F.lit(0.0)), -F.col("id"))
-    return found.groupBy("quote_id").agg(F.max_by("id", order).alias("source_id"))
+    sources = found.groupBy("quote_id").agg(F.max_by("id", order).alias("source_id")).join(known, "quote_id").select("quote", "source_id")
+    return quotes.join(sources, "quote").select("quote_id", "source_id")
 
 
 def quote_checks(drafts: DataFrame, checks: DataFrame, opinions: DataFrame, index: Index | None = None, ranks: DataFrame | None = None) -> DataFrame:
@@ -150,25 +161,44 @@ def quote_checks(drafts: DataFrame, checks: DataFrame, opinions: DataFrame, inde
     return known.select("draft_id", "quote", "start", "end", "idx", "id", status.alias("status"), F.col("hit.how").alias("how"), "source_id")
 
 
-def report(drafts: DataFrame, checks: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(draft_id, n_citations, n_quotes, n_bad, overall) of every draft: ``verified`` unless anything failed, ``empty`` without checks."""
-    c = checks.groupBy("draft_id").agg(F.count("*").alias("n_citations"), F.count_if(~F.col("status").isin("verified", "unsupported_form")).alias("bad_citations"))
+def all_checks(checks: DataFrame, statutes: DataFrame | None) -> DataFrame:
+    """(draft_id, start, end, kind, status) of case citations and, if given, of ``statute_checks``."""
+    names = ["draft_id", "start", "end", "kind", "status"]
+    return checks.select(names) if statutes is None else checks.select(names).unionByName(statutes.withColumn("kind", F.lit("statute")).select(names))
+
+
+def report(drafts: DataFrame, checks: DataFrame, quotes: DataFrame, statutes: DataFrame | None = None) -> DataFrame:
+    """(draft_id, n_citations, n_quotes, n_bad, overall, summary) of every draft: ``verified`` unless anything failed, ``empty`` without checks.
+
+    A citation fails if the corpus should have it and doesn't, so neither one of an
+    unsupported form nor one of another corpus; ``statutes`` (of ``statute_checks``) count as
+    citations. ``summary`` counts checks by kind and status.
+    """
+    known = all_checks(checks, statutes)
+    c = known.groupBy("draft_id").agg(F.count("*").alias("n_citations"), F.count_if(F.col("status") == "unresolved_citation").alias("bad_citations"))
     q = quotes.groupBy("draft_id").agg(F.count("*").alias("n_quotes"), F.count_if(~F.col("status").isin("verified", "within_cluster")).alias("bad_quotes"))
+    named = known.select("draft_id", F.concat_ws(":", F.when(F.col("kind") == "statute", "statute").otherwise("citation"), "status").alias("name"))
+    named = named.unionByName(quotes.select("draft_id", F.concat_ws(":", F.lit("quote"), "status").alias("name")))
+    counts = named.groupBy("draft_id", "name").agg(F.count("*").alias("n")).groupBy("draft_id").agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias("counts"))
     none = F.lit(0)
-    rows = drafts.select("draft_id").join(c, "draft_id", "left").join(q, "draft_id", "left")
+    rows = drafts.select("draft_id").join(c, "draft_id", "left").join(q, "draft_id", "left").join(counts, "draft_id", "left")
     bad = F.coalesce("bad_citations", none) + F.coalesce("bad_quotes", none)
     both = F.coalesce("n_citations", none) + F.coalesce("n_quotes", none)
     return rows.select(
         "draft_id", F.coalesce("n_citations", none).alias("n_citations"), F.coalesce("n_quotes", none).alias("n_quotes"), bad.alias("n_bad"),
         F.when(both == 0, "empty").when(bad == 0, "verified").otherwise("failed").alias("overall"),
+        F.coalesce(F.array_join(F.transform("counts", lambda x: F.concat_ws("=", x["name"], x["n"].cast("string"))), " "), F.lit("")).alias("summary"),
     )
 
 
-def export_gate(drafts: DataFrame, citation_strings: DataFrame, opinions: DataFrame) -> DataFrame:
-    """(draft_id, citation) of citations in drafts that don't resolve; a draft without rows may be exported."""
+def export_gate(drafts: DataFrame, citation_strings: DataFrame, opinions: DataFrame, statutes: DataFrame | None = None) -> DataFrame:
+    """(draft_id, citation) of citations in drafts, statutory ones too if ``statutes`` are given, that don't resolve; a draft without rows may be exported."""
     listed = drafts.select("draft_id", F.explode(scalars.inline_citations(F.col("text"))).alias("citation"))
     parsed = listed.withColumn("c", scalars.parsed_citation(F.col("citation"))).where("c is not null").select("draft_id", "citation", "c.*")
-    return resolve(parsed, citation_strings, opinions).where("id is null").select("draft_id", "citation")
+    missing = resolve(parsed, citation_strings, opinions).where("id is null").select("draft_id", "citation")
+    if statutes is not None:
+        missing = missing.unionByName(statute_checks(drafts, statutes).where("status = 'unresolved_citation'").select("draft_id", "citation"))
+    return missing.distinct()
 
 
 def sentence_verdicts(sentences: DataFrame, checks: DataFrame) -> DataFrame:

@@ -100,12 +100,12 @@ def x7_parsed_citations(c: Corpus) -> DataFrame:
 
 
 @query(
-    """SELECT cluster_id, volume, reporter, page, list_distinct(list_filter(list_transform(regexp_extract_all('Compare ' || volume || ' ' || reporter || ' ' || page || ' with 500 lots in 20 acres',
+    """SELECT cluster_id, volume, reporter, page, list_distinct(list_filter(list_transform(regexp_extract_all('Compare ' || volume || ' ' || reporter || ' ' || page || ' and 300 Rolls of wire at 18 dollars',
     '\\b(\\d{1,4}\\s+[A-Z][A-Za-z.'']*(?:\\s+[A-Za-z.'']+){0,4}?\\s+\\d{1,6})\\b', 1), lambda c: regexp_replace(c, '\\s+', ' ', 'g')), lambda c: contains(c, '.')))[1] AS cite FROM citation_strings"""
 )
 def x8_inline_citations(c: Corpus) -> DataFrame:
     """Citations found again inside sentences."""
-    text = F.concat(F.lit("Compare "), F.concat_ws(" ", "volume", "reporter", "page"), F.lit(" with 500 lots in 20 acres"))
+    text = F.concat(F.lit("Compare "), F.concat_ws(" ", "volume", "reporter", "page"), F.lit(" and 300 Rolls of wire at 18 dollars"))
     return c.citation_strings.select("cluster_id", "volume", "reporter", "page", F.get(scalars.inline_citations(text), F.lit(0)).alias("cite"))
 
 
@@ -135,12 +135,12 @@ def x23_text_quality(c: Corpus) -> DataFrame:
 
 
 @query(
-    """, t AS (SELECT page_id, left(html, 6000) || right(html, 1500) AS x FROM pages)
+    """, t AS (SELECT page_id, html AS x FROM pages)
     SELECT page_id, regexp_matches(x, '<[a-zA-Z/][^<>]*>') AS tags, regexp_matches(x, '&[a-zA-Z]{2,8};|&#\\d+;') AS entities, contains(x, chr(160)) AS nbsp, regexp_matches(x, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') AS control FROM t"""
 )
 def x24_leaks(c: Corpus) -> DataFrame:
-    """Mark-up, entities, no-break blanks and control characters near the ends of every page."""
-    x = F.concat(F.left("html", F.lit(6000)), F.right("html", F.lit(1500)))
+    """Mark-up, entities, no-break blanks and control characters anywhere in every page."""
+    x = F.col("html")
     return c.table("pages").select(
         "page_id", x.rlike("<[a-zA-Z/][^<>]*>").alias("tags"), x.rlike(r"&[a-zA-Z]{2,8};|&#\d+;").alias("entities"), x.contains(" ").alias("nbsp"),
         x.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]").alias("control"),
@@ -252,7 +252,7 @@ QUERY = ["that", "tion"]
 
 
 def _index(c: Corpus) -> search.Index:
-    """The index of all opinions, built by the first query of an application that needs it."""
+    """The index of all opinions, built by the first query of an application that needs it, for all searches."""
     return kept(c.spark, ("index", c.sf_dir), lambda: search.build_index(c.opinions))
 
 
@@ -263,7 +263,7 @@ def _collection(c: Corpus) -> search.Collection:
         cites = graph.cites(c.citation_map, c.anchors)
         recent = graph.recent_in_degree(graph.edges(cites, c.opinions), c.opinions, "2020-06-30")
         authority = recent.withColumn("pagerank", F.lit(0.0)).join(graph.flags(cites), "id", "left")
-        return search.collection(c.opinions, authority.withColumn("flags", F.coalesce("flags", F.lit(0))), c.parentheticals, cites)
+        return search.collection(c.opinions, authority.withColumn("flags", F.coalesce("flags", F.lit(0))), c.parentheticals, cites, c.courts, _index(c))
 
     return kept(c.spark, ("collection", c.sf_dir), make)
 
@@ -328,18 +328,27 @@ def f11_ranked_clusters(c: Corpus) -> DataFrame:
     meta = c.opinions.where(scalars.searchable()).select("id", "cluster_id", "court_id", "ocr")
     authority = graph.edges(graph.cites(c.citation_map, c.anchors), c.opinions).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("recent")).withColumn("pagerank", F.lit(0.0))
     none = c.opinions.select("id", F.lit(0).alias("described"))
-    rows = search.scored(search.ranked(_index(c), QUERY), meta, authority, none, highest="n0").select("id", "cluster_id", "final")
+    rows = search.scored(search.ranked(_index(c), QUERY).join(meta, "id"), authority, none, highest="n0").select("id", "cluster_id", "final")
     return search.best_of_clusters(rows, 20).withColumn("final", F.round("final", 6))
 
 
 #: A whole search for 'tion' ('that' is a stop word) over searchable opinions: ``sc`` (id, cluster_id, final, recent, described, labels).
-_SEARCH = (
-    ", can AS (SELECT * FROM opinions WHERE status IN ('Published', 'Unknown') AND NOT blocked), both_ AS (SELECT 'o' || id AS key, text FROM can UNION ALL SELECT 'p' || row_number() OVER (), text FROM parentheticals)"
-    + ", told AS (SELECT 'p' || row_number() OVER () AS key, described_id FROM parentheticals)"
-    + _words("both_", "key")
-    + f""", f AS (SELECT o.id, count(sp.i) AS size, count_if(stem = 'tion') AS t1 FROM can o LEFT JOIN sp ON sp.key = 'o' || o.id GROUP BY o.id), s AS (SELECT count(*) AS k, avg(size) AS mean, count_if(t1 > 0) AS d1 FROM f),
-bm AS (SELECT id, {_IDF.format(d="d1", t="t1")} AS bm25 FROM f, s WHERE t1 > 0),
-bo AS (SELECT described_id AS id, count(*) AS described FROM told WHERE key IN (SELECT key FROM sp WHERE stem = 'tion') GROUP BY 1),
+def _search_sql(terms: tuple[str | tuple[str, str], ...] = ("tion",), allowed: str = "true", top: int = 10, pool: int = 1000) -> str:
+    """``best``: the hits of a search for stems (pairs are phrases), with the whole index's statistics; ``can`` are searchable opinions that filters leave."""
+    told = [f"count_if(stem = '{t}')" if isinstance(t, str) else f"count_if(stem = '{t[0]}' AND next = '{t[1]}')" for t in terms]
+    told = [f"{t} AS t{k}" for k, t in enumerate(told)]
+    df = ", ".join(f"count_if(t{k} > 0) AS d{k}" for k in range(len(terms)))
+    every = " AND ".join(f"t{k} > 0" for k in range(len(terms)))
+    bm25 = " + ".join(_IDF.format(d=f"d{k}", t=f"t{k}") for k in range(len(terms)))
+    return (
+        f", can AS (SELECT * FROM opinions WHERE status IN ('Published', 'Unknown') AND NOT blocked AND {allowed})"
+        + ", both_ AS (SELECT 'o' || id AS key, text FROM opinions UNION ALL SELECT 'p' || id, text FROM parentheticals), told AS (SELECT id AS told_id, 'p' || id AS key, described_id FROM parentheticals)"
+        + _words("both_", "key")
+        + f""", nx AS (SELECT key, i, stem, lead(stem) OVER (PARTITION BY key ORDER BY i) AS next FROM sp), f AS (SELECT o.id, count(sp.i) AS size, {", ".join(told)} FROM opinions o LEFT JOIN nx sp ON sp.key = 'o' || o.id GROUP BY o.id), s AS (SELECT count(*) AS k, avg(size) AS mean, {df} FROM f),
+bm AS (SELECT id, {bm25} AS bm25 FROM f JOIN can USING (id), s WHERE {every} ORDER BY bm25 DESC, id LIMIT {pool}),
+pk AS (SELECT key, count(i) AS size, {", ".join(told)} FROM (SELECT key FROM told) LEFT JOIN nx USING (key) GROUP BY key), ps AS (SELECT count(*) AS k, avg(size) AS mean, {df} FROM pk),
+pb AS (SELECT described_id, {bm25} AS bm25 FROM pk JOIN told USING (key), ps WHERE {every} ORDER BY bm25 DESC, told_id LIMIT 500),
+bo AS (SELECT described_id AS id, count(*) AS described FROM pb GROUP BY 1),
 od AS (SELECT dst AS id, count(*) AS recent FROM edges JOIN opinions o ON o.id = src WHERE o.date_filed >= DATE '2020-06-30' GROUP BY 1),
 la AS (SELECT cited_id AS id, concat_ws(',', max(CASE WHEN regexp_matches(lower(context), 'overrul|no longer good law') THEN 'overruled' END), max(CASE WHEN contains(lower(context), 'abrogat') THEN 'abrogated' END),
   max(CASE WHEN contains(lower(context), 'distinguish') THEN 'distinguished' END), max(CASE WHEN contains(lower(context), 'but see') THEN 'but_see' END),
@@ -347,12 +356,16 @@ la AS (SELECT cited_id AS id, concat_ws(',', max(CASE WHEN regexp_matches(lower(
 sc AS (SELECT o.id, o.cluster_id, o.court_id, o.date_filed, o.ocr, coalesce(recent, 0) AS recent, coalesce(described, 0) AS described, coalesce(labels, '') AS treatment, bm25 * CASE WHEN ocr THEN 0.7 ELSE 1 END
   * (1 + 0.3 * ln(1 + coalesce(recent, 0)) + CASE WHEN court_id = 'n0' THEN 1 ELSE 0 END) * CASE WHEN described > 0 THEN 1 + 0.25 * ln(1 + described) ELSE 1 END AS final
   FROM bm JOIN can o USING (id) LEFT JOIN od USING (id) LEFT JOIN bo USING (id) LEFT JOIN la USING (id)),
-best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY final DESC, id) = 1 ORDER BY sc.final DESC, id LIMIT 10)"""
-)
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY final DESC, id) = 1 ORDER BY sc.final DESC, id LIMIT {top})"""
+    )
+
 
+#: A whole search for 'tion' ('that' is a stop word).
+_SEARCH = _search_sql()
 
-def _search(c: Corpus, **options) -> DataFrame:
-    hits = search.search("that tion", _collection(c), search.Options(highest="n0", **options))
+
+def _search(c: Corpus, query: str = "that tion", **options) -> DataFrame:
+    hits = search.search(query, _collection(c), search.Options(highest="n0", **options))
     return hits.withColumns({"final": F.round("final", 6), "treatment": F.array_join("treatment", ",")}).drop("status")
 
 
@@ -368,7 +381,7 @@ de AS (SELECT x.id, x.a, count(*) AS n FROM pl x JOIN pl y ON y.id = x.id AND y.
 
 
 @query(
-    _SEARCH.replace("LIMIT 10)", "LIMIT 50)")
+    _search_sql(top=50)
     + _DENSEST
     + ", rr AS (SELECT b.id, cluster_id, final * (1 + 0.5 * ln(1 + coalesce(ds.n, 0))) AS final FROM best b LEFT JOIN ds USING (id) ORDER BY final DESC, b.id LIMIT 10) SELECT row_number() OVER (ORDER BY final DESC, id)::INT AS place, id, cluster_id, round(final, 6) AS final FROM rr"
 )
@@ -377,6 +390,59 @@ def f10_dense_search(c: Corpus) -> DataFrame:
     return _search(c, density=True).select("place", "id", "cluster_id", "final")
 
 
+@query(_search_sql(top=100) + " SELECT row_number() OVER (ORDER BY final DESC, id)::INT AS place, id, cluster_id, round(final, 6) AS final FROM best")
+def p14_clamped_search(c: Corpus) -> DataFrame:
+    """A limit out of range: 100 hits of 5000 that were asked for."""
+    return _search(c, limit=5000).select("place", "id", "cluster_id", "final")
+
+
+#: Courts of one region and three thousand days.
+_FILTERED = "court_id IN (SELECT id FROM courts WHERE id = 'r3' OR parent_id = 'r3') AND date_filed BETWEEN DATE '2008-01-01' AND DATE '2016-03-19'"
+_FILTERS = {"jurisdiction": "R3", "filed": ("2008-01-01", "2016-03-19")}
+
+
+@query(_search_sql(("from", "tion"), _FILTERED) + " SELECT row_number() OVER (ORDER BY final DESC, id)::INT AS place, * EXCLUDE (final), round(final, 6) AS final, 'organic' AS kind FROM best")
+def f6_filtered_search(c: Corpus) -> DataFrame:
+    """A search among the courts below one and between two dates; statistics stay those of the whole index."""
+    hits = search.search("from tion", _collection(c), search.Options(highest="n0", **_FILTERS))
+    return hits.withColumns({"final": F.round("final", 6), "treatment": F.array_join("treatment", ",")}).drop("status")
+
+
+#: A phrase with few hits among one court's opinions: ``fin`` (section, nth, id, cluster_id, final) with seeds and citers of several hits.
+_FEW = "court_id IN ('n0', 'n3', 'n7', 'n11')"
+_SECTIONS = (
+    _search_sql((("with", "the"),), _FEW)
+    + """, org AS (SELECT id, cluster_id, final, row_number() OVER (ORDER BY final DESC, id) AS nth FROM best),
+se AS (SELECT id, described AS n FROM bo ORDER BY described DESC, id LIMIT 100),
+s1 AS (SELECT id, cluster_id, n::DOUBLE AS final FROM se JOIN can USING (id) WHERE cluster_id NOT IN (SELECT cluster_id FROM org) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, id) = 1),
+seed AS (SELECT *, row_number() OVER (ORDER BY final DESC, id) AS nth FROM s1 ORDER BY final DESC, id LIMIT 2),
+kept AS (SELECT * FROM org WHERE nth <= 10 - (SELECT count(*) FROM seed)),
+ci AS (SELECT citing_id AS id, count(DISTINCT cited_id) AS n FROM cites WHERE depth = 1 AND cited_id IN (SELECT id FROM org WHERE nth <= 5) GROUP BY 1 HAVING count(DISTINCT cited_id) >= 2 ORDER BY n DESC, id LIMIT 60),
+p1 AS (SELECT id, cluster_id, n::DOUBLE AS final FROM ci JOIN can USING (id) WHERE cluster_id NOT IN (SELECT cluster_id FROM kept UNION SELECT cluster_id FROM seed) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, id) = 1),
+prf AS (SELECT *, row_number() OVER (ORDER BY final DESC, id) AS nth FROM p1 ORDER BY final DESC, id LIMIT least(2, 10 - (SELECT count(*) FROM kept) - (SELECT count(*) FROM seed))),
+fin AS (SELECT 1 AS section, 'organic' AS kind, * FROM kept UNION ALL BY NAME SELECT 2 AS section, 'seed' AS kind, * FROM seed UNION ALL BY NAME SELECT 3 AS section, 'prf' AS kind, * FROM prf)"""
+)
+
+
+@query(_SECTIONS + " SELECT row_number() OVER (ORDER BY section, nth)::INT AS place, kind, id, cluster_id, round(final, 6) AS final FROM fin")
+def f12_seeded_search(c: Corpus) -> DataFrame:
+    """A phrase with few hits in some courts, so that parentheticals' seeds take places and co-citation those left over."""
+    courts = frozenset({"n0", "n3", "n7", "n11"})
+    hits = search.search("with the", _collection(c), search.Options(highest="n0", phrases=frozenset({"with the"}), courts=courts, prf=True))
+    return hits.select("place", "kind", "id", "cluster_id", F.round("final", 6).alias("final"))
+
+
+@query(
+    _SEARCH
+    + _DENSEST
+    + """, w AS (SELECT de.id, min(de.a) AS a FROM de JOIN ds ON ds.id = de.id AND ds.n = de.n GROUP BY ALL), c AS (SELECT o.id, greatest(0, coalesce(a, -1) - 150) AS s, regexp_replace(o.text, '\\s+', ' ', 'g') AS x FROM can o LEFT JOIN w USING (id))
+    SELECT b.id, (s + len(substr(x, s + 1, 600)) - len(ltrim(substr(x, s + 1, 600))))::INT AS passage_start, sha256(trim(substr(x, s + 1, 600))) AS digest FROM best b JOIN c USING (id)"""
+)
+def f16_hits_with_passages(c: Corpus) -> DataFrame:
+    """The hits of a search with their passages."""
+    return _search(c, passages=True).select("id", "passage_start", F.sha2("passage", 256).alias("digest"))
+
+
 @query(
     """, against AS (SELECT DISTINCT citing_id AS id FROM cites WHERE cited_id // 3 = 16 AND (contains(context, 'overrul') OR contains(context, 'abrogat') OR contains(context, 'but see') OR contains(context, 'declined to follow') OR contains(context, 'no longer')))
     SELECT id, cluster_id, 'graph' AS way FROM opinions JOIN against USING (id) WHERE NOT blocked ORDER BY id LIMIT 10"""
@@ -414,7 +480,7 @@ def f21_negative_citers(c: Corpus) -> DataFrame:
     return told.join(c.opinions.where("not blocked").select(F.col("id").alias("citing_id")), "citing_id", "left_semi").select("citing_id", "cited_id").distinct()
 
 
-@query(f", q AS (SELECT described_id, {_TERMS} AS ws FROM parentheticals) SELECT described_id, count(*) AS n FROM q WHERE list_contains(ws, 'that') GROUP BY 1")
+@query(_search_sql(("that",)) + " SELECT id AS described_id, described AS n FROM bo")
 def a13_top_described(c: Corpus) -> DataFrame:
     """How many of the 500 best parentheticals of a query describe each opinion."""
     return search.described(_collection(c), ["that"]).select(F.col("id").alias("described_id"), F.col("described").alias("n"))
@@ -444,7 +510,7 @@ def drafts(c: Corpus) -> DataFrame:
     code = F.concat(F.lit(" See "), F.when(F.col("id") % 2 == 0, k % 50 + 1).otherwise(77).cast("string"), F.lit(" U.S.C. § "), k.cast("string"), F.lit("."))
     text = F.concat(
         F.lit('The court held "'), quote, F.lit('" in '), F.concat_ws(" ", "b.volume", "b.reporter", "b.page"), F.lit("."),
-        F.when(F.col("id") % 5 == 0, code).otherwise(""), F.when(F.col("id") % 7 == 0, " Then 9999 U.S. 12.").otherwise(""),
+        F.when(F.col("id") % 5 == 0, code).otherwise(""), F.when(F.col("id") % 7 == 0, " Then 9999 U.S. 12.").otherwise(""), F.when(F.col("id") % 9 == 0, " Compare 2020 WL. 12345.").otherwise(""),
     )
     return lead.join(texts, "of").join(best, "cluster_id").select(F.col("id").alias("draft_id"), text.alias("text"))
 
@@ -457,11 +523,17 @@ dq AS (SELECT *, CASE WHEN draft_id % 4 = 0 THEN substr(own, 1, 30) || ' wholly
 rk AS (SELECT s.volume, s.reporter, s.page, o.cluster_id, o.id FROM (SELECT DISTINCT * FROM citation_strings) s JOIN opinions o USING (cluster_id) WHERE NOT o.blocked
   QUALIFY row_number() OVER (PARTITION BY s.volume, s.reporter, s.page ORDER BY CASE WHEN contains(o.type, 'lead') THEN 0 WHEN contains(o.type, 'combined') THEN 1 ELSE 2 END, o.id) = 1),
 ck AS (SELECT draft_id, 'full' AS kind, volume, reporter, page, 'verified' AS status, rk.id FROM dq JOIN rk USING (volume, reporter, page)
-  UNION ALL SELECT draft_id, 'full', '9999', 'U.S.', '12', 'unresolved_citation', NULL FROM dq WHERE draft_id % 7 = 0),
+  UNION ALL SELECT draft_id, 'full', '9999', 'U.S.', '12', 'unresolved_citation', NULL FROM dq WHERE draft_id % 7 = 0
+  UNION ALL SELECT draft_id, 'full', '2020', 'WL.', '12345', 'out_of_corpus', NULL FROM dq WHERE draft_id % 9 = 0),
 te AS (SELECT id, cluster_id, blocked, status IN ('Published', 'Unknown') AND NOT blocked AS open, trim(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS x FROM opinions),
 qc AS (SELECT draft_id, quote, trim(lower(regexp_replace(quote, '\\s+', ' ', 'g'))) AS q, rk.id, rk.cluster_id FROM dq JOIN rk USING (volume, reporter, page) WHERE len(quote) >= 8 AND trim(quote) <> ''),
 qv AS (SELECT draft_id, CASE WHEN contains((SELECT x FROM te WHERE te.id = qc.id), q) THEN 'verified' WHEN EXISTS (SELECT 1 FROM te WHERE te.cluster_id = qc.cluster_id AND NOT te.blocked AND contains(x, q)) THEN 'within_cluster'
-  WHEN EXISTS (SELECT 1 FROM te WHERE te.open AND contains(x, q)) THEN 'wrong_case' ELSE 'not_found' END AS status FROM qc)"""
+  WHEN EXISTS (SELECT 1 FROM te WHERE te.open AND contains(x, q)) THEN 'wrong_case' ELSE 'not_found' END AS status,
+  (SELECT min_by(te.id, CASE WHEN te.id % 25 = 0 THEN 0 ELSE 1 END * 1000000000 + te.id) FROM te WHERE te.open AND contains(x, q)) AS found FROM qc),
+qs AS (SELECT draft_id, status, CASE WHEN status = 'wrong_case' THEN found END AS source_id FROM qv),
+sc AS (SELECT draft_id, CASE WHEN draft_id % 2 = 0 THEN (draft_id % 60 * 2 + 2) % 50 + 1 ELSE 77 END AS title, draft_id % 60 * 2 + 2 AS section FROM dq WHERE draft_id % 5 = 0),
+sk AS (SELECT draft_id, sc.title || ' U.S.C. § ' || sc.section AS citation, CASE WHEN s.id IS NULL THEN 'unresolved_citation' ELSE 'verified' END AS status, heading FROM sc LEFT JOIN statutes s ON s.source = 'usc' AND s.title = sc.title::VARCHAR AND s.section = sc.section::VARCHAR),
+al AS (SELECT draft_id, 'citation' AS kind, status FROM ck UNION ALL SELECT draft_id, 'statute', status FROM sk)"""
 
 
 def _checks(c: Corpus) -> DataFrame:
@@ -493,20 +565,22 @@ def v4_citation_checks(c: Corpus) -> DataFrame:
     return _checks(c).select("draft_id", "kind", "volume", "reporter", "page", "status", "id")
 
 
-@query(_DRAFTS + " SELECT draft_id, status FROM qv")
+@query(_DRAFTS + " SELECT draft_id, status, source_id FROM qs")
 def v7_quote_checks(c: Corpus) -> DataFrame:
-    """V7, V8: every quote's verdict; quotes of other opinions are found at their true source."""
-    return _quotes(c).select("draft_id", "status")
+    """Every quote's verdict; quotes of other opinions with their true source."""
+    return _quotes(c).select("draft_id", "status", "source_id")
 
 
 @query(
     _DRAFTS
-    + """, cc AS (SELECT draft_id, count(*) AS n, count_if(status <> 'verified') AS bad FROM ck GROUP BY 1), qq AS (SELECT draft_id, count(*) AS n, count_if(status NOT IN ('verified', 'within_cluster')) AS bad FROM qv GROUP BY 1),
-    r AS (SELECT d.draft_id, coalesce(cc.n, 0) AS n_citations, coalesce(qq.n, 0) AS n_quotes, coalesce(cc.bad, 0) + coalesce(qq.bad, 0) AS n_bad FROM dq d LEFT JOIN cc USING (draft_id) LEFT JOIN qq USING (draft_id))
-    SELECT *, CASE WHEN n_citations + n_quotes = 0 THEN 'empty' WHEN n_bad = 0 THEN 'verified' ELSE 'failed' END AS overall FROM r"""
+    + """, cc AS (SELECT draft_id, count(*) AS n, count_if(status = 'unresolved_citation') AS bad FROM al GROUP BY 1), qq AS (SELECT draft_id, count(*) AS n, count_if(status NOT IN ('verified', 'within_cluster')) AS bad FROM qv GROUP BY 1),
+    r AS (SELECT d.draft_id, coalesce(cc.n, 0) AS n_citations, coalesce(qq.n, 0) AS n_quotes, coalesce(cc.bad, 0) + coalesce(qq.bad, 0) AS n_bad FROM dq d LEFT JOIN cc USING (draft_id) LEFT JOIN qq USING (draft_id)),
+    na AS (SELECT draft_id, kind || ':' || status AS name, count(*) AS n FROM (SELECT * FROM al UNION ALL SELECT draft_id, 'quote', status FROM qv) GROUP BY ALL), su AS (SELECT draft_id, string_agg(name || '=' || n, ' ' ORDER BY name) AS summary FROM na GROUP BY 1)
+    SELECT r.*, CASE WHEN n_citations + n_quotes = 0 THEN 'empty' WHEN n_bad = 0 THEN 'verified' ELSE 'failed' END AS overall, coalesce(summary, '') AS summary FROM r LEFT JOIN su USING (draft_id)"""
 )
 def v9_reports(c: Corpus) -> DataFrame:
-    return verify.report(drafts(c), _checks(c), _quotes(c))
+    """V9: verdicts of drafts; false statutes fail one, citations of another corpus don't."""
+    return verify.report(drafts(c), _checks(c), _quotes(c), verify.statute_checks(drafts(c), c.statutes))
 
 
 @query(_DRAFTS + " SELECT count(*) AS quotes, count_if(status = 'verified') AS verified, round(count_if(status = 'verified') / count(*), 6) AS rate FROM qv")
@@ -516,10 +590,10 @@ def a25_quote_metrics(c: Corpus) -> DataFrame:
     return _quotes(c).agg(F.count("*").alias("quotes"), good.alias("verified"), F.round(good / F.count("*"), 6).alias("rate"))
 
 
-@query(_DRAFTS + " SELECT draft_id, '9999 U.S. 12' AS citation FROM dq WHERE draft_id % 7 = 0")
+@query(_DRAFTS + " SELECT draft_id, '9999 U.S. 12' AS citation FROM dq WHERE draft_id % 7 = 0 UNION ALL SELECT draft_id, '2020 WL. 12345' FROM dq WHERE draft_id % 9 = 0 UNION SELECT draft_id, citation FROM sk WHERE status <> 'verified'")
 def v12_export_gate(c: Corpus) -> DataFrame:
-    """Citations that keep drafts from being exported."""
-    return verify.export_gate(drafts(c), c.citation_strings, c.opinions)
+    """Citations, statutory ones too, that keep drafts from being exported."""
+    return verify.export_gate(drafts(c), c.citation_strings, c.opinions, c.statutes)
 
 
 @query(
@@ -532,10 +606,7 @@ def v10_sentence_verdicts(c: Corpus) -> DataFrame:
     return verify.sentence_verdicts(sentences, _checks(c)).select("draft_id", "n", "n_checks", "verdict")
 
 
-_CODES = _DRAFTS + """, sc AS (SELECT draft_id, CASE WHEN draft_id % 2 = 0 THEN (draft_id % 60 * 2 + 2) % 50 + 1 ELSE 77 END AS title, draft_id % 60 * 2 + 2 AS section FROM dq WHERE draft_id % 5 = 0)"""
-
-
-@query(_CODES + " SELECT draft_id, sc.title || ' U.S.C. § ' || sc.section AS citation, CASE WHEN s.id IS NULL THEN 'unresolved_citation' ELSE 'verified' END AS status, heading FROM sc LEFT JOIN statutes s ON s.source = 'usc' AND s.title = sc.title::VARCHAR AND s.section = sc.section::VARCHAR")
+@query(_DRAFTS + " SELECT * FROM sk")
 def v5_statute_checks(c: Corpus) -> DataFrame:
     """Statutory citations of the drafts."""
     return verify.statute_checks(drafts(c), c.statutes).select("draft_id", "citation", "status", "heading")

@@ -108,7 +108,7 @@ class Corpus:
     def parentheticals(self) -> DataFrame:
         n = self.size
         return self.table("conversations").select(
-            (F.col("conv_id") * 7 % n).alias("described_id"), ((F.col("conv_id") * 11 + F.col("turn")) % n).alias("describing_id"), "text"
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") * 7 % n).alias("described_id"), ((F.col("conv_id") * 11 + F.col("turn")) % n).alias("describing_id"), "text"
         )
 
     @property
@@ -139,7 +139,7 @@ citation_strings AS (SELECT o_orderkey % (n // 3) AS cluster_id, (o_custkey % 20
   [{_REPORTERS}][substr(o_orderpriority, 1, 1)::INT] AS reporter, (o_orderkey % 500)::VARCHAR AS page FROM orders, size),
 statutes AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'usc' ELSE 'ecfr' END AS source, (p_partkey % 50 + 1)::VARCHAR AS title, p_partkey::VARCHAR AS section,
   p_name AS heading, p_type || ' ' || p_brand AS text FROM part),
-parentheticals AS (SELECT conv_id * 7 % n AS described_id, (conv_id * 11 + turn) % n AS describing_id, text FROM conversations, size),
+parentheticals AS (SELECT conv_id * 1000 + turn AS id, conv_id * 7 % n AS described_id, (conv_id * 11 + turn) % n AS describing_id, text FROM conversations, size),
 cites AS (SELECT m.citing_id, m.cited_id, m.depth, a.char_pos, a.context FROM citation_map m LEFT JOIN anchors a USING (citing_id, cited_id)
   UNION ALL SELECT a.citing_id, a.cited_id, NULL, a.char_pos, a.context FROM anchors a ANTI JOIN citation_map m USING (citing_id, cited_id)),
 edges AS (SELECT DISTINCT citing_id AS src, cited_id AS dst FROM cites WHERE citing_id IN (SELECT id FROM opinions) AND cited_id IN (SELECT id FROM opinions))

@@ -18,7 +18,7 @@ from citeloom.streaming import audit
 def test_authority(spark):
     d = dt.date
     nodes = spark.createDataFrame([(1, d(2020, 1, 1)), (2, d(2025, 6, 1)), (3, d(2024, 7, 15)), (4, d(2019, 5, 5)), (5, d(2026, 1, 2))], "id long, date_filed date")
-    rows = [(2, 1, None), (3, 1, None), (3, 2, None), (4, 3, None), (5, 1, "It is overruled by later authority."), (5, 1, "duplicate pair"), (4, 999, "x"), (998, 1, "x"), (5, 4, "But see Ancient v. Four.")]
+    rows = [(2, 1, None), (3, 1, None), (3, 2, None), (4, 3, None), (5, 1, "It was overruled in a later case."), (5, 1, "duplicate pair"), (4, 999, "x"), (998, 1, "x"), (5, 4, "But see Weir v. Lock.")]
     cites = spark.createDataFrame(rows, "citing_id long, cited_id long, context string")
     edges = graph.edges(cites, nodes)
     assert {tuple(r) for r in edges.collect()} == {(2, 1), (3, 1), (3, 2), (4, 3), (5, 1), (5, 4)}
@@ -52,10 +52,10 @@ def test_cited_by_and_subtree(spark):
 
 
 def test_markup():
-    page = 'Earlier <b>text</b> here. See <a href="/opinion/1184769/x/">18 Utah 2d 354</a>, and also <a class="q" href="/opinion/486398/y#frag"> Ramon Chaparro v. Bowen</a>. Done.<script>var x;</script><!-- c -->'
+    page = 'The ferry <b>left</b> early. Compare <a href="/opinion/31/pier/">31 Harbor Rep. 9</a>, then <a class="q" href="/opinion/4410/lock#top"> Ostrander v. Lock Co.</a>. End.<script>var x;</script><!-- c -->'
     text, links = T.clean_markup(page)
-    assert text == "Earlier text here. See 18 Utah 2d 354, and also Ramon Chaparro v. Bowen. Done."
-    assert [(k["target"], text[k["start"] : k["end"]]) for k in links] == [("1184769", "18 Utah 2d 354"), ("486398", "Ramon Chaparro v. Bowen")]
+    assert text == "The ferry left early. Compare 31 Harbor Rep. 9, then Ostrander v. Lock Co.. End."
+    assert [(k["target"], text[k["start"] : k["end"]]) for k in links] == [("31", "31 Harbor Rep. 9"), ("4410", "Ostrander v. Lock Co.")]
     text, links = T.clean_markup('x <a href="/opinion/7/">one</a> and <a href="/opinion/7/">two</a><a href="/opinion/0/">z</a>')
     assert [text[k["start"] : k["end"]] for k in links] == ["one", "two"]
     assert T.clean_markup('<a href="/opinion/7/">A\x00B</a> c')[1] == [] and T.clean_markup(None) == ("", [])
@@ -66,17 +66,17 @@ def test_markup():
 @pytest.mark.parametrize(
     "text,quote,found",
     [
-        ("before the quick brown fox jumps after", "the quick brown fox", True),
-        ("The Court said “no—state may \xa0interfere   here.”", "NO–STATE   may\ninterferE here.", True),
-        ("statute requires that the filing be timely.", "[t]HE filing be timely.", True),
-        ("the quick brown fox", "the quick red fox", False),
-        ("The right of privacy is fundamental and applies to the states through due process.", "The right of privacy … applies to the states through due process.", True),
-        ("The right of privacy is fundamental and applies to the states through due process.", "The right of privacy [...] applies to the states through due process.", True),
-        ("alpha beta gamma delta epsilon zeta.", "alpha beta ... delta omega zeta.", False),
-        ("anything", " ", False),
-        ("it reads no person shall be deprived of life liberty", "person shall be deprived of life liberty", False),
-        ("it reads no person shall be deprived of life liberty", "no person shall be deprived of life liberty", True),
-        ("no person shall be deprived; a person shall be deprived", "person shall be deprived", True),
+        ("after rain the grey heron waits by the sluice gate", "the grey heron waits", True),
+        ("Counsel wrote “all tolls—river \xa0tolls   too.”", "TOLLS–RIVER   tolls\ntoO.", True),
+        ("the bylaw asks that every barge be inspected.", "[E]VERY barge be inspected.", True),
+        ("the grey heron waits", "the grey stork waits", False),
+        ("Tolls on the upper river are due each spring and are paid at the weir by barge owners.", "Tolls on the upper river … are paid at the weir by barge owners.", True),
+        ("Tolls on the upper river are due each spring and are paid at the weir by barge owners.", "Tolls on the upper river [...] are paid at the weir by barge owners.", True),
+        ("oak elm birch larch maple alder.", "oak elm ... larch poplar alder.", False),
+        ("whatever", " ", False),
+        ("the charter says never barge owners pay twice for one voyage", "barge owners pay twice for one voyage", False),
+        ("the charter says never barge owners pay twice for one voyage", "never barge owners pay twice for one voyage", True),
+        ("never may owners pay twice; some owners pay twice", "owners pay twice", True),
     ],
 )
 def test_quotes(text, quote, found):
@@ -87,19 +87,46 @@ def test_quotes(text, quote, found):
 
 
 def test_spans():
-    spans = T.quoted_spans('He said "one two three" and “four five\nsix seven”. The plaintiff\'s dogs\' don\'t. \'single quoted span here\'.')
-    assert [s["quote"] for s in spans] == ["one two three", "four five\nsix seven", "single quoted span here"]
-    assert [s["quote"] for s in T.quoted_spans("\"an outer 'inner quoted span here' text\"")] == ["an outer 'inner quoted span here' text"]
+    spans = T.quoted_spans("She wrote \"low tide at noon\" and “two barges\nran aground”. The miller's oxen' won't. 'lone quoted phrase now'.")
+    assert [s["quote"] for s in spans] == ["low tide at noon", "two barges\nran aground", "lone quoted phrase now"]
+    assert [s["quote"] for s in T.quoted_spans("\"wide outside 'some phrase kept inside' again\"")] == ["wide outside 'some phrase kept inside' again"]
     assert T.quoted_spans(None) == []
 
 
 def test_citations():
-    got = T.citations("See 410 U.S. 113, 115; Id. at 117. Brown, 347 U.S. at 495; Roe, supra, at 12. We have 500 Lots 20.")
-    assert [(c["kind"], c["volume"], c["page"], c["pin"]) for c in got] == [("full", "410", "113", "115"), ("id", None, None, "117"), ("short", "347", None, "495"), ("supra", None, None, "12")]
-    text = "Under 42 U.S.C. § 1983 and 12 C.F.R. § 1026.36, and 29 USC 1910.1200; 5 U.S.C. § 706(2)(A); 410 U.S. 113; § 1983"
+    got = T.citations("Compare 31 Har. 204, 209; Id. at 211. Ostrander, 77 Har. at 18; Lock, supra, at 5. They sold 300 Rolls 18.")
+    assert [(c["kind"], c["volume"], c["page"], c["pin"]) for c in got] == [("full", "31", "204", "209"), ("id", None, None, "211"), ("short", "77", None, "18"), ("supra", None, None, "5")]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("By 33 U.S.C. § 408 tolls stop", [("usc", "33", "408")]),
+        ("(46 C.F.R. § 15.705), then", [("ecfr", "46", "15.705")]),
+        ("46 USC 2101.", [("usc", "46", "2101")]),
+        ("33 U.S.C.A. §§ 1251a(b)(2)", [("usc", "33", "1251a")]),
+        ("46 CFR§15.", [("ecfr", "46", "15")]),
+        ("31 Har. 204; § 408; U.S.C. § 9; 33 U.S.C.; 1033 U.S.C. § 4; 33U.S.C. § 5; x U.S.C. § 5", []),
+        ("33 U.S.C. § 408 and 33 U.S.C. § 409", [("usc", "33", "408"), ("usc", "33", "409")]),
+        (None, []),
+    ],
+)
+def test_statute_citations(text, want):
     got = T.statute_citations(text)
-    assert [(s["source"], s["title"], s["section"]) for s in got] == [("usc", "42", "1983"), ("ecfr", "12", "1026.36"), ("usc", "29", "1910.1200"), ("usc", "5", "706")]
-    assert text[got[0]["start"] : got[0]["end"]] == "42 U.S.C. § 1983"
+    assert [(s["source"], s["title"], s["section"]) for s in got] == want
+    assert all(text[s["start"] :].startswith(s["title"]) and text[: s["end"]].endswith(s["section"]) for s in got)
+
+
+def test_case_citations(spark):
+    rows = [
+        ("31 Har. 204", ("31", "Har.", "204")), (" 031  S. Ct.  007 ", ("31", "S. Ct.", "7")), ("31 204", None), ("31 9th 204", None), ("x Har. 204", None), ("12345 Har. 2", None),
+        ("31 Har. 1234567", None), ("31 Har. II", None), ("31 Har§ 2", None), ("", None), (None, None),
+    ]
+    got = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t string").select("k", scalars.parsed_citation(F.col("t")).alias("c")).collect()
+    assert {r["k"]: r["c"] and tuple(r["c"]) for r in got} == {k: w for k, (_, w) in enumerate(rows)}
+    text = "Compare (31 Har. 204), 77 S. Ct. 18. They sold 300 Rolls 18 times; 31 Har. 204 again, 5 har. 6, 9 of Har. and 10 Sup. Ct. Rev. N. S. 11; 12 A. B. C. D. E. F. 13."
+    one = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(scalars.inline_citations(F.col("t"))).collect()
+    assert [r[0] for r in one] == [["31 Har. 204", "77 S. Ct. 18", "10 Sup. Ct. Rev. N. S. 11"], [], None]
 
 
 def test_stems():
@@ -109,8 +136,15 @@ def test_stems():
 
 
 def test_markup_stripping(spark):
-    rows = spark.createDataFrame([("# Head\n- item **bold** and *it* `code`\n\n\n\n3 * 4 and snake_case",)], "x string")
-    assert rows.select(scalars.without_markup(F.col("x"))).first()[0] == "Head\nitem bold and it code\n\n3 * 4 and snake_case"
+    cases = {
+        "# River\n- toll **due** and *paid* `now`\n\n\n\n7 * 9 and low_tide_line": "River\ntoll due and paid now\n\n7 * 9 and low_tide_line",
+        "2) weir __shut__ _for now_ ***all***\n* one\n+ two": "weir shut for now all\none\ntwo",
+        "open ** mark and 2 ** 3 ** 4 stay? a*b*c": "open ** mark and 2 ** 3 ** 4 stay? a*b*c",
+        "plain": "plain",
+        "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "x string").select("x", scalars.without_markup(F.col("x")).alias("y")).collect()
+    assert {r["x"]: r["y"] for r in rows} == cases
 
 
 def test_calendar(spark):
@@ -131,20 +165,20 @@ def test_calendar(spark):
 
 
 def test_query_tokens():
-    phrases = {"commerce clause", "substantial effects"}
-    assert search.query_tokens("The Commerce Clause and substantial effects of a", phrases) == ["commerce clause", "substantial effects"]
-    assert search.query_tokens('"; DROP -- * AND') == ["drop"] and search.query_tokens("") == []
+    phrases = {"harbor dues", "general average loss"}
+    assert search.query_tokens("The Harbor Dues and general average loss of a", phrases) == ["harbor dues", "general average loss"]
+    assert search.query_tokens('");-- SELECT * OR') == ["select"] and search.query_tokens("") == []
     assert len(search.query_tokens("word " * 50)) == 24
 
 
 def test_search(spark):
-    texts = ["commerce clause has substantial effects here", "the commerce clause and substantial effects again and again", "unrelated words entirely", "citing paper with none of them", "commerce alone"]
+    texts = ["harbor dues meet general average here", "the harbor dues and general average again and again", "unrelated words entirely", "citing paper with none of them", "harbor alone"]
     opinions = spark.createDataFrame([(k + 1, k + 1, "x", "Published", False, False, t) for k, t in enumerate(texts)], "id long, cluster_id long, court_id string, status string, ocr boolean, blocked boolean, text string")
     cites = spark.createDataFrame([(4, 1, 1), (4, 2, 1)], "citing_id long, cited_id long, depth long")
     authority = spark.createDataFrame([(1, 0.5, 3)], "id long, pagerank double, recent long")
-    parens = spark.createDataFrame([(3, 9, "held that the commerce clause has substantial effects")], "described_id long, describing_id long, text string")
-    o = search.Options(limit=3, phrases=frozenset({"commerce clause", "substantial effects"}))
-    query = "commerce clause substantial effects"
+    parens = spark.createDataFrame([(3, 9, "found that harbor dues fall under general average")], "described_id long, describing_id long, text string")
+    o = search.Options(limit=3, phrases=frozenset({"harbor dues", "general average"}))
+    query = "harbor dues general average"
     c = search.collection(opinions, authority, parens, cites)
     got = {r["id"]: r["kind"] for r in search.search(query, c, o).collect()}
     assert got == {1: "organic", 2: "organic", 3: "seed"}
@@ -152,43 +186,84 @@ def test_search(spark):
     c = search.collection(opinions, authority, parens.limit(0), cites)
     rows = search.search(query, c, o).orderBy("place").collect()
     assert [(r["id"], r["kind"]) for r in rows] == [(1, "organic"), (2, "organic"), (4, "prf")]
-    assert search.search("the of", c).count() == 0 and search.search("\"; DROP -- * AND ' OR", c).count() == 0
-    assert {r["id"] for r in search.near(c.index, ["commerce", "effects"], 4).collect()} == {1, 2}
+    assert search.search("the of", c).count() == 0 and search.search("');-- SELECT * OR \"", c).count() == 0
+    assert {r["id"] for r in search.near(c.index, ["harbor", "average"], 4).collect()} == {1, 2}
     # Stems: other forms of a word are found; a phrase needs its order.
-    assert {r["id"] for r in search.search("citation effected unrelatedly", c).collect()} == set()
+    assert {r["id"] for r in search.search("citation averaged unrelatedly", c).collect()} == set()
     assert {r["id"] for r in search.ranked(c.index, ["citings", "papers"]).collect()} == {4}
-    assert {r["id"] for r in search.ranked(c.index, ["clauses commerce"]).collect()} == set() and {r["id"] for r in search.ranked(c.index, ["commerce clauses"]).collect()} == {1, 2}
+    assert {r["id"] for r in search.ranked(c.index, ["dues harbor"]).collect()} == set() and {r["id"] for r in search.ranked(c.index, ["harbors due"]).collect()} == {1, 2}
     assert search.clamped(0) == 1 and search.clamped(1000) == 100
-    assert [tuple(r) for r in search.search_relaxed("commerce zzz effects clause", c, opinions, 1).select("way").distinct().collect()] == [("relaxed",)]
+    assert [tuple(r) for r in search.search_relaxed("harbor zzz general dues", c, opinions, 1).select("way").distinct().collect()] == [("relaxed",)]
+
+
+def test_blocks_are_skipped(spark, monkeypatch):
+    """The best hits are the same with and without blocks skipped, for words and phrases, with filters; frequent terms' blocks are mostly skipped."""
+    rng = random.Random(5)
+    monkeypatch.setattr(search, "WIDTH", 8)
+    words = ["weir"] * 6 + ["toll"] * 5 + ["barge", "heron", "sluice", "oxbow"]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(3, 60)))) for k in range(900)] + [(900 + k, "weir toll weir toll") for k in range(6)]
+    index = search.build_index(spark.createDataFrame(docs, "id long, text string"))
+    some = spark.createDataFrame([(k,) for k in range(0, 906, 3)], "id long")
+    for tokens in (["weir", "toll"], ["weir toll"], ["weir", "heron"], ["weir", "toll barge"], ["absent", "toll"]):
+        for allowed in (None, some):
+            hits = search.ranked(index, tokens)
+            hits = hits if allowed is None else hits.join(allowed, "id")
+            want = [(r["id"], round(r["bm25"], 9)) for r in hits.orderBy(F.desc("bm25"), "id").limit(7).collect()]
+            assert [(r["id"], round(r["bm25"], 9)) for r in search.top_ranked(index, tokens, 7, allowed).collect()] == want
+    scorer = search.Scorer(index, ["weir", "toll"])
+    needed = scorer.needed(7)
+    assert needed is not None and needed.count() * 3 < scorer.bounds().count()
+    monkeypatch.setattr(search, "BLOCKS_NAMED", 0)
+    assert scorer.needed(7).count() == needed.count()
+    assert search.build_index(spark.createDataFrame([], "id long, text string")).postings.count() == 0
+
+
+def test_filters(spark):
+    courts = spark.createDataFrame([("har", "Harbor Court", None), ("har1", "First Pier", "har"), ("hill", "Hill Court", None)], "id string, name string, parent_id string")
+    rows = [(k, k, ["har", "har1", "hill"][k % 3], "Published", False, False, "toll due", dt.date(2000 + k, 1, 1)) for k in range(9)] + [(20, 20, "har", "Unpublished", False, False, "toll due", dt.date(2001, 1, 1))]
+    opinions = spark.createDataFrame(rows, "id long, cluster_id long, court_id string, status string, ocr boolean, blocked boolean, text string, date_filed date")
+    none = spark.createDataFrame([], "id long, pagerank double, recent long")
+    c = search.collection(opinions, none, spark.createDataFrame([], "described_id long, describing_id long, text string"), None, courts)
+    ids = lambda **o: {r["id"] for r in search.search("toll", c, search.Options(**o)).collect()}
+    assert ids() == set(range(9)) and ids(courts=frozenset({"hill"})) == {2, 5, 8} and ids(courts=frozenset()) == set()
+    assert ids(jurisdiction="HAR") == {0, 1, 3, 4, 6, 7} and ids(jurisdiction="pier") == {1, 4, 7} and ids(jurisdiction="nowhere") == set(range(9))
+    assert ids(jurisdiction="har", filed=("2003-01-01", "2006-01-01")) == {3, 4, 6} and ids(filed=(None, "2001-01-01")) == {0, 1}
+    asked = spark.createDataFrame([(1, "tolls due"), (2, "the of"), (3, "toll absentword"), (4, None)], "query_id long, text string")
+    got = search.search_batch(asked, c, search.Options(limit=4, courts=frozenset({"har", "hill"}))).collect()
+    assert [(r["query_id"], r["place"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == [(1, 1, 0), (1, 2, 2), (1, 3, 3), (1, 4, 5)]
 
 
 def test_verification(spark):
-    opinions = spark.createDataFrame([(1, 1, "020lead", False, "it was said that all parties must file on time"), (2, 1, "040dissent", False, "a sibling says something quite different here"), (3, 2, "020lead", True, "x")], "id long, cluster_id long, type string, blocked boolean, text string")
-    strings = spark.createDataFrame([(1, "410", "U.S.", "113"), (2, "5", "F.2d", "7")], "cluster_id long, volume string, reporter string, page string")
+    opinions = spark.createDataFrame([(1, 1, "020lead", False, "the clerk noted that every toll falls due in spring"), (2, 1, "040dissent", False, "another judge writes that barges sail free here"), (3, 2, "020lead", True, "x")], "id long, cluster_id long, type string, blocked boolean, text string")
+    strings = spark.createDataFrame([(1, "31", "Har.", "204"), (2, "5", "F.2d", "7")], "cluster_id long, volume string, reporter string, page string")
     drafts = spark.createDataFrame(
-        [(1, 'Held: "all parties must file" 410 U.S. 113.'), (2, 'Held: "something quite different" 410 U.S. 113.'), (3, 'Held: "words never said by anyone" 410 U.S. 113.'), (4, 'Held: "no citation stands near"'), (5, "See 999 U.S. 1 and 5 F.2d 7."), (6, "plain")],
+        [(1, 'Held: "every toll falls due" 31 Har. 204.'), (2, 'Held: "judge writes that barges" 31 Har. 204.'), (3, 'Held: "herons own the upper weir" 31 Har. 204.'), (4, 'Held: "nobody is cited around here"'), (5, "See 999 Har. 1 and 5 F.2d 7."), (6, "plain")],
         "draft_id long, text string",
     )
     checks = verify.citation_checks(drafts, strings, opinions)
-    assert {(r["draft_id"], r["volume"]): r["status"] for r in checks.collect()} == {(1, "410"): "verified", (2, "410"): "verified", (3, "410"): "verified", (5, "999"): "unresolved_citation", (5, "5"): "unresolved_citation"}
+    assert {(r["draft_id"], r["volume"]): r["status"] for r in checks.collect()} == {(1, "31"): "verified", (2, "31"): "verified", (3, "31"): "verified", (5, "999"): "unresolved_citation", (5, "5"): "unresolved_citation"}
     quotes = verify.quote_checks(drafts, checks, opinions)
     assert {r["draft_id"]: r["status"] for r in quotes.collect()} == {1: "verified", 2: "within_cluster", 3: "not_found", 4: "unattributed"}
     assert {r["draft_id"]: r["overall"] for r in verify.report(drafts, checks, quotes).collect()} == {1: "verified", 2: "verified", 3: "failed", 4: "failed", 5: "failed", 6: "empty"}
-    assert {(r["draft_id"], r["citation"]) for r in verify.export_gate(drafts, strings, opinions).collect()} == {(5, "999 U.S. 1")}
+    assert {(r["draft_id"], r["citation"]) for r in verify.export_gate(drafts, strings, opinions).collect()} == {(5, "999 Har. 1")}
     ranks = opinions.select("id", F.lit(False).alias("highest"), F.lit(0.0).alias("pagerank"))
-    more = spark.createDataFrame([(9, 5, "020lead", False, "elsewhere it stands that words never said by anyone are rare", "Published")], "id long, cluster_id long, type string, blocked boolean, text string, status string")
+    more = spark.createDataFrame([(9, 5, "020lead", False, "some believe that herons own the upper weir and lock", "Published")], "id long, cluster_id long, type string, blocked boolean, text string, status string")
     wide = opinions.withColumn("status", F.lit("Published")).unionByName(more)
     from citeloom.operators.search import build_index
 
     wrong = verify.quote_checks(drafts, checks, wide, build_index(wide.where("not blocked")), ranks)
     assert {r["draft_id"]: (r["status"], r["source_id"]) for r in wrong.collect()} == {1: ("verified", None), 2: ("within_cluster", None), 3: ("wrong_case", 9), 4: ("unattributed", None)}
-    statutes = spark.createDataFrame([("usc", "42", "1983", "Civil action")], "source string, title string, section string, heading string")
-    codes = spark.createDataFrame([(1, "Under 42 U.S.C. § 1983 and 42 U.S.C. § 1984."), (2, "12 C.F.R. § 1026.36")], "draft_id long, text string")
+    outside = spark.createDataFrame([(1, "As 2020 WL. 12345 shows."), (2, "Only 77 U.S.C. § 99999 says so."), (3, "By 33 U.S.C. § 408.")], "draft_id long, text string")
+    code = spark.createDataFrame([("usc", "33", "408", "Taking of tolls")], "source string, title string, section string, heading string")
+    told = verify.report(outside, verify.citation_checks(outside, strings, opinions), quotes.limit(0), verify.statute_checks(outside, code))
+    assert {tuple(r) for r in told.select("draft_id", "n_citations", "overall", "summary").collect()} == {(1, 1, "verified", "citation:out_of_corpus=1"), (2, 1, "failed", "statute:unresolved_citation=1"), (3, 1, "verified", "statute:verified=1")}
+    statutes = spark.createDataFrame([("usc", "33", "408", "Taking of tolls")], "source string, title string, section string, heading string")
+    codes = spark.createDataFrame([(1, "By 33 U.S.C. § 408 and 33 U.S.C. § 409."), (2, "46 C.F.R. § 15.705")], "draft_id long, text string")
     found = verify.statute_checks(codes, statutes).collect()
-    assert {(r["draft_id"], r["citation"], r["status"]) for r in found} == {(1, "42 U.S.C. § 1983", "verified"), (1, "42 U.S.C. § 1984", "unresolved_citation"), (2, "12 C.F.R. § 1026.36", "unresolved_citation")}
-    asked = spark.createDataFrame([("410 U.S. 113",), ("42 U.S.C. § 1983",), ("nothing",)], "asked string")
-    assert {tuple(r) for r in verify.lookup(asked, strings, opinions, statutes).collect()} == {("410 U.S. 113", "case", 1, None), ("42 U.S.C. § 1983", "statute", None, "Civil action"), ("nothing", None, None, None)}
-    keys = spark.createDataFrame([("410", "us", "113-114"), ("410", "U.S.", "113")], "volume string, reporter string, page string")
+    assert {(r["draft_id"], r["citation"], r["status"]) for r in found} == {(1, "33 U.S.C. § 408", "verified"), (1, "33 U.S.C. § 409", "unresolved_citation"), (2, "46 C.F.R. § 15.705", "unresolved_citation")}
+    asked = spark.createDataFrame([("31 Har. 204",), ("33 U.S.C. § 408",), ("nothing",)], "asked string")
+    assert {tuple(r) for r in verify.lookup(asked, strings, opinions, statutes).collect()} == {("31 Har. 204", "case", 1, None), ("33 U.S.C. § 408", "statute", None, "Taking of tolls"), ("nothing", None, None, None)}
+    keys = spark.createDataFrame([("31", " Har. ", "204-205"), ("31", "Har.", "204")], "volume string, reporter string, page string")
     assert {r["id"] for r in verify.resolve(keys, strings, opinions).collect()} == {1}
 
 
@@ -253,14 +328,14 @@ def test_streaming(spark, tmp_path):
 
 
 def test_small_text_helpers(spark):
-    rows = spark.createDataFrame([('He came. "She" left! Was it so? yes it was.', "LAW", "Holding that 410 U.S. 113 the duty exists Id.")], "t string, tag string, q string")
+    rows = spark.createDataFrame([('He came. "She" left! Was it so? yes it was.', "LAW", "Finding that 31 Har. 204 the toll lapsed Id.")], "t string, tag string, q string")
     got = rows.select(scalars.sentences(F.col("t")), scalars.known_tag(F.col("tag")), scalars.known_tag(F.col("q")), scalars.cleaned_query(F.col("q"))).first()
-    assert got[0] == ["He came.", '"She" left!', "Was it so? yes it was."] and got[1] == "LAW" and got[2] is None and got[3] == "the duty exists"
-    assert search.relaxed(["commerce clause", "tax", "duty", "liability", "negligence"]) == ["commerce clause", "negligence", "liability"]
-    words = spark.createDataFrame([("No person shall be deprived of life, liberty, or property without due process of law",)], "q string").select(scalars.probe_words(F.col("q")).alias("w"))
-    assert words.select(scalars.longest(F.col("w"), 2)).first()[0] == ["deprived", "liberty,"]
+    assert got[0] == ["He came.", '"She" left!', "Was it so? yes it was."] and got[1] == "LAW" and got[2] is None and got[3] == "the toll lapsed"
+    assert search.relaxed(["harbor dues", "tax", "weir", "lighterage", "demurrage"]) == ["harbor dues", "lighterage", "demurrage"]
+    words = spark.createDataFrame([("Every barge shall be inspected for leaks, ballast, or rot before the first voyage of spring",)], "q string").select(scalars.probe_words(F.col("q")).alias("w"))
+    assert words.select(scalars.longest(F.col("w"), 2)).first()[0] == ["inspected", "ballast,"]
     assert words.select(F.size(scalars.middle(F.col("w")))).first()[0] == 10
-    texts = spark.createDataFrame([(1, "duty duty duty"), (2, "duty " + "x" * 900 + " duty")], "id long, text string")
-    dense = search.by_density(texts.select("id", F.lit(1.0).alias("final")), texts, ["duty"])
+    texts = spark.createDataFrame([(1, "toll toll toll"), (2, "toll " + "x" * 900 + " toll")], "id long, text string")
+    dense = search.by_density(texts.select("id", F.lit(1.0).alias("final")), texts, ["toll"])
     best = {r["id"]: r["hits"] for r in dense.collect()}
     assert best == {1: 3, 2: 1}
