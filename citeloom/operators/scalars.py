@@ -218,7 +218,7 @@ def without_markup(text: Column) -> Column:
         line = F.regexp_replace(line, r"^(#+|[*+-]|\d+[).])\h+", "")
         for mark in _PAIRED:
             line = unpaired(line, mark)
-        return F.regexp_replace(line, r"(?<!\w)([*_])(\S|\S[^*_]*\S)\1(?!\w)", "$2")
+        return F.regexp_replace(line, r"(?<![\w*_])([*_])([^\s*_](?:[^*_]*[^\s*_])?)\1(?![\w*_])", "$2")
 
     lines = F.transform(F.split(text, "\n"), plain)
     return F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -55,59 +55,67 @@ def impact(tf: Column, size: Column, mean: float) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings of stems in blocks, in folders by ``bucket`` of their term.
+    """Postings of stems, in folders by ``bucket`` of their term, and what is known of their blocks.
 
-    ``blocks``: (bucket, term, block, n, cf, top, hits): a block has the texts of a range
-    of WIDTH ids, the same for all terms; ``top`` is the highest contribution in it and
-    ``hits`` are (id, tf, size, positions). ``stats``: (term, df, cf). ``dictionary``: (word, term).
-    ``n`` texts have ``mean`` words.
+    ``postings``: (bucket, term, block, id, tf, size, positions): a block is a range of WIDTH ids,
+    the same for all terms. ``blocks``: (term, block, n, cf, top), where ``top`` is the highest
+    contribution in a block. ``stats``: (term, df, cf). ``dictionary``: (word, term). ``n`` texts
+    have ``mean`` words.
     """
 
+    postings: DataFrame
     blocks: DataFrame
     stats: DataFrame
     dictionary: DataFrame
     n: int
     mean: float
 
-    @property
-    def postings(self) -> DataFrame:
-        """(bucket, term, id, tf, positions, size)."""
-        return _listed(self.blocks.select("bucket", "term", F.explode("hits").alias("x")))
 
+def _runs(rows: Column, key: str, make: Callable[[Column], Column]) -> Column:
+    """``make`` of each run of structs with one ``key`` in an ordered array; lambdas bind what is used twice."""
 
-def _listed(rows: DataFrame) -> DataFrame:
-    return rows.select("bucket", "term", "x.id", "x.tf", "x.positions", "x.size")
+    def of(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k)[key] != F.get(s, k - 1)[key]))
+        return F.get(F.transform(F.array(starts), lambda at: F.transform(at, lambda k, j: make(F.slice(s, k + 1, F.coalesce(F.get(at, j + 1), F.size(s)) - k)))), F.lit(0))
+
+    return F.when(F.size(rows) > 0, F.get(F.transform(F.array(rows), of), F.lit(0)))
 
 
 def build_index(docs: DataFrame) -> Index:
     """The index of ``docs`` (id, text), in expressions: only a distinct word's stem is Python.
 
-    The first pass over the texts gives the dictionary and their number and sizes. The
-    second joins words with their stems, gathers the places of each term and text (combined
-    before they move), and then the texts of each block. A folder with a frequent term is
-    several files.
+    Texts are read once, into a table of each text's words with their places. Its words
+    are the dictionary; joined with their stems, they move once, to the blocks of
+    their terms. A folder with a frequent term is several files.
     """
     spark = docs.sparkSession
     cores = spark.sparkContext.defaultParallelism
+    parts = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select("id", "text")
-    words = (docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs).select("id", terms(F.col("text")).alias("words"))
+    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
     seen = Observation()
+    words = docs.select("id", terms(F.col("text")).alias("words"))
+    placed = F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    one = lambda run: F.struct(F.get(run, F.lit(0))["word"].alias("word"), F.transform(run, lambda x: x["at"]).alias("positions"))
     counted = words.observe(seen, F.count("*").alias("n"), F.sum(F.size("words")).alias("words"))
-    dictionary = written(counted.select(F.explode("words").alias("word")).distinct().withColumn("term", stem_of(F.col("word"))), "dictionary")
+    forward = written(counted.select("id", F.size("words").alias("size"), _runs(placed, "word", one).alias("words")), "words")
     n, mean = seen.get["n"], (seen.get["words"] or 0) / max(seen.get["n"], 1) or 1.0
-    known = F.broadcast(dictionary) if dictionary.count() <= DICTIONARY_ROWS else dictionary
-    placed = words.select("id", F.size("words").alias("size"), F.posexplode("words").alias("position", "word")).join(known, "word")
-    one = placed.groupBy("term", "id").agg(F.max("size").alias("size"), F.sort_array(F.collect_list("position")).alias("positions"))
-    lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-    block = F.floor(F.col("id") / WIDTH)
-    dealt = one.withColumns({"tf": F.size("positions"), "block": block, "bucket": (F.crc32("term") % BUCKETS).cast("int"), "lane": F.pmod(block, F.lit(lanes))}).repartition("bucket", "lane")
-    rows = dealt.groupBy("bucket", "lane", "term", "block").agg(
-        F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max(impact(F.col("tf"), F.col("size"), mean)).alias("top"),
-        F.sort_array(F.collect_list(F.struct("id", "tf", "size", "positions"))).alias("hits"),
-    )
-    blocks = written(rows.drop("lane").sortWithinPartitions("bucket", "term", "block"), "postings", by="bucket")
+    vocabulary = forward.select(F.explode("words.word").alias("word")).distinct().repartition(parts)
+    dictionary = written(vocabulary.withColumn("term", stem_of(F.col("word"))), "dictionary")
+    forms = dictionary.join(dictionary.groupBy("term").agg((F.count("*") > 1).alias("several")), "term")
+    known = F.broadcast(forms) if dictionary.count() <= DICTIONARY_ROWS else forms
+    listed = forward.select("id", "size", F.explode("words").alias("x")).select("id", "size", "x.word", "x.positions").join(known, "word").drop("word")
+    # Forms of one stem come together; most stems have one form only.
+    merged = listed.where("several").groupBy("term", "id").agg(F.max("size").alias("size"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    lanes = max(1, parts // BUCKETS)
+    block, bucket = F.floor(F.col("id") / WIDTH), (F.crc32("term") % BUCKETS).cast("int")
+    every = listed.where("not several").drop("several").unionByName(merged).withColumns({"tf": F.size("positions"), "block": block, "bucket": bucket, "lane": F.pmod(block, F.lit(lanes))})
+    dealt = every.repartition(parts, "bucket", "lane").select("bucket", "term", "block", "id", "tf", "size", "positions")
+    postings = written(dealt.sortWithinPartitions("bucket", "term", "id"), "postings", by="bucket")
+    of_block = F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max(impact(F.col("tf"), F.col("size"), mean)).alias("top")
+    blocks = written(postings.groupBy("term", "block").agg(*of_block), "blocks")
     stats = written(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf")), "terms")
-    return Index(blocks, stats, dictionary, n, mean)
+    return Index(postings, blocks, stats, dictionary, n, mean)
 
 
 def stems(token: str) -> tuple[str, ...]:
@@ -116,9 +124,9 @@ def stems(token: str) -> tuple[str, ...]:
 
 
 def _fetched(index: Index, parts: list[str]) -> DataFrame:
-    """Blocks of some stems: only their buckets' files are read."""
+    """Postings of some stems: only their buckets' files are read."""
     buckets = sorted({zlib.crc32(p.encode()) % BUCKETS for p in parts})
-    return index.blocks.where(F.col("bucket").isin(buckets) & F.col("term").isin(parts))
+    return index.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(parts))
 
 
 def _shifted(places: Column, k: int) -> Column:
@@ -141,9 +149,8 @@ class Scorer:
         fetched = _fetched(self.index, self.parts)
         if blocks is not None:
             fetched = fetched.join(blocks, "block", "left_semi")
-        listed = _listed(fetched.select("bucket", "term", F.explode("hits").alias("x")))
         at = {p: F.col(f"p{k}") for k, p in enumerate(self.parts)}
-        of = listed.groupBy("id").agg(
+        of = fetched.groupBy("id").agg(
             F.max("size").alias("size"), *[F.max(F.when(F.col("term") == p, F.col("positions"))).alias(f"p{k}") for k, p in enumerate(self.parts)]
         )
 
@@ -164,7 +171,7 @@ class Scorer:
     def scored(self, blocks: DataFrame | None = None) -> DataFrame:
         """(id, bm25) of texts that hold all tokens; higher is better."""
         if self.empty or not all(self.df):
-            return self.index.blocks.limit(0).select(F.col("block").alias("id"), F.lit(0.0).alias("bm25"))
+            return self.index.postings.limit(0).select("id", F.lit(0.0).alias("bm25"))
         score, hit = F.lit(0.0), F.lit(True)
         for k, idf in enumerate(self.idf):
             tf = F.col(f"tf{k}")
@@ -174,7 +181,7 @@ class Scorer:
 
     def bounds(self) -> DataFrame:
         """(block, bound) of blocks that hold all parts: no text of a block scores higher; no hit is read."""
-        top = _fetched(self.index, self.parts).groupBy("block").agg(*[F.max(F.when(F.col("term") == p, F.col("top"))).alias(f"t{k}") for k, p in enumerate(self.parts)])
+        top = self.index.blocks.where(F.col("term").isin(self.parts)).groupBy("block").agg(*[F.max(F.when(F.col("term") == p, F.col("top"))).alias(f"t{k}") for k, p in enumerate(self.parts)])
         of = {p: F.col(f"t{k}") for k, p in enumerate(self.parts)}
         parts = [F.lit(idf) * (F.least(*[of[w] for w in words]) if len(set(words)) > 1 else of[words[0]]) for idf, words in zip(self.idf, self.wanted, strict=True)]
         bound = reduce(lambda a, b: a + b, parts) * (1 + 1e-9)  # sums in another order differ in the last digits
@@ -212,9 +219,9 @@ def top_ranked(index: Index, tokens: list[str], k: int, allowed: DataFrame | Non
 def ranked_batch(wanted: DataFrame, index: Index, share: bool = False) -> DataFrame:
     """(query_id, id, bm25, or with ``share`` the terms' share of the text's words) of texts that hold all terms of a query, for many queries ``wanted`` (query_id, term) in a few jobs.
 
-    Texts come from a query's rarest term, whose postings alone are read whole. Of the
-    other terms only those blocks are joined in which there is such a text, so that
-    frequent terms don't meet queries. A query with a null term, a word that no text
+    Texts come from a query's rarest term, whose postings alone are read whole. The
+    other terms are looked up by term and text, one row at most for each, so that
+    queries never meet all postings of a frequent term. A query with a null term, a word that no text
     has, finds nothing.
     """
     known = wanted.distinct().join(index.stats.select("term", "df"), "term", "left")
@@ -222,17 +229,15 @@ def ranked_batch(wanted: DataFrame, index: Index, share: bool = False) -> DataFr
     term = F.struct("df", "term", idf.alias("idf"))
     of = known.groupBy("query_id").agg(F.sort_array(F.collect_list(term)).alias("terms"), F.bool_and(F.col("df").isNotNull()).alias("whole"))
     asked = of.where("whole").select("query_id", F.element_at("terms", 1).alias("rare"), F.expr("slice(terms, 2, size(terms))").alias("others"))
-    hits = index.blocks.select("term", "block", "hits")
-    tf, size = F.col("x.tf"), F.col("x.size")
-    part = tf / size if share else F.col("idf") * impact(tf, size, index.mean)
+    hits = index.postings.select("term", "id", "tf", "size")
+    part = F.col("tf") / F.col("size") if share else F.col("idf") * impact(F.col("tf"), F.col("size"), index.mean)
     name = "share" if share else "bm25"
-    first = asked.join(hits, F.col("rare.term") == F.col("term")).select("query_id", "others", "rare.idf", "block", F.explode("hits").alias("x"))
-    first = written(first.select("query_id", "others", "block", "x.id", part.alias("part")), "candidates")
+    first = asked.select("query_id", "others", "rare.term", "rare.idf").join(hits, "term")
+    first = written(first.select("query_id", "others", "id", part.alias("part")), "candidates")
     alone = first.where(F.size("others") == 0).select("query_id", "id", F.col("part").alias(name))
-    held = first.select("query_id", "block", "id", "part", F.size("others").alias("n"), F.explode("others").alias("o")).select("*", "o.term", "o.idf").join(hits, ["term", "block"])
-    held = held.withColumn("x", F.get(F.filter("hits", lambda h: h["id"] == F.col("id")), F.lit(0))).where("x is not null")
-    both = held.groupBy("query_id", "id", "n", "part").agg(F.count("*").alias("m"), F.sum(part).alias("more"))
-    return alone.unionByName(both.where("m = n").select("query_id", "id", (F.col("part") + F.col("more")).alias(name)))
+    held = first.select("query_id", "id", "part", F.size("others").alias("n"), F.explode("others").alias("o")).select("query_id", "id", F.col("part").alias("first"), "n", "o.term", "o.idf")
+    both = held.join(hits, ["term", "id"]).groupBy("query_id", "id", "n", "first").agg(F.count("*").alias("m"), F.sum(part).alias("more"))
+    return alone.unionByName(both.where("m = n").select("query_id", "id", (F.col("first") + F.col("more")).alias(name)))
 
 
 def batch_terms(queries: DataFrame, index: Index, most: int = 24) -> DataFrame:
@@ -259,8 +264,7 @@ def search_batch(queries: DataFrame, c: Collection, options: Options | None = No
 def near(index: Index, words: list[str], distance: int) -> DataFrame:
     """Ids of texts where all words occur within ``distance`` words of each other."""
     parts = sorted({p for w in words for p in stems(w)})
-    listed = _listed(_fetched(index, parts).select("bucket", "term", F.explode("hits").alias("x")))
-    placed = listed.select("id", "term", F.explode("positions").alias("p"))
+    placed = _fetched(index, parts).select("id", "term", F.explode("positions").alias("p"))
     window = Window.partitionBy("id").orderBy("p").rangeBetween(0, distance)
     return placed.withColumn("seen", F.size(F.collect_set("term").over(window))).where(F.col("seen") == len(parts)).select("id").distinct()
 

@@ -201,9 +201,9 @@ def test_blocks_are_skipped(spark, monkeypatch):
     rng = random.Random(5)
     monkeypatch.setattr(search, "WIDTH", 8)
     words = ["weir"] * 6 + ["toll"] * 5 + ["barge", "heron", "sluice", "oxbow"]
-    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(3, 60)))) for k in range(900)] + [(900 + k, "weir toll weir toll") for k in range(6)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(40, 60)))) for k in range(900)] + [(900 + k, "weir toll weir toll") for k in range(9)]
     index = search.build_index(spark.createDataFrame(docs, "id long, text string"))
-    some = spark.createDataFrame([(k,) for k in range(0, 906, 3)], "id long")
+    some = spark.createDataFrame([(k,) for k in range(0, 909, 3)], "id long")
     for tokens in (["weir", "toll"], ["weir toll"], ["weir", "heron"], ["weir", "toll barge"], ["absent", "toll"]):
         for allowed in (None, some):
             hits = search.ranked(index, tokens)
