@@ -153,3 +153,34 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def turns_as_events(conversations: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as a log in which each row is a whole message."""
     return conversations.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+
+
+def streamed_events(conversations: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as the log that a chat service would have written of them.
+
+    By conversation and turn a message comes whole, in deltas, after a draft that is
+    edited or regenerated, or both. Only its first event names the role. The log has no order
+    of its own: a row's events have sequence numbers of their own, so that
+    rows that repeat a turn stay messages of their own.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.floor(F.length(text) / 3).cast("int")
+    a, b, c = F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, third * 2 + 1, F.length(text))
+    event = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("text"))
+    none = F.lit(None).cast("string")
+    ways = [
+        [event("message", F.col("text"))],
+        [event("message", a), event("delta", b), event("delta", c)],
+        [event("message", F.reverse(text)), event("regenerate", none), event("delta", F.concat(a, b)), event("delta", c)],
+        [event("message", F.concat(a, F.lit(" sic"))), event("edit", text)],
+        [event("message", c), event("edit", F.lit("withdrawn")), event("delta", b), event("regenerate", none), event("delta", a), event("delta", F.concat(b, c))],
+        [event("message", none), event("delta", F.lit("?")), event("edit", a), event("delta", b), event("delta", c)],
+    ]
+    way = F.pmod(F.coalesce("conv_id", F.lit(0)) * 31 + F.coalesce("turn", F.lit(0)), F.lit(len(ways)))
+    events = F.array(*ways[0])
+    for k, some in enumerate(ways[1:], 1):
+        events = F.when(way == k, F.array(*some)).otherwise(events)
+    told = conversations.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("row"))
+    listed = told.select("conv_id", "turn", "row", "role", F.posexplode(events).alias("k", "e"))
+    seq = F.col("row") * 8 + F.col("k")
+    return listed.select("conv_id", "turn", seq.alias("seq"), "e.kind", F.when(F.col("k") == 0, F.col("role")).alias("role"), "e.text")

@@ -65,11 +65,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one more, whose texts are made of another template's control strings."""
+    """All conversations and one more, whose texts are made of another template's control strings, as logs of deltas, edits and regenerations."""
     text = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat_format.read_back(chat_format.format_conversations(chat_format.turns_as_events(turns)))
+    return chat_format.read_back(chat_format.format_conversations(chat_format.streamed_events(turns)))
 
 
 def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:

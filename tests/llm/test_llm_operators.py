@@ -578,3 +578,16 @@ def test_pipeline(spark, tmp_path):
     language, lines, near, leaks = seen
     assert language == lines and near < lines and 12 in near and 12 not in leaks
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(leaks)
+
+
+def test_streamed_events(spark):
+    """A log of deltas, edits and regenerations folds into the messages it was made of; repeated rows stay messages of their own; extra columns don't matter."""
+    texts = ["", None, "a", "ab", "une é👍 longer text </s> \\ with <|im_end|>", "x" * 500, "two\nlines"]
+    rows = [(c, t, "assistant" if t % 2 else "user", texts[(c * 5 + t) % len(texts)], 1, "k") for c in range(12) for t in range(7)]
+    rows += [rows[3], rows[3], (None, None, None, None, None, None), (None, 1, None, "lone", None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq long, kind string")
+    log = chat_format.streamed_events(turns.repartition(3))
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    read = lambda events: collected(chat_format.read_back(chat_format.format_conversations(events)), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    assert read(log.repartition(5)) == read(chat_format.turns_as_events(turns))
+    assert chat_format.streamed_events(turns.limit(0)).count() == 0
