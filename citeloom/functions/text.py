@@ -134,17 +134,36 @@ def statute_citations(text: str | None) -> list[dict]:
     return out
 
 
+#: A section mark of no known code.
+_UNKNOWN = re.compile(r"§+\s*\d+")
+_NAME = re.compile(r"[^\W\d_][\w'’-]*")
+
+
+def _before(text: str, at: int, most: int = 80) -> list[str]:
+    """Capitalised words in the sentence before a place, nearest first."""
+    part = re.split(r"[;!?]|\.\s(?=[A-Z])(?<!v\.\s)", text[max(0, at - most) : at])[-1]
+    return [w for w in reversed(_NAME.findall(part)) if w[0].isupper()]
+
+
 def citations(text: str | None) -> list[dict]:
-    """Citations by kind (full, short, id, supra) in order, none overlapping; reporters have a period."""
+    """Citations by kind (full, short, id, supra, unknown) in order, none overlapping; reporters have a period.
+
+    ``names``: what a full citation's case may be called, and the name before a supra.
+    A text with a NUL is damaged and an error.
+    """
+    text = text or ""
+    if "\x00" in text:
+        raise ValueError("NUL in a text")
     found = []
-    for kind, pattern in (("short", _SHORT), ("full", _FULL), ("id", _ID), ("supra", _SUPRA)):
-        for m in pattern.finditer(text or ""):
+    for kind, pattern in (("short", _SHORT), ("full", _FULL), ("id", _ID), ("supra", _SUPRA), ("unknown", _UNKNOWN)):
+        for m in pattern.finditer(text):
             g = m.groups()
             if kind in ("full", "short") and "." not in g[1]:
                 continue
             volume, reporter, page = (g[0], g[1], g[2]) if kind in ("full", "short") else (None, None, None)
-            pin = g[3] if kind == "full" else g[2] if kind == "short" else g[0]
-            found.append({"kind": kind, "volume": volume, "reporter": reporter, "page": page if kind == "full" else None, "pin": pin, "start": m.start(), "end": m.end()})
+            pin = g[3] if kind == "full" else g[2] if kind == "short" else g[0] if g else None
+            names = _before(text, m.start()) if kind == "full" else _before(text, m.start(), 40)[:1] if kind == "supra" else []
+            found.append({"kind": kind, "volume": volume, "reporter": reporter, "page": page if kind == "full" else None, "pin": pin, "names": names, "start": m.start(), "end": m.end()})
     found.sort(key=lambda c: (c["start"], -c["end"]))
     out, end = [], 0
     for c in found:
@@ -388,8 +407,22 @@ def statute_citations_of(text: Column) -> Column:
     return _values("array<struct<source: string, title: string, section: string, start: int, end: int>>", statute_citations, text)
 
 
+def or_error(f: Callable[[str | None], object]) -> Callable[[str | None], tuple]:
+    """``f`` as a function of one value to (value, error): one bad value never ends a job."""
+
+    def run(value: str | None) -> tuple:
+        try:
+            return f(value), None
+        except Exception as error:  # whatever a value brings up belongs to its row
+            return None, f"{type(error).__name__}: {error}"
+
+    return run
+
+
 def citations_of(text: Column) -> Column:
-    return _values("array<struct<kind: string, volume: string, reporter: string, page: string, pin: string, start: int, end: int>>", citations, text)
+    """Struct (found, error) of each text."""
+    one = "array<struct<kind: string, volume: string, reporter: string, page: string, pin: string, names: array<string>, start: int, end: int>>"
+    return _rows(f"found {one}, error string", ["found", "error"], or_error(citations), text)
 
 
 def quoted_spans_of(text: Column) -> Column:

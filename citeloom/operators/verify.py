@@ -36,9 +36,16 @@ def resolve(keys: DataFrame, citation_strings: DataFrame, opinions: DataFrame) -
     ).drop("x")
 
 
-def citation_checks(drafts: DataFrame, citation_strings: DataFrame, opinions: DataFrame) -> DataFrame:
-    """A row for each full, short, id or supra citation of each draft, with its status."""
-    found = drafts.select("draft_id", F.posexplode(functions.citations_of(F.col("text"))).alias("idx", "c")).select("draft_id", "idx", "c.*")
+def citation_checks(drafts: DataFrame, citation_strings: DataFrame, opinions: DataFrame, authority: DataFrame | None = None) -> DataFrame:
+    """A row for each full, short, id, supra or unknown citation of each draft, with its status.
+
+    ``ambiguous``: a verified key that names several clusters, of which the preferred one is
+    taken. ``pin_unverified``: there is a pin, which nothing checks. ``corrected``: a full citation
+    as the corpus writes it. ``treatment``: labels of the cluster, if ``authority`` (id, flags) is given.
+    A draft that can't be read has one row of kind error, unresolved, with the ``error``.
+    """
+    read = drafts.select("draft_id", functions.citations_of(F.col("text")).alias("x"))
+    found = read.select("draft_id", F.posexplode("x.found").alias("idx", "c")).select("draft_id", "idx", "c.*")
     statutes = drafts.select("draft_id", F.explode(functions.statute_citations_of(F.col("text"))).alias("s")).select("draft_id", F.col("s.start").alias("s0"), F.col("s.end").alias("s1"))
     overlapping = found.join(statutes, "draft_id").where("start < s1 and s0 < end").select("draft_id", "idx").distinct()
     checked = resolve(found.join(overlapping, ["draft_id", "idx"], "left_anti"), citation_strings, opinions)
@@ -49,7 +56,37 @@ def citation_checks(drafts: DataFrame, citation_strings: DataFrame, opinions: Da
         .when(F.col("id").isNotNull(), "verified")
         .otherwise("unresolved_citation")
     )
-    return checked.withColumn("status", status)
+    corrected = F.when(F.col("kind") == "full", F.concat_ws(" ", scalars.lookup_number(F.col("volume")), scalars.reporter(F.col("reporter")), scalars.lookup_page(F.col("page"))))
+    checked = checked.withColumns({
+        "status": status, "ambiguous": (status == "verified") & (F.col("n_clusters") > 1), "pin_unverified": F.col("pin").isNotNull(),
+        "corrected": corrected, "error": F.lit(None).cast("string"),
+    })
+    failed = read.where("x.error is not null").select("draft_id", F.lit("error").alias("kind"), F.lit("unresolved_citation").alias("status"), F.col("x.error").alias("error"))
+    checked = checked.unionByName(failed, allowMissingColumns=True)
+    if authority is None:
+        return checked
+    flags = authority.join(opinions.select("id", "cluster_id"), "id").groupBy("cluster_id").agg(F.max("flags").alias("flags"))
+    return checked.join(flags, "cluster_id", "left").withColumn("treatment", scalars.treatment_labels(F.coalesce("flags", F.lit(0)))).drop("flags")
+
+
+def antecedents(checks: DataFrame) -> DataFrame:
+    """``checks`` with ``full_idx``: the full citation of the same draft that a short, id or supra form stands for, or null.
+
+    A short form stands for the last full citation before it with its volume and reporter,
+    a supra for the last whose case may have its name, and an id for what the citation before it stands for;
+    if that stands for nothing, neither does the id. Each draft's citations pass in their order; ids in a row share
+    what the first stands for.
+    """
+    before = lambda *keys: Window.partitionBy("draft_id", *keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    full = F.when(F.col("kind") == "full", F.col("idx"))
+    same = checks.withColumn("_short", F.last(full, True).over(before("volume", "reporter")))
+    told = checks.where(F.col("kind").isin("full", "supra")).select("draft_id", "idx", "kind", F.explode(F.array_distinct("names")).alias("name"))
+    supra = told.withColumn("_supra", F.last(full, True).over(before("name"))).where("kind = 'supra'").select("draft_id", "idx", "_supra")
+    rows = same.join(supra, ["draft_id", "idx"], "left")
+    own = F.when(F.col("kind") == "full", F.col("idx")).when(F.col("kind") == "short", F.col("_short")).when(F.col("kind") == "supra", F.col("_supra"))
+    rows = rows.withColumn("_own", own)
+    last = F.last(F.when(F.col("kind") != "id", F.struct(F.col("_own").alias("x"))), True).over(before())
+    return rows.withColumn("full_idx", F.when(F.col("kind") == "id", last["x"]).otherwise(F.col("_own"))).drop("_short", "_supra", "_own")
 
 
 def resolve_statutes(keys: DataFrame, statutes: DataFrame) -> DataFrame:
@@ -201,13 +238,39 @@ def export_gate(drafts: DataFrame, citation_strings: DataFrame, opinions: DataFr
     return missing.distinct()
 
 
-def sentence_verdicts(sentences: DataFrame, checks: DataFrame) -> DataFrame:
-    """Sentences (draft_id, n, text) with their range in the joined draft and the worst status of checks inside it."""
+def drafted(sentences: DataFrame) -> DataFrame:
+    """(draft_id, text) of tagged sentences (draft_id, n, tag, text, pin): each with its tag before and its pin citation after it."""
+    said = F.concat(F.lit("["), F.col("tag"), F.lit("] "), F.col("text"), F.coalesce(F.concat(F.lit(" ("), F.col("pin"), F.lit(")")), F.lit("")))
+    parts = F.array_sort(F.collect_list(F.struct("n", said.alias("said"))))
+    return sentences.groupBy("draft_id").agg(F.array_join(F.transform(parts, lambda p: p["said"]), " ").alias("text"))
+
+
+def sentence_verdicts(sentences: DataFrame, checks: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Sentences (draft_id, n, tag, text, pin) with their range in the draft, what stands in it, and whether all of that is verified.
+
+    Sentences, checks and quotes of a draft pass once in the order of their places: each
+    check belongs to the last sentence begun, if it ends there too. A LAW sentence needs a
+    pin citation, and one in which a citation was found. ``reason`` is the first that fails:
+    a check's status, ``no pin`` or ``pin without citation``.
+    """
     w = Window.partitionBy("draft_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = sentences.withColumn("s0", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))).withColumn("s1", F.col("s0") + F.length("text"))
-    inside = ranged.join(checks.select("draft_id", "start", "end", "status"), "draft_id").where("start >= s0 and end <= s1")
-    worst = inside.groupBy("draft_id", "n").agg(F.bool_and(F.col("status") == "verified").alias("ok"), F.count("*").alias("n_checks"))
-    return ranged.join(worst, ["draft_id", "n"], "left").select(
-        "draft_id", "n", "s0", "s1", F.coalesce("n_checks", F.lit(0)).alias("n_checks"),
-        F.when(F.col("ok").isNull(), "unchecked").when(F.col("ok"), "verified").otherwise("unverified").alias("verdict"),
-    )
+    head, size = F.length("tag") + 3, F.length("text") + F.coalesce(F.length("pin") + 3, F.lit(0))
+    ranged = sentences.withColumn("s0", (F.coalesce(F.sum(head + size + 1).over(w), F.lit(0)) + head).cast("int")).withColumn("s1", (F.col("s0") + size).cast("int"))
+    found = checks.select("draft_id", "start", "end", F.lit("cite").alias("what"), "status").unionByName(quotes.select("draft_id", "start", "end", F.lit("quote").alias("what"), "status"))
+    begun = ranged.select("draft_id", F.col("s0").alias("at"), F.struct("n", "s1").alias("s"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("what"), F.lit(None).cast("string").alias("status"))
+    so_far = Window.partitionBy("draft_id").orderBy("at", F.col("what").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = begun.unionByName(found.where("start is not null").select("draft_id", F.col("start").alias("at"), F.lit(None).cast(begun.schema["s"].dataType).alias("s"), "end", "what", "status"))
+    inside = both.withColumn("s", F.last("s", True).over(so_far)).where("what is not null and end <= s.s1").select("draft_id", "s.n", "at", "what", "status")
+    bad = F.when(~F.col("status").isin("verified", "within_cluster"), F.struct("at", F.concat_ws(":", "what", "status").alias("reason")))
+    of = inside.groupBy("draft_id", "n").agg(F.count_if(F.col("what") == "cite").alias("n_cites"), F.count_if(F.col("what") == "quote").alias("n_quotes"), F.min(bad).alias("bad"))
+    rows = ranged.join(of, ["draft_id", "n"], "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n_cites", "n_quotes")})
+    law = F.col("tag") == "LAW"
+    reason = F.coalesce(F.col("bad.reason"), F.when(law & F.col("pin").isNull(), "no pin"), F.when(law & (F.col("n_cites") == 0), "pin without citation"))
+    return rows.select("draft_id", "n", "tag", "s0", "s1", "n_cites", "n_quotes", reason.isNull().alias("verified"), reason.alias("reason"))
+
+
+def drafts_passed(verdicts: DataFrame, reports: DataFrame) -> DataFrame:
+    """(draft_id, n_sentences, n_unverified, passed): a draft passes if its report and all its sentences do."""
+    of = verdicts.groupBy("draft_id").agg(F.count("*").alias("n_sentences"), F.count_if(~F.col("verified")).alias("n_unverified"))
+    rows = of.join(reports.select("draft_id", "overall"), "draft_id")
+    return rows.select("draft_id", "n_sentences", "n_unverified", ((F.col("n_unverified") == 0) & (F.col("overall") != "failed")).alias("passed"))

@@ -596,14 +596,101 @@ def v12_export_gate(c: Corpus) -> DataFrame:
     return verify.export_gate(drafts(c), c.citation_strings, c.opinions, c.statutes)
 
 
-@query(
+def memos(c: Corpus) -> DataFrame:
+    """Tagged sentences (draft_id, n, tag, text, pin) of a memo for each unblocked lead opinion, with short, id, supra and unknown forms."""
+    best = c.citation_strings.groupBy("cluster_id").agg(F.min(F.struct("reporter", "volume", "page")).alias("b"))
+    lead = c.opinions.where("type = '020lead' and not blocked").select("id", "cluster_id").join(best, "cluster_id")
+    key, none = F.concat_ws(" ", "b.volume", "b.reporter", "b.page"), F.lit(None).cast("string")
+    last = F.when(F.col("id") % 4 == 0, F.lit("9999 U.S. 12")).when(F.col("id") % 4 == 1, F.concat_ws(" ", "b.volume", "b.reporter", F.lit("at 99"))).otherwise(key)
+    rows = (
+        ("LAW", F.lit("A weir binds its owner, Alder v. Birch"), F.concat(key, F.lit(", 12"))), ("RECORD", F.lit("The pier was shut in spring"), none), ("LAW", F.lit("that rule holds"), F.lit("Id. at 14")),
+        ("LAW", F.lit("no authority is named"), none), ("LAW", F.lit("a bare number is given"), F.lit("26065")), ("INFERRED", F.lit("so Alder, supra, at 3, may govern under § 12"), none), ("LAW", F.lit("it is settled"), last),
+    )
+    one = F.array(*[F.struct(F.lit(t).alias("tag"), x.alias("text"), p.alias("pin")) for t, x, p in rows])
+    return lead.select(F.col("id").alias("draft_id"), F.posexplode(one).alias("n", "s")).select("draft_id", "n", "s.*")
+
+
+#: ``me`` (draft_id, key and what it resolves to), ``mc`` (draft_id, idx, n, kind, status, pin, full_idx): the citations of the memos by rule.
+_MEMOS = (
     _DRAFTS
-    + """, n AS (SELECT draft_id, count(*) AS n_checks, bool_and(status = 'verified') AS ok FROM ck GROUP BY 1)
-    SELECT draft_id, 0 AS n, n_checks, CASE WHEN ok THEN 'verified' ELSE 'unverified' END AS verdict FROM n"""
+    + """, nc AS (SELECT s.volume, s.reporter, s.page, count(DISTINCT o.cluster_id) AS n FROM citation_strings s JOIN opinions o USING (cluster_id) WHERE NOT o.blocked GROUP BY ALL),
+me AS (SELECT DISTINCT d.draft_id, d.volume, d.reporter, d.page, nc.n > 1 AS ambiguous FROM dq d JOIN nc USING (volume, reporter, page)),
+mc AS (SELECT draft_id, 0 AS idx, 0 AS n, 'full' AS kind, 'verified' AS status, '12' AS pin, 0 AS full_idx, ambiguous, volume || ' ' || reporter || ' ' || page AS corrected FROM me
+ UNION ALL SELECT draft_id, 1, 2, 'id', 'unsupported_form', '14', 0, false, NULL FROM me UNION ALL SELECT draft_id, 2, 5, 'supra', 'unsupported_form', '3', 0, false, NULL FROM me
+ UNION ALL SELECT draft_id, 3, 5, 'unknown', 'unsupported_form', NULL, NULL, false, NULL FROM me UNION ALL SELECT draft_id, 4, 6, 'full', 'unresolved_citation', NULL, 4, false, '9999 U.S. 12' FROM me WHERE draft_id % 4 = 0
+ UNION ALL SELECT draft_id, 4, 6, 'short', 'unsupported_form', '99', 0, false, NULL FROM me WHERE draft_id % 4 = 1 UNION ALL SELECT draft_id, 4, 6, 'full', 'verified', NULL, 4, ambiguous, volume || ' ' || reporter || ' ' || page FROM me WHERE draft_id % 4 > 1)"""
 )
+
+
+def _memo_checks(c: Corpus) -> DataFrame:
+    return kept(c.spark, ("memos", c.sf_dir), lambda: written(verify.citation_checks(verify.drafted(memos(c)), c.citation_strings, c.opinions), "memo-checks"))
+
+
+@query(_MEMOS + " SELECT draft_id, idx, kind, status, pin, full_idx, ambiguous, pin IS NOT NULL AS pin_unverified, corrected FROM mc")
+def x11_antecedents(c: Corpus) -> DataFrame:
+    """V4, X11: all forms of citations of the memos, and the full citation that each stands for."""
+    return verify.antecedents(_memo_checks(c)).select("draft_id", "idx", "kind", "status", "pin", "full_idx", "ambiguous", "pin_unverified", "corrected")
+
+
+#: ``mv``: each sentence of the memos with its verdict.
+_VERDICTS = (
+    _MEMOS
+    + """, ms AS (SELECT draft_id, n, ['LAW', 'RECORD', 'LAW', 'LAW', 'LAW', 'INFERRED', 'LAW'][n + 1] AS tag, n IN (3) AS pinless FROM me, range(0, 7) r(n)),
+mk AS (SELECT draft_id, n, count(*) AS n_cites, min_by('cite:' || status, idx) FILTER (status <> 'verified') AS bad FROM mc GROUP BY 1, 2),
+mv AS (SELECT ms.draft_id, ms.n, tag, coalesce(n_cites, 0) AS n_cites, coalesce(bad, CASE WHEN tag = 'LAW' AND pinless THEN 'no pin' WHEN tag = 'LAW' AND coalesce(n_cites, 0) = 0 THEN 'pin without citation' END) AS reason FROM ms LEFT JOIN mk USING (draft_id, n))"""
+)
+
+
+def _memo_verdicts(c: Corpus) -> DataFrame:
+    text = verify.drafted(memos(c))
+    return verify.sentence_verdicts(memos(c), _memo_checks(c), verify.quote_checks(text, _memo_checks(c), c.opinions))
+
+
+@query(_VERDICTS + " SELECT draft_id, n, tag, n_cites, reason IS NULL AS verified, reason FROM mv")
 def v10_sentence_verdicts(c: Corpus) -> DataFrame:
-    sentences = drafts(c).select("draft_id", F.lit(0).alias("n"), "text")
-    return verify.sentence_verdicts(sentences, _checks(c)).select("draft_id", "n", "n_checks", "verdict")
+    """The memos' sentences, of which a LAW one needs a pin citation that was found."""
+    return _memo_verdicts(c).select("draft_id", "n", "tag", "n_cites", "verified", "reason")
+
+
+@query(_VERDICTS + " SELECT draft_id, count(*) AS n_sentences, count(reason) AS n_unverified, false AS passed FROM mv GROUP BY 1")
+def v10_drafts_passed(c: Corpus) -> DataFrame:
+    """Whether memos pass, with all their sentences."""
+    text = verify.drafted(memos(c))
+    reports = verify.report(text, _memo_checks(c), verify.quote_checks(text, _memo_checks(c), c.opinions))
+    return verify.drafts_passed(_memo_verdicts(c), reports)
+
+
+@query(
+    """, t AS (SELECT id, CASE WHEN id % 50 = 7 THEN 'Damaged ' || chr(1) || ' 31 U.S. 9.' ELSE 'Compare ' || (id % 90 + 1) || ' U.S. ' || (id % 300 + 1) || ', then.' END AS x FROM opinions)
+    SELECT CASE WHEN contains(x, chr(1)) THEN 'error' ELSE 'full' END AS kind, CASE WHEN contains(x, chr(1)) THEN 'ValueError: NUL in a text' END AS error, count(*) AS n FROM t GROUP BY ALL"""
+)
+def x12_error_rows(c: Corpus) -> DataFrame:
+    """Texts that can't be read are rows with their error; the others are checked."""
+    i = F.col("id")
+    sound = F.concat(F.lit("Compare "), (i % 90 + 1).cast("string"), F.lit(" U.S. "), (i % 300 + 1).cast("string"), F.lit(", then."))
+    texts = c.opinions.select(i.alias("draft_id"), F.when(i % 50 == 7, "Damaged \x00 31 U.S. 9.").otherwise(sound).alias("text"))
+    return verify.citation_checks(texts, c.citation_strings, c.opinions).groupBy("kind", "error").agg(F.count("*").alias("n"))
+
+
+@query(
+    """, w AS (SELECT id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS ws FROM opinions) SELECT id, ws[1] || chr(10) || ws[2] || ' and ' || ws[3] || chr(10) || chr(10) || ws[4] || ' * ' || ws[5] AS plain FROM w WHERE len(ws) >= 5"""
+)
+def x19_without_markup(c: Corpus) -> DataFrame:
+    """Words of every text, dressed up as a heading, bold text, code and a product, and plain again."""
+    w = [F.get("ws", F.lit(k)) for k in range(5)]
+    dressed = F.concat(F.lit("## "), w[0], F.lit("\n- **"), w[1], F.lit("** and `"), w[2], F.lit("`\n\n\n\n"), w[3], F.lit(" * "), w[4])
+    rows = c.opinions.select("id", F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("ws")).where("size(ws) >= 5")
+    return rows.select("id", scalars.without_markup(dressed).alias("plain"))
+
+
+@query(
+    """, s AS (SELECT id, list_filter(string_split(regexp_replace(trim(text, ' '), '([.!?])\\s+([A-Z"“(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: x <> '') AS ss FROM opinions)
+    SELECT id, len(ss)::INT AS n, sha256(array_to_string(ss, chr(1))) AS digest FROM s"""
+)
+def x20_sentences(c: Corpus) -> DataFrame:
+    """The sentences of every text."""
+    rows = c.opinions.select("id", scalars.sentences(F.col("text")).alias("ss"))
+    return rows.select("id", F.size("ss").alias("n"), F.sha2(F.array_join("ss", "\x01"), 256).alias("digest"))
 
 
 @query(_DRAFTS + " SELECT * FROM sk")
