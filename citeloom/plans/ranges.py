@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, scalars, verify
@@ -117,38 +117,31 @@ def j22_overruled_long(c: Corpus) -> DataFrame:
 
 # ------------------------------------------------------------------ evaluation
 
-#: Judged results: an event is a hit of its user's case at a rank; errors and purchases are right.
-_HITS = ", h AS (SELECT user_id AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank, event_type IN ('purchase', 'error') AS good FROM events)"
-
-
-def _hits(c: Corpus) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return c.table("events").select(F.col("user_id").alias("case_id"), rank.alias("rank"), F.col("event_type").isin("purchase", "error").alias("good"))
-
-
-@query(_HITS + " SELECT case_id, round(count_if(good AND rank <= 10) / 10, 6) AS p10, round(count_if(good AND rank <= 10) / 10, 6) >= 0.4 - 0.02 AS passes FROM h GROUP BY 1")
-def a17_precision(c: Corpus) -> DataFrame:
-    """Precision at ten of each case, against a baseline with its tolerance."""
-    p10 = F.round(F.count_if(F.col("good") & (F.col("rank") <= 10)) / F.lit(10), 6)
-    return _hits(c).groupBy("case_id").agg(p10.alias("p10"), (p10 >= F.lit(0.4) - 0.02).alias("passes"))
-
-
-@query(_HITS + ", ab AS (SELECT case_id, bool_or(good AND rank <= 3) AS a, bool_or(good AND rank BETWEEN 3 AND 5) AS b FROM h GROUP BY 1) SELECT count(*) AS cases, count_if(a) AS a_hits, count_if(b) AS b_hits, count_if(b AND NOT a) AS gained, count_if(a AND NOT b) AS lost FROM ab")
-def a18_ab_test(c: Corpus) -> DataFrame:
-    """Hits of two rankings, and what the second gains and loses."""
-    ab = _hits(c).groupBy("case_id").agg(F.bool_or(F.col("good") & (F.col("rank") <= 3)).alias("a"), F.bool_or(F.col("good") & F.col("rank").between(3, 5)).alias("b"))
-    return ab.agg(
-        F.count("*").alias("cases"), F.count_if("a").alias("a_hits"), F.count_if("b").alias("b_hits"), F.count_if(F.col("b") & ~F.col("a")).alias("gained"), F.count_if(F.col("a") & ~F.col("b")).alias("lost")
-    )
+#: Sentences of treatment, with whether they tell that a case is overruled.
+TREATED = (
+    ("That holding was overruled in the spring term", True),
+    ("The tolls statute superseded this rule", True),
+    ("We depart from that view today", True),
+    ("The dicta are disapproved of here", True),
+    ("It is no longer good law", True),
+    ("The clerk ruled over the matter", False),
+    ("A pier stood no longer than a year", False),
+    ("The court overlooked the weir", False),
+    ("They departed for the harbor", False),
+    ("An override key opens the lock", False),
+)
+_TREATED = ", ".join(f"{{'s': '{t}', 'y': {str(y).lower()}}}" for t, y in TREATED)
 
 
 @query(
-    """, s AS (SELECT char_pos % 3 = 0 AS truth, contains(lower(context), 'overrul') OR contains(lower(context), 'no longer') AS found FROM anchors)
-    SELECT count(*) AS n, round(count_if(truth AND found) / count_if(truth), 6) AS recall, round(count_if(NOT truth AND found) / count_if(NOT truth), 6) AS false_positives FROM s"""
+    f""", s AS (SELECT [{_TREATED}][(char_pos % {len(TREATED)})::INT + 1] AS x FROM anchors), t AS (SELECT s.x.y AS truth, regexp_matches(lower(s.x.s), '\\b(overrul|disapprov|supersed|depart\\w* from\\b)|\\bno longer (good law|controlling|followed|valid)\\b') AS found FROM s)
+    SELECT count(*) AS n, round(count_if(truth AND found) / count_if(truth), 6) AS recall, round(count_if(NOT truth AND found) / count_if(NOT truth), 6) AS false_positives FROM t"""
 )
 def a21_treatment_recall(c: Corpus) -> DataFrame:
-    """Recall and false positive rate of a flag over labelled sentences."""
-    s = c.anchors.select((F.col("char_pos") % 3 == 0).alias("truth"), (scalars.treatment_bits(F.col("context")).bitwiseAND(F.lit(1)) == 1).alias("found"))
+    """Recall and false positive rate of the overruled flag over labelled sentences, one for each anchor."""
+    sentences = F.array(*[F.struct(F.lit(t).alias("s"), F.lit(y).alias("y")) for t, y in TREATED])
+    s = c.anchors.select(F.get(sentences, (F.col("char_pos") % len(TREATED)).cast("int")).alias("x"))
+    s = s.select(F.col("x.y").alias("truth"), (scalars.treatment_bits(F.col("x.s")).bitwiseAND(F.lit(1)) == 1).alias("found"))
     rate = lambda of: F.round(F.count_if(of & F.col("found")) / F.count_if(of), 6)
     return s.agg(F.count("*").alias("n"), rate(F.col("truth")).alias("recall"), rate(~F.col("truth")).alias("false_positives"))
 

@@ -301,18 +301,6 @@ def a20_resolve_rates(c: Corpus) -> DataFrame:
     return rows.groupBy("reporter").agg(n.alias("n"), good.alias("resolved"), F.round(100.0 * good / n, 4).alias("pct"))
 
 
-@query(
-    """SELECT kind, count(*) AS n, sum(caught)::BIGINT AS caught, round(sum(caught) / count(*), 6) AS rate
-    FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'quote' WHEN 1 THEN 'number' WHEN 2 THEN 'name' WHEN 3 THEN 'negation' ELSE 'order' END AS kind, (value > 5)::INT AS caught FROM events) GROUP BY kind""",
-    views=True,
-)
-def a19_catch_rates(c: Corpus) -> DataFrame:
-    """Catch rates by kind of mutation."""
-    kinds = F.array(*map(F.lit, ("quote", "number", "name", "negation", "order")))
-    rows = c.table("events").select(F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("kind"), (F.col("value") > 5).cast("int").alias("caught"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("caught").alias("caught"), F.round(F.sum("caught") / F.count("*"), 6).alias("rate"))
-
-
 @query(
     """SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""
 )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as functions
-from ..operators import calendar, graph, scalars, search, verify
+from ..operators import calendar, evaluate, graph, scalars, search, verify
 from ..tables import kept, written
 from .registry import query
 from .stems import STEMS
@@ -782,6 +782,86 @@ def f17_index_integrity(c: Corpus) -> DataFrame:
     return held.agg(F.count("*").alias("texts"), wrong.alias("corrupt"), F.sum("n").alias("terms"), F.count("listed").alias("listed"))
 
 
+# ------------------------------------------------------------------ evaluation
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(search.STOPWORDS))
+#: Known items: a query of three words from the middle of each searchable lead opinion, whose cluster is the truth. ``hit`` (query_id, cluster_id, a, b): places of the first 10 clusters, by BM25 (a) and by all signals (b).
+_KNOWN = (
+    _words()
+    + f""", lead AS (SELECT id, cluster_id, {_TERMS} AS ws FROM opinions WHERE type = '020lead' AND status IN ('Published', 'Unknown') AND NOT blocked),
+kq AS (SELECT id AS query_id, cluster_id, unnest(list_distinct(list_filter(ws[len(ws) // 2 + 1 : len(ws) // 2 + 3], lambda w: len(w) > 1 AND w NOT IN ({_STOP})))) AS w FROM lead),
+kt AS (SELECT DISTINCT query_id, stem FROM kq JOIN stems ON w = term), kn AS (SELECT query_id, count(*) AS n FROM kt GROUP BY 1),
+tf AS (SELECT id, stem, count(*) AS tf FROM sp GROUP BY 1, 2), df AS (SELECT stem, count(*) AS df FROM tf GROUP BY 1), sz AS (SELECT o.id, count(sp.i) AS size FROM opinions o LEFT JOIN sp ON sp.id = o.id GROUP BY 1), st AS (SELECT count(*) AS k, avg(size) AS mean FROM sz),
+kb AS (SELECT query_id, id, sum(greatest(ln((k - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS bm25 FROM kt JOIN tf USING (stem) JOIN df USING (stem) JOIN sz USING (id) JOIN kn USING (query_id), st GROUP BY query_id, id, n HAVING count(*) = n),
+od AS (SELECT dst AS id, count(*) AS recent FROM edges JOIN opinions o ON o.id = src WHERE o.date_filed >= DATE '2020-06-30' GROUP BY 1),
+kp AS (SELECT kb.*, o.cluster_id, o.ocr, o.court_id FROM kb JOIN opinions o USING (id) WHERE o.status IN ('Published', 'Unknown') AND NOT o.blocked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) <= 1000),
+kf AS (SELECT query_id, id, cluster_id, bm25, bm25 * CASE WHEN ocr THEN 0.7 ELSE 1 END * (1 + 0.3 * ln(1 + coalesce(recent, 0)) + CASE WHEN court_id = 'n0' THEN 1 ELSE 0 END) AS final FROM kp LEFT JOIN od USING (id)),
+ka AS (SELECT query_id, cluster_id, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, i) AS place FROM (SELECT query_id, cluster_id, max(bm25) AS x, arg_min(id, (-bm25, id)) AS i FROM kf GROUP BY 1, 2)),
+kc AS (SELECT query_id, cluster_id, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, i) AS place FROM (SELECT query_id, cluster_id, max(final) AS x, arg_min(id, (-final, id)) AS i FROM kf GROUP BY 1, 2)),
+hit AS (SELECT l.id AS query_id, l.cluster_id, a.place AS a, b.place AS b FROM lead l SEMI JOIN kq ON kq.query_id = l.id LEFT JOIN ka a ON a.query_id = l.id AND a.cluster_id = l.cluster_id AND a.place <= 10 LEFT JOIN kc b ON b.query_id = l.id AND b.cluster_id = l.cluster_id AND b.place <= 10)"""
+)
+
+
+def _known_items(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries (query_id, text) with their truth, and both runs, written once."""
+
+    def make() -> tuple[DataFrame, DataFrame, DataFrame]:
+        lead = c.opinions.where("type = '020lead'").where(scalars.searchable()).select("id", "cluster_id", "ocr", search.terms(F.col("text")).alias("ws"))
+        words = F.filter(F.slice("ws", F.floor(F.size("ws") / 2).cast("int") + 1, 3), lambda w: (F.length(w) > 1) & ~w.isin(sorted(search.STOPWORDS)))
+        known = written(lead.select(F.col("id").alias("query_id"), "cluster_id", "ocr", words.alias("ws")).where("size(ws) > 0").withColumn("text", F.array_join("ws", " ")), "known-items")
+        found = [search.search_batch(known, _collection(c), search.Options(highest="n0"), signals) for signals in (False, True)]
+        return known, *[written(evaluate.precision(f, known), "precision") for f in found]
+
+    return kept(c.spark, ("known", c.sf_dir), make)
+
+
+@query(_KNOWN + " SELECT count(*) AS cases, round(avg(CASE WHEN b IS NULL THEN 0 ELSE 0.1 END), 6) AS mean, round(avg(CASE WHEN a IS NULL THEN 0 ELSE 0.1 END), 6) AS baseline, round(round(avg(CASE WHEN b IS NULL THEN 0 ELSE 0.1 END), 6) - round(avg(CASE WHEN a IS NULL THEN 0 ELSE 0.1 END), 6), 6) AS delta, round(avg(CASE WHEN b IS NULL THEN 0 ELSE 0.1 END), 6) - round(avg(CASE WHEN a IS NULL THEN 0 ELSE 0.1 END), 6) >= -0.02 AS passes FROM hit")
+def a17_precision(c: Corpus) -> DataFrame:
+    """Precision at ten of searches for known items with all signals, against BM25 alone as the baseline."""
+    _, a, b = _known_items(c)
+    return evaluate.against_baseline(b, a)
+
+
+@query(
+    _KNOWN + " SELECT CASE WHEN o.ocr THEN 'ocr' ELSE 'born digital' END AS kind, count(*) AS cases, count_if(a = 1) AS a_hits, count_if(b = 1) AS b_hits, count_if(coalesce(b = 1, false) AND NOT coalesce(a = 1, false)) AS gained,"
+    " count_if(coalesce(a = 1, false) AND NOT coalesce(b = 1, false)) AS lost, CASE WHEN count_if(coalesce(a = 1, false) AND NOT coalesce(b = 1, false)) <= count_if(coalesce(b = 1, false) AND NOT coalesce(a = 1, false)) THEN 'keep' ELSE 'cut' END AS verdict FROM hit JOIN opinions o ON o.id = query_id GROUP BY 1"
+)
+def a18_ab_test(c: Corpus) -> DataFrame:
+    """Which known items come first with signals and without, by kind of text."""
+    known, a, b = _known_items(c)
+    return evaluate.compared(a, b, known.select("query_id", F.when(F.col("ocr"), "ocr").otherwise("born digital").alias("kind")))
+
+
+_NEG = "no|not|never|none|neither|nor|cannot"
+#: Quotes of every text, changed in each way, and whether they are found in it, ``mu`` (id, kind, found).
+_MUTATED = f""", qt AS (SELECT id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 41, 120) AS quote, trim(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS x FROM opinions WHERE len(text) >= 200),
+qw AS (SELECT *, string_split(quote, ' ') AS w FROM qt), qa AS (SELECT *, len(w) AS n, (id % greatest(len(w) - 2, 1))::INT + 2 AS a, regexp_extract(quote, '([0-9])', 1) AS d, list_filter(range(2, len(w) + 1), lambda i: regexp_matches(w[i], '^[A-Z]'))[1] AS m FROM qw),
+mm AS (SELECT id, x, unnest(['none', 'word', 'number', 'name', 'negation', 'order']) AS kind, unnest([quote,
+  CASE WHEN n >= 3 THEN array_to_string(w[:a - 1] || ['wholly'] || w[a + 1:], ' ') END, CASE WHEN d <> '' THEN regexp_replace(quote, '[0-9]', ((d::INT + 1) % 10)::VARCHAR) END, CASE WHEN m IS NOT NULL THEN array_to_string(w[:m - 1] || ['Roe'] || w[m + 1:], ' ') END,
+  CASE WHEN n >= 3 THEN array_to_string(w[:a - 1] || [w[a] || ' not'] || w[a + 1:], ' ') END, CASE WHEN n >= 3 AND w[a] <> w[a + 1] THEN array_to_string(w[:a - 1] || [w[a + 1], w[a]] || w[a + 2:], ' ') END]) AS q FROM qa),
+mq AS (SELECT id, x, kind, trim(lower(regexp_replace(q, '\\s+', ' ', 'g'))) AS q FROM mm WHERE q IS NOT NULL),
+mu AS (SELECT id, kind, contains(x, q) AND (regexp_matches(q, '^({_NEG}) ') OR len(list_filter(string_split(x, q)[:-2], lambda p: NOT regexp_matches(p, '(^|[ ''"(\\[])({_NEG})[.,;:]?\\s*$'))) > 0) AS found FROM mq WHERE q <> '')"""
+
+
+def _mutations(c: Corpus) -> DataFrame:
+    whole = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+    quotes = c.opinions.where("length(text) >= 200").select("id", "text", F.substring(whole, 41, 120).alias("quote"))
+    return kept(c.spark, ("mutations", c.sf_dir), lambda: written(evaluate.caught(quotes).where("trim(quote) <> ''"), "mutations"))
+
+
+@query(_MUTATED + " SELECT kind, count(*) AS n, count_if(NOT found) AS caught, round(count_if(NOT found) / count(*), 6) AS rate FROM mu GROUP BY 1")
+def a19_catch_rates(c: Corpus) -> DataFrame:
+    """How many changed quotes the verifier catches, by kind of change; unchanged ones that it strikes."""
+    return evaluate.catch_rates(_mutations(c))
+
+
+@query(_MUTATED + " SELECT CASE WHEN kind = 'none' THEN 'struck' ELSE 'passed:' || kind END AS signature, count(*) AS n FROM mu WHERE (kind = 'none') <> found GROUP BY 1")
+def a19_failure_signatures(c: Corpus) -> DataFrame:
+    """What went wrong, and how often."""
+    wrong = _mutations(c).where("signature is not null").withColumn("signature", F.regexp_replace("signature", "^(passed:[a-z]+):.*", "$1"))
+    return wrong.groupBy("signature").agg(F.count("*").alias("n"))
+
+
 @query()
 def x14_canonical_texts(c: Corpus) -> DataFrame:
     """X13 to X16 on own text: the middle of every text is found in it, by the rung that applies."""
