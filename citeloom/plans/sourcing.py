@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import scalars
@@ -37,6 +37,23 @@ def s3_sharded_csv(c: Corpus) -> DataFrame:
     return read.select("id", "text", F.col("_reject").alias("reject"))
 
 
+def _copied(text: Column) -> Column:
+    """A text in quotes as the dialect of COPY writes it."""
+    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+@query("SELECT doc_id::VARCHAR AS id, sha256(coalesce(text, '')) AS digest, coalesce(lang, '') AS lang FROM documents WHERE len(coalesce(text, '')) <= 50000 UNION ALL SELECT NULL, NULL, NULL FROM documents WHERE len(text) > 50000")
+def s2_bz2_blocks(c: Corpus) -> DataFrame:
+    """All documents as bz2 files in the dialect of COPY, read back by ranges of compressed bytes, columns by their names; monstrous texts are quarantined."""
+    path = _path(c, "bz2")
+    parts = F.concat_ws(",", F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('"')), F.lit('"2020-01-01"'), _copied(F.coalesce("lang", F.lit(""))), _copied(F.coalesce("text", F.lit(""))))
+    with_header = F.when(F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("doc_id")) == 1, F.concat(F.lit('id,date,lang,text\n'), parts)).otherwise(parts)
+    c.table("documents").select(with_header.alias("value")).write.text(path, compression="bzip2")
+    c.spark.dataSource.register(csv_shards.ShardedCsv)
+    read = c.spark.read.format("sharded_csv").options(columns="id,text,lang", header=True, shardBytes=100_000, maxFieldChars=50_000).load(path)
+    return read.select("id", F.sha2("text", 256).alias("digest"), "lang")
+
+
 @query("SELECT 'width 4 instead of 3' AS reason, 1 AS n")
 def s5_rejects(c: Corpus) -> DataFrame:
     """Rejected records by reason."""

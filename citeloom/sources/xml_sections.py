@@ -76,16 +76,23 @@ def code_sections(content: bytes) -> Iterator[tuple]:
 
 
 def sections(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """(path, source, section, heading, text, effective_date) of all files; ``feed``: regulation or code. Bad files fail the read."""
+    """(path, source, section, heading, text, effective_date, error) of all files; ``feed``: regulation or code.
+
+    A file that can't be read or is refused has one row with its ``error``; the others are read.
+    """
     parse = {"regulation": regulation_sections, "code": code_sections}[feed]
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", *[c.split()[0] for c in SECTION_SCHEMA.split(", ")]]
+        names = ["path", *[c.split()[0] for c in SECTION_SCHEMA.split(", ")], "error"]
         for part in parts:
             for file, content in zip(part["path"], part["content"], strict=True):
-                yield pd.DataFrame([(file, *s) for s in parse(bytes(content))], columns=names, dtype=object)
+                try:
+                    found = [(file, *s, None) for s in parse(bytes(content))]
+                except (ET.ParseError, ValueError, zipfile.BadZipFile) as error:
+                    found = [(file, *[None] * (len(names) - 2), f"{type(error).__name__}: {error}")]
+                yield pd.DataFrame(found, columns=names, dtype=object)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, f"path string, {SECTION_SCHEMA}")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, f"path string, {SECTION_SCHEMA}, error string")
 
 
 def upsert(known: DataFrame, fresh: DataFrame, key: list[str], order: str) -> DataFrame:

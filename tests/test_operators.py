@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
 from citeloom.operators import calendar, graph, scalars, search, verify
-from citeloom.sources import csv_shards, xml_sections
+from citeloom.sources import bz2_blocks, csv_shards, xml_sections
 from citeloom.streaming import audit
 
 
@@ -289,6 +289,52 @@ def test_sharded_csv(spark, tmp_path):
     assert rows.where("_reject is null").count() == 200
 
 
+def test_bz2_ranges(spark, tmp_path):
+    """Several blocks, several streams, marks at all bits, lines that end with a block: every range size gives the whole once."""
+    rng = random.Random(9)
+    rows = [f'"{k}","2020-01-01","{"".join(rng.choice("abcdefgh\\n ") for _ in range(rng.randint(1, 3000)))}"\n' for k in range(400)]
+    whole = "".join(rows).encode()
+    cuts = [0, 100_000, len("".join(rows[:150]).encode()), 300_001, len(whole)]
+    packed = b"".join(bz2.compress(whole[a:b], 1) for a, b in zip(cuts, cuts[1:]))
+    (tmp_path / "x.bz2").write_bytes(packed)
+    with open(tmp_path / "x.bz2", "rb") as f:
+        found = list(bz2_blocks.blocks(f))
+    assert b"".join(d for _, d in found) == whole and len(found) > 5 and len({bit % 8 for bit, _ in found}) > 2
+    spark.dataSource.register(csv_shards.ShardedCsv)
+    want = sorted(csv_shards.fields_of(r)[0::2] for r in rows)
+    for size in (997, 40_000, 100_000, 1 << 20):
+        read = spark.read.format("sharded_csv").options(columns="id,date,text", shardBytes=size).load(str(tmp_path / "x.bz2"))
+        assert sorted([r["id"], r["text"]] for r in read.collect()) == want, size
+    assert read.where("_reject is not null").count() == 0
+    (tmp_path / "cut.bz2").write_bytes(packed[: len(packed) // 2])
+    with open(tmp_path / "cut.bz2", "rb") as f, pytest.raises(EOFError):
+        list(bz2_blocks.blocks(f))
+
+
+def test_csv_errors(spark, tmp_path):
+    """Columns by name in any order; reasons of rejects; a read ends after many records in a row that aren't aligned."""
+    spark.dataSource.register(csv_shards.ShardedCsv)
+    body = 'id,date,note,text\n"1","2020-01-01","n1","t1"\n"2","2020-01-01","n2"\n"3","2020-01-01","n3","' + "x" * 900 + '"\n"4","2020-01-01","n4","t4"\n'
+    (tmp_path / "a").mkdir()
+    for name in ("one.csv", "two.csv"):
+        (tmp_path / "a" / name).write_text(body)
+    read = spark.read.format("sharded_csv").options(columns="text,id", header=True, maxFieldChars=500, shardBytes=64).load(str(tmp_path / "a"))
+    assert sorted((r["id"], r["text"]) for r in read.where("_reject is null").collect()) == [("1", "t1"), ("1", "t1"), ("4", "t4"), ("4", "t4")]
+    assert {tuple(r) for r in xml_sections.rejects(read).collect()} == {("width 3 instead of 4", 2), ("quarantined: a field of 900 characters", 2)}
+    with pytest.raises(Exception, match="no columns"):
+        spark.read.format("sharded_csv").options(columns="id,absent", header=True).load(str(tmp_path / "a")).count()
+    # The first field isn't the number that the line begins with: it goes on behind the quotes.
+    (tmp_path / "shifted.csv").write_text("".join(f'"{k}","2020-01-01","t"\n' for k in range(9)) + '"9","2020-01-01","t"\n' + "".join(f'"{k}","2020-01-01","t\n' for k in range(40)))
+    read = spark.read.format("sharded_csv").options(columns="id,date,text", maxMisaligned=0).load(str(tmp_path / "shifted.csv"))
+    assert read.where("_reject is null").count() > 9
+    reader = csv_shards.Reader(read.schema, {"path": "x", "maxMisaligned": 5})
+    found = [(["x", "d", "t"], k, None) for k in range(5)] + [(["5", "d", "t"], 5, None)] + [(["x", "d", "t"], k, None) for k in range(6)]
+    part = csv_shards.Range("x", 0, 9)
+    assert [r[-1] for r in reader._rows(iter(found[:-1]), part)] == ["misaligned"] * 5 + [None] + ["misaligned"] * 5
+    with pytest.raises(ValueError, match="in a row"):
+        list(reader._rows(iter(found), part))
+
+
 def test_xml_sections(spark, tmp_path):
     regulation = b'<R><DIV8 TYPE="SECTION" N="1026.36"><HEAD>Rule.</HEAD><P>(a) <I>Def.</I> rest</P><NOTE><P>noted once</P></NOTE></DIV8><DIV8 TYPE="SECTION"><HEAD>none</HEAD></DIV8></R>'
     code = b'<d xmlns="urn:x"><section identifier="sec_1983"><heading>Civil</heading><level><content>Body</content></level><note><P>Pub. L. 107</P></note></section><section><num value="1985a"/><heading>H</heading><effective_date>Jan. 6, 1997</effective_date></section></d>'
@@ -301,8 +347,12 @@ def test_xml_sections(spark, tmp_path):
         z.writestr("b.xml", code)
     (tmp_path / "code/b.zip").write_bytes(packed.getvalue())
     got = xml_sections.sections(spark, str(tmp_path / "reg"), "regulation").collect()
-    assert [(r["section"], r["heading"], r["text"]) for r in got] == [("1026.36", "Rule.", "(a) Def. rest noted once")]
-    rows = xml_sections.sections(spark, str(tmp_path / "code"), "code").drop("path")
+    assert [(r["section"], r["heading"], r["text"], r["error"]) for r in got] == [("1026.36", "Rule.", "(a) Def. rest noted once", None)]
+    (tmp_path / "reg/bad.xml").write_bytes(b"<R><open>")
+    (tmp_path / "reg/typed.xml").write_bytes(b"<!DOCTYPE x><a/>")
+    errors = {r["path"].rpartition("/")[2]: r["error"] for r in xml_sections.sections(spark, str(tmp_path / "reg"), "regulation").collect()}
+    assert errors["a.xml"] is None and errors["bad.xml"].startswith("ParseError") and errors["typed.xml"].startswith("ValueError")
+    rows = xml_sections.sections(spark, str(tmp_path / "code"), "code").where("error is null").drop("path")
     assert {(r["section"], r["text"], r["effective_date"]) for r in rows.collect()} == {("1983", "Body Pub. L. 107", None), ("1985a", "", "Jan. 6, 1997")}
     fresh = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate([("1983", "old"), ("1983", "new"), ("9", "x")])], "section string, text string, n int")
     known = fresh.where("n = 0").withColumn("text", F.lit("before")).union(spark.createDataFrame([("7", "stays", 0)], fresh.schema))
