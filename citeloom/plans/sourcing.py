@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import scalars
 from ..sources import csv_shards, fixtures, xml_sections
-from ..tables import shared_dir
+from ..tables import Ledger, shared_dir
 from .registry import query
 from .views import Corpus
 
@@ -70,6 +71,27 @@ def s8_scored_rows(c: Corpus) -> DataFrame:
     return fixtures.scored(rows, F.col("s"), F.col("t")).select("id", "score")
 
 
+@query(
+    """, n AS (SELECT 'opinions' AS name, count(*) AS n FROM opinions WHERE NOT blocked UNION ALL SELECT 'anchors', count(*) FROM anchors)
+    SELECT attempt, name, n, attempt = 'again' AS reused FROM n, (VALUES ('first'), ('again')) t(attempt)"""
+)
+def s21_stages(c: Corpus) -> DataFrame:
+    """Opinions and anchors as a stage that commits them together; asked for again, it is read and nothing is made."""
+    ledger, made = Ledger(c.spark, _path(c, "ledger")), []
+
+    def make() -> dict[str, DataFrame]:
+        made.append(1)
+        return {"opinions": c.opinions.where("not blocked").drop("text"), "anchors": c.anchors}
+
+    found = []
+    for attempt in ("first", "again"):
+        before = len(made)
+        tables = ledger.stage("corpus", [c.sf_dir], {"version": 1}, make)
+        counts = [t.agg(F.count("*").alias("n")).select(F.lit(attempt).alias("attempt"), F.lit(name).alias("name"), "n", F.lit(len(made) == before).alias("reused")) for name, t in tables.items()]
+        found += counts
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("SELECT doc_id::VARCHAR AS text, CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END AS answer FROM labels")
 def s14_dictionary(c: Corpus) -> DataFrame:
     path = _path(c, "tsv")

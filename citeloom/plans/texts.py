@@ -253,7 +253,7 @@ QUERY = ["that", "tion"]
 
 def _index(c: Corpus) -> search.Index:
     """The index of all opinions, built by the first query of an application that needs it, for all searches."""
-    return kept(c.spark, ("index", c.sf_dir), lambda: search.build_index(c.opinions))
+    return kept(c.spark, ("index", c.state), lambda: search.build_index(c.opinions))
 
 
 def _collection(c: Corpus) -> search.Collection:
@@ -265,7 +265,7 @@ def _collection(c: Corpus) -> search.Collection:
         authority = recent.withColumn("pagerank", F.lit(0.0)).join(graph.flags(cites), "id", "left")
         return search.collection(c.opinions, authority.withColumn("flags", F.coalesce("flags", F.lit(0))), c.parentheticals, cites, c.courts, _index(c))
 
-    return kept(c.spark, ("collection", c.sf_dir), make)
+    return kept(c.spark, ("collection", c.state), make)
 
 
 def _words(source: str = "opinions", key: str = "id") -> str:
@@ -537,13 +537,13 @@ al AS (SELECT draft_id, 'citation' AS kind, status FROM ck UNION ALL SELECT draf
 
 
 def _checks(c: Corpus) -> DataFrame:
-    return kept(c.spark, ("checks", c.sf_dir), lambda: written(verify.citation_checks(drafts(c), c.citation_strings, c.opinions), "checks"))
+    return kept(c.spark, ("checks", c.state), lambda: written(verify.citation_checks(drafts(c), c.citation_strings, c.opinions), "checks"))
 
 
 def _quotes(c: Corpus) -> DataFrame:
     ranks = c.opinions.select("id", (F.col("court_id") == "n0").alias("highest"), F.lit(0.0).alias("pagerank"))
     make = lambda: written(verify.quote_checks(drafts(c), _checks(c), c.opinions, _collection(c).index, ranks), "quote-checks")
-    return kept(c.spark, ("quotes", c.sf_dir), make)
+    return kept(c.spark, ("quotes", c.state), make)
 
 
 @query(
@@ -623,7 +623,7 @@ mc AS (SELECT draft_id, 0 AS idx, 0 AS n, 'full' AS kind, 'verified' AS status,
 
 
 def _memo_checks(c: Corpus) -> DataFrame:
-    return kept(c.spark, ("memos", c.sf_dir), lambda: written(verify.citation_checks(verify.drafted(memos(c)), c.citation_strings, c.opinions), "memo-checks"))
+    return kept(c.spark, ("memos", c.state), lambda: written(verify.citation_checks(verify.drafted(memos(c)), c.citation_strings, c.opinions), "memo-checks"))
 
 
 @query(_MEMOS + " SELECT draft_id, idx, kind, status, pin, full_idx, ambiguous, pin IS NOT NULL AS pin_unverified, corrected FROM mc")
@@ -724,7 +724,7 @@ def a24_statute_titles(c: Corpus) -> DataFrame:
 def f19_statute_search(c: Corpus) -> DataFrame:
     """a search over headings and texts of statutes."""
     docs = c.statutes.select("id", F.concat_ws(" ", "heading", "text").alias("text"))
-    index = kept(c.spark, ("statutes", c.sf_dir), lambda: search.build_index(docs))
+    index = kept(c.spark, ("statutes", c.state), lambda: search.build_index(docs))
     return search.ranked(index, ["promo"]).select("id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -812,7 +812,7 @@ def _known_items(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
         found = [search.search_batch(known, _collection(c), search.Options(highest="n0"), signals) for signals in (False, True)]
         return known, *[written(evaluate.precision(f, known), "precision") for f in found]
 
-    return kept(c.spark, ("known", c.sf_dir), make)
+    return kept(c.spark, ("known", c.state), make)
 
 
 @query(_KNOWN + " SELECT count(*) AS cases, round(avg(CASE WHEN b IS NULL THEN 0 ELSE 0.1 END), 6) AS mean, round(avg(CASE WHEN a IS NULL THEN 0 ELSE 0.1 END), 6) AS baseline, round(round(avg(CASE WHEN b IS NULL THEN 0 ELSE 0.1 END), 6) - round(avg(CASE WHEN a IS NULL THEN 0 ELSE 0.1 END), 6), 6) AS delta, round(avg(CASE WHEN b IS NULL THEN 0 ELSE 0.1 END), 6) - round(avg(CASE WHEN a IS NULL THEN 0 ELSE 0.1 END), 6) >= -0.02 AS passes FROM hit")
@@ -846,7 +846,7 @@ mu AS (SELECT id, kind, contains(x, q) AND (regexp_matches(q, '^({_NEG}) ') OR l
 def _mutations(c: Corpus) -> DataFrame:
     whole = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
     quotes = c.opinions.where("length(text) >= 200").select("id", "text", F.substring(whole, 41, 120).alias("quote"))
-    return kept(c.spark, ("mutations", c.sf_dir), lambda: written(evaluate.caught(quotes).where("trim(quote) <> ''"), "mutations"))
+    return kept(c.spark, ("mutations", c.state), lambda: written(evaluate.caught(quotes).where("trim(quote) <> ''"), "mutations"))
 
 
 @query(_MUTATED + " SELECT kind, count(*) AS n, count_if(NOT found) AS caught, round(count_if(NOT found) / count(*), 6) AS rate FROM mu GROUP BY 1")

@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import fingerprint
+
 #: Contexts of anchors by l_suppkey mod 8.
 CONTEXTS = (
     "was overruled by a later decision",
@@ -37,6 +39,11 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
 
+    @cached_property
+    def state(self) -> str:
+        """A fingerprint of the tables' files: what is kept of them is kept under it."""
+        return fingerprint(self.spark, self.sf_dir)
+
     @cached_property
     def size(self) -> int:
         return self.table("documents").count()
