@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scalars
 from ..sources import csv_shards, fixtures, xml_sections
+from ..streaming import audit
 from ..tables import Ledger, shared_dir
 from .registry import query
 from .views import Corpus
@@ -92,6 +93,21 @@ def s21_stages(c: Corpus) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+@query(
+    """, g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)),
+    r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_type ROWS UNBOUNDED PRECEDING) AS run FROM g),
+    s AS (SELECT user_id, min(ts) AS begun, max(ts) AS last, count(*) AS n, arg_max(event_type, (ts, event_type)) AS last_type, lead(run) OVER (PARTITION BY user_id ORDER BY run) IS NOT NULL AS followed FROM r GROUP BY user_id, run)
+    SELECT user_id, epoch_us(begun) AS begun, epoch_us(last) AS last, n, last_type FROM s WHERE followed OR last + INTERVAL 3 HOUR < (SELECT max(ts) FROM events)"""
+)
+def s24_stale_runs(c: Corpus) -> DataFrame:
+    """The events as an append-only log, read as a stream, whose runs the next event or a timer ends."""
+    events, found, state = _path(c, "log"), _path(c, "runs"), _path(c, "state")
+    c.table("events").write.parquet(events)
+    audit.append(audit.stale_runs(audit.read_log(c.spark, events)), found, state).awaitTermination()
+    runs = c.spark.read.schema(audit.RUN).parquet(found)
+    return runs.select("user_id", F.unix_micros("begun").alias("begun"), F.unix_micros("last").alias("last"), "n", "last_type")
+
+
 @query("SELECT doc_id::VARCHAR AS text, CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END AS answer FROM labels")
 def s14_dictionary(c: Corpus) -> DataFrame:
     path = _path(c, "tsv")

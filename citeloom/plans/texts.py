@@ -120,18 +120,20 @@ def x17_probe_fragments(c: Corpus) -> DataFrame:
 
 
 @query(
-    f""", t AS (SELECT id, len(text) AS chars, len(regexp_extract_all(text, '[\\x20-\\x7e]')) AS printable, {_TERMS} AS ws FROM opinions)
-    SELECT id, round(printable / greatest(chars, 1), 6) AS printable, len(ws) AS words, round(coalesce(list_sum(list_transform(ws, lambda w: len(w))) / nullif(len(ws), 0), 0), 6) AS mean_word,
-    len(list_filter(ws, lambda w: len(w) > 20)) AS long_words FROM t"""
+    f""", t AS (SELECT id, len(text) AS chars, len(regexp_extract_all(text, '[\\x20-\\x7e]')) AS printable, len(text) - len(replace(text, chr(0), '')) AS nulls, {_TERMS} AS ws FROM opinions)
+    , m AS (SELECT id, printable / greatest(chars, 1) AS printable, nulls / greatest(chars, 1) AS null_rate, len(ws) AS words, coalesce(list_sum(list_transform(ws, lambda w: len(w))) / nullif(len(ws), 0), 0) AS mean_word, len(list_filter(ws, lambda w: len(w) > 20)) AS long_words FROM t)
+    SELECT id, round(printable, 6) AS printable, round(null_rate, 6) AS null_rate, words, round(mean_word, 6) AS mean_word, long_words, printable < 0.85 OR mean_word > 9.5 AS garbage FROM m"""
 )
 def x23_text_quality(c: Corpus) -> DataFrame:
-    """Printable ratio, words, mean word length and long words of every text."""
-    rows = c.opinions.select("id", F.length("text").alias("chars"), F.regexp_count("text", F.lit(r"[\x20-\x7e]")).alias("printable"), search.terms(F.col("text")).alias("ws"))
-    total = F.aggregate("ws", F.lit(0), lambda a, w: a + F.length(w))
-    return rows.select(
-        "id", F.round(F.col("printable") / F.greatest("chars", F.lit(1)), 6).alias("printable"), F.size("ws").cast("long").alias("words"),
-        F.round(F.coalesce(F.try_divide(total, F.size("ws")), F.lit(0.0)), 6).alias("mean_word"), F.size(F.filter("ws", lambda w: F.length(w) > 20)).cast("long").alias("long_words"),
+    """Printable and NUL ratios, words, mean word length and long words of every text, and whether it is garbage."""
+    rows = c.opinions.select("id", F.length("text").alias("chars"), F.regexp_count("text", F.lit(r"[\x20-\x7e]")).alias("n"), F.regexp_count("text", F.lit(r"\x00")).alias("nulls"), search.terms(F.col("text")).alias("ws"))
+    total, chars = F.aggregate("ws", F.lit(0), lambda a, w: a + F.length(w)), F.greatest("chars", F.lit(1))
+    rows = rows.select(
+        "id", (F.col("n") / chars).alias("printable"), (F.col("nulls") / chars).alias("null_rate"), F.size("ws").cast("long").alias("words"),
+        F.coalesce(F.try_divide(total, F.size("ws")), F.lit(0.0)).alias("mean_word"), F.size(F.filter("ws", lambda w: F.length(w) > 20)).cast("long").alias("long_words"),
     )
+    garbage = (F.col("printable") < 0.85) | (F.col("mean_word") > 9.5)
+    return rows.select("id", F.round("printable", 6).alias("printable"), F.round("null_rate", 6).alias("null_rate"), "words", F.round("mean_word", 6).alias("mean_word"), "long_words", garbage.alias("garbage"))
 
 
 @query(
@@ -176,7 +178,13 @@ def x32_paragraphs(c: Corpus) -> DataFrame:
     return c.opinions.select("id", F.posexplode(parts).alias("n", "paragraph")).withColumn("n", F.col("n").cast("long"))
 
 
-@query()
+#: Pages without comments, scripts and styles; tags of links leave nothing behind, other tags a blank. The tables' pages have four entities.
+_PLAIN = """, bare AS (SELECT page_id, regexp_replace(html, '<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', ' ', 'gis') AS h FROM pages),
+plain AS (SELECT page_id, len(regexp_extract_all(h, '<a\\b[^>]*?href="/[^/?#"]+')) AS links, regexp_replace(regexp_replace(h, '<a\\b[^>]*?href="/[^"]*"[^>]*>|</a\\s*>', '', 'gis'), '<[^<>]+>', ' ', 'g') AS h FROM bare),
+clean AS (SELECT page_id, links, trim(regexp_replace(replace(replace(replace(replace(h, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'), ' ') AS text FROM plain)"""
+
+
+@query(_PLAIN + " SELECT page_id, len(text)::INT AS chars, sha256(text) AS digest, links::INT AS links FROM clean")
 def x1_clean_pages(c: Corpus) -> DataFrame:
     """Text and the number of links of every page."""
     rows = c.table("pages").select("page_id", functions.clean_markup_of(F.col("html"), functions.PATH_LINK).alias("x"))
@@ -191,6 +199,15 @@ def x2_page_links(c: Corpus) -> DataFrame:
     return links.select("page_id", "l.target", "l.start", "l.end", scalars.context_window(F.col("text"), F.col("l.start"), F.col("l.end")).alias("context"))
 
 
+@query(_PLAIN + " SELECT page_id, links, links AS exact FROM clean WHERE links > 0")
+def x25_link_offsets(c: Corpus) -> DataFrame:
+    """How many links of every page stand in the cleaned text where their offsets say, compared with what stands between their tags."""
+    rows = c.table("pages").select("page_id", functions.clean_markup_of(F.col("html"), functions.PATH_LINK).alias("x"), F.regexp_extract_all("html", F.lit(r'(?s)<a\b[^>]*?href="/[^/?#"]+[^>]*>(.*?)</a>'), F.lit(1)).alias("inner"))
+    links = rows.select("page_id", "x.text", "inner", F.posexplode("x.links").alias("k", "l"))
+    same = F.expr("substring(text, l.start + 1, l.end - l.start)") == F.trim(F.get("inner", F.col("k")))
+    return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(same).alias("exact"))
+
+
 # ------------------------------------------------------------------------ dates
 
 
@@ -207,9 +224,11 @@ ds AS (SELECT d FROM nth UNION ALL SELECT make_date(y, m, k) FROM y, (VALUES (1,
 hol AS (SELECT DISTINCT d FROM (SELECT d FROM ds UNION ALL SELECT d - 1 FROM ds WHERE dayofweek(d) = 6 UNION ALL SELECT d + 1 FROM ds WHERE dayofweek(d) = 0))"""
 
 
-@query(_HOLIDAYS + " SELECT d::DATE AS closed FROM hol WHERE year(d) BETWEEN 1996 AND 2030")
+@query(_HOLIDAYS + " SELECT d::DATE AS closed, count(*) AS filed FROM hol JOIN opinions ON date_filed = d GROUP BY 1")
 def d3_federal_holidays(c: Corpus) -> DataFrame:
-    return calendar.holidays(c.spark, 1996, 2030)
+    """Federal holidays, actual and observed, on which opinions were filed."""
+    closed = calendar.holidays(c.spark, 1999, 2030)
+    return c.opinions.join(F.broadcast(closed), F.col("date_filed") == F.col(closed.columns[0])).groupBy(F.col(closed.columns[0]).alias("closed")).agg(F.count("*").alias("filed"))
 
 
 _OPEN = _HOLIDAYS + ", cal AS (SELECT (DATE '1999-12-25' + i::INT) AS d FROM range(0, 10500) t(i)), op AS (SELECT d FROM cal WHERE dayofweek(d) NOT IN (0, 6) AND d NOT IN (SELECT d FROM hol))"

@@ -4,6 +4,7 @@ import bz2
 import datetime as dt
 import io
 import random
+import time
 import zipfile
 
 import pytest
@@ -377,6 +378,25 @@ def test_streaming(spark, tmp_path):
     assert audit.runs(log).isStreaming
 
 
+def test_stale_runs(spark, tmp_path):
+    """Runs swept by timers are the batch's, but for those still open, in whatever pieces the log comes."""
+    rng = random.Random(4)
+    at, rows = dt.datetime(2024, 1, 1), []
+    for k in range(600):
+        at += dt.timedelta(minutes=rng.choice([1, 5, 9, 40, 61, 200]))
+        rows.append((k, at, rng.randrange(5) if k % 50 else None, rng.choice(["view", "cart"]), 1.0, "{}"))
+    table = spark.createDataFrame(rows, audit.SCHEMA)
+    for k in range(6):
+        table.where(f"event_id div 100 = {k}").coalesce(1).write.parquet(str(tmp_path / "log"), mode="append")
+        time.sleep(0.05)
+    log = audit.read_log(spark, str(tmp_path / "log"), files_at_once=1)
+    audit.append(audit.stale_runs(log), str(tmp_path / "runs"), str(tmp_path / "c")).awaitTermination()
+    got = {tuple(r) for r in spark.read.schema(audit.RUN).parquet(str(tmp_path / "runs")).collect()}
+    whole = {tuple(r) for r in audit.ended_runs(table).select("user_id", "begun", "last", "n", "last_type").collect()}
+    open_ = {r for r in whole if r[2] + dt.timedelta(hours=3) >= rows[-1][1]}
+    assert got <= whole and whole - got <= open_ and len(got) > 50
+
+
 def test_small_text_helpers(spark):
     rows = spark.createDataFrame([('He came. "She" left! Was it so? yes it was.', "LAW", "Finding that 31 Har. 204 the toll lapsed Id.")], "t string, tag string, q string")
     got = rows.select(scalars.sentences(F.col("t")), scalars.known_tag(F.col("tag")), scalars.known_tag(F.col("q")), scalars.cleaned_query(F.col("q"))).first()
