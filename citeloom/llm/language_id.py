@@ -153,19 +153,28 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, toleran
                 for a in range(i, j, STEP_TEXTS):
                     b = min(a + STEP_TEXTS, j)
                     tf = counts(raw[at[a] : at[b]], at[a : b + 1] - at[a])
-                    yield from batches([(lang.slice(a, b - a), pa.array([x.tobytes() for x in tf], pa.binary()))], ["lang", "tf"])
+                    some = [np.flatnonzero(x) for x in tf]
+                    sparse = [[p.astype(np.uint16).tobytes() for p in some], [x[p].tobytes() for x, p in zip(tf, some, strict=True)]]
+                    yield from batches([(lang.slice(a, b - a), *(pa.array(x, pa.binary()) for x in sparse))], ["lang", "place", "n"])
 
-    got = chosen.select("text", "lang").mapInArrow(features, "lang string, tf binary").collect()  # 16 KB a row of the sample
+    # Six bytes for each different trigram of a row of the sample: some kilobytes, 24 at most.
+    got = chosen.select("text", "lang").mapInArrow(features, "lang string, place binary, n binary").collect()
     if not got:
         return None
-    tf = np.stack([np.frombuffer(r["tf"], np.float32) for r in got])
-    lang = np.array([r["lang"] for r in got])
-    model = Model(sorted({r["lang"] for r in got}, key=lambda x: (-known[x], x)), np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1, *[np.zeros(0)] * 4)
-    v = model.vectors(tf)
+    by_language: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    texts_with = np.zeros(SIZE, np.int64)
+    for r in got:
+        place = np.frombuffer(r["place"], np.uint16)
+        texts_with[place] += 1
+        by_language.setdefault(r["lang"], []).append((place, np.frombuffer(r["n"], np.float32)))
+    model = Model(sorted(by_language, key=lambda x: (-known[x], x)), np.log((1 + len(got)) / (1 + texts_with)).astype(np.float32) + 1, *[np.zeros(0)] * 4)
     centroids, language, held = [], [], []
-    length = length_class(tf)
     for k, name in enumerate(model.languages):
-        place = np.flatnonzero((lang == name) & (np.linalg.norm(v, axis=1) > 0))
+        tf = np.zeros((len(by_language[name]), SIZE), np.float32)  # one language at a time
+        for row, (place, n) in zip(tf, by_language.pop(name), strict=True):
+            row[place] = n
+        v, length = model.vectors(tf), length_class(tf)
+        place = np.flatnonzero(np.linalg.norm(v, axis=1) > 0)
         own = v[place]
         halves = [own[::2], own[1::2]]
         if len(own) > 1:

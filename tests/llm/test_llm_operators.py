@@ -430,7 +430,7 @@ def test_language_sample_is_bounded(spark):
         model = language_id.fit(spark.createDataFrame(rows, SCHEMA), clusters=1, per_language=3)
     finally:
         language_id.Model.vectors = whole
-    assert len(model.languages) == 1101 and seen[0] <= 3 * 1101
+    assert len(model.languages) == 1101 and sum(seen) <= 3 * 1101
 
 
 def test_decontaminate(spark, docs, wide, empty):
@@ -591,3 +591,19 @@ def test_streamed_events(spark):
     read = lambda events: collected(chat_format.read_back(chat_format.format_conversations(events)), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
     assert read(log.repartition(5)) == read(chat_format.turns_as_events(turns))
     assert chat_format.streamed_events(turns.limit(0)).count() == 0
+
+
+def test_many_languages(spark):
+    """Two hundred languages: one at a time is dense on the driver, so that the fit takes megabytes, not a gigabyte."""
+    import tracemalloc
+
+    letters = [[chr(0x400 + 8 * (k // 20) + j) + chr(0x530 + 3 * (k % 20) + j % 3) for j in range(4)] for k in range(200)]
+    rows = [(200 * i + k, " ".join("".join(rng.choice(letters[k]) for _ in range(4)) for _ in range(60)), f"l{k}", "s", 1) for k in range(200) for i in range(30)]
+    labelled = spark.createDataFrame(rows, SCHEMA)
+    tracemalloc.start()
+    model = language_id.fit(labelled, per_language=30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) == 200 and peak < 150 << 20
+    got = language_id.identify(labelled, model).collect()
+    assert np.mean([r["lang_pred"] == rows_[2] for r, rows_ in zip(sorted(got), sorted(rows))]) > 0.95
