@@ -3,12 +3,14 @@
 A document that holds ``share`` of an item's shingles holds at least one of any
 ``n - ceil(share * n) + 1`` of them. So the smallest hashes of each item, as many
 as its size band needs, are a sketch that no such document misses, however long
-it is. Each band of item sizes has a bitmap of its sketches, and a document is
-searched for those of the bands whose items it is large enough to hold, if any sketch
-at all has a hash in common with it. Documents
-with a hit keep all shingles that a bitmap of all items lets pass, and these are
-matched with the items' shingles and counted. Bitmaps only spare work: they never
-lose a hit.
+it is. That holds for any of its shingles, so those that fewest items have come first,
+and a shingle of all items hardly makes a candidate. Each band of item sizes has a bitmap
+of its sketches, and a document is searched for those of the bands whose items it is large
+enough to hold, if any sketch at all has a hash in common with it. Documents with a
+hit keep all shingles that a bitmap of all items lets pass, as one array. Only pairs that
+share a sketch hash are candidates, and each is one intersection of two arrays, so
+that a shingle of many items and many documents isn't multiplied out. Bitmaps only spare
+work: they never lose a hit.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_by_key, written
 from .native_text import window_hashes, words
 
 #: Bits of a bitmap for each hash, of which it sets two; and its 64-bit words at most: eight megabytes.
@@ -85,7 +87,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: tuple[int
     # All items of a band (sizes from one power of two to the next) have sketches that its largest would need.
     counted = counted.withColumn("band", F.floor(F.log2("n_item") + 1e-9).cast("int"))
     need = F.floor((F.pow(F.lit(2), F.col("band") + 1) - 1) * (down - up) / down + 1e-9) + 1
-    ranked = counted.withColumn("rank", F.expr("row_number() over (partition by item_id order by xxhash64(h), h)"))
+    spread = rows.groupBy("h").agg(F.count("*").alias("items"))
+    ranked = counted.join(spread, "h").withColumn("rank", F.expr("row_number() over (partition by item_id order by items, xxhash64(h), h)"))
     known = written(ranked.select("item_id", "h", "n_item", "band", (F.col("rank") <= need).alias("sketch")), "items")
     bands = known.groupBy("band").agg(F.count_if("sketch").alias("n"), F.count("*").alias("every")).collect()  # some dozen at most
 
@@ -100,11 +103,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: tuple[int
 
     # Bound by a lambda, the shingles are made once; an outer explode keeps the optimizer from asking for them again.
     known_ones = F.transform(F.array(_shingles(F.col("text"), sizes)), lambda hs: F.when(hit(hs), F.filter(hs, lambda h: _in(full[None], wide, h))))
-    found = docs.where("doc_id is not null").select("doc_id", F.explode_outer(F.get(known_ones, F.lit(0))).alias("h")).where("h is not null")
-    pairs = found.join(known, "h").groupBy("doc_id", "item_id").agg(
-        F.count_distinct("h").alias("n_shared"), F.max("n_item").alias("n_item"), F.bool_or("sketch").alias("candidate")
-    )
-    return pairs.where(F.col("candidate") & (F.col("n_shared") * down >= F.col("n_item") * up)).drop("candidate")
+    found = docs.where("doc_id is not null").select("doc_id", F.explode_outer(F.array(F.get(known_ones, F.lit(0)))).alias("hs")).where("hs is not null")
+    # What is left of the documents, those with a hit: read twice, so written.
+    found = written(found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs")), "hits")
+    sketch = known.where("sketch")
+    sought = found.select("doc_id", F.explode("hs").alias("h")).join(sketch.select("h").distinct(), "h", "left_semi")
+    n = sought.groupBy("h").agg(F.count("*").alias("n"))
+    most = max(1000, (n.agg(F.sum("n")).first()[0] or 0) // 1000)
+    pairs = join_by_key(sought, sketch.select("h", "item_id").join(n, "h"), ["h"], most).select("doc_id", "item_id").distinct()
+    sets = known.groupBy("item_id").agg(F.collect_set("h").alias("own"), F.max("n_item").alias("n_item"))
+    both = pairs.join(found, "doc_id").join(sets, "item_id")
+    counted = both.select("doc_id", "item_id", F.size(F.array_intersect("hs", "own")).cast("long").alias("n_shared"), "n_item")
+    return counted.where(F.col("n_shared") * down >= F.col("n_item") * up)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -607,3 +607,19 @@ def test_many_languages(spark):
     assert len(model.languages) == 200 and peak < 150 << 20
     got = language_id.identify(labelled, model).collect()
     assert np.mean([r["lang_pred"] == rows_[2] for r, rows_ in zip(sorted(got), sorted(rows))]) > 0.95
+
+
+def test_decontaminate_shared_shingles(spark):
+    """A shingle of all items and all documents isn't multiplied out, and loses no leak; a long text without blanks, and very long texts, are searched whole."""
+    intro = "answer the following question with one word"
+    items = [(k, f"{intro} {prose(30)}") for k in range(60)] + [(60, intro)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"{prose(40)} {intro} {prose(30)}" for _ in range(150)] + [items[7][1], f"{prose(60_000)} {items[9][1]} {prose(60_000)}", "x" * 2_000_000, f"{items[11][1]} {items[12][1]}"]
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    want = set()
+    sets = {i: shingles(t.lower(), 5) for i, t in items}
+    for d, t, *_ in rows:
+        have = shingles(t.lower(), 5)
+        want |= {(d, i, len(have & s), len(s)) for i, s in sets.items() if 5 * len(have & s) >= 4 * len(s)}
+    got = {tuple(r) for r in decontaminate.leaks(spark.createDataFrame(rows, SCHEMA).repartition(4), benchmark).select("doc_id", "item_id", "n_shared", "n_item").collect()}
+    assert got == want and len(want) > 150
