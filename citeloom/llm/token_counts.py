@@ -11,6 +11,7 @@ there either.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -21,8 +22,8 @@ from .common import batches, in_pieces
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-#: Characters of units that are kept, and of those that aren't cut.
-SHORT = 64
+#: Characters of units that are kept, and of those that aren't cut; from LONG on merging works in arrays of numbers.
+SHORT, LONG = 64, 100_000
 
 
 def ranked_pieces(model: str) -> dict[str, int]:
@@ -66,6 +67,8 @@ class UnitCounts(dict):
 
     def count(self, unit: str) -> int:
         """Repeatedly merge the adjacent pair of the lowest rank, the leftmost of equals."""
+        if len(unit) >= LONG:
+            return self.count_long(unit)
         get = self.pieces.get
         n = len(unit)
         symbol = list(unit)
@@ -92,6 +95,52 @@ class UnitCounts(dict):
                 heappush(heap, r << 32 | h)
         return count
 
+    def count_long(self, unit: str) -> int:
+        """The same by some twenty bytes a character: a symbol is its range of the unit, and the pairs at first come as places by rank, in order."""
+        get, n = self.pieces.get, len(unit)
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        count = n + sum((len(c.encode()) - 1) * unit.count(c) for c in set(unit) if c not in self.pieces)
+        first: dict[int, array] = {}
+        for i in range(n - 1):
+            if (r := get(unit[i : i + 2])) is not None:
+                first.setdefault(r, array("i")).append(i)
+        given, later = dict.fromkeys(first, 0), {r: [] for r in first}
+        ranks = sorted(first)
+
+        def push(r: int | None, i: int) -> None:
+            if r is None:
+                return
+            if r not in later:
+                later[r] = []
+                heappush(ranks, r)
+            heappush(later[r], i)
+
+        while ranks:
+            r = ranks[0]
+            own, k, more = first.get(r, ()), given.get(r, 0), later[r]
+            if k < len(own) and not (more and more[0] < own[k]):
+                i, given[r] = own[k], k + 1
+            elif more:
+                i = heappop(more)
+            else:
+                heappop(ranks)
+                del later[r]
+                first.pop(r, None)
+                given.pop(r, None)
+                continue
+            j = after[i]
+            if not j or j >= n or get(unit[i : after[j]]) != r:
+                continue  # one of the two has merged since
+            count -= 1
+            k = after[i] = after[j]
+            after[j] = 0
+            if k < n:
+                before[k] = i
+                push(get(unit[i : after[k]]), i)
+            if (h := before[i]) >= 0:
+                push(get(unit[h:k]), h)
+        return count
+
     def of_text(self, text: str) -> int:
         """As the library counts: a mark before the text, spaces as marks, nothing for an empty text."""
         if not text:

@@ -623,3 +623,25 @@ def test_decontaminate_shared_shingles(spark):
         want |= {(d, i, len(have & s), len(s)) for i, s in sets.items() if 5 * len(have & s) >= 4 * len(s)}
     got = {tuple(r) for r in decontaminate.leaks(spark.createDataFrame(rows, SCHEMA).repartition(4), benchmark).select("doc_id", "item_id", "n_shared", "n_item").collect()}
     assert got == want and len(want) > 150
+
+
+def test_long_units(monkeypatch):
+    """Units merged in arrays have the same counts; a long one takes a few dozen bytes a character."""
+    import tracemalloc
+
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    counts = token_counts.UnitCounts(token_counts.ranked_pieces(model))
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    units = ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet in ("e", "ab", "eitnsr", "the and of", "aé日\x00🙂", "-=_#.") for n in (1, 2, 3, 50, 700)]
+    want = [counts.count(u) for u in units]
+    assert [counts.count_long(u) for u in units] == want
+    monkeypatch.setattr(token_counts, "LONG", 10)
+    assert [counts.of_text(u) for u in units] == [len(sp.encode(u)) for u in units]
+    long = "".join(rng.choice("eitnsr") for _ in range(200_000))
+    tracemalloc.start()
+    n = counts.count(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(sp.encode(long)) - 1 + (sp.encode(long)[0] != sp.piece_to_id("▁")) and peak < 60 * len(long)
