@@ -16,7 +16,7 @@ from .search import Index, ranked_batch, terms
 
 
 def resolve(keys: DataFrame, citation_strings: DataFrame, opinions: DataFrame) -> DataFrame:
-    """``keys`` (volume, reporter, page) with cluster_id, id and n_clusters of the preferred unblocked opinion, or nulls.
+    """``keys`` (volume, reporter, page) with cluster_id, id, n_clusters and all cluster_ids of the preferred unblocked opinion, or nulls.
 
     A reporter is tried as it stands, then by its alias. Leads come first, then the lowest id.
     """
@@ -29,10 +29,10 @@ def resolve(keys: DataFrame, citation_strings: DataFrame, opinions: DataFrame) -
     owners = opinions.where("not blocked").groupBy("cluster_id").agg(F.min(F.struct(scalars.type_rank(F.col("type")).alias("rank"), "id")).alias("best"))
     found = spelled.join(known, ["v", "r", "p"]).join(owners, "cluster_id")
     best = found.groupBy("volume", "reporter", "page").agg(
-        F.min(F.struct("try", "best.rank", "best.id", "cluster_id")).alias("x"), F.count_distinct("cluster_id").alias("n_clusters")
+        F.min(F.struct("try", "best.rank", "best.id", "cluster_id")).alias("x"), F.collect_set("cluster_id").alias("cluster_ids")
     )
     return keys.join(best, ["volume", "reporter", "page"], "left").withColumns(
-        {"cluster_id": F.col("x.cluster_id"), "id": F.col("x.id"), "n_clusters": F.coalesce("n_clusters", F.lit(0))}
+        {"cluster_id": F.col("x.cluster_id"), "id": F.col("x.id"), "n_clusters": F.coalesce(F.size("cluster_ids"), F.lit(0)).cast("long")}
     ).drop("x")
 
 
@@ -120,7 +120,8 @@ def attributed(quotes: DataFrame, checks: DataFrame, ahead: int = 300) -> DataFr
 
     Quotes and citations of a draft pass once in the order of their places.
     """
-    owner = F.struct("idx", "cluster_id", "id").alias("owner")
+    of_owner = ["idx", "cluster_id", "id", *[n for n in ("cluster_ids",) if n in checks.columns]]
+    owner = F.struct(*of_owner).alias("owner")
     asked = quotes.select("draft_id", "start", "end", F.struct(*quotes.columns).alias("quote"))
     no_quote = F.lit(None).cast(asked.schema["quote"].dataType).alias("quote")
     cites = checks.where("status = 'verified'")
@@ -135,7 +136,7 @@ def attributed(quotes: DataFrame, checks: DataFrame, ahead: int = 300) -> DataFr
     to_come = first.orderBy(F.desc("at"), mine, F.desc("owner.idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("next", F.last(F.when(F.col("quote").isNull(), F.struct("at", "owner")), True).over(to_come)).where(mine)
     chosen = F.coalesce("before", F.when(F.col("next.at") - F.col("at") <= ahead, F.col("next.owner")))
-    return rows.select("quote.*", chosen.alias("owner")).select(*quotes.columns, "owner.idx", "owner.cluster_id", "owner.id")
+    return rows.select("quote.*", chosen.alias("owner")).select(*quotes.columns, *[f"owner.{n}" for n in of_owner])
 
 
 def probes(quotes: DataFrame, index: Index) -> DataFrame:
@@ -175,7 +176,8 @@ def true_sources(quotes: DataFrame, index: Index, texts: DataFrame, ranks: DataF
 def quote_checks(drafts: DataFrame, checks: DataFrame, opinions: DataFrame, index: Index | None = None, ranks: DataFrame | None = None) -> DataFrame:
     """Each quote of each draft with its verdict: verified, within_cluster, wrong_case (with its ``source_id``), not_found or unattributed.
 
-    Texts join only for the quotes that the stage before left open. The search for
+    Texts join only for the quotes that the stage before left open; siblings are those of
+    all clusters that the key names. The search for
     the true source needs an ``index`` of searchable texts, and ``ranks``.
     """
     quotes = drafts.select("draft_id", F.explode(functions.quoted_spans_of(F.col("text"))).alias("q")).select("draft_id", "q.*")
@@ -183,7 +185,7 @@ def quote_checks(drafts: DataFrame, checks: DataFrame, opinions: DataFrame, inde
     texts = opinions.where("not blocked").select(F.col("id").alias("own"), F.col("cluster_id").alias("of"), "text")
     tried = owned.join(texts.select(F.col("own").alias("id"), "text"), "id", "left").withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote"))).drop("text")
     first = written(tried.withColumn("status", F.when(F.col("id").isNull(), "unattributed").when(F.col("hit.how").isNotNull(), "verified")), "quotes")
-    rest = first.where("status is null").select("draft_id", "start", "quote", "cluster_id", "id")
+    rest = first.where("status is null").select("draft_id", "start", "quote", F.explode("cluster_ids").alias("cluster_id"), "id")
     siblings = rest.join(texts, rest.cluster_id == texts.of).where("own <> id")
     found = siblings.withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote"))).where("hit.how is not null").select("draft_id", "start", F.lit(True).alias("sibling")).distinct()
     known = first.join(found, ["draft_id", "start"], "left").withColumn("status", F.coalesce("status", F.when(F.col("sibling"), "within_cluster")))

@@ -545,8 +545,8 @@ ck AS (SELECT draft_id, 'full' AS kind, volume, reporter, page, 'verified' AS st
   UNION ALL SELECT draft_id, 'full', '9999', 'U.S.', '12', 'unresolved_citation', NULL FROM dq WHERE draft_id % 7 = 0
   UNION ALL SELECT draft_id, 'full', '2020', 'WL.', '12345', 'out_of_corpus', NULL FROM dq WHERE draft_id % 9 = 0),
 te AS (SELECT id, cluster_id, blocked, status IN ('Published', 'Unknown') AND NOT blocked AS open, trim(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS x FROM opinions),
-qc AS (SELECT draft_id, quote, trim(lower(regexp_replace(quote, '\\s+', ' ', 'g'))) AS q, rk.id, rk.cluster_id FROM dq JOIN rk USING (volume, reporter, page) WHERE len(quote) >= 8 AND trim(quote) <> ''),
-qv AS (SELECT draft_id, CASE WHEN contains((SELECT x FROM te WHERE te.id = qc.id), q) THEN 'verified' WHEN EXISTS (SELECT 1 FROM te WHERE te.cluster_id = qc.cluster_id AND NOT te.blocked AND contains(x, q)) THEN 'within_cluster'
+qc AS (SELECT draft_id, quote, trim(lower(regexp_replace(quote, '\\s+', ' ', 'g'))) AS q, rk.id, volume, reporter, page FROM dq JOIN rk USING (volume, reporter, page) WHERE len(quote) >= 8 AND trim(quote) <> ''),
+qv AS (SELECT draft_id, CASE WHEN contains((SELECT x FROM te WHERE te.id = qc.id), q) THEN 'verified' WHEN EXISTS (SELECT 1 FROM te JOIN citation_strings cs USING (cluster_id) WHERE cs.volume = qc.volume AND cs.reporter = qc.reporter AND cs.page = qc.page AND NOT te.blocked AND contains(x, q)) THEN 'within_cluster'
   WHEN EXISTS (SELECT 1 FROM te WHERE te.open AND contains(x, q)) THEN 'wrong_case' ELSE 'not_found' END AS status,
   (SELECT min_by(te.id, CASE WHEN te.id % 25 = 0 THEN 0 ELSE 1 END * 1000000000 + te.id) FROM te WHERE te.open AND contains(x, q)) AS found FROM qc),
 qs AS (SELECT draft_id, status, CASE WHEN status = 'wrong_case' THEN found END AS source_id FROM qv),

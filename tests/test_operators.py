@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
-from citeloom.operators import calendar, graph, scalars, search, verify
+from citeloom.operators import calendar, evaluate, graph, scalars, search, verify
 from citeloom.sources import bz2_blocks, csv_shards, xml_sections
 from citeloom.streaming import audit
 
@@ -409,3 +409,62 @@ def test_small_text_helpers(spark):
     dense = search.by_density(texts.select("id", F.lit(1.0).alias("final")), texts, ["toll"])
     best = {r["id"]: r["hits"] for r in dense.collect()}
     assert best == {1: 3, 2: 1}
+
+
+def test_mutations_and_rates(spark):
+    """Changes are made where there is something to change, and the verifier strikes all of them but none of the quotes."""
+    rows = [(1, "In spring Alder pays 40 tolls at the weir for two barges"), (2, "low tide"), (3, "same same same same")]
+    made = {r["id"]: r["m"] for r in spark.createDataFrame(rows, "id long, quote string").select("id", evaluate.mutated(F.col("quote"), F.col("id")).alias("m")).collect()}
+    assert made[1] == {
+        "none": rows[0][1], "word": "In spring wholly pays 40 tolls at the weir for two barges", "number": "In spring Alder pays 50 tolls at the weir for two barges",
+        "name": "In spring Roe pays 40 tolls at the weir for two barges", "negation": "In spring Alder not pays 40 tolls at the weir for two barges", "order": "In spring pays Alder 40 tolls at the weir for two barges",
+    }
+    assert {k: v for k, v in made[2].items() if v} == {"none": "low tide"} and made[3]["order"] is None and made[3]["negation"] == "same same same not same"
+    texts = spark.createDataFrame([(k, f"It is told: {t}. Nothing else.", t) for k, t in rows[:2]] + [(9, "they never pay two tolls here", "pay two tolls here")], "id long, text string, quote string")
+    rates = {r["kind"]: (r["n"], r["caught"]) for r in evaluate.catch_rates(evaluate.caught(texts)).collect()}
+    assert rates["none"] == (3, 1) and rates["number"] == (1, 1) and rates["word"] == (2, 2) and rates["order"] == (2, 2)
+    assert [tuple(r) for r in evaluate.caught(texts).where("signature is not null").select("id", "kind", "signature").collect()] == [(9, "none", "struck")]
+    assert evaluate.caught(texts.limit(0)).count() == 0
+
+
+def test_rankings(spark):
+    truth = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (3, 31), (3, 31)], "query_id long, cluster_id long")
+    a = spark.createDataFrame([(1, 1, 10), (2, 1, 9), (2, 2, 20), (3, 1, 30), (3, 2, 31), (7, 1, 1)], "query_id long, place int, cluster_id long")
+    b = spark.createDataFrame([(1, 1, 4), (2, 1, 20), (3, 3, 30)], "query_id long, place int, cluster_id long")
+    runs = [evaluate.precision(x, truth, 2) for x in (a, b)]
+    assert sorted(tuple(r) for r in runs[0].collect()) == [(1, 1, 1, 1, 0.5), (2, 1, 1, 2, 0.5), (3, 2, 2, 1, 1.0)]
+    assert tuple(evaluate.against_baseline(runs[1], runs[0]).first()) == (3, 0.166667, 0.666667, -0.5, False)
+    kinds = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y")], "query_id long, kind string")
+    assert sorted(tuple(r) for r in evaluate.compared(*runs, kinds).collect()) == [("x", 1, 1, 0, 0, 1, "cut"), ("y", 2, 1, 1, 1, 1, "keep")]
+
+
+def test_antecedents(spark):
+    """Short, id and supra forms stand for their full citation; an id for what the one before does, or for nothing."""
+    opinions = spark.createDataFrame([(1, 1, "020lead", False), (2, 2, "020lead", False), (3, 3, "020lead", False)], "id long, cluster_id long, type string, blocked boolean")
+    strings = spark.createDataFrame([(1, "31", "Har.", "204"), (2, "77", "Har.", "9"), (3, "77", "Har.", "9")], "cluster_id long, volume string, reporter string, page string")
+    texts = [
+        (1, "Alder v. Birch, 31 Har. 204, 209, came first; Ostrander v. Lock, 77 Har. 9. Id. at 11. Id. Alder, supra, at 3. Id. at 4. 31 Har. at 206. See § 12. Id."),
+        (2, "Id. at 3; Cedar, supra; 5 Har. at 6."),
+        (3, "bad \x00 text"),
+    ]
+    checks = verify.citation_checks(spark.createDataFrame(texts, "draft_id long, text string"), strings, opinions, spark.createDataFrame([(2, 5)], "id long, flags int"))
+    got = sorted((r["idx"], r["kind"], r["full_idx"]) for r in verify.antecedents(checks).where("draft_id = 1").collect())
+    assert got == [(0, "full", 0), (1, "full", 1), (2, "id", 1), (3, "id", 1), (4, "supra", 0), (5, "id", 0), (6, "short", 0), (7, "unknown", None), (8, "id", None)]
+    assert {(r["kind"], r["full_idx"]) for r in verify.antecedents(checks).where("draft_id = 2").collect()} == {("id", None), ("supra", None), ("short", None)}
+    told = {r["idx"]: r for r in checks.where("draft_id = 1 and kind = 'full'").collect()}
+    assert (told[0]["corrected"], told[0]["ambiguous"], told[0]["pin_unverified"], told[0]["treatment"]) == ("31 Har. 204", False, True, [])
+    assert (told[1]["ambiguous"], told[1]["pin_unverified"], told[1]["treatment"]) == (True, False, ["overruled", "distinguished"])
+    assert [(r["kind"], r["status"], r["error"]) for r in checks.where("draft_id = 3").collect()] == [("error", "unresolved_citation", "ValueError: NUL in a text")]
+
+
+def test_sentence_verdicts(spark):
+    """Checks belong to the sentence that they lie in; LAW needs a pin that is a citation."""
+    rows = [(1, 0, "LAW", "Tolls end", "31 Har. 204"), (1, 1, "RECORD", "He said it", None), (1, 2, "LAW", "No pin", None), (1, 3, "LAW", "Bare", "26065"), (2, 0, "INFERRED", "", None)]
+    sentences = spark.createDataFrame(rows, "draft_id long, n int, tag string, text string, pin string")
+    text = {r["draft_id"]: r["text"] for r in verify.drafted(sentences).collect()}
+    assert text == {1: "[LAW] Tolls end (31 Har. 204) [RECORD] He said it [LAW] No pin [LAW] Bare (26065)", 2: "[INFERRED] "}
+    at = text[1].index("31 Har")
+    checks = spark.createDataFrame([(1, at, at + 11, "verified"), (1, 2, 4, "unresolved_citation"), (1, at + 5, at + 30, "unresolved_citation")], "draft_id long, start int, end int, status string")
+    quotes = spark.createDataFrame([(1, text[1].index("He"), text[1].index("He") + 4, "not_found")], "draft_id long, start int, end int, status string")
+    got = {(r["draft_id"], r["n"]): (r["n_cites"], r["n_quotes"], r["reason"]) for r in verify.sentence_verdicts(sentences, checks, quotes).collect()}
+    assert got == {(1, 0): (1, 0, None), (1, 1): (0, 1, "quote:not_found"), (1, 2): (0, 0, "no pin"), (1, 3): (0, 0, "pin without citation"), (2, 0): (0, 0, None)}
