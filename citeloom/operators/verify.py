@@ -116,7 +116,7 @@ def lookup(asked: DataFrame, citation_strings: DataFrame, opinions: DataFrame, s
 
 
 def attributed(quotes: DataFrame, checks: DataFrame, ahead: int = 300) -> DataFrame:
-    """Each quote (draft_id, start) with the verified citation it belongs to: the last one that ends before it, else the next within ``ahead``.
+    """Each quote (draft_id, start) with the verified citation it belongs to, the last one that ends ``before`` it, else the next within ``ahead``.
 
     Quotes and citations of a draft pass once in the order of their places.
     """
@@ -136,7 +136,7 @@ def attributed(quotes: DataFrame, checks: DataFrame, ahead: int = 300) -> DataFr
     to_come = first.orderBy(F.desc("at"), mine, F.desc("owner.idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("next", F.last(F.when(F.col("quote").isNull(), F.struct("at", "owner")), True).over(to_come)).where(mine)
     chosen = F.coalesce("before", F.when(F.col("next.at") - F.col("at") <= ahead, F.col("next.owner")))
-    return rows.select("quote.*", chosen.alias("owner")).select(*quotes.columns, *[f"owner.{n}" for n in of_owner])
+    return rows.select("quote.*", chosen.alias("owner"), F.col("before").isNotNull().alias("before")).select(*quotes.columns, *[f"owner.{n}" for n in of_owner], "before")
 
 
 def probes(quotes: DataFrame, index: Index) -> DataFrame:
@@ -173,18 +173,41 @@ def true_sources(quotes: DataFrame, index: Index, texts: DataFrame, ranks: DataF
     return quotes.join(sources, "quote").select("quote_id", "source_id")
 
 
-def quote_checks(drafts: DataFrame, checks: DataFrame, opinions: DataFrame, index: Index | None = None, ranks: DataFrame | None = None) -> DataFrame:
+def _owned(quotes: DataFrame, checks: DataFrame, drafts: DataFrame, statutes: DataFrame | None) -> DataFrame:
+    """Quotes with the case, or the statute by ``statute_id``, that they belong to: a statute before it, a case before it, a case after it, a statute after it."""
+    cases = attributed(quotes, checks)
+    if statutes is None:
+        return cases.drop("before").withColumn("statute_id", F.lit(None).cast("long"))
+    found = drafts.select("draft_id", F.posexplode(functions.statute_citations_of(F.col("text"))).alias("idx", "s")).select("draft_id", "idx", "s.*")
+    known = statutes.groupBy("source", "title", "section").agg(F.min("id").alias("id"))
+    cited = found.join(known, ["source", "title", "section"]).select("draft_id", "start", "end", "idx", F.lit(None).cast("long").alias("cluster_id"), "id", F.lit("verified").alias("status"))
+    codes = attributed(quotes, cited).select("draft_id", "start", F.col("id").alias("_statute"), F.col("before").alias("_before"))
+    both = cases.join(codes, ["draft_id", "start"])
+    own = F.when(F.col("_before") | (~F.col("before") & F.col("id").isNull()), F.col("_statute"))
+    both = both.withColumn("statute_id", own)
+    case = [n for n in ("idx", "cluster_id", "id", "cluster_ids") if n in cases.columns]
+    return both.withColumns({n: F.when(F.col("statute_id").isNull(), F.col(n)) for n in case}).drop("before", "_statute", "_before")
+
+
+def quote_checks(
+    drafts: DataFrame, checks: DataFrame, opinions: DataFrame, index: Index | None = None, ranks: DataFrame | None = None, statutes: DataFrame | None = None
+) -> DataFrame:
     """Each quote of each draft with its verdict: verified, within_cluster, wrong_case (with its ``source_id``), not_found or unattributed.
 
+    With ``statutes`` (id, source, title, section, text) a quote may belong to one, whose text is then read.
+
     Texts join only for the quotes that the stage before left open; siblings are those of
     all clusters that the key names. The search for
     the true source needs an ``index`` of searchable texts, and ``ranks``.
     """
     quotes = drafts.select("draft_id", F.explode(functions.quoted_spans_of(F.col("text"))).alias("q")).select("draft_id", "q.*")
-    owned = attributed(quotes, checks)
+    owned = _owned(quotes, checks, drafts, statutes)
     texts = opinions.where("not blocked").select(F.col("id").alias("own"), F.col("cluster_id").alias("of"), "text")
-    tried = owned.join(texts.select(F.col("own").alias("id"), "text"), "id", "left").withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote"))).drop("text")
-    first = written(tried.withColumn("status", F.when(F.col("id").isNull(), "unattributed").when(F.col("hit.how").isNotNull(), "verified")), "quotes")
+    tried = owned.join(texts.select(F.col("own").alias("id"), "text"), "id", "left")
+    if statutes is not None:
+        tried = tried.join(statutes.select(F.col("id").alias("statute_id"), F.col("text").alias("_code")), "statute_id", "left").withColumn("text", F.coalesce("_code", "text")).drop("_code")
+    tried = tried.withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote"))).drop("text")
+    first = written(tried.withColumn("status", F.when(F.col("id").isNull() & F.col("statute_id").isNull(), "unattributed").when(F.col("hit.how").isNotNull(), "verified")), "quotes")
     rest = first.where("status is null").select("draft_id", "start", "quote", F.explode("cluster_ids").alias("cluster_id"), "id")
     siblings = rest.join(texts, rest.cluster_id == texts.of).where("own <> id")
     found = siblings.withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote"))).where("hit.how is not null").select("draft_id", "start", F.lit(True).alias("sibling")).distinct()
@@ -197,7 +220,7 @@ def quote_checks(drafts: DataFrame, checks: DataFrame, opinions: DataFrame, inde
         sources = true_sources(open_, index, opinions.where(scalars.searchable()), ranks).select("quote_id.*", "source_id")
         known = known.join(sources, ["draft_id", "start"], "left")
     status = F.coalesce("status", F.when(F.col("source_id").isNotNull(), "wrong_case").otherwise("not_found"))
-    return known.select("draft_id", "quote", "start", "end", "idx", "id", status.alias("status"), F.col("hit.how").alias("how"), "source_id")
+    return known.select("draft_id", "quote", "start", "end", "idx", "id", status.alias("status"), F.col("hit.how").alias("how"), "source_id", "statute_id")
 
 
 def all_checks(checks: DataFrame, statutes: DataFrame | None) -> DataFrame:

@@ -108,6 +108,37 @@ def s24_stale_runs(c: Corpus) -> DataFrame:
     return runs.select("user_id", F.unix_micros("begun").alias("begun"), F.unix_micros("last").alias("last"), "n", "last_type")
 
 
+def _feed(c: Corpus, kind: str, section: Column, head: str, foot: str) -> str:
+    """The parts' sections as ten XML files; the last one's document isn't closed."""
+    path, part = _path(c, kind), c.table("part")
+    rows = part.select((F.col("p_partkey") % 10).alias("file"), (F.col("p_partkey") + 1).alias("k"), section.alias("value"))
+    files = part.select((F.col("p_partkey") % 10).alias("file")).distinct()
+    last = part.agg(F.max("p_partkey") + 2).first()[0]
+    rows = rows.unionByName(files.select("file", F.lit(-1).cast("long").alias("k"), F.lit(head).alias("value")))
+    rows = rows.unionByName(files.where("file < 9").select("file", F.lit(last).cast("long").alias("k"), F.lit(foot).alias("value")))
+    rows.repartition("file").sortWithinPartitions("file", "k").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+_SECTIONS = "SELECT p_partkey::VARCHAR AS section, p_name AS heading, {} AS text, NULL AS error FROM part WHERE p_partkey % 10 < 9 UNION ALL SELECT NULL, NULL, NULL, 'ParseError' FROM (SELECT 1 FROM part WHERE p_partkey % 10 = 9 LIMIT 1)"
+
+
+@query(_SECTIONS.format("'(a) ' || p_type || ' rest ' || p_brand"))
+def s9_regulation_sections(c: Corpus) -> DataFrame:
+    """Sections of a regulation feed, mixed content in order; a file that isn't XML is a row with its error."""
+    section = F.format_string('<DIV8 TYPE="SECTION" N="%s"><HEAD>%s</HEAD><P>(a) <I>%s</I> rest</P><HD1>%s</HD1><X>no body</X></DIV8>', F.col("p_partkey").cast("string"), "p_name", "p_type", "p_brand")
+    read = xml_sections.sections(c.spark, _feed(c, "regulation", section, "<R>", "</R>"), "regulation")
+    return read.select("section", "heading", "text", F.regexp_extract("error", r"^(\w+)", 1).alias("error"))
+
+
+@query(_SECTIONS.format("p_type || ' ' || p_brand"))
+def s10_code_sections(c: Corpus) -> DataFrame:
+    """Sections of a code feed, whatever their namespace; their bodies are those of the highest elements."""
+    section = F.format_string('<section identifier="sec_%s"><heading>%s</heading><level><content>%s</content></level><note><P>%s</P></note></section>', F.col("p_partkey").cast("string"), "p_name", "p_type", "p_brand")
+    read = xml_sections.sections(c.spark, _feed(c, "code", section, '<d xmlns="urn:x">', "</d>"), "code")
+    return read.select("section", "heading", "text", F.regexp_extract("error", r"^(\w+)", 1).alias("error"))
+
+
 @query("SELECT doc_id::VARCHAR AS text, CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END AS answer FROM labels")
 def s14_dictionary(c: Corpus) -> DataFrame:
     path = _path(c, "tsv")

@@ -590,6 +590,18 @@ def v7_quote_checks(c: Corpus) -> DataFrame:
     return _quotes(c).select("draft_id", "status", "source_id")
 
 
+@query(
+    """, t AS (SELECT id, substr(text, 1, 14) AS q FROM statutes) SELECT id AS draft_id, id AS statute_id, CASE WHEN id % 3 = 0 THEN 'not_found' ELSE 'verified' END AS status FROM t"""
+)
+def v7_statute_quotes(c: Corpus) -> DataFrame:
+    """V7: quotes of every statute, every third one changed, that belong to the statute cited before them."""
+    quote = F.when(F.col("id") % 3 == 0, F.concat(F.substring("text", 1, 6), F.lit(" wholly "), F.substring("text", 7, 8))).otherwise(F.substring("text", 1, 14))
+    label = scalars.statute_label(F.when(F.col("source") == "usc", "usc").otherwise("ecfr"), F.col("title"), F.col("section"))
+    texts = c.statutes.select(F.col("id").alias("draft_id"), F.concat(F.lit("Under "), label, F.lit(' it is "'), quote, F.lit('" that counts.')).alias("text"))
+    checks = verify.citation_checks(texts, c.citation_strings, c.opinions)
+    return verify.quote_checks(texts, checks, c.opinions, statutes=c.statutes).select("draft_id", "statute_id", "status")
+
+
 @query(
     _DRAFTS
     + """, cc AS (SELECT draft_id, count(*) AS n, count_if(status = 'unresolved_citation') AS bad FROM al GROUP BY 1), qq AS (SELECT draft_id, count(*) AS n, count_if(status NOT IN ('verified', 'within_cluster')) AS bad FROM qv GROUP BY 1),
