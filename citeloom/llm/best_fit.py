@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .byte_bpe import byte_bpe
 from .common import batches, written
 
-#: Large lengths are those over such a part of a sequence, in so many groups (the last: none is large); the plan with the fewest sequences is taken.
-SETTINGS = ((3, 128), (6, 64), (1, 1))
+#: Large lengths are those over such a part of a sequence, in so many groups (the last: none is large); the plan with the fewest sequences is taken, the first of equals.
+SETTINGS = ((2, 128), (3, 128), (6, 64), (1, 1))
 #: Rows of partitions' counts that are broadcast at most (24 bytes each); more are joined.
 BROADCAST_ROWS = 1_000_000
 
