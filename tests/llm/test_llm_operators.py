@@ -69,7 +69,9 @@ def collected(df, *names):
     return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     links = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 3), (None, 1), (7, 9), (5, 4)], "a long, b long")
     got = dict(collected(components.components(links), "id", "component_id"))
     assert got == {3: 3, 4: 3, 5: 3, 7: 7, 8: 7, 9: 7}
