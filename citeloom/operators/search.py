@@ -221,8 +221,7 @@ def ranked_batch(wanted: DataFrame, index: Index, share: bool = False) -> DataFr
 
     Texts come from a query's rarest term, whose postings alone are read whole. The
     other terms are looked up by term and text, one row at most for each, so that
-    queries never meet all postings of a frequent term. A query with a null term, a word that no text
-    has, finds nothing.
+    queries never meet all postings of a frequent term. A query with a term that no text has finds nothing.
     """
     known = wanted.distinct().join(index.stats.select("term", "df"), "term", "left")
     idf = F.greatest(F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -240,10 +239,10 @@ def ranked_batch(wanted: DataFrame, index: Index, share: bool = False) -> DataFr
     return alone.unionByName(both.where("m = n").select("query_id", "id", (F.col("first") + F.col("more")).alias(name)))
 
 
-def batch_terms(queries: DataFrame, index: Index, most: int = 24) -> DataFrame:
-    """(query_id, term) of queries (query_id, text): stems of their first ``most`` words but stop words and single characters; null for a word that no text has."""
+def batch_terms(queries: DataFrame, most: int = 24) -> DataFrame:
+    """(query_id, term) of queries (query_id, text): stems of their first ``most`` words but stop words and single characters."""
     words = F.slice(F.filter(terms(F.col("text")), lambda w: (F.length(w) > 1) & ~w.isin(sorted(STOPWORDS))), 1, most)
-    return queries.select("query_id", F.explode(F.array_distinct(words)).alias("word")).join(index.dictionary, "word", "left").select("query_id", "term")
+    return queries.select("query_id", F.explode(F.array_distinct(words)).alias("word")).select("query_id", stem_of(F.col("word")).alias("term"))
 
 
 def search_batch(queries: DataFrame, c: Collection, options: Options | None = None, signals: bool = True) -> DataFrame:
@@ -252,7 +251,7 @@ def search_batch(queries: DataFrame, c: Collection, options: Options | None = No
     As ``search`` ranks organic hits, of the first pool and without phrases and boosts; with ``signals`` off by BM25 alone.
     """
     o = options or Options()
-    found = ranked_batch(batch_terms(queries, c.index), c.index).join(allowed(c, o), "id")
+    found = ranked_batch(batch_terms(queries), c.index).join(allowed(c, o), "id").withColumn("bm25", F.round("bm25", 9))  # sums in another order tie all the same
     best_first = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id")
     pool = found.withColumn("nth", F.row_number().over(best_first)).where(F.col("nth") <= POOLS[0]).drop("nth")
     rows = scored(pool, c.authority, c.authority.select("id", F.lit(0).alias("described")), o.highest) if signals else pool.withColumn("final", F.col("bm25"))

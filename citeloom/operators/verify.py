@@ -139,18 +139,17 @@ def attributed(quotes: DataFrame, checks: DataFrame, ahead: int = 300) -> DataFr
     return rows.select("quote.*", chosen.alias("owner"), F.col("before").isNotNull().alias("before")).select(*quotes.columns, *[f"owner.{n}" for n in of_owner], "before")
 
 
-def probes(quotes: DataFrame, index: Index) -> DataFrame:
+def probes(quotes: DataFrame) -> DataFrame:
     """(query_id, term): three probes of each quote (quote_id, quote) as queries by ``query_id`` (quote_id, probe).
 
-    Its six longest words, the words around its middle, and the five longest of these;
-    null for a word that no text has.
+    Its six longest words, the words around its middle, and the five longest of these.
     """
     words = scalars.probe_words(F.col("quote"))
     inner = scalars.middle(words)
     asked = quotes.select("quote_id", F.posexplode(F.array(scalars.longest(words, 6), inner, scalars.longest(inner, 5))).alias("probe", "words"))
     plain = F.filter(terms(F.array_join("words", " ")), lambda w: F.length(w) > 1)
     wanted = asked.select(F.struct("quote_id", "probe").alias("query_id"), F.explode(F.array_distinct(plain)).alias("word"))
-    return wanted.join(index.dictionary, "word", "left").select("query_id", "term")
+    return wanted.select("query_id", functions.stem_of(F.col("word")).alias("term"))
 
 
 def true_sources(quotes: DataFrame, index: Index, texts: DataFrame, ranks: DataFrame, most: int = 60, checked: int = 90) -> DataFrame:
@@ -162,7 +161,7 @@ def true_sources(quotes: DataFrame, index: Index, texts: DataFrame, ranks: DataF
     """
     known = written(quotes.select("quote").distinct().select(F.monotonically_increasing_id().alias("quote_id"), "quote"), "distinct-quotes")
     open_ = texts.select("id", "text")
-    held = ranked_batch(probes(known, index), index, share=True).join(open_.select("id"), "id", "left_semi").select("query_id.*", "id", F.round("share", 9).alias("share"))
+    held = ranked_batch(probes(known), index, share=True).join(open_.select("id"), "id", "left_semi").select("query_id.*", "id", F.round("share", 9).alias("share"))
     place = F.row_number().over(Window.partitionBy("quote_id", "probe").orderBy(F.desc("share"), "id"))
     some = held.withColumn("place", place).where(F.col("place") <= most).groupBy("quote_id", "id").agg(F.min("place").alias("place"))
     some = some.withColumn("nth", F.row_number().over(Window.partitionBy("quote_id").orderBy("place", "id"))).where(F.col("nth") <= checked)

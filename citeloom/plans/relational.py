@@ -401,7 +401,7 @@ def q5_ground_truth(c: Corpus) -> DataFrame:
     """Two parentheticals of each described opinion at most, as queries with a known answer."""
     rows = c.parentheticals.where(F.length("text").between(60, 1500))
     r = F.row_number().over(Window.partitionBy("described_id").orderBy(F.length("text"), "describing_id", "text"))
-    return rows.withColumn("r", r).where("r <= 2").drop("r")
+    return rows.withColumn("r", r).where("r <= 2").drop("r", "id")
 
 
 @query(

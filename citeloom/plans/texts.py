@@ -823,7 +823,7 @@ _KNOWN = (
 kq AS (SELECT id AS query_id, cluster_id, unnest(list_distinct(list_filter(ws[len(ws) // 2 + 1 : len(ws) // 2 + 3], lambda w: len(w) > 1 AND w NOT IN ({_STOP})))) AS w FROM lead),
 kt AS (SELECT DISTINCT query_id, stem FROM kq JOIN stems ON w = term), kn AS (SELECT query_id, count(*) AS n FROM kt GROUP BY 1),
 tf AS (SELECT id, stem, count(*) AS tf FROM sp GROUP BY 1, 2), df AS (SELECT stem, count(*) AS df FROM tf GROUP BY 1), sz AS (SELECT o.id, count(sp.i) AS size FROM opinions o LEFT JOIN sp ON sp.id = o.id GROUP BY 1), st AS (SELECT count(*) AS k, avg(size) AS mean FROM sz),
-kb AS (SELECT query_id, id, sum(greatest(ln((k - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS bm25 FROM kt JOIN tf USING (stem) JOIN df USING (stem) JOIN sz USING (id) JOIN kn USING (query_id), st GROUP BY query_id, id, n HAVING count(*) = n),
+kb AS (SELECT query_id, id, round(sum(greatest(ln((k - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS bm25 FROM kt JOIN tf USING (stem) JOIN df USING (stem) JOIN sz USING (id) JOIN kn USING (query_id), st GROUP BY query_id, id, n HAVING count(*) = n),
 od AS (SELECT dst AS id, count(*) AS recent FROM edges JOIN opinions o ON o.id = src WHERE o.date_filed >= DATE '2020-06-30' GROUP BY 1),
 kp AS (SELECT kb.*, o.cluster_id, o.ocr, o.court_id FROM kb JOIN opinions o USING (id) WHERE o.status IN ('Published', 'Unknown') AND NOT o.blocked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) <= 1000),
 kf AS (SELECT query_id, id, cluster_id, bm25, bm25 * CASE WHEN ocr THEN 0.7 ELSE 1 END * (1 + 0.3 * ln(1 + coalesce(recent, 0)) + CASE WHEN court_id = 'n0' THEN 1 ELSE 0 END) AS final FROM kp LEFT JOIN od USING (id)),
