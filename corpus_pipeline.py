@@ -14,7 +14,10 @@ from citeloom.llm.native_text import NOT_BLANK
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model rejects (no letters, or far from all centroids) go.
 
-    It learns from the rows with a language that aren't held out.
+    It learns from the rows with a language that aren't held out. Null and empty texts
+    go, as they have no letters; rows that repeat a doc_id are judged one by one, rows
+    without an id like all others. An empty table stays one; without labelled rows all
+    stay that have a letter.
     """
     return language_id.accepted(docs, language_id.fit(docs.where(~language_id.held_out(F.col("doc_id")))))
 
@@ -23,6 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first; every document stays, with its new length.
 
     Copies of a document are left without words here; stage near_duplicates drops them.
+    Rows that repeat a doc_id don't take each other's lines; rows without an id neither
+    count nor change, and null texts stay null. An empty table stays one.
     """
     found = line_dedup.drop_recurring(docs)
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
