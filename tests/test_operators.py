@@ -10,6 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom import plans
 from citeloom.functions import text as T
 from citeloom.operators import calendar, evaluate, graph, scalars, search, verify
 from citeloom.sources import bz2_blocks, csv_shards, xml_sections
@@ -468,3 +469,11 @@ def test_sentence_verdicts(spark):
     quotes = spark.createDataFrame([(1, text[1].index("He"), text[1].index("He") + 4, "not_found")], "draft_id long, start int, end int, status string")
     got = {(r["draft_id"], r["n"]): (r["n_cites"], r["n_quotes"], r["reason"]) for r in verify.sentence_verdicts(sentences, checks, quotes).collect()}
     assert got == {(1, 0): (1, 0, None), (1, 1): (0, 1, "quote:not_found"), (1, 2): (0, 0, "no pin"), (1, 3): (0, 0, "pin without citation"), (2, 0): (0, 0, None)}
+
+
+def test_paragraphs_keep_their_digits(spark, tmp_path):
+    """Only blanks are trimmed from paragraphs, not the digits of their places."""
+    texts = [(0, " 10 barges 0\n1 toll 1 \n\n 2 weirs 22"), (1, None), (2, " ")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in plans.queries()["x32_paragraphs"](spark, str(tmp_path)).collect())
+    assert got == [(0, 0, "10 barges 0"), (0, 1, "1 toll 1"), (0, 2, "2 weirs 22")]
