@@ -65,6 +65,13 @@ def test_markup():
     assert text == "one two three & four" and text[links[0]["start"] : links[0]["end"]] == "two"
 
 
+def test_cut_entities():
+    """An entity that a cut has left without its semicolon is a character, or stays with ``whole``."""
+    page = "<title>a &amp;&quot;&#65;&#x42; &amp</title> &ampx; &middot; &copy 5 &nosuch;"
+    assert T.clean_markup(page)[0] == "a &\"AB & &x; · © 5 &nosuch;"
+    assert T.clean_markup(page, whole=True)[0] == "a &\"AB &amp &ampx; · &copy 5 &nosuch;"
+
+
 @pytest.mark.parametrize(
     "text,quote,found",
     [
