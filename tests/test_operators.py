@@ -126,6 +126,20 @@ def test_statute_citations(text, want):
     assert all(text[s["start"] :].startswith(s["title"]) and text[: s["end"]].endswith(s["section"]) for s in got)
 
 
+def test_long_sections(spark):
+    """A section's number is read whole: of seven digits it isn't the section of its first six."""
+    assert [(s["title"], s["section"]) for s in T.statute_citations("1 U.S.C. § 1000050 and 46 CFR 12345678b.12")] == [("1", "1000050"), ("46", "12345678b.12")]
+    codes = [(1, "usc", "1", "100005", "tolls", "all tolls end"), (2, "usc", "1", "1000050", "weirs", "all weirs stay")]
+    statutes = spark.createDataFrame(codes, "id long, source string, title string, section string, heading string, text string")
+    strings = spark.createDataFrame([], "cluster_id long, volume string, reporter string, page string")
+    opinions = spark.createDataFrame([], "id long, cluster_id long, type string, blocked boolean, text string")
+    asked = spark.createDataFrame([("1 U.S.C. § 1000050",), ("1 U.S.C. § 1000051",)], "asked string")
+    assert {r["asked"]: r["heading"] for r in verify.lookup(asked, strings, opinions, statutes).collect()} == {"1 U.S.C. § 1000050": "weirs", "1 U.S.C. § 1000051": None}
+    drafts = spark.createDataFrame([(1, 'Under 1 U.S.C. § 1000050 it is "all weirs stay" that counts.')], "draft_id long, text string")
+    checks = verify.citation_checks(drafts, strings, opinions)
+    assert [(r["statute_id"], r["status"]) for r in verify.quote_checks(drafts, checks, opinions, statutes=statutes).collect()] == [(2, "verified")]
+
+
 def test_case_citations(spark):
     rows = [
         ("31 Har. 204", ("31", "Har.", "204")), (" 031  S. Ct.  007 ", ("31", "S. Ct.", "7")), ("31 204", None), ("31 9th 204", None), ("x Har. 204", None), ("12345 Har. 2", None),
