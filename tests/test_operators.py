@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from citeloom import plans
 from citeloom.functions import text as T
 from citeloom.operators import calendar, evaluate, graph, scalars, search, verify
+from citeloom.plans.views import Corpus
 from citeloom.sources import bz2_blocks, csv_shards, xml_sections
 from citeloom.streaming import audit
 
@@ -39,6 +40,16 @@ def test_authority(spark):
     assert {r["flags"] for r in graph.reflagged(authority, neutral).collect()} == {0}
 
 
+def test_edges_without_the_join_of_cites(spark):
+    """The pairs of the map and of the anchors are those of their cites, so that edges need no join of both."""
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    want = graph.edges(graph.cites(c.citation_map, c.anchors), c.opinions)
+    got = plans.queries()["g1_edges"](spark, c.sf_dir)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "LeftAnti" not in plan
+
+
 def test_dates_as_numbers(spark):
     rows = spark.createDataFrame([("2020-01-01",), ("not-a-date",), (None,), ("99999-99-99",), ("1500-01-01",)], "x string")
     assert [r[0] for r in rows.select(scalars.yyyymmdd(F.col("x"))).collect()] == [20200101, 0, 0, 0, 0]
