@@ -252,6 +252,18 @@ def test_blocks_are_skipped(spark, monkeypatch):
     assert search.build_index(spark.createDataFrame([], "id long, text string")).postings.count() == 0
 
 
+def test_postings_of_a_batch(monkeypatch):
+    """A task lists the stems of its texts itself, forms of one stem together and in order, whatever it lists at once."""
+    import pyarrow as pa
+
+    words = [["tolls", "due", "toll"], [], ["due"], ["Weir", "tolled", "tolls", "weir"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, 3]), pa.array(words, pa.list_(pa.string()))], ["id", "words"])
+    for most in (1, 3, 100):
+        monkeypatch.setattr(search, "WORDS_AT_ONCE", most)
+        got = [tuple(r.values()) for part in search._listed([batch.slice(0, 1), batch.slice(1)]) for r in part.to_pylist()]
+        assert sorted(got) == [("Weir", 3, 4, [0]), ("due", 7, 3, [1]), ("due", 9, 1, [0]), ("toll", 3, 4, [1, 2]), ("toll", 7, 3, [0, 2]), ("weir", 3, 4, [3])]
+
+
 def test_filters(spark):
     courts = spark.createDataFrame([("har", "Harbor Court", None), ("har1", "First Pier", "har"), ("hill", "Hill Court", None)], "id string, name string, parent_id string")
     rows = [(k, k, ["har", "har1", "hill"][k % 3], "Published", False, False, "toll due", dt.date(2000 + k, 1, 1)) for k in range(9)] + [(20, 20, "har", "Unpublished", False, False, "toll due", dt.date(2001, 1, 1))]
