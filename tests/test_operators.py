@@ -106,6 +106,16 @@ def test_quotes(text, quote, found):
         assert text[got[1] : got[2]] == quote
 
 
+def test_patterns_are_made_where_their_letters_are():
+    """No pattern is compiled for a text without the letters of a quote in a row; letters that only case-folding makes ASCII still match."""
+    text = "The keeper noted that every toll\u00ad falls due in spring, \u2018they said\u2019."
+    T._pattern.cache_clear()
+    assert T.find_quote(text, "noted that wholly every toll falls due") is None and T.find_quote(text, "noted that toll falls ... in spring") is None
+    assert T._pattern.cache_info().misses == 0
+    assert T.find_quote(text, "EVERY  toll falls due in spring, 'they said'")[0] == "canonical" and T.find_quote(text, "noted [t]hat every ... due in spring")[0] == "elision"
+    assert T.find_quote(text.replace("keeper", "\u212aeeper"), "the keeper noted")[0] == "canonical" and T.find_quote("toll", "\u00ad") is None
+
+
 def test_spans():
     spans = T.quoted_spans("She wrote \"low tide at noon\" and “two barges\nran aground”. The miller's oxen' won't. 'lone quoted phrase now'.")
     assert [s["quote"] for s in spans] == ["low tide at noon", "two barges\nran aground", "lone quoted phrase now"]
