@@ -140,7 +140,7 @@ def attributed(quotes: DataFrame, checks: DataFrame, ahead: int = 300) -> DataFr
 
 
 def probes(quotes: DataFrame) -> DataFrame:
-    """(query_id, term): three probes of each quote (quote_id, quote) as queries by ``query_id`` (quote_id, probe).
+    """(query_id, term): three probes of each quote (quote_id, quote) as queries by ``query_id``, 3 * quote_id + probe.
 
     Its six longest words, the words around its middle, and the five longest of these.
     """
@@ -148,7 +148,7 @@ def probes(quotes: DataFrame) -> DataFrame:
     inner = scalars.middle(words)
     asked = quotes.select("quote_id", F.posexplode(F.array(scalars.longest(words, 6), inner, scalars.longest(inner, 5))).alias("probe", "words"))
     plain = F.filter(terms(F.array_join("words", " ")), lambda w: F.length(w) > 1)
-    wanted = asked.select(F.struct("quote_id", "probe").alias("query_id"), F.explode(F.array_distinct(plain)).alias("word"))
+    wanted = asked.select((F.col("quote_id") * 3 + F.col("probe")).alias("query_id"), F.explode(F.array_distinct(plain)).alias("word"))
     return wanted.select("query_id", functions.stem_of(F.col("word")).alias("term"))
 
 
@@ -161,9 +161,8 @@ def true_sources(quotes: DataFrame, index: Index, texts: DataFrame, ranks: DataF
     """
     known = written(quotes.select("quote").distinct().select(F.monotonically_increasing_id().alias("quote_id"), "quote"), "distinct-quotes")
     open_ = texts.select("id", "text")
-    held = ranked_batch(probes(known), index, share=True).join(open_.select("id"), "id", "left_semi").select("query_id.*", "id", F.round("share", 9).alias("share"))
-    place = F.row_number().over(Window.partitionBy("quote_id", "probe").orderBy(F.desc("share"), "id"))
-    some = held.withColumn("place", place).where(F.col("place") <= most).groupBy("quote_id", "id").agg(F.min("place").alias("place"))
+    held = ranked_batch(probes(known), index, open_, most, share=True)
+    some = held.groupBy(F.expr("query_id div 3").alias("quote_id"), "id").agg(F.min("nth").alias("place"))
     some = some.withColumn("nth", F.row_number().over(Window.partitionBy("quote_id").orderBy("place", "id"))).where(F.col("nth") <= checked)
     read = written(some.select("quote_id", "id"), "read").join(known, "quote_id").join(open_, "id").withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote")))
     found = read.where("hit.how is not null").select("quote_id", "id").join(ranks, "id", "left")

@@ -274,6 +274,26 @@ def test_postings_of_a_batch(monkeypatch):
         assert sorted(got) == [("Weir", 3, 4, [0]), ("due", 7, 3, [1]), ("due", 9, 1, [0]), ("toll", 3, 4, [1, 2]), ("toll", 7, 3, [0, 2]), ("weir", 3, 4, [3])]
 
 
+def test_many_searches_at_once(spark, monkeypatch):
+    """Only the best of each shard of texts leave a task, and they are those of single searches."""
+    rng = random.Random(9)
+    monkeypatch.setattr(search, "TEXTS_AT_ONCE", 25)
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 2)
+    words = ["barge", "heron", "sluice", "oxbow", "weir", "toll"]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(3, 9)))) for k in range(120)]
+    index = search.build_index(spark.createDataFrame(docs, "id long, text string"))
+    asked = {1: ["heron", "toll"], 2: ["weir"], 3: ["weir", "absent"], 4: ["barge", "heron", "sluice", "oxbow"], 5: ["oxbow", "weir", "toll"]}
+    some = spark.createDataFrame([(k,) for k in range(0, 120, 2)], "id long")
+    wanted = spark.createDataFrame([(q, search.stems(t)[0]) for q, ts in asked.items() for t in ts], "query_id long, term string")
+    got = search.ranked_batch(wanted, index, some, 4).collect()
+    for q, tokens in asked.items():
+        hits = search.ranked(index, tokens).join(some, "id").withColumn("bm25", F.round("bm25", 9)).orderBy(F.desc("bm25"), "id").limit(4).collect()
+        assert [(r["id"], round(r["bm25"], 8)) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["nth"])] == [(r["id"], round(r["bm25"], 8)) for r in hits]
+    found = search.ranked_batch(wanted, index, some, 4, share=True).where("query_id = 2").orderBy("nth").collect()
+    share = sorted((-round(t.split().count("weir") / len(t.split()), 9), k) for k, t in docs if k % 2 == 0 and "weir" in t)[:4]
+    assert [(-r["share"], r["id"]) for r in found] == share
+
+
 def test_filters(spark):
     courts = spark.createDataFrame([("har", "Harbor Court", None), ("har1", "First Pier", "har"), ("hill", "Hill Court", None)], "id string, name string, parent_id string")
     rows = [(k, k, ["har", "har1", "hill"][k % 3], "Published", False, False, "toll due", dt.date(2000 + k, 1, 1)) for k in range(9)] + [(20, 20, "har", "Unpublished", False, False, "toll due", dt.date(2001, 1, 1))]
