@@ -294,6 +294,18 @@ def test_many_searches_at_once(spark, monkeypatch):
     assert [(-r["share"], r["id"]) for r in found] == share
 
 
+def test_parentheticals_and_passages_need_no_collection(spark, monkeypatch):
+    from citeloom.plans import texts
+
+    def never(c):
+        raise AssertionError("the whole collection was asked for")
+
+    monkeypatch.setattr(texts, "_collection", never)
+    monkeypatch.setattr(texts, "_index", never)
+    for name in ("a13_top_described", "f15_passages"):
+        assert plans.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_filters(spark):
     courts = spark.createDataFrame([("har", "Harbor Court", None), ("har1", "First Pier", "har"), ("hill", "Hill Court", None)], "id string, name string, parent_id string")
     rows = [(k, k, ["har", "har1", "hill"][k % 3], "Published", False, False, "toll due", dt.date(2000 + k, 1, 1)) for k in range(9)] + [(20, 20, "har", "Unpublished", False, False, "toll due", dt.date(2001, 1, 1))]
