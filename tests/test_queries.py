@@ -40,3 +40,22 @@ def test_query(spark, duck, name):
         want = duck.execute(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["v4_citation_checks", "v5_statute_checks", "v12_export_gate"])
+def test_quoted_texts_that_read_as_citations(spark, name, tmp_path):
+    """What a draft quotes is none of its citations, whatever it reads as; a draft that quotes no text is checked all the same."""
+    texts = {6: "In 6276 Orenen halyat.\nAnre 37 te lonid 12 USC 7 at", 12: "Te sen arole the bolen ro cand" + "id. Elo banen", 18: None, 24: "", 30: "Te\0 sen arole", 42: 'Ro 7 U.S. 9, "id. supra § 3'}
+    connection = duckdb.connect()
+    for f in os.listdir(FOLDER):
+        table = f.removesuffix(".parquet")
+        if table == "documents":
+            rows_ = connection.execute(f"SELECT * FROM '{FOLDER}/{f}'").df()
+            rows_["text"] = [texts.get(i, t) for i, t in zip(rows_["doc_id"], rows_["text"], strict=True)]
+            rows_.to_parquet(str(tmp_path / f))
+        else:
+            os.symlink(f"{FOLDER}/{f}", tmp_path / f)
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{f}'")
+    got = plans.queries()[name](spark, str(tmp_path)).toPandas()
+    want = connection.execute(plans.oracle_sql()[name]).df()
+    assert rows(got) == rows(want)
