@@ -563,3 +563,14 @@ def test_paragraphs_keep_their_digits(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(tuple(r) for r in plans.queries()["x32_paragraphs"](spark, str(tmp_path)).collect())
     assert got == [(0, 0, "10 barges 0"), (0, 1, "1 toll 1"), (0, 2, "2 weirs 22")]
+
+
+def test_edges_are_dealt_by_their_number(spark, monkeypatch):
+    """Where the session's partitions would be too large, pairs go to as many tasks as they need; the edges are the same."""
+    nodes = spark.range(40)
+    cites = spark.range(900).select((F.col("id") * 7 % 43).alias("citing_id"), (F.col("id") % 41).alias("cited_id"))
+    plain = graph.edges(cites, nodes)
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", 50)
+    dealt = graph.edges(cites, nodes, 900)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString() and "18)" in dealt._jdf.queryExecution().toString()
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
