@@ -574,3 +574,19 @@ def test_edges_are_dealt_by_their_number(spark, monkeypatch):
     dealt = graph.edges(cites, nodes, 900)
     assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString() and "18)" in dealt._jdf.queryExecution().toString()
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_rows_of_a_batch_pass_in_pieces(spark, monkeypatch):
+    """A function of values sees a few rows of an Arrow batch at a time, and what it gives leaves before the next are read."""
+    import pyarrow as pa
+
+    seen = []
+    with monkeypatch.context() as m:
+        m.setattr(T.F, "arrow_udf", lambda run, result: lambda *columns: run)
+        run = T._rows("n int", ["n"], lambda v: (seen.append(v) or len(v),), F.lit("x"))
+    out = run(iter([pa.array(["ab"] * 1000), pa.array([], "string")]))
+    assert len(next(out)) == len(seen) == T.ROWS_AT_ONCE < 1000
+    assert sum(len(x) for x in out) == 1000 - T.ROWS_AT_ONCE
+    pages = spark.range(1000).repartition(1).select("id", F.concat(F.lit('<a href="/p'), "id", F.lit('">t</a>'), F.when(F.col("id") % 7 == 0, None).otherwise("")).alias("html"))
+    links = {r["id"]: [x["target"] for x in r["x"]["links"]] for r in pages.select("id", T.clean_markup_of(F.col("html"), T.PATH_LINK).alias("x")).collect()}
+    assert links == {k: [f"p{k}"] if k % 7 else [] for k in range(1000)}
