@@ -590,3 +590,15 @@ def test_rows_of_a_batch_pass_in_pieces(spark, monkeypatch):
     pages = spark.range(1000).repartition(1).select("id", F.concat(F.lit('<a href="/p'), "id", F.lit('">t</a>'), F.when(F.col("id") % 7 == 0, None).otherwise("")).alias("html"))
     links = {r["id"]: [x["target"] for x in r["x"]["links"]] for r in pages.select("id", T.clean_markup_of(F.col("html"), T.PATH_LINK).alias("x")).collect()}
     assert links == {k: [f"p{k}"] if k % 7 else [] for k in range(1000)}
+
+
+def test_blocks_are_summed_without_a_shuffle(spark):
+    """Runs of postings give what an aggregate of the blocks gives; a block that a batch cuts has two rows."""
+    rows = [(t, b, 1 + (t + b) % 5, 40 + b) for t in range(30) for b in range(20) for _ in range(1 + t % 3)]
+    postings = spark.createDataFrame(rows, "term int, block long, tf int, size int").withColumn("term", F.concat(F.lit("t"), "term")).coalesce(1)
+    runs = postings.mapInArrow(search._blocks(50.0), "term string, block long, n long, cf long, top double")
+    merged = runs.groupBy("term", "block").agg(F.sum("n").alias("n"), F.sum("cf").alias("cf"), F.round(F.max("top"), 9).alias("top"))
+    want = postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.sum("tf").alias("cf"), F.round(F.max(search.impact(F.col("tf"), F.col("size"), 50.0)), 9).alias("top"))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, want.collect()))
+    index = search.build_index(spark.createDataFrame([(k, "weir toll " * (k % 4 + 1)) for k in range(300)], "id long, text string"))
+    assert {tuple(r) for r in index.stats.collect()} == {(T.stem("weir"), 300, 750), (T.stem("toll"), 300, 750)}
