@@ -6,6 +6,7 @@ import io
 import random
 import time
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,22 @@ def test_edges_without_the_join_of_cites(spark):
     assert "LeftOuter" not in plan and "LeftAnti" not in plan
 
 
+def test_edges_of_a_task_stay_few(spark, monkeypatch):
+    """Pairs are dealt by their number where the session has more partitions than that too, which adaptive execution would merge to a few."""
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        cites = spark.range(4000).select((F.col("id") % 50).alias("citing_id"), F.floor(F.col("id") % 2000 / 50).alias("cited_id"))
+        edges = graph.edges(cites, spark.range(50).select("id"), 4000)
+        got = edges.select("src", "dst", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r["src"], r["dst"]) for r in got) == [(s, d) for s in range(50) for d in range(40)]
+    tasks = Counter(r["task"] for r in got)
+    assert len(tasks) == 40 and max(tasks.values()) <= 100
+
+
 def test_dates_as_numbers(spark):
     rows = spark.createDataFrame([("2020-01-01",), ("not-a-date",), (None,), ("99999-99-99",), ("1500-01-01",)], "x string")
     assert [r[0] for r in rows.select(scalars.yyyymmdd(F.col("x"))).collect()] == [20200101, 0, 0, 0, 0]
