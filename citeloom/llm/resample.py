@@ -1,8 +1,8 @@
 """Target-distribution importance resampling over hashed word n-grams, by external sort and count.
 
-The first pass writes each document's buckets as packed 16-bit numbers, in streams of
-many documents with the offsets of each. The second sorts and run-length encodes the
-streams for the corpus counts. With those of the target they give each bucket's gain,
+The first pass writes each document's buckets as packed 16-bit numbers, a row each, which
+lie side by side in an Arrow batch. The second sorts and run-length encodes these streams,
+a million buckets at once, for the corpus counts. With those of the target they give each bucket's gain,
 and the third pass gathers gains along the streams and sums them between offsets. Draws
 with replacement by chance become the highest of weight plus Gumbel noise, which a hash of
 the id makes, so that the sample is the same on every run.
@@ -20,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, written
+from .common import batches, text_bytes, written
 
 #: Words of lower-cased UTF-8: digits, letters a to z, and all characters beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Text bytes that are held as lists of words at once, and buckets in a stream.
-PART_BYTES, STREAM = 4 << 20, 8 << 20
+#: Text bytes that are held as lists of words at once, and buckets that are counted or weighed at once.
+PART_BYTES, STREAM = 4 << 20, 1 << 20
 
 
 def _parts(data: bytes) -> Iterator[list[bytes]]:
@@ -60,33 +60,41 @@ def buckets_of(text: str, buckets: int, longest: int = 3) -> tuple[np.ndarray, i
 def _streams(buckets: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            docs, words, held, at = [], [], [], [0]
+            docs, words, held, size = [], [], [], 0
             for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 got, n = buckets_of(text.as_py() or "", buckets)
                 docs.append(doc)
                 words.append(n)
-                held.append(got)
-                at.append(at[-1] + len(got))
-                if at[-1] > STREAM:
-                    yield _stream(docs, words, held, at)
-                    docs, words, held, at = [], [], [], [0]
+                held.append(got.astype("<u2", copy=False).tobytes())
+                size += len(held[-1])
+                if size > PART_BYTES:
+                    yield from _held(docs, words, held)
+                    docs, words, held, size = [], [], [], 0
             if docs:
-                yield _stream(docs, words, held, at)
+                yield from _held(docs, words, held)
 
     return run
 
 
-def _stream(docs: list, words: list[int], held: list[np.ndarray], at: list[int]) -> pa.RecordBatch:
-    one = [pa.array([docs], pa.list_(pa.int64())), pa.array([words], pa.list_(pa.int64())), pa.array([at], pa.list_(pa.int64()))]
-    return next(iter(batches([(*one, pa.array([np.concatenate(held).tobytes()], pa.binary()))], ["doc_ids", "n_words", "at", "stream"])))
+def _held(docs: list, words: list[int], held: list[bytes]) -> Iterator[pa.RecordBatch]:
+    return batches([(pa.array(docs, pa.int64()), pa.array(words, pa.int64()), pa.array(held, pa.binary()))], ["doc_id", "n_words", "stream"])
 
 
 def streams(docs: DataFrame, buckets: int = 10_000) -> DataFrame:
-    """``(doc_ids, n_words, at, stream)``: buckets of many documents as little-endian 16-bit numbers, those of the k-th from ``at[k]`` to ``at[k + 1]``."""
+    """``(doc_id, n_words, stream)``: the buckets of each document as little-endian 16-bit numbers.
+
+    A row is no larger than its document, since a Parquet writer holds a hundred rows at least and
+    a reader some thousands. In an Arrow batch they lie side by side all the same.
+    """
     if not 0 < buckets <= 1 << 16:
         raise ValueError("buckets are 16-bit numbers")
-    schema = "doc_ids array<long>, n_words array<long>, at array<long>, stream binary"
-    return docs.select("doc_id", "text").mapInArrow(_streams(buckets), schema)
+    return docs.select("doc_id", "text").mapInArrow(_streams(buckets), "doc_id long, n_words long, stream binary")
+
+
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all rows of a batch, and where each row's begin and the last one's end."""
+    raw, at = text_bytes(column)
+    return raw.view("<u2"), at // 2
 
 
 def run_lengths(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +107,9 @@ def run_lengths(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for part in parts:
-        for stream in part.column(0):
-            values, n = run_lengths(np.frombuffer(stream.as_buffer(), "<u2"))
+        got, _ = _packed(part.column(0))
+        for i in range(0, len(got), STREAM):
+            values, n = run_lengths(got[i : i + STREAM])
             total[values] += n
     some = np.flatnonzero(total)
     yield from batches([(pa.array(some, pa.int64()), pa.array(total[some]))], ["bucket", "n"])
@@ -126,14 +135,16 @@ def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
 def _weighed(gain: np.ndarray):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for docs, words, at, stream in zip(*(part.column(c) for c in range(4)), strict=True):
-                got = np.frombuffer(stream.as_buffer(), "<u2")
-                ends = at.values.to_numpy()
-                n = np.diff(ends)
-                weight = np.zeros(len(n), np.int64)
-                if len(got):  # empty documents have no place of their own in the sums
-                    weight[n > 0] = np.add.reduceat(gain[got], ends[:-1][n > 0])
-                yield from batches([(docs.values, words.values, pa.array(n), pa.array(weight))], ["doc_id", "n_words", "n_features", "weight"])
+            docs, words, stream = part.columns
+            got, at = _packed(stream)
+            n, begins = np.diff(at), at[:-1]
+            weight = np.zeros(len(n), np.int64)
+            own = np.flatnonzero(n)  # empty documents have no place of their own in the sums
+            for i in range(0, len(got), STREAM):
+                # Documents that a piece has any of: the one that holds its first bucket, and all that begin in it.
+                some = own[np.searchsorted(begins[own], i, "right") - 1 : np.searchsorted(begins[own], i + STREAM)]
+                weight[some] += np.add.reduceat(gain[got[i : i + STREAM]], np.maximum(begins[some] - i, 0))
+            yield from batches([(docs, words, pa.array(n), pa.array(weight))], ["doc_id", "n_words", "n_features", "weight"])
 
     return run
 
