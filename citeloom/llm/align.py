@@ -6,7 +6,8 @@ where both owners change at once the text is cut into groups. The last pair of o
 of a group ends together and is a link. How often an id pair is linked in the corpus is
 counted over blocks of many documents: each block keeps its distinct pairs and,
 for each link, the place of its pair among them; counts go back to the blocks, so that
-a frequent pair meets the counts once a block.
+a frequent pair meets the counts once a block. Rows are documents, or some pairs of a
+block, so that none is larger than its document whatever a block holds.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import between_words, byte_bpe
-from .common import batches, join_by_key, written
+from .common import batches, join_by_key, text_bytes, written
 
 MARK = "▁"
 #: Text characters whose owners are found together, and links of a block.
@@ -153,30 +154,48 @@ def alignments(docs: DataFrame, tokenizer: str, model: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-_LISTS = ["doc_ids", "n_a", "n_b", "n_groups", "groups_sha256"]
-_BLOCK = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, at array<long>, places binary, pairs array<long>, ns array<long>"
+_DOC = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "places"]
+_BLOCK = pa.schema([
+    ("block", pa.int64()), *[(n, pa.int64()) for n in _DOC[:4]], ("groups_sha256", pa.string()), ("places", pa.binary()),
+    ("first", pa.int32()), ("pairs", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())),
+])
+#: Pairs of a row, and bytes of places in a batch: a Parquet writer holds a hundred rows at least, a reader's batch some thousands.
+ROW_PAIRS, BATCH_BYTES = 512, 4 << 20
 
 
 class _Block:
     """Documents of one block with their links."""
 
     def __init__(self) -> None:
-        self.lists: dict[str, list] = {n: [] for n in _LISTS}
+        self.docs: list[tuple] = []
         self.links: list[np.ndarray] = []
         self.at = [0]
 
     def add(self, doc: int | None, n_a: int, n_b: int, digest: str, links: list[np.ndarray]) -> None:
         n = sum(map(len, links))
-        for name, value in zip(_LISTS, (doc, n_a, n_b, n, digest), strict=True):
-            self.lists[name].append(value)
+        self.docs.append((doc, n_a, n_b, n, digest))
         self.links += links
         self.at.append(self.at[-1] + n)
 
-    def row(self, block: int) -> pa.RecordBatch:
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        """Rows of a part of the block's distinct pairs each, in order, with how often it has them; and a row for each document with the places of its links' pairs among them."""
         pairs, places, ns = np.unique(np.concatenate([*self.links, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
-        lists = [pa.array([v], pa.list_(pa.string() if n == "groups_sha256" else pa.int64())) for n, v in self.lists.items()]
-        more = [pa.array([self.at], pa.list_(pa.int64())), pa.array([places.astype("<u4").tobytes()], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in (pairs, ns))]
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists, *more], [c.split()[0] for c in _BLOCK.split(", ")])
+        self.links, places = [], places.astype("<u4")
+        firsts = np.arange(0, len(pairs), ROW_PAIRS, dtype=np.int32)
+        if len(firsts):
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(firsts, len(pairs)), pa.int32()), pa.array(x)) for x in (pairs, ns)]
+            yield self._batch(len(firsts), {"block": [block] * len(firsts), "first": firsts, "pairs": lists[0], "ns": lists[1]})
+        i, n = 0, len(self.docs)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.at, self.at[i] + BATCH_BYTES // 4, "right")) - 1)
+            own = [places[a:b].tobytes() for a, b in zip(self.at[i:j], self.at[i + 1 : j + 1])]
+            yield self._batch(j - i, {"block": [block] * (j - i), **dict(zip(_DOC, (*zip(*self.docs[i:j]), own)))})
+            i = j
+
+    @staticmethod
+    def _batch(n: int, cells: dict) -> pa.RecordBatch:
+        columns = [cells.get(f.name, [None] * n) for f in _BLOCK]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _BLOCK)], schema=_BLOCK)
 
 
 def _blocks(tokenizer: str, model: str):
@@ -189,10 +208,10 @@ def _blocks(tokenizer: str, model: str):
                 for found, doc in zip(_described(aligner, texts), docs):  # ends with found, before it takes from docs
                     block.add(doc, *found)
                     if block.at[-1] > BLOCK_LINKS:
-                        yield block.row(number)
+                        yield from block.rows(number)
                         block, number = _Block(), number + 1
-        if block.at[-1] or block.lists["doc_ids"]:
-            yield block.row(number)
+        if block.docs:
+            yield from block.rows(number)
 
     return run
 
@@ -231,21 +250,30 @@ def _described(aligner: Aligner, texts: list[str]) -> list[tuple[int, int, str,
 
 
 def _returned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the documents of blocks that have got their pairs' counts back."""
+    """Rows of the documents (key, place, count, best, doc); before those of a block stand its pairs by place with their counts, if it has any."""
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    block, held, known = None, [], None
     for part in parts:
-        cells = {n: part.column(k) for k, n in enumerate(part.schema.names)}
-        for r in range(len(part)):
-            get = lambda n: cells[n][r].values  # noqa: B023, E731
-            places, at = np.frombuffer(cells["places"][r].as_buffer(), "<u4"), get("at").to_numpy()
-            n = np.diff(at)
+        key = part.column(0).to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(key, prepend=key[:1] - 1)), len(key))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if key[i] >> 1 != block:
+                block, held, known = key[i] >> 1, [], None
+            some = part.slice(i, j - i)
+            if not key[i] & 1:
+                held.append([some.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3)])
+                continue
+            if known is None:
+                place, *found = (np.concatenate(x) for x in zip(*held)) if held else np.zeros((3, 0), np.int64)
+                known, held = np.zeros((2, len(place)), np.int64), []
+                known[:, place] = found
+            doc = dict(zip(_DOC, some.column(4).flatten()))
+            raw, at = text_bytes(doc["places"])
+            places, n = raw.view("<u4"), np.diff(at) // 4
             sums = np.zeros((2, len(n)), np.int64)
             if len(places):
-                found = get("found").flatten()
-                known = np.zeros((2, len(found[0])), np.int64)
-                known[:, found[0].to_numpy()] = found[1].to_numpy(), found[2].to_numpy(zero_copy_only=False)
-                sums[:, n > 0] = np.add.reduceat(known[:, places], at[:-1][n > 0], axis=1)
-            columns = (get("doc_ids"), get("n_a"), get("n_b"), get("n_groups"), get("n_groups"), pa.array(sums[1]), pa.array(sums[0]), get("groups_sha256"))
+                sums[:, n > 0] = np.add.reduceat(known[:, places], at[:-1][n > 0] // 4, axis=1)
+            columns = (doc["doc_id"], doc["n_a"], doc["n_b"], doc["n_groups"], doc["n_groups"], pa.array(sums[1]), pa.array(sums[0]), doc["groups_sha256"])
             yield from batches([columns], names)
 
 
@@ -263,16 +291,20 @@ def alignment_counts(docs: DataFrame, tokenizer: str, model: str) -> DataFrame:
     documents like all others, and their links count; an empty table gives an empty table. Other
     columns are ignored.
     """
-    blocks = written(docs.select("doc_id", "text").mapInArrow(_blocks(tokenizer, model), _BLOCK), "blocks")
-    rows = blocks.select("block", F.explode(F.arrays_zip("pairs", "ns")).alias("x")).select("block", F.col("x.pairs").alias("pair"), F.col("x.ns").alias("m"))
+    kinds = "block long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, places binary, first int, pairs array<long>, ns array<long>"
+    blocks = written(docs.select("doc_id", "text").mapInArrow(_blocks(tokenizer, model), kinds), "blocks")
+    some = blocks.where("first is not null")
+    rows = some.select("block", F.explode(F.arrays_zip("pairs", "ns")).alias("x")).select("block", F.col("x.pairs").alias("pair"), F.col("x.ns").alias("m"))
     counts = rows.groupBy("pair").agg(F.sum("m").alias("count"), F.count("*").alias("n")).withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
     counts = written(counts, "counts")
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))  # no more rows than B's vocabulary
     known = counts.join(F.broadcast(highest), "b").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"), "n")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    placed = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
+    placed = some.select("block", "first", F.posexplode("pairs").alias("place", "pair")).select("block", (F.col("first") + F.col("place")).alias("place"), "pair")
     back = join_by_key(placed, known, ["pair"], max(1000, total // 1000))
-    found = back.groupBy("block").agg(F.collect_list(F.struct("place", "count", "best")).alias("found"))
-    wide = blocks.select("block", *_LISTS, "at", "places").join(found, "block", "left").drop("block")
+    # Pairs of a block pass before its documents, sorted by one number, so that no list of them is made.
+    found = back.select((F.col("block") * 2).alias("key"), "place", "count", "best")
+    own = blocks.where("first is null").select((F.col("block") * 2 + 1).alias("key"), F.struct(*_DOC).alias("doc"))
+    dealt = found.unionByName(own, allowMissingColumns=True).repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return wide.mapInArrow(_returned, schema)
+    return dealt.mapInArrow(_returned, schema)
