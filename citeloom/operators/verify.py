@@ -6,13 +6,17 @@ places; every step joins on the draft and keeps what is unresolved for the next.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import prints
 from ..functions import text as functions
 from ..tables import written
 from . import scalars
-from .search import Index, ranked_batch, terms
+from .search import Index
 
 
 def resolve(keys: DataFrame, citation_strings: DataFrame, opinions: DataFrame) -> DataFrame:
@@ -139,36 +143,59 @@ def attributed(quotes: DataFrame, checks: DataFrame, ahead: int = 300) -> DataFr
     return rows.select("quote.*", chosen.alias("owner"), F.col("before").isNotNull().alias("before")).select(*quotes.columns, *[f"owner.{n}" for n in of_owner], "before")
 
 
-def probes(quotes: DataFrame) -> DataFrame:
-    """(query_id, term): three probes of each quote (quote_id, quote) as queries by ``query_id``, 3 * quote_id + probe.
+#: Bits by which texts know the fingerprints that are asked for, at most: 8 MB.
+BITS = 1 << 26
 
-    Its six longest words, the words around its middle, and the five longest of these.
-    """
-    words = scalars.probe_words(F.col("quote"))
-    inner = scalars.middle(words)
-    asked = quotes.select("quote_id", F.posexplode(F.array(scalars.longest(words, 6), inner, scalars.longest(inner, 5))).alias("probe", "words"))
-    plain = F.filter(terms(F.array_join("words", " ")), lambda w: F.length(w) > 1)
-    wanted = asked.select((F.col("quote_id") * 3 + F.col("probe")).alias("query_id"), F.explode(F.array_distinct(plain)).alias("word"))
-    return wanted.select("query_id", functions.stem_of(F.col("word")).alias("term"))
 
+def _marked(asked: DataFrame) -> np.ndarray:
+    """Bits of the fingerprints in ``asked`` (print), sixteen times as many as these, up to BITS."""
+    bits = min(BITS, 1 << max(10, (16 * asked.count()).bit_length()))
+    bit = F.col("print").bitwiseAND(F.lit(bits - 1))
+    words = asked.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("set")).toArrow()
+    marked = np.zeros(bits // 64, np.uint64)
+    marked[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
+    return marked
 
-def true_sources(quotes: DataFrame, index: Index, texts: DataFrame, ranks: DataFrame, most: int = 60, checked: int = 90) -> DataFrame:
-    """(quote_id, source_id): for quotes (quote_id, quote) one of ``texts`` that has them, the best by ``ranks`` (id, highest, pagerank).
 
-    Three searches a quote (see ``probes``). The ``most`` texts of which each takes the largest share,
-    ``checked`` in sum, are read for the quote itself, so that a quote of common words only may
-    miss its source in long texts. Equal quotes are searched once.
+def holders(quotes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``known`` (quote_id, quote, print) and ``held`` (print, id): every one of ``texts`` (id, text) that has a quote (quote) is held under its print.
+
+    A text with a quote has all its fingerprints (see ``functions.prints``), so a quote of which any is in no text
+    has no holder and isn't known. The others are asked for by the fingerprint that the fewest texts have.
+    Texts are read once, by tasks that know which fingerprints are asked for by bits, so what
+    leaves them are those of quotes, and few others. Quotes are distinct.
+    """
+    listed = written(quotes.select("quote").distinct().select(F.monotonically_increasing_id().alias("quote_id"), "quote"), "distinct-quotes")
+    asked = written(listed.mapInArrow(prints.of_quotes, "quote_id long, kind int, print long"), "asked")
+    kinds = sorted(r["kind"] for r in asked.select("kind").distinct().collect())
+    found = texts.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(prints.of_texts(kinds, _marked(asked)), "print long, id long")
+    found = written(found, "prints")
+    n = found.groupBy("print").agg(F.count("*").alias("n"))
+    rarest = asked.join(n.hint("merge"), "print", "left").groupBy("quote_id").agg(F.min(F.struct("n", "print")).alias("x"), F.bool_and(F.col("n").isNotNull()).alias("whole"))
+    known = written(listed.join(rarest.where("whole").select("quote_id", "x.print").hint("merge"), "quote_id"), "known-quotes")
+    return known, written(found.join(known.select("print").hint("merge"), "print", "left_semi"), "held")
+
+
+def true_sources(known: DataFrame, held: DataFrame, texts: DataFrame, ranks: DataFrame, first: int = 16) -> DataFrame:
+    """(quote_id, source_id): for quotes and holders of ``holders`` the one of ``texts`` (id, text) that has the quote, the best by ``ranks`` (id, highest, pagerank).
+
+    A quote is read for in its holders in the order of their ranks: in the ``first`` ones, then, if none has it,
+    in sixteen times as many, until one has it or all have been read.
     """
-    known = written(quotes.select("quote").distinct().select(F.monotonically_increasing_id().alias("quote_id"), "quote"), "distinct-quotes")
-    open_ = texts.select("id", "text")
-    held = ranked_batch(probes(known), index, open_, most, share=True)
-    some = held.groupBy(F.expr("query_id div 3").alias("quote_id"), "id").agg(F.min("nth").alias("place"))
-    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("quote_id").orderBy("place", "id"))).where(F.col("nth") <= checked)
-    read = written(some.select("quote_id", "id"), "read").join(known, "quote_id").join(open_, "id").withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote")))
-    found = read.where("hit.how is not null").select("quote_id", "id").join(ranks, "id", "left")
-    order = F.struct(F.coalesce("highest", F.lit(False)), F.coalesce("pagerank", F.lit(0.0)), -F.col("id"))
-    sources = found.groupBy("quote_id").agg(F.max_by("id", order).alias("source_id")).join(known, "quote_id").select("quote", "source_id")
-    return quotes.join(sources, "quote").select("quote_id", "source_id")
+    best = Window.partitionBy("print").orderBy(F.desc("highest"), F.desc("pagerank"), "id")
+    of = held.join(texts.select("id").distinct().hint("merge"), "id").join(ranks.select("id", F.coalesce("highest", F.lit(False)).alias("highest"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank")).hint("merge"), "id", "left")
+    of = of.withColumns({"highest": F.coalesce("highest", F.lit(False)), "pagerank": F.coalesce("pagerank", F.lit(0.0))})
+    placed = written(of.select("print", "id", F.row_number().over(best).alias("nth")), "placed")
+    left, sources, low, high = known, [], 0, first
+    while True:
+        pairs = left.join(placed.where((F.col("nth") > low) & (F.col("nth") <= high)).hint("merge"), "print").select("quote_id", "quote", "id", "nth")
+        hit = pairs.join(texts.select("id", "text").hint("merge"), "id").where(functions.find_quote_of(F.col("text"), F.col("quote"))["how"].isNotNull())
+        sources.append(written(hit.groupBy("quote_id").agg(F.min_by("id", "nth").alias("source_id")), "sources"))
+        more = placed.where(F.col("nth") == high + 1).select("print")
+        left = written(left.join(more.hint("merge"), "print", "left_semi").join(sources[-1].hint("merge"), "quote_id", "left_anti"), "left")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, sources)
+        low, high = high, 16 * high
 
 
 def _owned(quotes: DataFrame, checks: DataFrame, drafts: DataFrame, statutes: DataFrame | None) -> DataFrame:
@@ -194,31 +221,36 @@ def quote_checks(
 
     With ``statutes`` (id, source, title, section, text) a quote may belong to one, whose text is then read.
 
-    Texts join only for the quotes that the stage before left open; siblings are those of
-    all clusters that the key names. The search for
-    the true source needs an ``index`` of searchable texts, and ``ranks``.
+    What its own case doesn't have is sought by fingerprints in all other opinions (see ``holders``): siblings are those
+    of all clusters that the key names; the true source is any searchable opinion that has the quote, the best by
+    ``ranks``, and is sought if these are given. No ``index`` is read for that. No table that grows with drafts or
+    opinions is broadcast.
     """
     quotes = drafts.select("draft_id", F.explode(functions.quoted_spans_of(F.col("text"))).alias("q")).select("draft_id", "q.*")
     owned = _owned(quotes, checks, drafts, statutes)
-    texts = opinions.where("not blocked").select(F.col("id").alias("own"), F.col("cluster_id").alias("of"), "text")
-    tried = owned.join(texts.select(F.col("own").alias("id"), "text"), "id", "left")
+    texts = opinions.where("not blocked").select("id", "cluster_id", "text")
+    tried = owned.join(texts.select("id", "text").hint("merge"), "id", "left")
     if statutes is not None:
-        tried = tried.join(statutes.select(F.col("id").alias("statute_id"), F.col("text").alias("_code")), "statute_id", "left").withColumn("text", F.coalesce("_code", "text")).drop("_code")
+        tried = tried.join(statutes.select(F.col("id").alias("statute_id"), F.col("text").alias("_code")).hint("merge"), "statute_id", "left").withColumn("text", F.coalesce("_code", "text")).drop("_code")
     tried = tried.withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote"))).drop("text")
     first = written(tried.withColumn("status", F.when(F.col("id").isNull() & F.col("statute_id").isNull(), "unattributed").when(F.col("hit.how").isNotNull(), "verified")), "quotes")
-    rest = first.where("status is null").select("draft_id", "start", "quote", F.explode("cluster_ids").alias("cluster_id"), "id")
-    siblings = rest.join(texts, rest.cluster_id == texts.of).where("own <> id")
-    found = siblings.withColumn("hit", functions.find_quote_of(F.col("text"), F.col("quote"))).where("hit.how is not null").select("draft_id", "start", F.lit(True).alias("sibling")).distinct()
-    known = first.join(found, ["draft_id", "start"], "left").withColumn("status", F.coalesce("status", F.when(F.col("sibling"), "within_cluster")))
-    if index is None:
-        known = known.withColumn("source_id", F.lit(None).cast("long"))
+    known, held = holders(first.where("status is null").select("quote"), texts)
+    rest = first.where("status is null").select("draft_id", "start", "quote", "id", F.explode(F.array_distinct("cluster_ids")).alias("cluster_id")).join(known.hint("merge"), "quote")
+    placed = held.join(texts.select("id", "cluster_id").hint("merge"), "id").select("print", F.col("id").alias("own"), "cluster_id")
+    siblings = rest.join(placed.hint("merge"), ["print", "cluster_id"]).where("own <> id").select("draft_id", "start", "quote", "own")
+    siblings = siblings.join(texts.select(F.col("id").alias("own"), "text").hint("merge"), "own").where(functions.find_quote_of(F.col("text"), F.col("quote"))["how"].isNotNull())
+    found = siblings.select("draft_id", "start", F.lit(True).alias("sibling")).distinct()
+    done = first.join(found.hint("merge"), ["draft_id", "start"], "left").withColumn("status", F.coalesce("status", F.when(F.col("sibling"), "within_cluster")))
+    if ranks is None:
+        done = done.withColumn("source_id", F.lit(None).cast("long"))
     else:
-        known = written(known, "quotes")
-        open_ = known.where("status is null").select(F.struct("draft_id", "start").alias("quote_id"), "quote")
-        sources = true_sources(open_, index, opinions.where(scalars.searchable()), ranks).select("quote_id.*", "source_id")
-        known = known.join(sources, ["draft_id", "start"], "left")
+        done = written(done, "quotes")
+        open_ = known.join(done.where("status is null").select("quote").hint("merge"), "quote", "left_semi")
+        sources = true_sources(open_, held, opinions.where(scalars.searchable()).select("id", "text"), ranks)
+        sources = known.join(sources.hint("merge"), "quote_id").select("quote", "source_id")
+        done = done.join(sources.hint("merge"), "quote", "left").withColumn("source_id", F.when(F.col("status").isNull(), F.col("source_id")))
     status = F.coalesce("status", F.when(F.col("source_id").isNotNull(), "wrong_case").otherwise("not_found"))
-    return known.select("draft_id", "quote", "start", "end", "idx", "id", status.alias("status"), F.col("hit.how").alias("how"), "source_id", "statute_id")
+    return done.select("draft_id", "quote", "start", "end", "idx", "id", status.alias("status"), F.col("hit.how").alias("how"), "source_id", "statute_id")
 
 
 def all_checks(checks: DataFrame, statutes: DataFrame | None) -> DataFrame:
